@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .langid import op5_langid
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op10_packing
 from .simhash import op6_simhash
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_langid": op5_langid,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op10_packing": op10_packing,
