@@ -7,12 +7,14 @@ from .langid import op5_langid
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op10_packing
 from .simhash import op6_simhash
+from .spotsigs import op8_spotsigs
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_langid": op5_langid,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_spotsigs": op8_spotsigs,
     "op10_packing": op10_packing,
 }
 ORACLES = {
