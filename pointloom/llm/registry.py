@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .htmltext import op4_htmltext
 from .langid import op5_langid
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op10_packing
 from .simhash import op6_simhash
 from .spotsigs import op8_spotsigs
+from .urlfilter import OP3_SQL, op3_urlfilter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_urlfilter": op3_urlfilter,
+    "op4_htmltext": op4_htmltext,
     "op5_langid": op5_langid,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
@@ -19,5 +23,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
+    "op3_urlfilter": OP3_SQL,
     "op7_mixing": OP7_SQL,
 }
