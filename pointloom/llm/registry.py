@@ -9,6 +9,7 @@ from .mixing import OP7_SQL, op7_mixing
 from .packing import op10_packing
 from .simhash import op6_simhash
 from .spotsigs import op8_spotsigs
+from .substrings import op9_substrings
 from .urlfilter import OP3_SQL, op3_urlfilter
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_spotsigs": op8_spotsigs,
+    "op9_substrings": op9_substrings,
     "op10_packing": op10_packing,
 }
 ORACLES = {
