@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .htmltext import op4_htmltext
 from .langid import op5_langid
+from .linededup import op2_linededup
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op10_packing
 from .simhash import op6_simhash
@@ -14,6 +15,7 @@ from .urlfilter import OP3_SQL, op3_urlfilter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_linededup": op2_linededup,
     "op3_urlfilter": op3_urlfilter,
     "op4_htmltext": op4_htmltext,
     "op5_langid": op5_langid,
