@@ -2,9 +2,682 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import expr as E
+from .operators import features, neighbors, rows, sampling, stats, voxels
+from .plans import factors, linearize
+from .schema import COV, NORMAL, XYZ
+from .sources.tables import CLOUD_L_SQL, CLOUD_T_SQL, cloud_e, cloud_e_sql, cloud_l, cloud_t, features_e
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+CTE = f"WITH {cloud_e_sql()}, {CLOUD_T_SQL}, {CLOUD_L_SQL}"
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a query; sql is what follows the common table expressions e, t and l (starting with a comma or SELECT)."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = f"{CTE}{'' if sql.lstrip().startswith(',') else ' '}{sql}"
+        return f
+
+    return put
+
+
+def r6(*names: str, digits: int = 6) -> list:
+    return [F.round(F.col(c), digits).alias(c) for c in names]
+
+
+def q6(*pairs: tuple[str, str], digits: int = 6) -> str:
+    return ", ".join(f"round({e}, {digits}) AS {n}" for n, e in pairs)
+
+
+# Fixed poses of the queries.
+C, S = math.cos(0.3), math.sin(0.3)
+POSE = [[C, -S, 0.0, 0.25], [S, C, 0.0, -0.4], [0.0, 0.0, 1.0, 0.15]]
+SHEAR = [[1.5, 0.25, 0.0, 0.5], [0.0, 0.75, 0.125, -1.0], [0.25, 0.0, 2.0, 0.25]]
+POSES = {k: [[1.0, 0.0, 0.0, 0.3 * k], [0.0, 1.0, 0.0, -0.2 * k], [0.0, 0.0, 1.0, 0.1 * k]] for k in range(5)}
+RES, FINE = 0.5, 1.0
+
+
+def moved_sql(m, table: str = "e", extra: str = "") -> str:
+    columns = ", ".join(f"{x} AS {c}" for x, c in zip(E.moved(m, XYZ), XYZ, strict=True))
+    return f"SELECT point_id, {columns}{extra} FROM {table}"
+
+
+# --- scans and rows -------------------------------------------------------------------------------------------------
+
+
+@query("io11_arange_timestamps", "SELECT round(i * 0.25, 6) AS stamp FROM range(0, 41) g(i) UNION ALL SELECT 10.1")
+def io11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.trajectory import arange_timestamps
+
+    return arange_timestamps(spark, 0.0, 10.1, 0.25).select(*r6("stamp"))
+
+
+@query("io13_memory_usage", "SELECT c AS \"column\", count(*) * 8 AS bytes FROM e, (VALUES ('point_id'), ('x'), ('y'), ('z')) v(c) GROUP BY c")
+def io13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.memory_usage(cloud_e(spark, sf_dir, "point_id", *XYZ))
+
+
+@query("p1_add_attribute", f"SELECT point_id, {q6(('x', 'x'), ('nx', 'nx'), ('intensity', 'intensity'))} FROM e")
+def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir)
+    return rows.add_attribute(df.select("point_id", "x"), df.select("point_id", "nx", "intensity")).select("point_id", *r6("x", "nx", "intensity"))
+
+
+@query("p2_aux_attribute", f"SELECT point_id, {q6(('aux', 'x * 2'))} FROM e")
+def p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir).withColumn("aux", F.col("x") * 2)
+    return df.select("point_id", F.round(rows.attribute(df, "aux"), 6).alias("aux"))
+
+
+@query("p3_clone", f"SELECT point_id, frame_id, {q6(*[(c, c) for c in XYZ])} FROM e")
+def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ).select("point_id", "frame_id", *r6(*XYZ))
+
+
+@query("p4_sample", f", i AS (SELECT g AS pos, (g * 7) % 100 AS point_id FROM range(0, 150) r(g)) SELECT pos, point_id, {q6(('x', 'x'))} FROM i JOIN e USING (point_id)")
+def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indices = spark.range(150).select(F.col("id").alias("pos"), (F.col("id") * 7 % 100).alias("point_id"))
+    return rows.sample(cloud_e(spark, sf_dir, "point_id", "x"), indices).select("pos", "point_id", *r6("x"))
+
+
+@query("p5_filter", f"SELECT point_id, {q6(('x', 'x'))} FROM e WHERE x > 0.5 AND z < 1.0")
+def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.where(cloud_e(spark, sf_dir), "x > 0.5 AND z < 1.0").select("point_id", *r6("x"))
+
+
+@query("p6_filter_by_index", f"SELECT point_id, {q6(('x', 'x'))} FROM e WHERE point_id % 3 = 0 AND intensity > 0")
+def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.where(cloud_e(spark, sf_dir), (F.col("point_id") % 3 == 0) & (F.col("intensity") > 0)).select("point_id", *r6("x"))
+
+
+def _transform(m, affine: bool) -> tuple[Callable, str]:
+    import numpy as np
+
+    turn = np.linalg.inv(np.array(m)[:, :3]).T if affine else np.array(m)[:, :3]
+    named = [*zip(XYZ, E.moved(m, XYZ), strict=True), *zip(NORMAL, E.moved(turn, NORMAL, shift=False), strict=True), *zip(COV, E.rotated_cov(np.array(m)[:, :3]), strict=True)]
+    return lambda spark, sf_dir: rows.transform(cloud_e(spark, sf_dir), m, affine).select("point_id", *r6(*XYZ, *NORMAL, *COV)), f"SELECT point_id, {q6(*named)} FROM e"
+
+
+for _name, _m, _affine in (("p7_transform", POSE, False), ("p8_transform_affine", SHEAR, True), ("p9_transform_inplace", POSE, False)):
+    _f, _sql = _transform(_m, _affine)
+    query(_name, _sql)(_f)
+
+
+@query("p11_voxel_coord", f"SELECT point_id, {', '.join(f'{E.voxel(c, RES)} AS v{c}' for c in XYZ)} FROM e")
+def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud_e(spark, sf_dir).select("point_id", *[F.expr(E.voxel(c, RES)).alias(f"v{c}") for c in XYZ])
+
+
+@query("p12_voxel_key", f"SELECT point_id, {E.voxel_key(RES)} AS vkey FROM e")
+def p12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud_e(spark, sf_dir).select("point_id", F.expr(E.voxel_key(RES)).alias("vkey"))
+
+
+@query("p14_distances", f", s AS (SELECT CASE WHEN count(*) < 100 THEN 1 ELSE count(*) // 100 END AS step FROM e) SELECT point_id, {q6(('dist', 'sqrt(x * x + y * y + z * z)'))} FROM e, s WHERE point_id % step = 0")
+def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.distances(cloud_e(spark, sf_dir, "point_id", *XYZ), 100).select("point_id", *r6("dist"))
+
+
+@query("p15_compact_cov", f"SELECT point_id, {', '.join(f'round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 6) AS {c}' for c in COV)} FROM e")
+def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.compact_cov(cloud_e(spark, sf_dir, "point_id", *COV)).select("point_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in COV])
+
+
+@query("p18_surface_validation", f"SELECT point_id FROM e WHERE NOT {rows.facing_away(POSE)}")
+def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud_e(spark, sf_dir).where(~F.expr(rows.facing_away(POSE))).select("point_id")
+
+
+@query("p19_scan_angle", f"SELECT point_id, {q6(('angle', rows.scan_angle()))} FROM e")
+def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud_e(spark, sf_dir, "point_id", *XYZ).select("point_id", F.round(F.expr(rows.scan_angle()), 6).alias("angle"))
+
+
+@query("p20_voxel_raycast")
+def p20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rays = cloud_e(spark, sf_dir, "point_id", *XYZ).select(F.col("point_id").alias("ray_id"), *[F.lit(0.05).alias(f"s{c}") for c in XYZ], *[F.col(c).alias(f"e{c}") for c in XYZ])
+    return rows.raycast(rays, 0.25)
+
+
+@query("p23_calc_index", "SELECT point_id, (frame_id << 32) + point_id AS idx, frame_id AS voxel_id, point_id AS slot FROM e")
+def p23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", "frame_id").withColumn("idx", rows.composite_index(F.col("frame_id"), F.col("point_id")))
+    a, b = rows.split_index(F.col("idx"))
+    return df.select("point_id", "idx", a.alias("voxel_id"), b.alias("slot"))
+
+
+# --- neighbour joins ------------------------------------------------------------------------------------------------
+
+PAIR_D2 = "(q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)"
+
+
+def near_sql(where: str, k: int | None, d2: str = PAIR_D2, q: str = "e", p: str = "e") -> str:
+    """n(qid, point_id, d2, rank) by brute force."""
+    rank = "" if k is None else f" QUALIFY rank <= {k}"
+    return f", n AS (SELECT q.point_id AS qid, p.point_id AS point_id, {d2} AS d2, row_number() OVER (PARTITION BY q.point_id ORDER BY {d2}, p.point_id) AS rank FROM {q} q, {p} p WHERE {where}{rank})"
+
+
+NEAR_OUT = "SELECT qid, point_id, round(d2, 6) AS d2, CAST(rank AS INT) AS rank FROM n"
+
+
+def near_out(df: DataFrame) -> DataFrame:
+    return df.select("qid", "point_id", *r6("d2"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("j1_knn", near_sql("TRUE", 5) + NEAR_OUT)
+def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ)
+    return near_out(neighbors.knn(neighbors.as_queries(df), df, 5))
+
+
+@query("j1_knn_bounded", near_sql(f"{PAIR_D2} < 1.21", 7) + NEAR_OUT)
+def j1b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ)
+    return near_out(neighbors.knn(neighbors.as_queries(df), df, 7, max_sq_dist=1.21))
+
+
+@query("j3_radius_search", near_sql(f"{PAIR_D2} < 1.0", None) + NEAR_OUT)
+def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ)
+    return near_out(neighbors.radius_search(neighbors.as_queries(df), df, 1.0))
+
+
+@query("j3_radius_search_top", near_sql(f"{PAIR_D2} < 1.0", 5) + NEAR_OUT)
+def j3b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ)
+    return near_out(neighbors.radius_search(neighbors.as_queries(df), df, 1.0, 5))
+
+
+FEATURE_D2 = "list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda v: (CAST(v[1] AS DOUBLE) - v[2]) * (CAST(v[1] AS DOUBLE) - v[2])))"
+
+
+@query("j4_knn_feature", f", d AS (SELECT q.vec_id AS qid, p.vec_id AS point_id, {FEATURE_D2} AS d2 FROM embeddings q, embeddings p WHERE q.vec_id % 5 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, point_id) AS rank FROM d QUALIFY rank <= 3) " + NEAR_OUT)
+def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features_e(spark, sf_dir)
+    return near_out(neighbors.knn_feature(f.where("point_id % 5 = 0").select(F.col("point_id").alias("qid"), "f"), f, 3))
+
+
+XYZI = PAIR_D2 + " + (q.intensity - p.intensity * 2.0) * (q.intensity - p.intensity * 2.0)"
+
+
+@query("j5_knn_xyzi", near_sql(f"{XYZI} < 1.0", 4, XYZI) + NEAR_OUT)
+def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ, "intensity")
+    q = df.select(F.col("point_id").alias("qid"), *[F.col(c).alias(f"q{c}") for c in XYZ], F.col("intensity").alias("qi"))
+    return near_out(neighbors.knn_xyzi(q, df, 4, 2.0, 1.0, 1.0))
+
+
+def _cells(n: int) -> str:
+    d = " + ".join(f"abs({E.voxel('q.' + c, FINE)} - {E.voxel('p.' + c, FINE)})" for c in XYZ)
+    ring = " AND ".join(f"abs({E.voxel('q.' + c, FINE)} - {E.voxel('p.' + c, FINE)}) <= 1" for c in XYZ)
+    return {7: f"{d} <= 1", 27: ring}[n]
+
+
+@query("j6_knn_voxel", near_sql(_cells(7), 5) + NEAR_OUT)
+def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ)
+    return near_out(neighbors.knn_voxel(neighbors.as_queries(df), df, 5, FINE))
+
+
+@query("j7_knn_valid", near_sql(f"{_cells(27)} AND p.intensity > 0", 5) + NEAR_OUT)
+def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ, "intensity")
+    return near_out(neighbors.knn_voxel(neighbors.as_queries(df), df, 5, FINE, 27, valid=F.col("intensity") > 0))
+
+
+MAP_SQL = f", v AS (SELECT {E.voxel_key(FINE)} AS vkey, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, {', '.join(f'avg({c}) AS {c}' for c in COV)}, max(intensity) AS intensity FROM e WHERE frame_id < 5 GROUP BY 1)"
+
+
+def target_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels.gaussian_voxelmap(cloud_e(spark, sf_dir).where("frame_id < 5"), FINE)
+
+
+@query("j8_voxel_lookup", MAP_SQL + f", s AS (SELECT point_id, {E.voxel_key(FINE)} AS vkey FROM e) SELECT s.point_id, s.vkey, coalesce(v.n, 0) AS n FROM s LEFT JOIN v USING (vkey)")
+def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels.voxel_lookup(cloud_e(spark, sf_dir, "point_id", *XYZ), target_map(spark, sf_dir).select("vkey", "n"), FINE).select("point_id", "vkey", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def hits_sql(m, where: str = "frame_id >= 5") -> str:
+    return f", s AS ({moved_sql(m, 'e', ', frame_id')}), k AS (SELECT point_id, {E.voxel_key(FINE)} AS vkey FROM s WHERE {where})"
+
+
+@query("j9_overlap", MAP_SQL + hits_sql(POSE) + " SELECT count(*) AS n, count(v.vkey) AS hits, round(count(v.vkey) / count(*), 6) AS rate FROM k LEFT JOIN v USING (vkey)")
+def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = cloud_e(spark, sf_dir).where("frame_id >= 5")
+    return voxels.overlap(source, target_map(spark, sf_dir), FINE, POSE).select("n", "hits", *r6("rate"))
+
+
+MULTI_SQL = f", m AS (SELECT DISTINCT frame_id AS map_id, {E.voxel_key(FINE)} AS vkey FROM e WHERE frame_id < 3), p AS ({' UNION ALL '.join(f'SELECT {k} AS map_id, {0.3 * k!r} AS dx, {-0.2 * k!r} AS dy, {0.1 * k!r} AS dz' for k in range(3))}), s AS (SELECT map_id, point_id, x + dx AS x, y + dy AS y, z + dz AS z FROM e, p WHERE frame_id >= 5), k AS (SELECT map_id, point_id, {E.voxel_key(FINE)} AS vkey FROM s), h AS (SELECT count(DISTINCT point_id) AS hits FROM k JOIN m USING (map_id, vkey))"
+
+
+@query("j10_overlap_multi", MULTI_SQL + " SELECT count(*) AS n, any_value(hits) AS hits, round(any_value(hits) / count(*), 6) AS rate FROM e, h WHERE frame_id >= 5")
+def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir)
+    maps = voxels.with_voxel(df.where("frame_id < 3"), FINE).select(F.col("frame_id").alias("map_id"), "vkey")
+    return voxels.overlap_multi(df.where("frame_id >= 5"), maps, {k: POSES[k] for k in range(3)}, FINE).select("n", "hits", *r6("rate"))
+
+
+@query("j11_overlap_pairs", f", m AS (SELECT DISTINCT frame_id AS map_id, {E.voxel_key(FINE)} AS vkey FROM e WHERE frame_id < 3), s AS (SELECT frame_id AS source_id, {E.voxel_key(FINE)} AS vkey FROM e WHERE frame_id >= 3), c AS (SELECT source_id, count(*) AS n FROM s GROUP BY 1) SELECT source_id, map_id, count(*) AS hits, any_value(n) AS n, round(count(*) / any_value(n), 6) AS rate FROM s JOIN m USING (vkey) JOIN c USING (source_id) GROUP BY 1, 2")
+def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ)
+    maps = voxels.with_voxel(df.where("frame_id < 3"), FINE).select(F.col("frame_id").alias("map_id"), "vkey")
+    return voxels.overlap_pairs(df.where("frame_id >= 3"), maps, FINE).select("source_id", "map_id", "hits", "n", *r6("rate"))
+
+
+@query("j12_occupancy_overlap", f", o AS (SELECT DISTINCT {E.voxel_key(FINE)} AS vkey FROM e WHERE frame_id < 5), s AS (SELECT point_id, {E.voxel_key(FINE)} AS vkey FROM e WHERE frame_id >= 5) SELECT point_id, CAST(o.vkey IS NOT NULL AS INT) AS hit FROM s LEFT JOIN o USING (vkey)")
+def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ)
+    return voxels.overlap_flags(df.where("frame_id >= 5"), voxels.occupancy(df.where("frame_id < 5"), FINE), FINE).select("point_id", "hit")
+
+
+def corr_sql(k: int, distance: float) -> str:
+    """n for source frames 5.. against target frames 0..4."""
+    return f", src AS (SELECT * FROM e WHERE frame_id >= 5), tgt AS (SELECT * FROM e WHERE frame_id < 5)" + near_sql(f"{PAIR_D2} < {distance * distance!r}", k, q="src", p="tgt")
+
+
+@query("j13_corr_1nn", corr_sql(1, 1.1) + " SELECT src.point_id AS src_id, coalesce(n.point_id, -1) AS tgt_0, round(coalesce(d2, -1), 6) AS d2_0 FROM src LEFT JOIN n ON src.point_id = n.qid")
+def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ)
+    return neighbors.correspondences(df.where("frame_id >= 5"), df.where("frame_id < 5"), 1.1).select("src_id", F.coalesce("tgt_0", F.lit(-1)).alias("tgt_0"), F.round(F.coalesce("d2_0", F.lit(-1.0)), 6).alias("d2_0"))
+
+
+@query("j14_corr_3nn", corr_sql(3, 1.1) + " SELECT qid AS src_id, max(CASE WHEN rank = 1 THEN point_id END) AS tgt_0, max(CASE WHEN rank = 2 THEN point_id END) AS tgt_1, max(CASE WHEN rank = 3 THEN point_id END) AS tgt_2 FROM n GROUP BY qid HAVING count(*) = 3")
+def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ)
+    return neighbors.correspondences(df.where("frame_id >= 5"), df.where("frame_id < 5"), 1.1, 3).where("n = 3").select("src_id", "tgt_0", "tgt_1", "tgt_2")
+
+
+@query("j15_corr_reciprocal", f", d AS (SELECT q.vec_id AS a_id, p.vec_id AS b_id, {FEATURE_D2} AS d2 FROM embeddings q, embeddings p WHERE q.label < 2 AND p.label >= 2 AND p.label < 4), f AS (SELECT a_id, b_id FROM d QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) = 1), b AS (SELECT a_id, b_id FROM d QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY d2, a_id) = 1) SELECT a_id, b_id FROM f JOIN b USING (a_id, b_id)")
+def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("f"), "label")
+    return neighbors.reciprocal(emb.where("label < 2").select("point_id", "f"), emb.where("label >= 2 AND label < 4").select("point_id", "f"))
+
+
+@query("j17_nearest_stamp", ", k AS (SELECT t AS stamp FROM t WHERE point_id % 50 = 0), q AS (SELECT point_id AS qid, t AS qt FROM t WHERE point_id % 10 = 3), d AS (SELECT qid, stamp, row_number() OVER (PARTITION BY qid ORDER BY abs(stamp - qt), stamp) AS r FROM q, k WHERE abs(floor(stamp / 36000.0) - floor(qt / 36000.0)) <= 1) SELECT q.qid, round(d.stamp, 6) AS stamp FROM q LEFT JOIN (SELECT * FROM d WHERE r = 1) d USING (qid)")
+def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = cloud_t(spark, sf_dir)
+    found = neighbors.nearest_stamp(t.where("point_id % 10 = 3").select(F.col("point_id").alias("qid"), "t"), t.where("point_id % 50 = 0").select(F.col("t").alias("stamp")), 36000.0)
+    return found.select("qid", *r6("stamp"))
+
+
+# --- aggregations ---------------------------------------------------------------------------------------------------
+
+
+@query("a1_voxelgrid_sampling", f"SELECT {E.voxel_key(RES)} AS vkey, count(*) AS n, {q6(*[(c, f'avg({c})') for c in (*XYZ, 'intensity', 't', *NORMAL)])} FROM e GROUP BY 1")
+def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.voxelgrid_sampling(cloud_e(spark, sf_dir), RES).select("vkey", "n", *r6(*XYZ, "intensity", "t", *NORMAL))
+
+
+@query("a1_voxelgrid_large", f"SELECT {E.voxel_key(5.0)} AS vkey, count(*) AS n, {q6(*[(c, f'avg({c})') for c in (*XYZ, 'intensity')], digits=3)} FROM l GROUP BY 1")
+def a1_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.voxelgrid_sampling(cloud_l(spark, sf_dir), 5.0).select("vkey", "n", *r6(*XYZ, "intensity", digits=3))
+
+
+DRAW = "(((point_id + 0) % 1000003 * 2654435761) % 4294967296)"
+
+
+@query("a2_randomgrid_sampling", f", k AS (SELECT point_id, {E.voxel_key(2.0)} AS vkey FROM e), c AS (SELECT count(*) AS n, count(DISTINCT vkey) AS v FROM k), r AS (SELECT point_id, row_number() OVER (PARTITION BY vkey ORDER BY {DRAW}, point_id) AS place FROM k), o AS (SELECT point_id, row_number() OVER (ORDER BY {DRAW}, point_id) AS o, n FROM r, c WHERE place <= ceil(0.25 * n / v)) SELECT point_id FROM o WHERE o <= floor(1.2 * 0.25 * n)")
+def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.randomgrid_sampling(cloud_e(spark, sf_dir, "point_id", *XYZ), 2.0, 0.25).select("point_id")
+
+
+@query("a3_random_sampling", f", o AS (SELECT point_id, row_number() OVER (ORDER BY {DRAW}, point_id) AS o, count(*) OVER () AS n FROM t) SELECT point_id FROM o WHERE o <= floor(n * 0.3)")
+def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.random_sampling(cloud_t(spark, sf_dir), 0.3).select("point_id")
+
+
+@query("a4_gaussian_voxelmap", f"SELECT {E.voxel_key(FINE)} AS vkey, count(*) AS n, {q6(*[(f'm{c}', f'avg({c})') for c in XYZ], *[(c, f'avg({c})') for c in COV], ('intensity', 'max(intensity)'))} FROM e GROUP BY 1")
+def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels.gaussian_voxelmap(cloud_e(spark, sf_dir), FINE).select("vkey", "n", *r6("mx", "my", "mz", *COV, "intensity"))
+
+
+@query("a4_voxelmap_merge", f"SELECT {E.voxel_key(FINE)} AS vkey, count(*) AS n, {q6(*[(f'm{c}', f'avg({c})') for c in XYZ], ('intensity', 'max(intensity)'))} FROM e GROUP BY 1")
+def a4_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir)
+    a, b = (voxels.gaussian_voxelmap(df.where(c), FINE) for c in ("frame_id < 5", "frame_id >= 5"))
+    return voxels.merge_voxelmaps(a, b).select("vkey", "n", *r6("mx", "my", "mz", "intensity"))
+
+
+FRAMES_SQL = f", p AS ({' UNION ALL '.join(f'SELECT {k} AS frame_id, {0.3 * k!r} AS dx, {-0.2 * k!r} AS dy, {0.1 * k!r} AS dz' for k in range(5))})"
+
+
+@query("a6_merge_frames", FRAMES_SQL + f", w AS (SELECT x + dx AS x, y + dy AS y, z + dz AS z, c00, c11, intensity FROM e JOIN p USING (frame_id)) SELECT {E.voxel_key(FINE)} AS vkey, count(*) AS n, {q6(*[(c, f'avg({c})') for c in (*XYZ, 'c00', 'c11')], ('intensity', 'max(intensity)'))} FROM w GROUP BY 1")
+def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels.merge_frames(cloud_e(spark, sf_dir).where("frame_id < 5"), POSES, FINE).select("vkey", "n", *r6(*XYZ, "c00", "c11", "intensity"))
+
+
+@query("a6_merge_frames_large", FRAMES_SQL + f", w AS (SELECT x + dx AS x, y + dy AS y, z + dz AS z, intensity FROM l JOIN p USING (frame_id)) SELECT {E.voxel_key(5.0)} AS vkey, count(*) AS n, {q6(*[(c, f'avg({c})') for c in XYZ], ('intensity', 'max(intensity)'), digits=3)} FROM w GROUP BY 1")
+def a6_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels.merge_frames(cloud_l(spark, sf_dir), POSES, 5.0).select("vkey", "n", *r6(*XYZ, "intensity", digits=3))
+
+
+@query("a7_occupied_cells", f"SELECT count(DISTINCT {E.voxel_key(FINE)}) AS cells FROM e")
+def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels.num_occupied(cloud_e(spark, sf_dir, *XYZ), FINE)
+
+
+DIST = "sqrt(x * x + y * y + z * z)"
+
+
+@query("a8_minmax_distance", f"SELECT {q6(('min_dist', f'coalesce(min({DIST}), 0)'), ('max_dist', f'coalesce(max({DIST}), 0)'))} FROM e")
+def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.minmax_distance(rows.distances(cloud_e(spark, sf_dir, "point_id", *XYZ), 1 << 40)).select(*r6("min_dist", "max_dist"))
+
+
+@query("a9_median_distance", f", o AS (SELECT {DIST} AS d, row_number() OVER (ORDER BY {DIST}) AS r, count(*) OVER () AS n FROM e) SELECT round(d, 6) AS median_dist FROM o WHERE r = n // 2 + 1")
+def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.median_distance(rows.distances(cloud_e(spark, sf_dir, "point_id", *XYZ), 1 << 40)).select(*r6("median_dist"))
+
+
+@query("a10_remove_outliers", near_sql("TRUE", 6) + ", m AS (SELECT qid AS point_id, avg(sqrt(d2)) AS d FROM n GROUP BY 1), s AS (SELECT avg(d) + 0.8 * stddev_pop(d) AS lim FROM m) SELECT point_id, round(d, 6) AS mean_dist FROM m, s WHERE d < lim")
+def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.find_inliers(cloud_e(spark, sf_dir, "point_id", *XYZ), 6, 0.8).select("point_id", *r6("mean_dist"))
+
+
+MOMENT = {c: f"(sum({a} * {b}) - sum({a}) / count(*) * sum({b})) / count(*)" for c, (a, b) in zip(COV, stats.PAIRS, strict=True)}
+MOMENTS_SQL = near_sql("TRUE", 10) + f", m AS (SELECT qid, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, {', '.join(f'{v} AS {c}' for c, v in MOMENT.items())} FROM n JOIN e USING (point_id) GROUP BY qid)"
+
+
+@query("a11_covariance_moments", MOMENTS_SQL + f" SELECT qid, n, {q6(*[(c, c) for c in ('mx', 'my', 'mz', *COV)])} FROM m")
+def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ)
+    return features.neighbor_moments(neighbors.knn(neighbors.as_queries(df), df, 10), df).select("qid", "n", *r6("mx", "my", "mz", *COV))
+
+
+@query("a11_eigenvalues", MOMENTS_SQL + f" SELECT qid, {q6(*[(f'l{i}', x) for i, x in enumerate(E.eigenvalues(COV))], digits=5)} FROM m")
+def a11_eigen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ)
+    m = features.neighbor_moments(neighbors.knn(neighbors.as_queries(df), df, 10), df)
+    return m.select("qid", *[F.round(F.expr(x), 5).alias(f"l{i}") for i, x in enumerate(E.eigenvalues(COV))])
+
+
+@query("a11_covariances")
+def a11_eig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.covariances(cloud_e(spark, sf_dir, "point_id", *XYZ))
+
+
+@query("a12_running_statistics", f"SELECT count(value) AS n, {q6(('mean', 'avg(value)'), ('var', 'var_pop(value)'), ('std', 'stddev_pop(value)'), ('min', 'min(value)'), ('max', 'max(value)'), digits=4)} FROM events")
+def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.running_statistics(cloud_t(spark, sf_dir), "intensity").select("n", *r6("mean", "var", "std", "min", "max", digits=4))
+
+
+@query("a18_normals")
+def a18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.normals(cloud_e(spark, sf_dir, "point_id", *XYZ))
+
+
+@query("a15_pfh")
+def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.pfh(cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL), 0.8).select("point_id", "bin", *r6("value"))
+
+
+@query("a16_fpfh")
+def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.fpfh(cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL), 0.8).select("point_id", "bin", *r6("value"))
+
+
+@query("a17_pair_features")
+def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL)
+    near = neighbors.radius_search(neighbors.as_queries(df), df, 0.8).where("qid < point_id")
+    edges = near.select("qid", F.col("point_id").alias("j"))
+    return features.pair_features(features._oriented(edges, df, "qid", "j")).select("qid", "j", *r6("f_theta", "f_phi", "f_alpha", "f_dist"))
+
+
+D_AN = [f"({E.minus([f'p.{c}' for c in XYZ], [f'q.{c}' for c in XYZ])[i]} - along * q.{NORMAL[i]})" for i in range(3)]
+GRAD_AT = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+GRAD_INV = E.symmetric(E.inverse(COV))
+GRADIENT_SQL = (
+    near_sql("TRUE", 10)
+    + f", o AS (SELECT n.qid, {E.dot(E.minus([f'p.{c}' for c in XYZ], [f'q.{c}' for c in XYZ]), [f'q.{c}' for c in NORMAL])} AS along, n.point_id AS pid FROM n JOIN e p ON n.point_id = p.point_id JOIN e q ON n.qid = q.point_id WHERE n.qid <> n.point_id)"
+    + f", a AS (SELECT o.qid, {', '.join(f'{d} AS a{i}' for i, d in enumerate(D_AN))}, p.intensity - q.intensity AS b FROM o JOIN e p ON o.pid = p.point_id JOIN e q ON o.qid = q.point_id)"
+    + f", s AS (SELECT qid, {', '.join(f'sum(a{i} * a{j}) AS {c}' for c, (i, j) in zip(COV, GRAD_AT, strict=True))}, {', '.join(f'sum(a{i} * b) AS r{i}' for i in range(3))} FROM a GROUP BY qid)"
+    + f", f AS (SELECT s.qid, r0, r1, r2, {', '.join(f's.{c} + e.{NORMAL[i]} * e.{NORMAL[j]} AS {c}' for c, (i, j) in zip(COV, GRAD_AT, strict=True))} FROM s JOIN e ON s.qid = e.point_id)"
+    + f" SELECT qid AS point_id, {q6(*[(f'g{c}', ' + '.join(f'{GRAD_INV[i][j]} * r{j}' for j in range(3))) for i, c in enumerate(XYZ)], digits=5)} FROM f"
+)
+
+
+@query("a19_intensity_gradients", GRADIENT_SQL)
+def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.intensity_gradients(cloud_e(spark, sf_dir)).select("point_id", *r6("gx", "gy", "gz", digits=5))
+
+
+@query("a20_alignment_sums", corr_sql(1, 1.1) + f", m AS (SELECT p.x AS px, p.y AS py, p.z AS pz, q.x AS qx, q.y AS qy, q.z AS qz FROM n JOIN e p ON n.qid = p.point_id JOIN e q ON n.point_id = q.point_id) SELECT count(*) AS n, {q6(*[(f'sp{c}', f'sum(p{c})') for c in XYZ], *[(f'sq{c}', f'sum(q{c})') for c in XYZ], *[(f's{a}{b}', f'sum(p{a} * q{b})') for a in XYZ for b in XYZ], digits=5)} FROM m")
+def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.registration import alignment_sums
+
+    df = cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ)
+    near = neighbors.correspondences(df.where("frame_id >= 5"), df.where("frame_id < 5"), 1.1).where("n = 1")
+    side = lambda p, key: df.select(F.col("point_id").alias(key), *[F.col(c).alias(f"{p}{c}") for c in XYZ])
+    out = alignment_sums(near.join(side("p", "src_id"), "src_id").join(side("q", "tgt_0"), "tgt_0"))
+    return out.select("n", *r6(*[c for c in out.columns if c not in ("n", "sw")], digits=5))
+
+
+@query("a21_frame_distribution", f"SELECT frame_id, count(*) AS n, {q6(*[(f'm{c}', f'avg({c})') for c in XYZ], *[(c, f'avg({a} * {b}) - avg({a}) * avg({b})') for c, (a, b) in zip(COV, stats.PAIRS, strict=True)])} FROM e GROUP BY frame_id")
+def a21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.distribution(cloud_e(spark, sf_dir), "frame_id").select("frame_id", "n", *r6("mx", "my", "mz", *COV))
+
+
+@query("a21_global_distribution", f"SELECT count(*) AS n, {q6(*[(f'm{c}', f'avg({c})') for c in XYZ], *[(c, f'avg({a} * {b}) - avg({a}) * avg({b})') for c, (a, b) in zip(COV, stats.PAIRS, strict=True)])} FROM e")
+def a21_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.merge_distributions(stats.distribution(cloud_e(spark, sf_dir), "frame_id")).select("n", *r6("mx", "my", "mz", *COV))
+
+
+@query("a23_imu_means", f"SELECT {q6(*[(f'mean_{n}', f'avg({c})') for n, c in zip(('ax', 'ay', 'az', 'wx', 'wy', 'wz'), (*XYZ, *NORMAL), strict=True)])} FROM e")
+def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("ax", "ay", "az", "wx", "wy", "wz")
+    imu = cloud_e(spark, sf_dir).select(*[F.col(c).alias(n) for n, c in zip(names, (*XYZ, *NORMAL), strict=True)])
+    return stats.imu_means(imu).select(*r6(*[f"mean_{n}" for n in names]))
+
+
+@query("a24_bbox_diagonal", f"SELECT {q6(('diagonal', 'sqrt(' + ' + '.join(f'(max({c}) - min({c})) * (max({c}) - min({c}))' for c in XYZ) + ')'))} FROM e")
+def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.bbox_diagonal(cloud_e(spark, sf_dir)).select(*r6("diagonal"))
+
+
+@query("a25_rmse_nn", ", src AS (SELECT * FROM e WHERE frame_id >= 5), tgt AS (SELECT * FROM e WHERE frame_id < 5)" + near_sql("TRUE", 1, q="src", p="tgt") + " SELECT round(sqrt(avg(d2)), 6) AS rmse FROM n")
+def a25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ)
+    return stats.rmse_nn(df.where("frame_id >= 5"), df.where("frame_id < 5")).select(*r6("rmse"))
+
+
+# --- order and sets -------------------------------------------------------------------------------------------------
+
+
+@query("w2_sort_by_time", f"SELECT point_id, {q6(('t', 't'))} FROM t ORDER BY t, point_id")
+def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.sort_by_time(cloud_t(spark, sf_dir)).select("point_id", *r6("t"))
+
+
+@query("w8_stamp_gaps", ", g AS (SELECT point_id, t - lag(t) OVER (ORDER BY t) AS dt FROM t WHERE frame_id = 7), o AS (SELECT dt, row_number() OVER (ORDER BY dt) AS r, count(*) OVER () AS n FROM g WHERE dt IS NOT NULL), m AS (SELECT dt AS m FROM o WHERE r = n // 2 + 1) SELECT point_id, round(dt, 5) AS dt, coalesce(dt < 0.5 * m OR dt > 2 * m, FALSE) AS anomaly FROM g LEFT JOIN m ON TRUE")
+def w8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.stamp_gaps(cloud_t(spark, sf_dir).where("frame_id = 7"), "t", "frame_id").select("point_id", *r6("dt", digits=5), "anomaly")
+
+
+@query("w9_unique_by_source", "SELECT frame_id, min(point_id) AS point_id FROM e GROUP BY frame_id")
+def w9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.ordered_unique(cloud_e(spark, sf_dir, "frame_id", "point_id"), "frame_id", "point_id")
+
+
+@query("w10_union", f"SELECT point_id, {q6(('x', 'x'))} FROM e WHERE frame_id < 2 UNION ALL SELECT point_id, {q6(('x', 'x'))} FROM e WHERE frame_id < 4")
+def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", "frame_id", "x")
+    return rows.concatenate(df.where("frame_id < 2"), df.where("frame_id < 4")).select("point_id", *r6("x"))
+
+
+# --- factors --------------------------------------------------------------------------------------------------------
+
+
+def pair_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = cloud_e(spark, sf_dir)
+    return df.where("frame_id >= 5"), df.where("frame_id < 5")
+
+
+def residual_out(df: DataFrame) -> DataFrame:
+    return linearize.errors(df).select("n_inliers", *r6("error", digits=4))
+
+
+_ROT = E.rotated_cov([r[:3] for r in POSE])
+FACTOR_SQL = (
+    f", tgt AS (SELECT * FROM e WHERE frame_id < 5), src AS (SELECT point_id, {', '.join(f'{a} AS {c}' for a, c in zip(E.moved(POSE, XYZ), XYZ, strict=True))}, {', '.join(f'{a} AS {c}' for a, c in zip(_ROT, COV, strict=True))}, intensity FROM e WHERE frame_id >= 5)"
+    + near_sql(f"{PAIR_D2} < 1.21", 1, q="src", p="tgt")
+    + f", m AS (SELECT {', '.join(f't.{c} - s.{c} AS r{i}' for i, c in enumerate(XYZ))}, {', '.join(f's.{c} + t.{c} AS {c}' for c in COV)}, t.nx, t.ny, t.nz FROM n JOIN src s ON n.qid = s.point_id JOIN tgt t ON n.point_id = t.point_id)"
+)
+_W = E.symmetric(E.inverse(COV))
+MAHALANOBIS = " + ".join(f"r{i} * r{j} * {_W[i][j]}" for i in range(3) for j in range(3))
+
+
+@query("g5_icp_error", FACTOR_SQL + " SELECT count(*) AS n_inliers, round(sum(r0 * r0 + r1 * r1 + r2 * r2), 4) AS error FROM m")
+def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_out(factors.icp(*pair_of(spark, sf_dir), POSE, 1.1))
+
+
+@query("g5_icp_plane_error", FACTOR_SQL + " SELECT count(*) AS n_inliers, round(sum(r0 * r0 * nx * nx + r1 * r1 * ny * ny + r2 * r2 * nz * nz), 4) AS error FROM m")
+def g5_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_out(factors.icp_plane(*pair_of(spark, sf_dir), POSE, 1.1))
+
+
+@query("g6_gicp_error", FACTOR_SQL + f" SELECT count(*) AS n_inliers, round(sum({MAHALANOBIS}), 4) AS error FROM m")
+def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_out(factors.gicp(*pair_of(spark, sf_dir), POSE, 1.1))
+
+
+VG_SQL = MAP_SQL + f", src AS (SELECT point_id, {', '.join(f'{a} AS {c}' for a, c in zip(E.moved(POSE, XYZ), XYZ, strict=True))}, {', '.join(f'{a} AS {c}' for a, c in zip(_ROT, COV, strict=True))} FROM e WHERE frame_id >= 5), k AS (SELECT *, {E.voxel_key(FINE)} AS vkey FROM src), m AS (SELECT {', '.join(f'v.m{c} - k.{c} AS r{i}' for i, c in enumerate(XYZ))}, {', '.join(f'v.{c} + k.{c} AS {c}' for c in COV)} FROM k JOIN v USING (vkey))"
+
+
+@query("g7_vgicp_error", VG_SQL + f" SELECT count(*) AS n_inliers, round(sum({MAHALANOBIS}), 4) AS error FROM m")
+def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, _ = pair_of(spark, sf_dir)
+    return residual_out(factors.vgicp(source, target_map(spark, sf_dir), FINE, POSE))
+
+
+@query("g8_vgicp_batch")
+def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, target = cloud_e(spark, sf_dir), target_map(spark, sf_dir)
+    batch = factors.vgicp_batch([(k, df.where(f"frame_id = {k}"), target, POSE) for k in (5, 6, 7)], FINE)
+    return linearize.errors(batch).select("factor_id", "n_inliers", *r6("error", digits=4))
+
+
+@query("a13_linearize")
+def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, _ = pair_of(spark, sf_dir)
+    out = linearize.linearized(factors.vgicp(source, target_map(spark, sf_dir), FINE, POSE))
+    return out.select("factor_id", "n_inliers", *r6(*[c for c in out.columns if c not in ("factor_id", "n_inliers")], digits=3))
+
+
+@query("a14_inlier_fraction", VG_SQL + " SELECT round(count(*) / (SELECT count(*) FROM src), 6) AS fraction FROM m")
+def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, _ = pair_of(spark, sf_dir)
+    return linearize.inlier_fraction(factors.vgicp(source, target_map(spark, sf_dir), FINE, POSE), source.count()).select(*r6("fraction"))
+
+
+for _name, _f in {
+    "g9_loam_edge": lambda s, d: residual_out(factors.loam_edge(*pair_of(s, d), POSE, 1.1)),
+    "g9_loam_plane": lambda s, d: residual_out(factors.loam_plane(*pair_of(s, d), POSE, 1.1)),
+    "g10_color_consistency": lambda s, d: residual_out(_colored(s, d, factors.color_consistency)),
+    "g11_colored_gicp": lambda s, d: residual_out(_colored(s, d, factors.colored_gicp)),
+    "g12_ct_icp": lambda s, d: residual_out(factors.ct_icp(pair_of(s, d)[0].withColumn("t", F.col("t") / 2), pair_of(s, d)[1], _square(POSES[0]), _square(POSES[1]), 1.1)),
+    "g13_ct_gicp": lambda s, d: residual_out(factors.ct_gicp(pair_of(s, d)[0].withColumn("t", F.col("t") / 2), pair_of(s, d)[1], _square(POSES[0]), _square(POSES[1]), 1.1)),
+}.items():
+    query(_name)(_f)
+
+
+def _square(m):
+    import numpy as np
+
+    return np.vstack([np.array(m), [0, 0, 0, 1]])
+
+
+def _colored(spark: SparkSession, sf_dir: str, factor: Callable) -> DataFrame:
+    source, target = pair_of(spark, sf_dir)
+    return factor(source, target.join(features.intensity_gradients(target), "point_id"), POSE, 1.1)
+
+
+# --- segmentation and trajectories ----------------------------------------------------------------------------------
+
+REGION_SQL = (
+    near_sql(f"{PAIR_D2} < 2.25 AND q.point_id <> p.point_id AND q.nx * p.nx + q.ny * p.ny + q.nz * p.nz >= {math.cos(math.radians(60))!r}", None)
+    + ", s AS (SELECT point_id FROM e ORDER BY (x - 0.0) * (x - 0.0) + (y - 0.0) * (y - 0.0) + (z - 0.0) * (z - 0.0), point_id LIMIT 1)"
+)
+
+
+@query("g3_region_growing", REGION_SQL + ", g AS (SELECT point_id FROM s UNION SELECT n.point_id FROM g JOIN n ON n.qid = g.point_id) SELECT point_id FROM g")
+def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.segmentation import RegionParams, region_growing
+
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL)
+    return region_growing(df, (0.0, 0.0, 0.0), RegionParams(distance=1.5, angle=math.radians(60)), dilate=False)
+
+
+ORACLES["g3_region_growing"] = ORACLES["g3_region_growing"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+CUT_ANGLE = "acos(least(1.0, abs(q.nx * p.nx + q.ny * p.ny + q.nz * p.nz)))"
+
+
+@query("g4_min_cut_edges", near_sql("TRUE", 8) + f" SELECT n.qid, n.point_id, round(exp(-d2 / 4.0) * exp(-{CUT_ANGLE} * {CUT_ANGLE} / 1.0), 6) AS weight FROM n JOIN e q ON n.qid = q.point_id JOIN e p ON n.point_id = p.point_id WHERE n.qid <> n.point_id")
+def g4_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.segmentation import CutParams, cut_edges
+
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL)
+    return cut_edges(df, CutParams(k=8, distance_sigma=2.0, angle_sigma=1.0)).select("qid", "point_id", *r6("weight"))
+
+
+@query("g4_min_cut")
+def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.segmentation import CutParams, min_cut
+
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL)
+    seeds = df.where("point_id < 3").select(F.col("point_id").alias("seed_id"), *[F.col(c).alias(f"s{c}") for c in XYZ])
+    return min_cut(df, seeds, CutParams(k=8, distance_sigma=2.0, angle_sigma=1.0, background=2.0))
+
+
+def _spline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    knots = cloud_e(spark, sf_dir).where("point_id < 40").select(F.col("point_id").alias("knot"), *[F.col(c).alias(f"t{c}") for c in XYZ])
+    queries = spark.range(150).select(F.col("id").alias("qid"), (F.col("id") * 0.11).alias("t"))
+    return queries, knots
+
+
+def _spline_sql(basis: tuple[str, str, str], out: str, scale: float, base: bool) -> str:
+    from .plans.trajectory import _blend
+
+    k = ", ".join(f"k{j}.{c} AS k{j}{c}" for j in range(4) for c in XYZ)
+    joins = " ".join(f"JOIN e k{j} ON k{j}.point_id = a.i - 1 + {j}" for j in range(4))
+    return (
+        ", a AS (SELECT i AS qid, i * 0.11 AS t FROM range(0, 150) g(i)), b AS (SELECT qid, CAST(floor((t - 0.0) / 0.5) AS BIGINT) + 1 AS i, (t - 0.0) / 0.5 - floor((t - 0.0) / 0.5) AS u FROM a)"
+        + f", c AS (SELECT qid, u, {k} FROM b a {joins} WHERE a.i + 2 < 40) SELECT qid, {q6(*[(f'{out}{c}', _blend(basis, c, scale, base)) for c in XYZ], digits=5)} FROM c"
+    )
+
+
+def _register_splines() -> None:
+    from .plans import trajectory as T
+
+    for name, basis, out, scale, make in (
+        ("t1_bspline_translation", T.BETA, "p", 1.0, T.spline_translation),
+        ("t2_bspline_velocity", T.BETA1, "v", 1 / 0.5, lambda df: T.spline_velocity(df, 0.5)),
+        ("t2_bspline_acceleration", T.BETA2, "a", 1 / 0.25, lambda df: T.spline_acceleration(df, 0.5)),
+    ):
+
+        def run(spark: SparkSession, sf_dir: str, make=make, out=out) -> DataFrame:
+            queries, knots = _spline(spark, sf_dir)
+            found = T.with_knots(queries, knots, 0.0, 0.5).where("k3x IS NOT NULL")
+            return make(found).select("qid", *r6(*[f"{out}{c}" for c in XYZ], digits=5))
+
+        query(name, _spline_sql(basis, out, scale, out == "p"))(run)
+
+    @query("t3_knot_ids", f"SELECT point_id, {T.knot_id('t', 0.0, 3600.0)} AS knot, {q6(('stamp', T.knot_stamp(T.knot_id('t', 0.0, 3600.0), 0.0, 3600.0)))} FROM t")
+    def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = cloud_t(spark, sf_dir).withColumn("knot", F.expr(T.knot_id("t", 0.0, 3600.0)))
+        return df.select("point_id", "knot", F.round(F.expr(T.knot_stamp("knot", 0.0, 3600.0)), 6).alias("stamp"))
+
+
+_register_splines()
