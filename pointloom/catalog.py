@@ -681,3 +681,96 @@ def _register_splines() -> None:
 
 
 _register_splines()
+
+
+# --- incremental maps, bundles, trajectories as jobs ----------------------------------------------------------------
+
+
+@query("s1_voxel_points")
+def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.maps import VoxelPoints
+
+    df, target = cloud_e(spark, sf_dir, "point_id", *XYZ), VoxelPoints(spark, FINE)
+    for k in range(3):
+        target.insert(df.where(F.col("point_id") % 3 == k))
+    return target.state.select("vkey", "point_id", *r6(*XYZ))
+
+
+@query("s2_covariance_map")
+def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.maps import CovarianceMap, VoxelPoints
+
+    df, target = cloud_e(spark, sf_dir, "point_id", *XYZ), CovarianceMap(VoxelPoints(spark, FINE))
+    for k in range(2):
+        target.insert(df.where(F.col("point_id") % 2 == k))
+    return target.valid().select("point_id", "birth", *r6(*COV))
+
+
+@query("s3_streamed_voxelmap", f"SELECT {E.voxel_key(FINE)} AS vkey, count(*) AS n, {q6(*[(f'm{c}', f'avg({c})') for c in XYZ], ('intensity', 'max(intensity)'))} FROM e GROUP BY 1")
+def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.maps import StreamedVoxelMap
+
+    df, target = cloud_e(spark, sf_dir), StreamedVoxelMap(FINE)
+    for k in range(3):
+        target.insert(df.where(F.col("point_id") % 3 == k))
+    return target.state.select("vkey", "n", *r6("mx", "my", "mz", "intensity"))
+
+
+_EV = E.eigenvalues(COV)
+POOLED_SQL = f", p AS (SELECT {', '.join(f'avg({a} * {b}) - avg({a}) * avg({b}) AS {c}' for c, (a, b) in zip(COV, stats.PAIRS, strict=True))} FROM e)"
+
+
+@query("g14_plane_evm", POOLED_SQL + f" SELECT round({_EV[0]}, 5) AS error FROM p")
+def g14_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.bundle import plane_evm
+
+    return plane_evm(cloud_e(spark, sf_dir)).select(*r6("error", digits=5))
+
+
+@query("g14_edge_evm", POOLED_SQL + f" SELECT round({_EV[0]} + {_EV[1]}, 5) AS error FROM p")
+def g14_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.bundle import edge_evm
+
+    return edge_evm(cloud_e(spark, sf_dir)).select(*r6("error", digits=5))
+
+
+@query("g16_imu_reintegration")
+def g16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.bundle import preintegrate_segments
+
+    names = ("ax", "ay", "az", "wx", "wy", "wz")
+    imu = cloud_e(spark, sf_dir).select(F.col("frame_id").alias("segment"), F.col("point_id").alias("seq"), *[F.col(c).alias(n) for n, c in zip(names, (*XYZ, *NORMAL), strict=True)], F.lit(0.01).alias("dt"))
+    return preintegrate_segments(imu)
+
+
+@query("w7_time_table")
+def w7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.time_table(cloud_t(spark, sf_dir).select("frame_id", "point_id", "t"), 3600.0)
+
+
+@query("t5_pose_interpolator")
+def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    from .functions import lie
+    from .plans.trajectory import arange_timestamps, fit_knots
+
+    rows_ = cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL).where("point_id < 40").orderBy("point_id").collect()  # a trajectory of 40 poses
+    poses = [lie.pose(lie.so3_exp(0.3 * np.array([r.nx, r.ny, r.nz])), np.array([r.x, r.y, r.z])) for r in rows_]
+    traj = fit_knots(np.arange(len(poses)) * 0.5, poses, 0.5)
+    return traj.evaluate(arange_timestamps(spark, 0.5, 19.0, 0.1).withColumnRenamed("stamp", "ts"))
+
+
+@query("o1_vgicp_alignment")
+def o1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    from .plans.optimize import Graph, LMParams, ScanFactor, levenberg_marquardt
+
+    df = cloud_e(spark, sf_dir).cache()
+    target = voxels.gaussian_voxelmap(df, FINE).cache()
+    start = np.eye(4)
+    start[:3, 3] = 0.05, -0.05, 0.03
+    graph = Graph([ScanFactor(lambda m, i: factors.vgicp(df, target, FINE, m, i), 0)])
+    values, status = levenberg_marquardt(graph, {0: start}, LMParams(max_iterations=5))
+    return spark.createDataFrame([(int(status.iterations), float(status.error), *map(float, values[0][:3, 3]))], "iterations int, error double, tx double, ty double, tz double")
