@@ -53,7 +53,7 @@ def components(edges: DataFrame, last_edges: int = LAST_EDGES) -> DataFrame:
     of the nodes; the maps are then composed backwards. Self-links, repeats and nulls are allowed:
     links with a null end are ignored, a self-link alone gives a node of its own.
     """
-    edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
+    edges = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null"), "links")
     own = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     now = materialize(edges.where("a <> b").mapInPandas(_forest, "a long, b long"), "edges")
     maps: list[DataFrame] = []
