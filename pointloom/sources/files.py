@@ -104,16 +104,16 @@ def save_frame(df: DataFrame, path: str, compact: bool = False) -> None:
                 f.write(b"".join(map(bytes, rows[name])))
 
 
-VOXEL = struct.Struct("<3i i 3f 6f f")
+VOXEL = "<3i i 3f 6f f"
 
 
 def save_voxelmap(voxels: DataFrame, path: str, resolution: float) -> None:
     """A text header and a packed record for each voxel, for exchange; the native form is the Parquet table."""
     rows = voxels.collect()
     with open(path, "wb") as f:
-        f.write(f"compact 1\nresolution {resolution!r}\nlru_count 0\nlru_cycle 10\nlru_thresh 10\nvoxel_bytes {VOXEL.size}\nnum_voxels {len(rows)}\n".encode())
+        f.write(f"compact 1\nresolution {resolution!r}\nlru_count 0\nlru_cycle 10\nlru_thresh 10\nvoxel_bytes {struct.calcsize(VOXEL)}\nnum_voxels {len(rows)}\n".encode())
         for r in rows:
-            f.write(VOXEL.pack(r.vx, r.vy, r.vz, r.n, r.mx, r.my, r.mz, *[r[c] for c in COV], r.intensity))
+            f.write(struct.pack(VOXEL, r.vx, r.vy, r.vz, r.n, r.mx, r.my, r.mz, *[r[c] for c in COV], r.intensity))
 
 
 def load_voxelmap(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
@@ -124,7 +124,7 @@ def load_voxelmap(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
         for pdf in batches:
             for content in pdf.content:
                 head = re.match(rb"(?:[a-z_]+ [^\n]*\n)+?num_voxels \d+\n", content)[0]
-                yield pd.DataFrame(list(VOXEL.iter_unpack(content[len(head) :])), columns=names)
+                yield pd.DataFrame(list(struct.iter_unpack(VOXEL, content[len(head) :])), columns=names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     head = files.select(F.substring("content", 1, 400).cast("string").alias("h")).head().h
