@@ -774,3 +774,145 @@ def o1(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph([ScanFactor(lambda m, i: factors.vgicp(df, target, FINE, m, i), 0)])
     values, status = levenberg_marquardt(graph, {0: start}, LMParams(max_iterations=5))
     return spark.createDataFrame([(int(status.iterations), float(status.error), *map(float, values[0][:3, 3]))], "iterations int, error double, tx double, ty double, tz double")
+
+
+def _rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame([tuple(float(x) if not isinstance(x, (int, str)) else x for x in v) for v in values], schema)
+
+
+def _poses(spark: SparkSession, sf_dir: str, n: int = 40) -> list:
+    """n poses from the cloud's first points."""
+    import numpy as np
+
+    from .functions import lie
+
+    found = cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL).where(F.col("point_id") < n).orderBy("point_id").collect()
+    return [lie.pose(lie.so3_exp(0.3 * np.array([r.nx, r.ny, r.nz])), np.array([r.x, r.y, r.z])) for r in found]
+
+
+@query("p16_se3_log_exp")
+def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import lie
+
+    poses = _poses(spark, sf_dir)
+    return _rows(spark, [(i, *lie.se3_log(lie.between(a, b))) for i, (a, b) in enumerate(zip(poses, poses[1:], strict=False))], "i int, rx double, ry double, rz double, tx double, ty double, tz double")
+
+
+@query("p17_interpolate_pose")
+def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import lie
+
+    a, b = _poses(spark, sf_dir, 2)
+    return _rows(spark, [(t / 10, *lie.interpolate(a, b, t / 10)[:3, 3]) for t in range(11)], "t double, tx double, ty double, tz double")
+
+
+@query("p21_voxel_points", f"SELECT {E.voxel_key(FINE)} AS vkey, point_id, {q6(*[(c, c) for c in XYZ])} FROM e")
+def p21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels.with_voxel(cloud_e(spark, sf_dir, "point_id", *XYZ), FINE).select("vkey", "point_id", *r6(*XYZ))
+
+
+@query("w1_sort", f"SELECT point_id, {q6(('intensity', 'intensity'))} FROM e ORDER BY intensity DESC, point_id")
+def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud_e(spark, sf_dir, "point_id", "intensity").orderBy(F.desc("intensity"), "point_id").select("point_id", *r6("intensity"))
+
+
+@query("w11_dilation", f"SELECT DISTINCT p.point_id FROM e q, e p WHERE q.point_id < 20 AND {PAIR_D2} < 0.81")
+def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.segmentation import RegionParams, region_dilation
+
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ)
+    return region_dilation(df, df.where("point_id < 20").select("point_id"), RegionParams(dilation=0.9))
+
+
+@query("a22_eigen_derivatives")
+def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    from .plans.bundle import eigen_derivatives
+
+    points = np.array(cloud_e(spark, sf_dir, "point_id", *XYZ).where("point_id < 16").orderBy("point_id").select(*XYZ).collect())
+    value, grad, _ = eigen_derivatives(points, 0)
+    return _rows(spark, [(i, value, g) for i, g in enumerate(grad)], "i int, value double, gradient double")
+
+
+@query("a26_system_blocks")
+def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, target = cloud_e(spark, sf_dir), target_map(spark, sf_dir)
+    linear = linearize.linearized(factors.vgicp_batch([(k, df.where(f"frame_id = {k}"), target, POSE) for k in (5, 6, 7)], FINE))
+    keys = spark.createDataFrame([(5, None, 0), (6, 0, 1), (7, 1, 2)], "factor_id long, a long, b long")
+    return linearize.system_blocks(linear, keys).select("i", "j", "row", "col", *r6("value", digits=3))
+
+
+def _registration(spark: SparkSession, sf_dir: str):
+    """A cloud and the same one moved; features are the embeddings."""
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ)
+    f = features_e(spark, sf_dir)
+    return rows.transform(df, POSE), df, f, f
+
+
+@query("g1_ransac")
+def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.registration import RansacParams, ransac
+
+    found = ransac(*_registration(spark, sf_dir), RansacParams(iterations=64, chunk=64, resolution=RES))
+    return _rows(spark, [(found.inlier_rate, *found.motion[:3].ravel())], "inlier_rate double, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(4)))
+
+
+@query("g2_gnc")
+def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.registration import gnc
+
+    found = gnc(*_registration(spark, sf_dir))
+    return _rows(spark, [(found.inlier_rate, *found.motion[:3].ravel())], "inlier_rate double, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(4)))
+
+
+@query("g15_lsq_bundle")
+def g15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    from .plans.bundle import lsq_error
+
+    parts = stats.distribution(cloud_e(spark, sf_dir), "frame_id").orderBy("frame_id").collect()
+    cov = [np.array([[r.c00, r.c01, r.c02], [r.c01, r.c11, r.c12], [r.c02, r.c12, r.c22]]) for r in parts]
+    return _rows(spark, [(lsq_error([(r.n, np.array([r.mx, r.my, r.mz]), c) for r, c in zip(parts, cov, strict=True)], [np.eye(4)] * len(parts)),)], "error double")
+
+
+@query("g17_small_factors")
+def g17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    from .plans import bundle
+
+    a, b, c, d = _poses(spark, sf_dir, 4)
+    values = {
+        "interpolation": bundle.interpolation_residual(a, b, c, 0.5), "calibration": bundle.calibration_residual(a, b, c, d),
+        "rotate_vector": bundle.rotate_vector_residual(a[:3, :3], np.array([0, 0, 1.0]), b[:3, 2]), "similarity": bundle.similarity_residual(1.1, a, b, c),
+    }
+    return _rows(spark, [(k, i, x) for k, v in values.items() for i, x in enumerate(v)], "factor string, i int, residual double")
+
+
+def _chain(spark: SparkSession, sf_dir: str, n: int = 12):
+    from .functions import lie
+    from .plans.optimize import BetweenFactor, PriorFactor
+
+    poses = _poses(spark, sf_dir, n)
+    return poses, [PriorFactor(0, poses[0]), *[BetweenFactor(k, k + 1, lie.between(a, b)) for k, (a, b) in enumerate(zip(poses, poses[1:], strict=False))]]
+
+
+def _values(spark: SparkSession, values: dict) -> DataFrame:
+    return _rows(spark, [(int(k), *m[:3, 3]) for k, m in sorted(values.items())], "key long, tx double, ty double, tz double")
+
+
+for _name in ("o2_incremental_smoother", "o3_dogleg", "o4_fixed_lag_smoother", "o5_fixed_lag_with_fallback"):
+
+    @query(_name)
+    def _smooth(spark: SparkSession, sf_dir: str, name: str = _name) -> DataFrame:
+        from .plans.optimize import FixedLagSmoother, Graph, IncrementalSmoother, dogleg
+
+        poses, chain = _chain(spark, sf_dir)
+        if name == "o3_dogleg":
+            return _values(spark, dogleg(Graph(chain), dict.fromkeys(range(len(poses)), poses[0]))[0])
+        smoother = IncrementalSmoother() if name.startswith("o2") else FixedLagSmoother(4.5, fallback=name.startswith("o5"))
+        for k, factor in enumerate(chain):
+            out = smoother.update([factor], {k: poses[max(k - 1, 0)]}, *([] if name.startswith("o2") else [{k: float(k)}]))
+        return _values(spark, out)

@@ -69,3 +69,19 @@ def collect(rows: DataFrame) -> dict[int, Linear]:
 
 def inlier_fraction(rows: DataFrame, n_source: int) -> DataFrame:
     return rows.groupBy("factor_id").agg((F.count(F.lit(1)) / n_source).alias("fraction"))
+
+
+def system_blocks(linear: DataFrame, keys: DataFrame) -> DataFrame:
+    """(i, j, row, col, value): the blocks of all factors added up by key, as coordinates of a sparse system.
+
+    linear: linearized(); keys(factor_id, sign_a, a, b): a factor on the motion between poses a and b has +H on both
+    diagonal blocks and -H between them; one on b alone has a null a.
+    """
+    entries = [F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.col(f"h{min(r, c)}{max(r, c)}").alias("value")) for r in range(6) for c in range(6)]
+    cells = linear.join(keys, "factor_id").select("a", "b", F.explode(F.array(*entries)).alias("e"))
+    both = F.filter(F.array(
+        F.struct(F.col("b").alias("i"), F.col("b").alias("j"), F.col("e.value").alias("value")), F.struct(F.col("a").alias("i"), F.col("a").alias("j"), F.col("e.value").alias("value")),
+        F.struct(F.col("a").alias("i"), F.col("b").alias("j"), (-F.col("e.value")).alias("value")), F.struct(F.col("b").alias("i"), F.col("a").alias("j"), (-F.col("e.value")).alias("value")),
+    ), lambda x: x["i"].isNotNull() & x["j"].isNotNull())
+    spread = cells.select(F.col("e.row").alias("row"), F.col("e.col").alias("col"), F.explode(both).alias("s"))
+    return spread.groupBy(F.col("s.i").alias("i"), F.col("s.j").alias("j"), "row", "col").agg(F.sum("s.value").alias("value"))
