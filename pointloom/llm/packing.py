@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -14,7 +16,9 @@ from .common import documents, require
 MAX_TOKENS, END_ID = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 1_500_000
+#: A part that ends in ASCII punctuation after a letter or digit: the splitter always cuts there.
+TAIL = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)", re.S)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,10 +43,20 @@ class WordIds(dict):
     def __missing__(self, part: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        self[part] = got = b"".join(i.to_bytes(4, "little") for i in ids)
+        if "<|" in part:  # may hold a special token
+            got = self.encode(part)
+        elif m := TAIL.fullmatch(part):
+            return self[m[1]] + self[m[2]]
+        elif part.isascii() and part != (low := part.lower()):  # the normaliser lower-cases
+            return self[low]
+        else:
+            got = self.encode(part)
+        self[part] = got
         return got
 
+    def encode(self, part: str) -> bytes:
+        return struct.pack(f"<{len(ids := self.tokenizer.encode(part, add_special_tokens=False).ids)}I", *ids)
+
     def text(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
