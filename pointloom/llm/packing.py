@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +16,9 @@ from .common import documents, require
 MAX_TOKENS, END_ID = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 1_500_000
-#: A part that ends in ASCII punctuation after a letter or digit: the splitter always cuts there.
-TAIL = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)", re.S)
+REMEMBERED = 1_400_000
+#: So many parts that end in punctuation are remembered too, besides what they are made of.
+REMEMBERED_TAILS = 500_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,14 +39,20 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.tails = 0
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED + REMEMBERED_TAILS:
             self.clear()
+            self.tails = 0
         if "<|" in part:  # may hold a special token
             got = self.encode(part)
-        elif m := TAIL.fullmatch(part):
-            return self[m[1]] + self[m[2]]
+        elif (base := part.rstrip(punctuation)) != part and base and base[-1].isalnum():
+            # ASCII punctuation after a letter or digit: the splitter always cuts there
+            got = self[base] + self[part[len(base) :]]
+            if self.tails >= REMEMBERED_TAILS:
+                return got
+            self.tails += 1
         elif part.isascii() and part != (low := part.lower()):  # the normaliser lower-cases
             return self[low]
         else:
