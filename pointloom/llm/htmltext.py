@@ -34,9 +34,11 @@ NOISE_TAGS = frozenset("head nav footer aside form button menu dialog".split())
 MAIN_TAGS = frozenset(("article", "main"))
 NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|comments?|replies|respond|disqus|"
-    r"cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|complementary|contentinfo|masthead|header|topbar)(?:$|[\s_-])",
+    r"cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+#: These are noise only outside the article, which may have a head of its own.
+HEAD_NAMES = re.compile(r"(?:^|[\s_-])(?:masthead|header|topbar)(?:$|[\s_-])", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article-body|articlebody|post-content|entry-content|main)(?:$|[\s_-])", re.I)
 
 
@@ -98,7 +100,9 @@ def blocks(page: str) -> tuple[list[Block], dict[str, list[str]]]:
         style = tag + "".join(f".{v}" for kind, v in names if kind != "id")
         _, path, noise, main = stack[-1]
         main = main or tag in MAIN_TAGS or bool(said and MAIN_NAMES.search(said))
-        noise = noise or tag in NOISE_TAGS or (tag == "header" and not main) or bool(said and tag not in ("html", "body") and NOISE_NAMES.search(said) and not (tag in MAIN_TAGS))
+        noise = noise or tag in NOISE_TAGS or (tag == "header" and not main)
+        if said and tag not in ("html", "body", *MAIN_TAGS):
+            noise = noise or bool(NOISE_NAMES.search(said)) or (not main and bool(HEAD_NAMES.search(said)))
         children.setdefault(path, []).append(style)
         stack.append((tag, f"{path}/{style}", noise, main))
     text(page[last:])

@@ -178,6 +178,7 @@ PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</s
 
 def test_main_text():
     assert htmltext.main_text(PAGE) == "Big & small One twothree four Fünf six"
+    assert htmltext.main_text("<div class='page-header'>no</div><article><div class='post-header'><h1>Head</h1></div>text</article>") == "Head text"
     assert htmltext.main_text(None) == htmltext.main_text("") == ""
     assert htmltext.main_text("plain <i>text") == "plain text"
     assert htmltext.main_text("<p>a > b" + " x" * 50_000).startswith("a > b x x")
