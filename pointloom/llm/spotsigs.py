@@ -56,8 +56,10 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).when(a == b, 1.0).otherwise(both / (n + m - both))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows(key long, tie long, *columns) with `next`: the struct of the columns of the next row by key and tie, after the last the first.
+def with_next(rows: DataFrame, columns: list[str], derive: dict[str, Column] | None = None) -> DataFrame:
+    """rows(key long, tie long, *columns) with next_*: the columns of the next row by key and tie, after the last the first.
+
+    Columns to derive are led too; they are made once a row has found its group, so only once each.
 
     Rows are dealt by 2**GROUP_BITS consecutive keys, with the first row of the following group beside
     them. Which group follows is found among groups of groups, so one task sees a row per
@@ -72,9 +74,10 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     follow = groups.withColumn("inside", F.lead("first").over(W.partitionBy("super").orderBy("group"))).join(supers, "super")
     follow = materialize(follow.select(F.col("group").alias("for"), F.coalesce("inside", "after").alias("at")), "follow")
     edge = rows.join(follow, F.col("key") == F.col("at")).select(F.col("for").alias("group"), "key", "tie", *columns, F.lit(1).alias("edge"))
-    both = rows.select("group", "key", "tie", *columns, F.lit(0).alias("edge")).unionByName(edge)
+    both = rows.select("group", "key", "tie", *columns, F.lit(0).alias("edge")).unionByName(edge).withColumns(derive or {})
     order = W.partitionBy("group").orderBy("edge", "key", "tie")
-    return both.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("edge = 0")
+    # a lead of each column: a struct of them would be a second copy in the shuffle
+    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in (*columns, *(derive or {}))}).where("edge = 0")
 
 
 def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,11 +92,11 @@ def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     t = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t"))
     rows = rows.select(F.coalesce("id", F.lit(-(1 << 63)).cast("long")).alias("key"), F.xxhash64("t").alias("tie"), "id", "t")
-    paired = with_next(rows.withColumn("sigs", signatures(F.col("t"))), ["id", "t", "sigs"])
+    paired = with_next(rows, ["id", "t"], {"sigs": signatures(F.col("t"))})
     n = F.length("t")
     part = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("t"), F.lit(1), n - part), F.substring(F.col("next.t"), F.lit(1), part))
-    wide = paired.select("id", n.cast("long").alias("n_chars"), "sigs", F.col("next.sigs").alias("next_sigs"), edited.alias("edited"))
+    edited = F.concat(F.substring(F.col("t"), F.lit(1), n - part), F.substring(F.col("next_t"), F.lit(1), part))
+    wide = paired.select("id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
     wide = wide.withColumn("edited_sigs", signatures(F.col("edited")))
     return wide.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sigs")).alias("fingerprint"),

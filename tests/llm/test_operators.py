@@ -333,7 +333,7 @@ def test_spotsigs(docs_of):
 def test_next_row_over_sparse_keys(spark):
     keys = sorted({random.Random(14).randrange(-(1 << 40), 1 << 40) for _ in range(50)} | set(range(1000)))
     rows = spark.createDataFrame([(k, 0, str(k)) for k in keys], "key long, tie long, v string")
-    got = {r.v: r.next.v for r in spotsigs.with_next(rows, ["v"]).collect()}
+    got = {r.v: r.next_v for r in spotsigs.with_next(rows, ["v"]).collect()}
     assert got == {str(k): str(keys[(i + 1) % len(keys)]) for i, k in enumerate(keys)}
 
 
