@@ -274,6 +274,16 @@ def test_near_duplicates(docs_of):
     assert simhash.drop_near_duplicates(docs_of(rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_with_a_passage_more_or_less(docs_of):
+    texts = [prose(900 + i, 120) for i in range(40)]
+    more = [t + " " + prose(2000 + i, 20 + i % 8) for i, t in enumerate(texts[:20])]
+    less = [" ".join(t.split()[: 98 + i % 8]) for i, t in enumerate(texts[20:])]
+    for a, b in zip(texts, more + less, strict=True):
+        assert verify.jaccard(simhash.shingle_set(a), simhash.shingle_set(b), 0.8)
+    left = {r.doc_id for r in simhash.drop_near_duplicates(docs_of(texts + more + less)).collect()}
+    assert left == set(range(40))
+
+
 # --- 7
 
 
