@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -115,11 +114,12 @@ def blocks(page: str) -> tuple[list[Block], dict[str, list[str]]]:
 
 
 def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article of a page. Where the page marks one (article, main), its blocks; else the blocks whose nodes are not low."""
+    """The article of a page. Where the page marks one (article, main), its blocks; else the blocks whose nodes are not low, or all if all are."""
     found, _ = blocks(page or "")
     if any(b.main for b in found):
         return " ".join(b.text[0] for b in found if b.main)
-    return " ".join(b.text[0] for b in found if not low or _hash(b.path) not in low)
+    left = [b for b in found if not low or _hash(b.path) not in low]
+    return " ".join(b.text[0] for b in left or found)
 
 
 def _hash(text: str) -> int:
@@ -133,27 +133,35 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     Presentation: the entropy of the different child sequences of the block's parent; content: one less the mean
     entropy of the block's texts over the pages, so that what every page repeats has none. Logarithms are to
-    the number of pages; nodes of one page have importance 1. Counts are folded in each task first.
+    the number of pages; nodes of one page have importance 1. Equal pages of a host count as one.
     """
+    kinds = ("node", "text", "children")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found, children = blocks(page.as_py() or "")
-                mine = set()
-                for b in found:
-                    node = _hash(b.path)
-                    mine.add((host, node, 0, 0))
-                    mine.add((host, node, 1, _hash(b.text[0])))
-                    mine.add((host, node, 2, _hash(" ".join(children.get(b.parent, [])))))
-                seen.update(mine)
-            rows = list(seen)
-            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([seen[r] for r in rows], pa.int64())], ["host", "node", "kind", "feature", "n"])
-
-    counts = pages.select("host", "html").mapInArrow(run, "host long, node long, kind long, feature long, n long")
-    counts = counts.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+            out: list[tuple] = []
+            seen = set()
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                copy = _hash(page or "")
+                if (host, copy) in seen:
+                    continue
+                seen.add((host, copy))
+                found, children = blocks(page or "")
+                mine = sorted({(_hash(b.path), _hash(b.text[0]), _hash(" ".join(children.get(b.parent, [])))) for b in found})
+                out.append((host, copy, *([m[i] for m in mine] for i in range(3))))
+            types = [pa.int64()] * 2 + [pa.list_(pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], types[i]) for i in range(5)], ["host", "copy", *kinds])
+
+    made = pages.select("host", "html").mapInArrow(run, "host long, copy long, " + ", ".join(f"{k} array<long>" for k in kinds))
+    once = made.groupBy("host", "copy").agg(F.first(F.struct(*kinds)).alias("b")).select("host", F.arrays_zip(*[F.col(f"b.{k}").alias(k) for k in kinds]).alias("b"))
+    # of each page, a node counts once, and so does each of its texts and of its child sequences
+    zero = F.lit(0).cast("long")
+    rows = F.array_distinct(F.flatten(F.transform("b", lambda x: F.array(
+        F.struct(x["node"].alias("node"), F.lit(0).alias("kind"), zero.alias("feature")),
+        F.struct(x["node"].alias("node"), F.lit(1).alias("kind"), x["text"].alias("feature")),
+        F.struct(x["node"].alias("node"), F.lit(2).alias("kind"), x["children"].alias("feature")),
+    ))))
+    counts = once.select("host", F.explode(rows).alias("r")).groupBy("host", "r.node", "r.kind", "r.feature").agg(F.count(F.lit(1)).alias("n"))
     n, kind = F.col("n"), F.col("kind")
     nodes = counts.groupBy("host", "node").agg(
         F.sum(F.when(kind == 0, n)).alias("pages"), F.avg(F.when(kind == 1, F.ln(n))).alias("repeat"), F.sum(F.when(kind == 2, n * F.ln(n))).alias("nlogn")
@@ -169,8 +177,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Branches that say they are menus, headers, footers, sidebars, notices, adverts, forms or comments go, and so do
     scripts, styles and markup. If a page marks its article, that is its text; else it is every block whose node in
-    its host's style tree is not of low importance. Null html is empty; pages of a null url are one host. Rows with
-    repeated or null ids are extracted each on its own (and count as pages); an empty table gives no rows; other columns are ignored.
+    its host's style tree is not of low importance, or all blocks if all are. Null html is empty; pages of a null url are one host. Rows with
+    repeated or null ids are extracted each on its own; for the tree, equal pages of a host count as one; an empty table gives no rows; other columns are ignored.
     """
     require(pages, id_col, url_col, html_col)
     host, _ = host_path(F.col(url_col))

@@ -195,6 +195,15 @@ def test_style_tree_drops_what_a_site_repeats(spark, limit):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_keeps_copied_pages(spark):
+    page = lambda k: f"<body><div class=text>{prose(k, 30)}</div></body>"
+    rows = [(i, f"http://copies.org/?q={i}", page(0)) for i in range(4)] + [(10 + i, f"http://two.org/?q={i}", page(i % 2)) for i in range(20)]
+    rows += [(40 + i, f"http://near.org/{i}", f"<!-- {i} -->{page(2)}") for i in range(4)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == prose(0, 30) for i in range(4)) and all(got[10 + i] == prose(i % 2, 30) for i in range(20))
+    assert all(got[40 + i] == prose(2, 30) for i in range(4))
+
+
 # --- 5
 
 ALPHABETS = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "der", "ein", "ung"], "cc": ["eau", "oi", "que", "ent"]}
