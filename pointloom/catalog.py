@@ -504,6 +504,12 @@ def w8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.stamp_gaps(cloud_t(spark, sf_dir).where("frame_id = 7"), "t", "frame_id").select("point_id", *r6("dt", digits=5), "anomaly")
 
 
+@query("w8_stamp_gaps_all")
+def w8_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame; tests hold it against brute force."""
+    return stats.stamp_gaps(cloud_t(spark, sf_dir), "t", "frame_id").select("point_id", "frame_id", *r6("dt", digits=5), "anomaly")
+
+
 @query("w9_unique_by_source", "SELECT frame_id, min(point_id) AS point_id FROM e GROUP BY frame_id")
 def w9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.ordered_unique(cloud_e(spark, sf_dir, "frame_id", "point_id"), "frame_id", "point_id")
