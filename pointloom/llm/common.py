@@ -16,9 +16,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A folder of our own only where that is unset and all run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -10,7 +10,7 @@ from .mixing import OP7_SQL, op7_mixing
 from .packing import op10_packing
 from .simhash import op6_simhash
 from .spotsigs import op8_spotsigs
-from .substrings import op9_substrings
+from .substrings import OP9_SQL, op9_substrings
 from .urlfilter import OP3_SQL, op3_urlfilter
 
 QUERIES = {
@@ -29,4 +29,5 @@ ORACLES = {
     "op1_exact_dedup": OP1_SQL,
     "op3_urlfilter": OP3_SQL,
     "op7_mixing": OP7_SQL,
+    "op9_substrings": OP9_SQL,
 }

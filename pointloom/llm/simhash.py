@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitmap import Bitmap
+from .bitmap import thin
 from .common import documents, materialize, require
 from .components import components
 from .verify import crowded, similar_links
@@ -151,13 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     items = materialize(made.groupBy("item").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(b).alias(b) for b in bands]), "items")
     members = crowded(items.select(F.explode(F.array(*bands)).alias("bucket"), "item"))
     wanted = materialize(members.select("item").distinct(), "wanted")
-    maybe = docs.sparkSession.sparkContext.broadcast(Bitmap.of(wanted, "item"))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(maybe.value.has(batch.column(0).to_numpy())))
-
-    texts = rows.select("item", F.col("t").alias("text")).mapInArrow(keep, "item long, text string").join(wanted, "item", "left_semi")
+    texts = thin(rows.select("item", F.col("t").alias("text")), wanted, "item").join(wanted, "item", "left_semi")
     texts = materialize(texts.groupBy("item", "text").agg(F.count(F.lit(1)).alias("n")).drop("n"), "texts")
     roots = materialize(components(similar_links(members, texts, lambda t: shingle_set(t, words), threshold)), "groups")
     groups = roots.join(items.select("item", "first", "n"), roots.node == items.item).groupBy("root").agg(F.min("first").alias("keep_id"), F.sum("n").alias("size"))
