@@ -15,7 +15,8 @@ from .common import documents, require
 
 MAX_TOKENS, END_ID = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a Python worker remembers; beyond it the memory starts afresh.
+#: Words whose ids a Python worker remembers, of so many characters at most (300 bytes a word then); beyond it the memory starts afresh.
+MOST_CHARS = 40
 REMEMBERED = 1_400_000
 #: So many parts that end in punctuation are remembered too, besides what they are made of.
 REMEMBERED_TAILS = 500_000
@@ -47,8 +48,8 @@ class WordIds(dict):
             self.tails = 0
         if "<|" in part:  # may hold a special token
             got = self.encode(part)
-        elif (base := part.rstrip(punctuation)) != part and base and base[-1].isalnum():
-            # ASCII punctuation after a letter or digit: the splitter always cuts there
+        elif (base := part.rstrip(punctuation)) != part and base and base[-1].isascii() and base[-1].isalnum():
+            # ASCII punctuation after an ASCII letter or digit, which the normaliser leaves one: the splitter always cuts there
             got = self[base] + self[part[len(base) :]]
             if self.tails >= REMEMBERED_TAILS:
                 return got
@@ -57,7 +58,8 @@ class WordIds(dict):
             return self[low]
         else:
             got = self.encode(part)
-        self[part] = got
+        if len(part) <= MOST_CHARS:
+            self[part] = got
         return got
 
     def encode(self, part: str) -> bytes:
