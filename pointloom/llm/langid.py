@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 6
 SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 800
 EPOCHS, BATCH, SEED = 8, 128, 7
 UNKNOWN = "und"
-HAS_LETTER = re.compile(r"[^\W\d_]")
+HAS_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
