@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from string import punctuation
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _stays(last: str) -> bool:
+    """Whether a letter or digit ends in one after normalisation; a dotted capital I, say, becomes two characters, of which the second is a mark."""
+    return last.isalnum() and (last.isascii() or normalize("NFC", last).lower()[-1].isalnum())
+
+
 class WordIds(dict):
     """The ids of a text's space-free parts, as little-endian unsigned 32-bit integers.
 
@@ -48,8 +54,8 @@ class WordIds(dict):
             self.tails = 0
         if "<|" in part:  # may hold a special token
             got = self.encode(part)
-        elif (base := part.rstrip(punctuation)) != part and base and base[-1].isascii() and base[-1].isalnum():
-            # ASCII punctuation after an ASCII letter or digit, which the normaliser leaves one: the splitter always cuts there
+        elif (base := part.rstrip(punctuation)) != part and base and _stays(base[-1]):
+            # ASCII punctuation after what the normaliser leaves a letter or digit: the splitter always cuts there
             got = self[base] + self[part[len(base) :]]
             if self.tails >= REMEMBERED_TAILS:
                 return got
