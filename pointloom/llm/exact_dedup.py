@@ -2,8 +2,9 @@
 
 Index layout: a directory (one row per cell of hash prefixes) points to buckets. A bucket whose
 distinct keys exceed its capacity is split by one more bit of the hash, which doubles the directory
-whenever the split bucket was at full depth. A bucket's entries are chains: all different texts with
-one 64-bit key, told apart by their bytes.
+whenever the split bucket was at full depth. A bucket is the range of keys of one prefix, named by its lowest
+cell. Owner tasks hold ranges of buckets: the texts that need comparing travel to the owner of their
+bucket, where the different texts of one 64-bit key are told apart by their bytes and chained.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from .common import LOWER, UPPER, ascii_lower, documents, materialize, require
 
 #: Distinct keys that a bucket holds before it is split.
 CAPACITY = 65_536
-#: So many repeated keys (8 bytes each) are broadcast to pick the texts to compare; beyond it all texts are shuffled.
+#: Copies of a text are folded to so many rows at most before they travel to its owner.
+FOLDS = 16
+#: So many repeated keys (8 bytes each) are broadcast to pick the texts to compare; beyond it texts are shuffled by key to meet them.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -43,14 +46,13 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     path = path.withColumn("prefix", F.expr(f"shiftright(cell, {depth} - d)"))
     deep = path.join(over.select("d", "prefix", F.lit(1).alias("full")), ["d", "prefix"], "left")
     local = deep.groupBy("cell").agg(F.coalesce(F.max(F.when(F.col("full") == 1, F.col("d") + 1)), F.lit(0)).alias("depth"))
-    return local.select(
-        "cell", "depth", F.lit(depth).alias("global_depth"),
-        F.expr(f"concat(depth, '/', shiftright(cell, {depth} - depth))").alias("bucket"),
-    )
+    # a bucket's lowest cell: the bits below its local depth are zero
+    lowest = F.expr(f"shiftleft(shiftright(cell, {depth} - depth), {depth} - depth)")
+    return local.select("cell", "depth", F.lit(depth).alias("global_depth"), lowest.alias("bucket"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256, bucket (null: the text is unique).
+    """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256, bucket and chain (null: no other text has the key).
 
     Texts are equal when they are after lower-casing A-Z; of equal texts the largest id stays. A null
     text is an empty one. Rows that repeat an id with an equal text are all kept or all dropped. A row
@@ -62,25 +64,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = materialize(base.select("id", "h", F.sha2("norm", 256).alias("sha")), "entries")
     keys = materialize(entries.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "keys")
     repeated = keys.where("n > 1").select("h")
-    if repeated.count() <= broadcast_keys:
-        base = base.join(F.broadcast(repeated), "h", "left_semi")
-    # the grouping compares the texts' bytes; equal texts are folded before the shuffle
-    chains = base.groupBy("h", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    chains = chains.select("h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-    table = directory(keys.select("h"), capacity)
-    table = materialize(table, "directory")
+    few = repeated.count() <= broadcast_keys
+    base = base.join(F.broadcast(repeated) if few else repeated, "h", "left_semi")
+    table = materialize(directory(keys.select("h"), capacity), "directory")
     bits = table.agg(F.max("global_depth")).head()[0] or 1
-    owned = chains.withColumn("cell", F.shiftrightunsigned("h", 64 - bits)).join(table.select("cell", "bucket"), "cell", "left").drop("cell")
-    place = F.row_number().over(W.partitionBy("bucket", "h").orderBy("sha")).alias("chain")
-    index = materialize(owned.select("bucket", "h", "sha", "keep_id", "group_size", place), "index")
-    found = entries.join(index.select("h", "sha", "bucket", "keep_id", "group_size"), ["h", "sha"], "left")
+    fold = F.pmod(F.xxhash64("id"), F.lit(FOLDS)).alias("fold")
+    folded = base.groupBy("h", "norm", fold).agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).drop("fold")
+    placed = folded.withColumn("cell", F.shiftrightunsigned("h", 64 - bits)).join(table.select("cell", "bucket"), "cell").drop("cell")
+    # each task owns a range of buckets; what follows needs no other exchange
+    owned = materialize(placed, "placed").repartitionByRange("bucket")
+    chains = owned.groupBy("bucket", "h", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    chains = chains.select("bucket", "h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
+    index = materialize(chains.withColumn("chain", F.row_number().over(W.partitionBy("bucket", "h").orderBy("sha"))), "index")
+    found = entries.join(index, ["h", "sha"], "left")
     group = F.coalesce("group_size", F.lit(1)).cast("long")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
-    return found.select(F.col("id").alias(id_col), keep.alias("keep_id"), group.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"), "bucket")
+    return found.select(F.col("id").alias(id_col), keep.alias("keep_id"), group.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"), "bucket", "chain")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir)).drop("bucket")
+    return exact_dedup(documents(spark, sf_dir)).drop("bucket", "chain")
 
 
 OP1_SQL = f"""
