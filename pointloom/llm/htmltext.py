@@ -1,11 +1,17 @@
-"""Operator 4, HTML extraction: a site style tree over the pages of each host."""
+"""Operator 4, HTML extraction: a site style tree over the pages of each host.
+
+Pages are parsed once, to containers (elements such as div and section that lay a page out) and blocks of text in them. The
+containers of a host's pages are merged into its style tree: a node is a place in the tree of child sequences. A
+node's presentation importance is the entropy of the layouts found below it, its content importance that of the texts below
+it, both to the number of its pages; branches of low importance are removed from each page.
+"""
 
 from __future__ import annotations
 
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,22 +20,29 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, require
 from .urlfilter import host_path
 
-#: Weight of a block's own content against its parent's presentation; blocks less important than LEAST go.
-GAMMA, LEAST = 0.9, 0.2
-#: A style-tree node needs so many pages before it is judged.
-MIN_PAGES = 3
-#: So many low nodes (16 bytes each) are sent to every task; beyond it pages are joined with their host's.
+#: Weight of content against presentation.
+GAMMA = 0.4
+#: A container goes if its importance is below this share of that of the most important container beside it ...
+SHARE = 0.67
+#: ... or if it is below LEAST on half of the host's pages, and of MANY pages, at least: what nearly all pages repeat.
+LEAST, MANY = 0.2, 10
+#: A node is judged if it is on so many pages, and on this share of the host's.
+MIN_PAGES, PART = 3, 0.1
+#: So many nodes (32 bytes each) are sent to every task; beyond it pages are joined with their host's.
 BROADCAST_NODES = 200_000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S | re.I)
-NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# Elements whose content is no markup.
+RAW = frozenset("script style noscript iframe textarea xmp noembed noframes".split())
 # HTML's void elements, elements inside a line, elements that end an open one of their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS_P = frozenset("html head body".split())
+# Elements that hold running text; all others are containers.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary".split())
 # Elements and names that say what a branch is for.
-NOISE_TAGS = frozenset("head nav footer aside form button menu dialog".split())
+HIDDEN = frozenset("select svg template".split())
+NOISE_TAGS = frozenset("head nav footer aside form button menu dialog".split()) | HIDDEN
 MAIN_TAGS = frozenset(("article", "main"))
 NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|comments?|replies|respond|disqus|"
@@ -41,171 +54,304 @@ HEAD_NAMES = re.compile(r"(?:^|[\s_-])(?:masthead|header|topbar)(?:$|[\s_-])", r
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article-body|articlebody|post-content|entry-content|main)(?:$|[\s_-])", re.I)
 
 
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+GAP = re.compile(r"[\s/]*")
+ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE = re.compile(r"[^\s>]*")
+CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, list[tuple[str, str]]]]:
+    """(kind, text or tag, [(class, id or role; value)]) with kind text, start or end, in time linear in the page.
+
+    Tags are cut as browsers do: quotes after = protect >; a quote that is never closed is an ordinary
+    character; a tag that is never closed is the page's end. Comments, declarations and raw elements are left out.
+    """
+    at, size, endless = 0, len(page), set()
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", page[at:], []
+            return
+        if lt > at:
+            yield "text", page[at:lt], []
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            end = page.find(">", lt)
+            at = size if end < 0 else end + 1
+            continue
+        m = TAG.match(page, lt)
+        if m is None:
+            yield "text", "<", []
+            at = lt + 1
+            continue
+        tag, at, said = m[1].lower(), m.end(), []
+        while True:
+            at = GAP.match(page, at).end()
+            if at >= size:
+                return
+            if page[at] == ">":
+                at += 1
+                break
+            name = ATTRIBUTE.match(page, at)
+            at = name.end()
+            equals = EQUALS.match(page, at)
+            if equals is None:
+                continue
+            at, quote, end = equals.end(), page[equals.end() : equals.end() + 1], -1
+            if quote and quote in "\"'" and quote not in endless:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    endless.add(quote)
+            if end >= 0:
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = BARE.match(page, at)
+                value, at = bare[0], bare.end()
+            kind = name[0].lower()
+            if kind in ("class", "id", "role"):
+                said.append((kind, value))
+        if page[lt + 1] == "/":
+            yield "end", tag, []
+            continue
+        yield "start", tag, said
+        if tag in RAW:
+            end = CLOSE[tag].search(page, at)
+            if end is None:
+                return
+            at = end.start()
+
+
 @dataclass
-class Block:
-    path: str
-    parent: str
+class Element:
+    tag: str
+    style: str
+    parent: int
+    noise: bool
     main: bool
-    text: list[str] = field(default_factory=list)
+    container: bool
+
+
+@dataclass
+class Page:
+    """containers: (index of the container around it or -1, node, layout, text below, inside a marked article); blocks: (container, marked, text)."""
 
+    containers: list[tuple[int, int, int, int, bool]]
+    blocks: list[tuple[int, bool, str]]
 
-def blocks(page: str) -> tuple[list[Block], dict[str, list[str]]]:
-    """The blocks of text of a page outside branches marked as noise, in order, and the styles of its children for each node path.
 
-    Tags are matched as browsers do in the main: an open p ends before a block, li before li and so on; end
+def _hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _together(*parts: int) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(b"".join(p.to_bytes(8, "little", signed=True) for p in parts)) - (1 << 63)
+
+
+def parse(page: str) -> Page:
+    """The containers and the blocks of text of a page outside branches marked as noise, in order.
+
+    Elements nest as in browsers in the main: an open p ends before a block, li before li and so on; end
     tags without a start are ignored; what is open at the end is closed.
     """
-    out: list[Block] = []
-    children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, main
-    now: Block | None = None
+    elements, stack, is_open = [Element("", "", -1, False, False, True)], [0], {}
+    texts: list[tuple[int, list[str]]] = []
+    now: list[str] | None = None
 
-    def text(piece: str) -> None:
+    def put(piece: str) -> None:
         nonlocal now
-        _, path, noise, main = stack[-1]
-        if noise or not piece:
+        if elements[stack[-1]].noise:
             return
         if now is None:
-            now = Block(path, stack[-2][1] if len(stack) > 1 else "", main)
-            out.append(now)
-        now.text.append(html.unescape(piece) if "&" in piece else piece)
-
-    last = 0
-    for m in TOKEN.finditer(page):
-        text(page[last : m.start()])
-        last = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+            now = []
+            texts.append((stack[-1], now))
+        now.append(piece)
+
+    def pop() -> None:
+        is_open[elements[stack.pop()].tag] -= 1
+
+    for kind, tag, said in tokens(page):
+        if kind == "text":
+            put(html.unescape(tag) if "&" in tag else tag)
             continue
         if tag == "br":
-            text(" ")
+            put(" ")
             continue
-        if tag in INLINE and not (m[4] and NOISE_NAMES.search(" ".join(a or b or c for _, a, b, c in NAME.findall(m[4])))):
+        names = " ".join(v for _, v in said)
+        if tag in INLINE and not (kind == "start" and names and NOISE_NAMES.search(names)) and not (kind == "end" and is_open.get(tag)):
             continue
-        now = None
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if tag in RAW:
+            continue
+        if tag not in HIDDEN and not elements[stack[-1]].noise:
+            now = None
+        if kind == "end":
+            if is_open.get(tag):
+                while elements[stack[-1]].tag != tag:
+                    pop()
+                pop()
             continue
         if tag in VOID:
             continue
         ends = ENDS.get(tag, set()) | (set() if tag in KEEPS_P or tag in INLINE else {"p"})
-        if stack[-1][0] in ends:
-            stack.pop()
-        names = [(kind.lower(), a or b or c) for kind, a, b, c in NAME.findall(m[4] or "")]
-        said = " ".join(v for _, v in names)
-        style = tag + "".join(f".{v}" for kind, v in names if kind != "id")
-        _, path, noise, main = stack[-1]
-        main = main or tag in MAIN_TAGS or bool(said and MAIN_NAMES.search(said))
-        noise = noise or tag in NOISE_TAGS or (tag == "header" and not main)
-        if said and tag not in ("html", "body", *MAIN_TAGS):
-            noise = noise or bool(NOISE_NAMES.search(said)) or (not main and bool(HEAD_NAMES.search(said)))
-        children.setdefault(path, []).append(style)
-        stack.append((tag, f"{path}/{style}", noise, main))
-    text(page[last:])
-    kept = []
-    for b in out:
-        b.text = [" ".join("".join(b.text).split())]
-        if b.text[0]:
-            kept.append(b)
-    return kept, children
-
-
-def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article of a page. Where the page marks one (article, main), its blocks; else the blocks whose nodes are not low, or all if all are."""
-    found, _ = blocks(page or "")
-    if any(b.main for b in found):
-        return " ".join(b.text[0] for b in found if b.main)
-    left = [b for b in found if not low or _hash(b.path) not in low]
-    return " ".join(b.text[0] for b in left or found)
+        if elements[stack[-1]].tag in ends:
+            pop()
+        above = elements[stack[-1]]
+        main = above.main or tag in MAIN_TAGS or bool(names and MAIN_NAMES.search(names))
+        noise = above.noise or tag in NOISE_TAGS or (tag == "header" and not main)
+        if names and tag not in ("html", "body", *MAIN_TAGS):
+            noise = noise or bool(NOISE_NAMES.search(names)) or (not main and bool(HEAD_NAMES.search(names)))
+        style = tag + "".join(f".{v}" for name, v in said if name != "id")
+        elements.append(Element(tag, style, stack[-1], noise, main, tag not in FLOW and tag not in INLINE))
+        stack.append(len(elements) - 1)
+        is_open[tag] = is_open.get(tag, 0) + 1
+    blocks = [(where, text) for where, parts in texts if (text := " ".join("".join(parts).split()))]
+    return _merge(elements, blocks)
 
 
-def _hash(text: str) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _merge(elements: list[Element], blocks: list[tuple[int, str]]) -> Page:
+    n = len(elements)
+    children: list[list[int]] = [[] for _ in elements]
+    for i in range(1, n):
+        children[elements[i].parent].append(i)
+    own: list[list[int]] = [[] for _ in elements]
+    for where, text in blocks:
+        own[where].append(_hash(text))
+    style = [_hash(e.style) for e in elements]
+    layout, below, node = [0] * n, [0] * n, [0] * n
+    for i in range(n - 1, -1, -1):
+        layout[i] = _together(style[i], *(layout[c] for c in children[i])) if children[i] else style[i]
+        found = own[i] + [below[c] for c in children[i] if below[c]]
+        below[i] = _together(*found) if found else 0
+    for i in range(n):
+        if children[i]:
+            sequence = _together(*(style[c] for c in children[i]))
+            for k, c in enumerate(children[i]):
+                node[c] = _together(node[i], sequence, k)
+    near, number = [-1] * n, {}  # the container around each element, and the number of each container with text
+    containers = []
+    for i, e in enumerate(elements):
+        near[i] = i if e.container else near[e.parent]
+        if e.container and below[i]:
+            around = number[near[e.parent]] if i else -1
+            number[i] = len(containers)
+            containers.append((around, node[i], layout[i], below[i], i > 0 and elements[e.parent].main))
+    return Page(containers, [(number[near[where]], elements[where].main, text) for where, text in blocks])
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host long, node long, pages, importance) for pages(host long, html): every node that holds text on a host, with its composite importance.
+def main_text(page: Page, tree: dict[int, tuple[int, float]] | None = None, pages: int = 0) -> str:
+    """The article of a page by its host's tree: node to (pages, importance), for the nodes that are judged.
 
-    Presentation: the entropy of the different child sequences of the block's parent; content: one less the mean
-    entropy of the block's texts over the pages, so that what every page repeats has none. Logarithms are to
-    the number of pages; nodes of one page have importance 1. Equal pages of a host count as one.
+    From the outermost container inwards, a container goes if it is much less important than the most important one
+    beside it, or repeats itself on most pages. What the page marks as its article (article, main) is
+    preferred to all beside it, and loses only what repeats itself. If nothing would stay, all stays.
     """
-    kinds = ("node", "text", "children")
+    tree = tree or {}
+    marked = any(main for _, main, _ in page.blocks)
+    best: dict[int, float] = {}
+    for around, node, _, _, _ in page.containers:
+        if node in tree:
+            best[around] = max(best.get(around, 0.0), tree[node][1])
+    gone = []
+    for around, node, _, _, inside in page.containers:
+        known = tree.get(node)
+        low = known is not None and known[0] >= max(MANY, pages / 2) and known[1] < LEAST
+        if known is not None and not marked:
+            low = low or known[1] < SHARE * best[around]
+        gone.append((around >= 0 and gone[around]) or (low and (inside or not marked)))
+    found = [b for b in page.blocks if b[1]] if marked else page.blocks
+    left = [b for b in found if not gone[b[0]]]
+    return " ".join(text for *_, text in left or found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            seen = set()
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                copy = _hash(page or "")
-                if (host, copy) in seen:
-                    continue
-                seen.add((host, copy))
-                found, children = blocks(page or "")
-                mine = sorted({(_hash(b.path), _hash(b.text[0]), _hash(" ".join(children.get(b.parent, [])))) for b in found})
-                out.append((host, copy, *([m[i] for m in mine] for i in range(3))))
-            types = [pa.int64()] * 2 + [pa.list_(pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], types[i]) for i in range(5)], ["host", "copy", *kinds])
-
-    made = pages.select("host", "html").mapInArrow(run, "host long, copy long, " + ", ".join(f"{k} array<long>" for k in kinds))
-    once = made.groupBy("host", "copy").agg(F.first(F.struct(*kinds)).alias("b")).select("host", F.arrays_zip(*[F.col(f"b.{k}").alias(k) for k in kinds]).alias("b"))
-    # of each page, a node counts once, and so does each of its texts and of its child sequences
-    zero = F.lit(0).cast("long")
-    rows = F.array_distinct(F.flatten(F.transform("b", lambda x: F.array(
-        F.struct(x["node"].alias("node"), F.lit(0).alias("kind"), zero.alias("feature")),
-        F.struct(x["node"].alias("node"), F.lit(1).alias("kind"), x["text"].alias("feature")),
-        F.struct(x["node"].alias("node"), F.lit(2).alias("kind"), x["children"].alias("feature")),
-    ))))
-    counts = once.select("host", F.explode(rows).alias("r")).groupBy("host", "r.node", "r.kind", "r.feature").agg(F.count(F.lit(1)).alias("n"))
-    n, kind = F.col("n"), F.col("kind")
-    nodes = counts.groupBy("host", "node").agg(
-        F.sum(F.when(kind == 0, n)).alias("pages"), F.avg(F.when(kind == 1, F.ln(n))).alias("repeat"), F.sum(F.when(kind == 2, n * F.ln(n))).alias("nlogn")
-    )
-    m = F.ln("pages")
-    content = 1 - F.col("repeat") / m
-    presentation = (m - F.col("nlogn") / F.col("pages")) / m
-    return nodes.select("host", "node", "pages", F.when(F.col("pages") > 1, GAMMA * content + (1 - GAMMA) * presentation).otherwise(1.0).alias("importance"))
+
+_PARSED = "row long, host long, copy long, around array<int>, node array<long>, layout array<long>, below array<long>, inside array<boolean>, at array<int>, marked array<boolean>, text array<string>"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [*[pa.int64()] * 3, pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3, pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.string())]
+    names = [x.split()[0] for x in _PARSED.split(", ")]
+    for batch in batches:
+        out: list[list] = []
+        for row, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            raw = page.as_py() or ""
+            p = parse(raw)
+            out.append([row, host, _hash(raw), *([c[i] for c in p.containers] for i in range(5)), *([b[i] for b in p.blocks] for i in range(3))])
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds[i]) for i in range(11)], names)
+
+
+def style_tree(parsed: DataFrame) -> DataFrame:
+    """(host, node, pages, host_pages, importance) of the nodes that are judged, for pages as _parse gives them. Equal pages of a host count as one."""
+    once = parsed.groupBy("host", "copy").agg(F.first(F.struct("node", "layout", "below")).alias("b"))
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("c.layout").alias("feature")), F.struct(F.lit(1).alias("kind"), F.col("c.below").alias("feature")))
+    each = once.select("host", F.explode(F.arrays_zip("b.node", "b.layout", "b.below")).alias("c")).select("host", "c.node", F.explode(kinds).alias("k"))
+    counts = each.groupBy("host", "node", "k.kind", "k.feature").agg(F.count(F.lit(1)).alias("n"))
+    n, kind, m = F.col("n"), F.col("kind"), F.ln("pages")
+    nlogn = lambda k: F.coalesce(F.sum(F.when(kind == k, n * F.ln(n))), F.lit(0.0))
+    nodes = counts.groupBy("host", "node").agg(F.sum(F.when(kind == 0, n)).alias("pages"), nlogn(0).alias("layouts"), nlogn(1).alias("texts"))
+    entropy = lambda c: (m - F.col(c) / F.col("pages")) / m
+    importance = GAMMA * entropy("texts") + (1 - GAMMA) * entropy("layouts")
+    judged = nodes.where(F.col("pages") >= MIN_PAGES).withColumn("importance", importance)
+    whole = nodes.where("node = 0").select(F.col("host").alias("of"), F.col("pages").alias("host_pages"))
+    # of one host at most 1 / PART nodes stay for each container of a page
+    return judged.join(whole, F.col("host") == F.col("of")).where(F.col("pages") >= PART * F.col("host_pages")).select("host", "node", "pages", "host_pages", "importance")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """One row per row of pages: id_col, url, text, n_chars.
 
     Branches that say they are menus, headers, footers, sidebars, notices, adverts, forms or comments go, and so do
-    scripts, styles and markup. If a page marks its article, that is its text; else it is every block whose node in
-    its host's style tree is not of low importance, or all blocks if all are. Null html is empty; pages of a null url are one host. Rows with
-    repeated or null ids are extracted each on its own; for the tree, equal pages of a host count as one; an empty table gives no rows; other columns are ignored.
+    scripts, styles and markup. Of the other branches the host's style tree decides (see main_text). Null html is empty; pages
+    of a null url are one host, and on hosts of fewer than MIN_PAGES different pages only what branches say of themselves counts.
+    Rows with repeated or null ids are extracted each on its own; for the tree, equal pages of a host count as one; an empty
+    table gives no rows; other columns are ignored.
     """
     require(pages, id_col, url_col, html_col)
     host, _ = host_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(host).alias("host"))
-    tree = style_tree(rows)
-    low = materialize(tree.where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST)).select("host", "node"), "low")
-    known: dict[int, set[int]] | None = None
-    if low.count() <= broadcast_nodes:
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).alias("html"))
+    named = dict(rows.dtypes)["id"]
+    # ids and urls pass beside the parser, so that a row stays one row
+    kinds = f"id {named}, url string, {_PARSED.removeprefix('row long, ')}"
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index = pa.array(range(len(batch)), pa.int64())
+            for made in _parse([pa.RecordBatch.from_arrays([index, batch.column(2), batch.column(3)], ["row", "host", "html"])]):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made.columns[1:]], ["id", "url", *made.schema.names[1:]])
+
+    parsed = materialize(rows.mapInArrow(beside, kinds), "parsed")
+    tree = materialize(style_tree(parsed), "tree")
+    slim, known = parsed.select("id", "url", "host", "around", "node", "inside", "at", "marked", "text"), None
+    if tree.count() <= broadcast_nodes:
         known = {}
-        for r in low.collect():  # bounded just above
-            known.setdefault(r.host, set()).add(r.node)
-        rows = rows.withColumn("low", F.array().cast("array<long>"))
+        for r in tree.collect():  # bounded just above
+            known.setdefault(r.host, (r.host_pages, {}))[1][r.node] = (r.pages, r.importance)
+        slim = slim.withColumn("tree", F.array().cast("array<struct<host_pages: bigint, node: bigint, pages: bigint, importance: double>>"))
     else:
-        sets = materialize(low.groupBy("host").agg(F.collect_set("node").alias("low")), "low-sets")
-        rows = rows.join(sets, "host", "left")
+        whole = tree.groupBy("host").agg(F.collect_list(F.struct("host_pages", "node", "pages", "importance")).alias("tree"))
+        slim = slim.join(whole, "host", "left").select(*slim.columns, "tree")
     shared = pages.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             texts = []
-            for page, host, own in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                texts.append(main_text(page.as_py(), table.get(host, ()) if table is not None else set(own or ())))
+            for host, around, node, inside, at, marked, text, own in zip(*[batch.column(i).to_pylist() for i in range(2, 10)], strict=True):
+                if table is not None:
+                    size, nodes = table.get(host, (0, {}))
+                else:
+                    size, nodes = (own[0]["host_pages"] if own else 0), {x["node"]: (x["pages"], x["importance"]) for x in own or ()}
+                page = Page([(a, k, 0, 0, i) for a, k, i in zip(around, node, inside, strict=True)], list(zip(at, marked, text, strict=True)))
+                texts.append(main_text(page, nodes, size))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    kinds = dict(rows.dtypes)
-    out = rows.select("id", "url", "html", "host", "low").mapInArrow(run, f"id {kinds['id']}, url string, text string")
+    out = slim.mapInArrow(run, f"id {named}, url string, text string")
     return out.select(F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
