@@ -16,6 +16,8 @@ ANCHORS = (
     "el los las y del que en un una por con no para es su se lo como más al pero sus"
 ).split()
 CHAIN, LOOKAHEAD, GAP = 2, 12, 4
+#: The query takes two sets of which one is more than ten times the other for unlike (likeness 0) without comparing them.
+LEAST = 0.1
 #: Consecutive ids that one group of the next-document window holds.
 GROUP_BITS, SUPER_BITS = 8, 12
 
@@ -49,11 +51,19 @@ def as_text(sigs: Column) -> Column:
     return F.array_join(digits, "")
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two sets; 1 of two empty ones. The sizes alone decide when one set is empty."""
+def partition_of(n: Column, least: float) -> Column:
+    """The partition of sets of n signatures: sets whose partitions are not neighbours have a Jaccard similarity below `least`."""
+    return F.when(n > 0, F.floor(F.log(n) / -F.log(F.lit(least)))).otherwise(-2).cast("int")
+
+
+def jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Of two sets; 1 of two empty ones. Where partitions, or the lengths, show that it is below `least`, sets are not compared: 0."""
     n, m = F.size(a), F.size(b)
     both = F.size(F.array_intersect(a, b))
-    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).when(a == b, 1.0).otherwise(both / (n + m - both))
+    out = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0)
+    if least:
+        out = out.when(F.abs(partition_of(n, least) - partition_of(m, least)) > 1, 0.0).when(F.least(n, m) < F.lit(least) * F.greatest(n, m), 0.0)
+    return out.when(a == b, 1.0).otherwise(both / (n + m - both))
 
 
 def with_next(rows: DataFrame, columns: list[str], derive: dict[str, Column] | None = None) -> DataFrame:
@@ -86,7 +96,8 @@ def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text is the text with its last quarter replaced by as many characters from the start of the
     next document by id (after the last: the first; a lone one follows itself). Rows that repeat an id
     follow each other by the hash of their texts; null ids come first. Null texts are empty ones: no
-    signatures, fingerprint ''. An empty table gives no rows; columns not named are ignored.
+    signatures, fingerprint ''. Likenesses are Jaccard similarities of signature sets; lengths prune (see LEAST). An
+    empty table gives no rows; columns not named are ignored.
     """
     require(docs, id_col, text_col)
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -100,8 +111,8 @@ def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wide = wide.withColumn("edited_sigs", signatures(F.col("edited")))
     return wide.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sigs")).alias("fingerprint"),
-        as_text(F.col("edited_sigs")).alias("edited_fingerprint"), jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        as_text(F.col("edited_sigs")).alias("edited_fingerprint"), jaccard(F.col("sigs"), F.col("edited_sigs"), LEAST).alias("near_edited"),
+        jaccard(F.col("sigs"), F.col("next_sigs"), LEAST).alias("near_next"),
     )
 
 
@@ -109,7 +120,9 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     """(membership(id_col, class_id), pairs(a, b, likeness)): documents with equal signature sets are a class, named by the smallest id; pairs link classes.
 
     Sets are partitioned by length, so that a set meets only its own partition and the next; inside, sets meet on the
-    rarest-by-hash signatures that similar sets must share (prefix filter), lengths prune once more, and exact Jaccard decides.
+    signatures, rarest first by their count over all classes, that similar sets must share (prefix filter), so that what many
+    documents repeat brings few together. Lengths and the places of the shared signature prune once more, and exact Jaccard decides.
+    A null id takes part; null and empty texts are one class without pairs. An empty table gives no rows.
     """
     require(docs, id_col, text_col)
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -117,16 +130,21 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     made = made.withColumn("finger", F.sha2(as_text(F.col("sigs")), 256))
     classes = materialize(made.groupBy("finger").agg(F.min("id").alias("class_id"), F.first("sigs").alias("sigs")), "classes")
     member = made.select("id", "finger").join(classes.select("finger", "class_id"), "finger").select(F.col("id").alias(id_col), "class_id")
-    n = F.size("sigs")
-    band = F.floor(F.log(n) / -F.log(F.lit(threshold))).cast("int")
-    prefix = F.slice("sigs", F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 1)
-    keyed = classes.where(n > 0).select("class_id", n.alias("n"), band.alias("band"), F.explode(prefix).alias("sig"))
-    near = (F.col("x.n") >= F.col("y.n") * threshold) & ((F.col("x.n") < F.col("y.n")) | (F.col("x.class_id") < F.col("y.class_id"))) & (F.col("x.n") <= F.col("y.n"))
-    lower = keyed.select("class_id", "n", "sig", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    each = classes.select("finger", F.explode("sigs").alias("sig"))
+    counted = each.join(materialize(each.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "counts"), "sig")
+    n = F.size("rare")
+    prefix = F.slice("rare", F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 1)
+    rare = counted.groupBy("finger").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("rare"))
+    keyed = materialize(rare.select("finger", n.alias("n"), partition_of(n, threshold).alias("band"), F.posexplode(prefix).alias("at", "s")).select("finger", "n", "band", "at", "s.sig"), "prefixes")
+    lower = keyed.select("finger", "n", "sig", "at", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    near = (F.col("x.n") >= F.col("y.n") * threshold) & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.finger") < F.col("y.finger"))))
+    # what can still be shared from the places of this signature on, if it is the first shared one
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    near = near & (most * (1 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold - 1e-9)
     found = lower.alias("x").join(keyed.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.band") == F.col("y.band")) & near)
-    found = found.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
-    sets = classes.select("class_id", "sigs")
-    pairs = found.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("likeness"))
+    found = found.select(F.col("x.finger").alias("fa"), F.col("y.finger").alias("fb")).distinct()
+    a, b = classes.toDF("fa", "a", "sa"), classes.toDF("fb", "b", "sb")
+    pairs = found.join(a, "fa").join(b, "fb").select("a", "b", jaccard(F.col("sa"), F.col("sb"), threshold).alias("likeness"))
     return member, pairs.where(F.col("likeness") >= threshold)
 
 
