@@ -43,7 +43,7 @@ def q6(*pairs: tuple[str, str], digits: int = 6) -> str:
 C, S = math.cos(0.3), math.sin(0.3)
 POSE = [[C, -S, 0.0, 0.25], [S, C, 0.0, -0.4], [0.0, 0.0, 1.0, 0.15]]
 SHEAR = [[1.5, 0.25, 0.0, 0.5], [0.0, 0.75, 0.125, -1.0], [0.25, 0.0, 2.0, 0.25]]
-POSES = {k: [[1.0, 0.0, 0.0, 0.3 * k], [0.0, 1.0, 0.0, -0.2 * k], [0.0, 0.0, 1.0, 0.1 * k]] for k in range(5)}
+POSES = {k: [[1.0, 0.0, 0.0, 0.3 * k], [0.0, 1.0, 0.0, -0.2 * k], [0.0, 0.0, 1.0, 0.1 * k]] for k in range(10)}
 RES, FINE = 0.5, 1.0
 
 
@@ -143,7 +143,19 @@ def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud_e(spark, sf_dir, "point_id", *XYZ).select("point_id", F.round(F.expr(rows.scan_angle()), 6).alias("angle"))
 
 
-@query("p20_voxel_raycast")
+def _raycast_sql() -> str:
+    size, start = 0.25, 0.05
+    v = E.voxel(repr(start), size)
+    walls = " UNION ALL ".join(
+        f"SELECT point_id AS ray_id, {k} AS axis, CASE WHEN w{c} > {v} THEN 1 ELSE -1 END AS move, (i.i * {size!r} - {start!r}) / ({c} - {start!r}) AS s "
+        f"FROM c, unnest(range(least(w{c}, {v}) + 1, greatest(w{c}, {v}) + 1)) AS i(i)"
+        for k, c in enumerate(XYZ)
+    )
+    at = ", ".join(f"CAST({v} + coalesce(sum(CASE WHEN axis = {k} THEN move END) OVER (PARTITION BY ray_id ORDER BY s, axis ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS v{c}" for k, c in enumerate(XYZ))
+    return f", c AS (SELECT point_id, {', '.join(XYZ)}, {', '.join(f'{E.voxel(c, size)} AS w{c}' for c in XYZ)} FROM e), w AS ({walls}) SELECT ray_id, row_number() OVER (PARTITION BY ray_id ORDER BY s, axis) - 1 AS step, {at} FROM w"
+
+
+@query("p20_voxel_raycast", _raycast_sql())
 def p20(spark: SparkSession, sf_dir: str) -> DataFrame:
     rays = cloud_e(spark, sf_dir, "point_id", *XYZ).select(F.col("point_id").alias("ray_id"), *[F.lit(0.05).alias(f"s{c}") for c in XYZ], *[F.col(c).alias(f"e{c}") for c in XYZ])
     return rows.raycast(rays, 0.25)
@@ -161,10 +173,10 @@ def p23(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIR_D2 = "(q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)"
 
 
-def near_sql(where: str, k: int | None, d2: str = PAIR_D2, q: str = "e", p: str = "e") -> str:
-    """n(qid, point_id, d2, rank) by brute force."""
+def near_sql(where: str, k: int | None, d2: str = PAIR_D2, q: str = "e", p: str = "e", name: str = "n") -> str:
+    """name(qid, point_id, d2, rank) by brute force."""
     rank = "" if k is None else f" QUALIFY rank <= {k}"
-    return f", n AS (SELECT q.point_id AS qid, p.point_id AS point_id, {d2} AS d2, row_number() OVER (PARTITION BY q.point_id ORDER BY {d2}, p.point_id) AS rank FROM {q} q, {p} p WHERE {where}{rank})"
+    return f", {name} AS (SELECT q.point_id AS qid, p.point_id AS point_id, {d2} AS d2, row_number() OVER (PARTITION BY q.point_id ORDER BY {d2}, p.point_id) AS rank FROM {q} q, {p} p WHERE {where}{rank})"
 
 
 NEAR_OUT = "SELECT qid, point_id, round(d2, 6) AS d2, CAST(rank AS INT) AS rank FROM n"
@@ -201,10 +213,10 @@ def j3b(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURE_D2 = "list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda v: (CAST(v[1] AS DOUBLE) - v[2]) * (CAST(v[1] AS DOUBLE) - v[2])))"
 
 
-@query("j4_knn_feature", f", d AS (SELECT q.vec_id AS qid, p.vec_id AS point_id, {FEATURE_D2} AS d2 FROM embeddings q, embeddings p WHERE q.vec_id % 5 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, point_id) AS rank FROM d QUALIFY rank <= 3) " + NEAR_OUT)
+@query("j4_knn_feature", f", d AS (SELECT q.vec_id AS qid, p.vec_id AS point_id, {FEATURE_D2} AS d2 FROM embeddings q, embeddings p), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, point_id) AS rank FROM d QUALIFY rank <= 3) " + NEAR_OUT)
 def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features_e(spark, sf_dir)
-    return near_out(neighbors.knn_feature(f.where("point_id % 5 = 0").select(F.col("point_id").alias("qid"), "f"), f, 3))
+    return near_out(neighbors.knn_feature(f.select(F.col("point_id").alias("qid"), "f"), f, 3))
 
 
 XYZI = PAIR_D2 + " + (q.intensity - p.intensity * 2.0) * (q.intensity - p.intensity * 2.0)"
@@ -297,17 +309,33 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.correspondences(df.where("frame_id >= 5"), df.where("frame_id < 5"), 1.1, 3).where("n = 3").select("src_id", "tgt_0", "tgt_1", "tgt_2")
 
 
-@query("j15_corr_reciprocal", f", d AS (SELECT q.vec_id AS a_id, p.vec_id AS b_id, {FEATURE_D2} AS d2 FROM embeddings q, embeddings p WHERE q.label < 2 AND p.label >= 2 AND p.label < 4), f AS (SELECT a_id, b_id FROM d QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) = 1), b AS (SELECT a_id, b_id FROM d QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY d2, a_id) = 1) SELECT a_id, b_id FROM f JOIN b USING (a_id, b_id)")
+@query("j15_corr_reciprocal", f", d AS (SELECT q.vec_id AS a_id, p.vec_id AS b_id, {FEATURE_D2} AS d2 FROM embeddings q, embeddings p WHERE q.label < 5 AND p.label >= 5), f AS (SELECT a_id, b_id FROM d QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) = 1), b AS (SELECT a_id, b_id FROM d QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY d2, a_id) = 1) SELECT a_id, b_id FROM f JOIN b USING (a_id, b_id)")
 def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("f"), "label")
-    return neighbors.reciprocal(emb.where("label < 2").select("point_id", "f"), emb.where("label >= 2 AND label < 4").select("point_id", "f"))
+    return neighbors.reciprocal(emb.where("label < 5").select("point_id", "f"), emb.where("label >= 5").select("point_id", "f"))
 
 
-@query("j17_nearest_stamp", ", k AS (SELECT t AS stamp FROM t WHERE point_id % 50 = 0), q AS (SELECT point_id AS qid, t AS qt FROM t WHERE point_id % 10 = 3), d AS (SELECT qid, stamp, row_number() OVER (PARTITION BY qid ORDER BY abs(stamp - qt), stamp) AS r FROM q, k WHERE abs(floor(stamp / 36000.0) - floor(qt / 36000.0)) <= 1) SELECT q.qid, round(d.stamp, 6) AS stamp FROM q LEFT JOIN (SELECT * FROM d WHERE r = 1) d USING (qid)")
+@query("j17_nearest_stamp", ", k AS (SELECT DISTINCT t AS stamp FROM t WHERE z < 5), a AS (SELECT point_id AS qid, t.t AS qt, k.stamp AS prev FROM t ASOF LEFT JOIN k ON t.t >= k.stamp), b AS (SELECT a.*, k.stamp AS next FROM a ASOF LEFT JOIN k ON a.qt <= k.stamp) SELECT qid, round(CASE WHEN prev IS NULL THEN next WHEN next IS NULL OR qt - prev <= next - qt THEN prev ELSE next END, 6) AS stamp FROM b")
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points' stamps against those of one sensor (the points of z below 5)."""
     t = cloud_t(spark, sf_dir)
-    found = neighbors.nearest_stamp(t.where("point_id % 10 = 3").select(F.col("point_id").alias("qid"), "t"), t.where("point_id % 50 = 0").select(F.col("t").alias("stamp")), 36000.0)
-    return found.select("qid", *r6("stamp"))
+    return neighbors.nearest_stamp(t.select(F.col("point_id").alias("qid"), "t"), t.where("z < 5").select(F.col("t").alias("stamp")), 3600.0).select("qid", *r6("stamp"))
+
+
+FAR = (500_000.0, 4_000_000.0, 100.0)
+
+
+@query("j1_knn_far", f", f AS (SELECT point_id, {', '.join(f'{c} + {v!r} AS {c}' for c, v in zip(XYZ, FAR, strict=True))} FROM e)" + near_sql("TRUE", 5, q="f", p="f") + "SELECT qid, point_id, round(d2, 4) AS d2, CAST(rank AS INT) AS rank FROM n")
+def j1_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cloud where map coordinates put it, far from the origin."""
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ).select("point_id", *[(F.col(c) + v).alias(c) for c, v in zip(XYZ, FAR, strict=True)])
+    return neighbors.knn(neighbors.as_queries(df), df, 5).select("qid", "point_id", *r6("d2", digits=4), F.col("rank").cast("int").alias("rank"))
+
+
+@query("j3_radius_search_far", f", f AS (SELECT point_id, {', '.join(f'{c} + {v!r} AS {c}' for c, v in zip(XYZ, FAR, strict=True))} FROM e)" + near_sql(f"{PAIR_D2} < 0.25", None, q="f", p="f") + "SELECT qid, point_id, round(d2, 4) AS d2, CAST(rank AS INT) AS rank FROM n")
+def j3_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ).select("point_id", *[(F.col(c) + v).alias(c) for c, v in zip(XYZ, FAR, strict=True)])
+    return neighbors.radius_search(neighbors.as_queries(df), df, 0.5).select("qid", "point_id", *r6("d2", digits=4), F.col("rank").cast("int").alias("rank"))
 
 
 # --- aggregations ---------------------------------------------------------------------------------------------------
@@ -348,12 +376,12 @@ def a4_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels.merge_voxelmaps(a, b).select("vkey", "n", *r6("mx", "my", "mz", "intensity"))
 
 
-FRAMES_SQL = f", p AS ({' UNION ALL '.join(f'SELECT {k} AS frame_id, {0.3 * k!r} AS dx, {-0.2 * k!r} AS dy, {0.1 * k!r} AS dz' for k in range(5))})"
+FRAMES_SQL = f", p AS ({' UNION ALL '.join(f'SELECT {k} AS frame_id, {0.3 * k!r} AS dx, {-0.2 * k!r} AS dy, {0.1 * k!r} AS dz' for k in range(10))})"
 
 
 @query("a6_merge_frames", FRAMES_SQL + f", w AS (SELECT x + dx AS x, y + dy AS y, z + dz AS z, c00, c11, intensity FROM e JOIN p USING (frame_id)) SELECT {E.voxel_key(FINE)} AS vkey, count(*) AS n, {q6(*[(c, f'avg({c})') for c in (*XYZ, 'c00', 'c11')], ('intensity', 'max(intensity)'))} FROM w GROUP BY 1")
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voxels.merge_frames(cloud_e(spark, sf_dir).where("frame_id < 5"), POSES, FINE).select("vkey", "n", *r6(*XYZ, "c00", "c11", "intensity"))
+    return voxels.merge_frames(cloud_e(spark, sf_dir), POSES, FINE).select("vkey", "n", *r6(*XYZ, "c00", "c11", "intensity"))
 
 
 @query("a6_merge_frames_large", FRAMES_SQL + f", w AS (SELECT x + dx AS x, y + dy AS y, z + dz AS z, intensity FROM l JOIN p USING (frame_id)) SELECT {E.voxel_key(5.0)} AS vkey, count(*) AS n, {q6(*[(c, f'avg({c})') for c in XYZ], ('intensity', 'max(intensity)'), digits=3)} FROM w GROUP BY 1")
@@ -401,9 +429,20 @@ def a11_eigen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("qid", *[F.round(F.expr(x), 5).alias(f"l{i}") for i, x in enumerate(E.eigenvalues(COV))])
 
 
-@query("a11_covariances")
+def least_projection(l0: str, l1: str, l2: str) -> list[str]:
+    """The upper triangle of u u' for the least eigenvalue's eigenvector u of COV: a polynomial of the matrix."""
+    c = E.symmetric(COV)
+    shifted = lambda v: [[f"({c[i][j]} - {v})" if i == j else c[i][j] for j in range(3)] for i in range(3)]
+    a, b = shifted(l1), shifted(l2)
+    return [f"(({' + '.join(f'{a[i][k]} * {b[k][j]}' for k in range(3))}) / (({l0} - {l1}) * ({l0} - {l2})))" for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))]
+
+
+PROJECTED_SQL = MOMENTS_SQL + f", v AS (SELECT *, {', '.join(f'{x} AS l{i}' for i, x in enumerate(E.eigenvalues(COV)))} FROM m), u AS (SELECT qid AS point_id, n, {', '.join(f'{x} AS u{c[1:]}' for c, x in zip(COV, least_projection('l0', 'l1', 'l2'), strict=True))} FROM v)"
+
+
+@query("a11_covariances", PROJECTED_SQL + f" SELECT point_id, {q6(*[(c, f'{1.0 if c[1] == c[2] else 0.0} - 0.999 * u{c[1:]}') for c in COV], digits=4)} FROM u")
 def a11_eig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.covariances(cloud_e(spark, sf_dir, "point_id", *XYZ))
+    return features.covariances(cloud_e(spark, sf_dir, "point_id", *XYZ)).select("point_id", *r6(*COV, digits=4))
 
 
 @query("a12_running_statistics", f"SELECT count(value) AS n, {q6(('mean', 'avg(value)'), ('var', 'var_pop(value)'), ('std', 'stddev_pop(value)'), ('min', 'min(value)'), ('max', 'max(value)'), digits=4)} FROM events")
@@ -411,22 +450,60 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.running_statistics(cloud_t(spark, sf_dir), "intensity").select("n", *r6("mean", "var", "std", "min", "max", digits=4))
 
 
-@query("a18_normals")
+@query("a18_normals", PROJECTED_SQL + f" SELECT point_id, {q6(*[(f'u{c[1:]}', f'u{c[1:]}') for c in COV], digits=4)}, FALSE AS away FROM u")
 def a18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.normals(cloud_e(spark, sf_dir, "point_id", *XYZ))
+    """An eigenvector's sign is open where the limit does not set it, so normals are compared by their products; none may face away beyond the limit."""
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ)
+    n = dict(zip("012", NORMAL, strict=True))
+    out = features.normals(df).join(df, "point_id")
+    return out.select("point_id", *[F.round(F.col(n[c[1]]) * F.col(n[c[2]]), 4).alias(f"u{c[1:]}") for c in COV], F.expr(f"{E.dot(XYZ, NORMAL)} > 1.0").alias("away"))
+
+
+def pair_sql(edges: str, keys: tuple[str, ...]) -> str:
+    """f(keys, theta, alpha, phi, dist) of edges(keys, i, j): angles between the oriented points i and j of the cloud."""
+    k = ", ".join(keys)
+    d, a, b = (["dx", "dy", "dz"], ["nax", "nay", "naz"], ["nbx", "nby", "nbz"])
+    both = ", ".join([f"p.{c} - q.{c} AS d{c}" for c in XYZ] + [f"q.n{c} AS na{c}" for c in XYZ] + [f"p.n{c} AS nb{c}" for c in XYZ])
+    pick = ", ".join([f"CASE WHEN s THEN nb{c} ELSE na{c} END AS u{c}" for c in XYZ] + [f"CASE WHEN s THEN na{c} ELSE nb{c} END AS w{c}" for c in XYZ] + [f"CASE WHEN s THEN -d{c} ELSE d{c} END AS e{c}" for c in XYZ])
+    u, w, e, v = ([f"{n}{c}" for c in XYZ] for n in "uwev")
+    unit = [f"({c} / vn)" for c in v]
+    ok = "len > 0 AND vn > 0"
+    return (
+        f", f1 AS (SELECT {k}, {both} FROM {edges} g JOIN e q ON g.i = q.point_id JOIN e p ON g.j = p.point_id), f2 AS (SELECT *, sqrt({E.norm2(d)}) AS len FROM f1)"
+        f", f3 AS (SELECT *, {E.dot(a, d)} / len AS aa, {E.dot(b, d)} / len AS bb, abs({E.dot(a, d)} / len) < abs({E.dot(b, d)} / len) AS s FROM f2)"
+        f", f4 AS (SELECT {k}, len, CASE WHEN s THEN -bb ELSE aa END AS ph, {pick} FROM f3), f5 AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in zip(v, E.cross(e, u), strict=True))} FROM f4)"
+        f", f6 AS (SELECT *, sqrt({E.norm2(v)}) AS vn FROM f5), f AS (SELECT {k}, CASE WHEN {ok} THEN {E.dot(unit, w)} ELSE 0 END AS alpha, CASE WHEN {ok} THEN atan2({E.dot(E.cross(u, unit), w)}, {E.dot(u, w)}) ELSE 0 END AS theta"
+        f", CASE WHEN {ok} THEN ph ELSE 0 END AS phi, CASE WHEN {ok} THEN len ELSE 0 END AS dist FROM f6)"
+    )
 
 
-@query("a15_pfh")
+def bin_sql(n: int) -> list[str]:
+    return [f"CAST(least(greatest(floor({n} * ({x})), 0), {n - 1}) AS INT)" for x in ("(theta + pi()) / (2 * pi())", "(alpha + 1.0) / 2.0", "(phi + 1.0) / 2.0")]
+
+
+NEAR8 = near_sql(f"{PAIR_D2} < {0.8 * 0.8!r}", None)
+PFH_SQL = NEAR8 + ", g AS (SELECT x.qid, x.point_id AS i, y.point_id AS j FROM n x JOIN n y USING (qid) WHERE x.point_id > y.point_id)" + pair_sql("g", ("qid",)) + f", c AS (SELECT qid, {bin_sql(5)[0]} * 25 + {bin_sql(5)[1]} * 5 + {bin_sql(5)[2]} AS bin, count(*) AS k FROM f GROUP BY 1, 2), m AS (SELECT qid, count(*) AS n FROM n GROUP BY qid) SELECT qid AS point_id, bin, round(k * 100.0 / (n * (n - 1) / 2), 6) AS value FROM c JOIN m USING (qid)"
+_BIN11 = bin_sql(11)
+FPFH_SQL = (
+    NEAR8 + ", g AS (SELECT qid, qid AS i, point_id AS j FROM n WHERE qid <> point_id)" + pair_sql("g", ("qid",))
+    + f", b AS (SELECT qid, {_BIN11[0]} AS bin FROM f UNION ALL SELECT qid, {_BIN11[1]} + 11 FROM f UNION ALL SELECT qid, {_BIN11[2]} + 22 FROM f)"
+    + ", m AS (SELECT qid, count(*) AS n FROM g GROUP BY qid), s AS (SELECT qid AS j, bin, count(*) * 100.0 / any_value(n) AS value FROM b JOIN m USING (qid) GROUP BY qid, bin)"
+    + ", w AS (SELECT n.qid, bin, sum(value / d2) AS v FROM n JOIN s ON n.point_id = s.j WHERE d2 > 0 GROUP BY 1, 2), z AS (SELECT qid, 100.0 / sum(v) AS s FROM w WHERE bin < 11 GROUP BY qid)"
+    + " SELECT qid AS point_id, bin, round(v * s, 6) AS value FROM w JOIN z USING (qid)"
+)
+
+
+@query("a15_pfh", PFH_SQL)
 def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.pfh(cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL), 0.8).select("point_id", "bin", *r6("value"))
 
 
-@query("a16_fpfh")
+@query("a16_fpfh", FPFH_SQL)
 def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.fpfh(cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL), 0.8).select("point_id", "bin", *r6("value"))
 
 
-@query("a17_pair_features")
+@query("a17_pair_features", NEAR8 + ", g AS (SELECT qid, point_id AS j, qid AS i FROM n WHERE qid < point_id)" + pair_sql("g", ("qid", "j")).replace("SELECT qid, j, p.x", "SELECT g.qid, g.j, p.x", 1) + f" SELECT qid, j, {q6(('f_theta', 'theta'), ('f_phi', 'phi'), ('f_alpha', 'alpha'), ('f_dist', 'dist'))} FROM f")
 def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL)
     near = neighbors.radius_search(neighbors.as_queries(df), df, 0.8).where("qid < point_id")
@@ -434,17 +511,25 @@ def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.pair_features(features._oriented(edges, df, "qid", "j")).select("qid", "j", *r6("f_theta", "f_phi", "f_alpha", "f_dist"))
 
 
-D_AN = [f"({E.minus([f'p.{c}' for c in XYZ], [f'q.{c}' for c in XYZ])[i]} - along * q.{NORMAL[i]})" for i in range(3)]
 GRAD_AT = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
 GRAD_INV = E.symmetric(E.inverse(COV))
-GRADIENT_SQL = (
-    near_sql("TRUE", 10)
-    + f", o AS (SELECT n.qid, {E.dot(E.minus([f'p.{c}' for c in XYZ], [f'q.{c}' for c in XYZ]), [f'q.{c}' for c in NORMAL])} AS along, n.point_id AS pid FROM n JOIN e p ON n.point_id = p.point_id JOIN e q ON n.qid = q.point_id WHERE n.qid <> n.point_id)"
-    + f", a AS (SELECT o.qid, {', '.join(f'{d} AS a{i}' for i, d in enumerate(D_AN))}, p.intensity - q.intensity AS b FROM o JOIN e p ON o.pid = p.point_id JOIN e q ON o.qid = q.point_id)"
-    + f", s AS (SELECT qid, {', '.join(f'sum(a{i} * a{j}) AS {c}' for c, (i, j) in zip(COV, GRAD_AT, strict=True))}, {', '.join(f'sum(a{i} * b) AS r{i}' for i in range(3))} FROM a GROUP BY qid)"
-    + f", f AS (SELECT s.qid, r0, r1, r2, {', '.join(f's.{c} + e.{NORMAL[i]} * e.{NORMAL[j]} AS {c}' for c, (i, j) in zip(COV, GRAD_AT, strict=True))} FROM s JOIN e ON s.qid = e.point_id)"
-    + f" SELECT qid AS point_id, {q6(*[(f'g{c}', ' + '.join(f'{GRAD_INV[i][j]} * r{j}' for j in range(3))) for i, c in enumerate(XYZ)], digits=5)} FROM f"
-)
+
+
+def gradient_sql(table: str) -> str:
+    """gr(point_id, gx, gy, gz) of a table's points by their ten nearest in it."""
+    d = E.minus([f"p.{c}" for c in XYZ], [f"q.{c}" for c in XYZ])
+    flat = [f"({d[i]} - along * q.{NORMAL[i]})" for i in range(3)]
+    return (
+        near_sql("TRUE", 10, q=table, p=table, name="gn")
+        + f", go AS (SELECT gn.qid, {E.dot(d, [f'q.{c}' for c in NORMAL])} AS along, gn.point_id AS pid FROM gn JOIN {table} p ON gn.point_id = p.point_id JOIN {table} q ON gn.qid = q.point_id WHERE gn.qid <> gn.point_id)"
+        + f", ga AS (SELECT go.qid, {', '.join(f'{x} AS a{i}' for i, x in enumerate(flat))}, p.intensity - q.intensity AS b FROM go JOIN {table} p ON go.pid = p.point_id JOIN {table} q ON go.qid = q.point_id)"
+        + f", gs AS (SELECT qid, {', '.join(f'sum(a{i} * a{j}) AS {c}' for c, (i, j) in zip(COV, GRAD_AT, strict=True))}, {', '.join(f'sum(a{i} * b) AS r{i}' for i in range(3))} FROM ga GROUP BY qid)"
+        + f", gf AS (SELECT gs.qid, r0, r1, r2, {', '.join(f'gs.{c} + x.{NORMAL[i]} * x.{NORMAL[j]} AS {c}' for c, (i, j) in zip(COV, GRAD_AT, strict=True))} FROM gs JOIN {table} x ON gs.qid = x.point_id)"
+        + f", gr AS (SELECT qid AS point_id, {', '.join(' + '.join(f'{GRAD_INV[i][j]} * r{j}' for j in range(3)) + f' AS g{c}' for i, c in enumerate(XYZ))} FROM gf)"
+    )
+
+
+GRADIENT_SQL = gradient_sql("e") + f" SELECT point_id, {q6(*[(f'g{c}', f'g{c}') for c in XYZ], digits=5)} FROM gr"
 
 
 @query("a19_intensity_gradients", GRADIENT_SQL)
@@ -499,15 +584,18 @@ def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.sort_by_time(cloud_t(spark, sf_dir)).select("point_id", *r6("t"))
 
 
-@query("w8_stamp_gaps", ", g AS (SELECT point_id, t - lag(t) OVER (ORDER BY t) AS dt FROM t WHERE frame_id = 7), o AS (SELECT dt, row_number() OVER (ORDER BY dt) AS r, count(*) OVER () AS n FROM g WHERE dt IS NOT NULL), m AS (SELECT dt AS m FROM o WHERE r = n // 2 + 1) SELECT point_id, round(dt, 5) AS dt, coalesce(dt < 0.5 * m OR dt > 2 * m, FALSE) AS anomaly FROM g LEFT JOIN m ON TRUE")
+W8_SQL = ", g AS (SELECT point_id, frame_id, t - lag(t) OVER ({0}) AS dt FROM t), o AS (SELECT dt, row_number() OVER (ORDER BY dt) AS r, count(*) OVER () AS n FROM g WHERE dt IS NOT NULL), m AS (SELECT dt AS m FROM o WHERE r = n // 2 + 1) SELECT {1}round(dt, 6) AS dt, coalesce(dt < 0.5 * m OR dt > 2 * m, FALSE) AS anomaly FROM g LEFT JOIN m ON TRUE"
+
+
+@query("w8_stamp_gaps", W8_SQL.format("PARTITION BY frame_id ORDER BY t", "frame_id, "))
 def w8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.stamp_gaps(cloud_t(spark, sf_dir).where("frame_id = 7"), "t", "frame_id").select("point_id", *r6("dt", digits=5), "anomaly")
+    return stats.stamp_gaps(cloud_t(spark, sf_dir), "t", "frame_id").select("frame_id", *r6("dt"), "anomaly")
 
 
-@query("w8_stamp_gaps_all")
-def w8_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every frame; tests hold it against brute force."""
-    return stats.stamp_gaps(cloud_t(spark, sf_dir), "t", "frame_id").select("point_id", "frame_id", *r6("dt", digits=5), "anomaly")
+@query("w8_stamp_gaps_one", W8_SQL.format("ORDER BY t", ""))
+def w8_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stamps as one sequence."""
+    return stats.stamp_gaps(cloud_t(spark, sf_dir), "t").select(*r6("dt"), "anomaly")
 
 
 @query("w9_unique_by_source", "SELECT frame_id, min(point_id) AS point_id FROM e GROUP BY frame_id")
@@ -515,10 +603,10 @@ def w9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.ordered_unique(cloud_e(spark, sf_dir, "frame_id", "point_id"), "frame_id", "point_id")
 
 
-@query("w10_union", f"SELECT point_id, {q6(('x', 'x'))} FROM e WHERE frame_id < 2 UNION ALL SELECT point_id, {q6(('x', 'x'))} FROM e WHERE frame_id < 4")
+@query("w10_union", f"SELECT point_id, {q6(('x', 'x'))} FROM e UNION ALL SELECT point_id, {q6(('x', 'y'))} FROM e")
 def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = cloud_e(spark, sf_dir, "point_id", "frame_id", "x")
-    return rows.concatenate(df.where("frame_id < 2"), df.where("frame_id < 4")).select("point_id", *r6("x"))
+    df = cloud_e(spark, sf_dir, "point_id", "x", "y")
+    return rows.concatenate(df.select("point_id", "x"), df.select("point_id", F.col("y").alias("x"))).select("point_id", *r6("x"))
 
 
 # --- factors --------------------------------------------------------------------------------------------------------
@@ -567,17 +655,33 @@ def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_out(factors.vgicp(source, target_map(spark, sf_dir), FINE, POSE))
 
 
-@query("g8_vgicp_batch")
+#: One factor for each source frame 5 to 9, each with a motion of its own: a shift.
+BATCH_SQL = MAP_SQL + f", p AS ({' UNION ALL '.join(f'SELECT {k} AS frame_id, {POSES[k - 5][0][3]!r} AS dx, {POSES[k - 5][1][3]!r} AS dy, {POSES[k - 5][2][3]!r} AS dz' for k in range(5, 10))})" + f", src AS (SELECT frame_id, {', '.join(f'{c} + d{c} AS {c}' for c in XYZ)}, {', '.join(COV)} FROM e JOIN p USING (frame_id)), k AS (SELECT *, {E.voxel_key(FINE)} AS vkey FROM src), m AS (SELECT CAST(frame_id AS BIGINT) AS factor_id, {', '.join(f'k.{c} AS p{i}, v.m{c} - k.{c} AS r{i}' for i, c in enumerate(XYZ))}, {', '.join(f'v.{c} + k.{c} AS {c}' for c in COV)} FROM k JOIN v USING (vkey))"
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = cloud_e(spark, sf_dir).where("frame_id >= 5").withColumn("factor_id", F.col("frame_id"))
+    return factors.vgicp_batch(source, target_map(spark, sf_dir), {k: POSES[k - 5] for k in range(5, 10)}, FINE)
+
+
+@query("g8_vgicp_batch", BATCH_SQL + f" SELECT factor_id, count(*) AS n_inliers, round(sum({MAHALANOBIS}), 4) AS error FROM m GROUP BY factor_id")
 def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, target = cloud_e(spark, sf_dir), target_map(spark, sf_dir)
-    batch = factors.vgicp_batch([(k, df.where(f"frame_id = {k}"), target, POSE) for k in (5, 6, 7)], FINE)
-    return linearize.errors(batch).select("factor_id", "n_inliers", *r6("error", digits=4))
+    return linearize.errors(_batch(spark, sf_dir)).select("factor_id", "n_inliers", *r6("error", digits=4))
+
 
+#: The Jacobian of the residual by rotation and translation of the moved point, as three rows of six.
+_J = [["0.0", "-p2", "p1", "-1.0", "0.0", "0.0"], ["p2", "0.0", "-p0", "0.0", "-1.0", "0.0"], ["-p1", "p0", "0.0", "0.0", "0.0", "-1.0"]]
 
-@query("a13_linearize")
+
+def normal_sql(row: int, col: int | None) -> str:
+    """An entry of J'WJ, or of J'Wr without a column."""
+    right = [_J[j][col] if col is not None else f"r{j}" for j in range(3)]
+    return "sum(" + " + ".join(f"({_J[i][row]}) * {_W[i][j]} * ({right[j]})" for i in range(3) for j in range(3)) + ")"
+
+
+@query("a13_linearize", BATCH_SQL + f" SELECT factor_id, count(*) AS n_inliers, {q6(*[(f'h{i}{j}', normal_sql(i, j)) for i in range(6) for j in range(i, 6)], *[(f'b{i}', normal_sql(i, None)) for i in range(6)], ('error', f'sum({MAHALANOBIS})'), digits=3)} FROM m GROUP BY factor_id")
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, _ = pair_of(spark, sf_dir)
-    out = linearize.linearized(factors.vgicp(source, target_map(spark, sf_dir), FINE, POSE))
+    out = linearize.linearized(_batch(spark, sf_dir))
     return out.select("factor_id", "n_inliers", *r6(*[c for c in out.columns if c not in ("factor_id", "n_inliers")], digits=3))
 
 
@@ -587,15 +691,44 @@ def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linearize.inlier_fraction(factors.vgicp(source, target_map(spark, sf_dir), FINE, POSE), source.count()).select(*r6("fraction"))
 
 
-for _name, _f in {
-    "g9_loam_edge": lambda s, d: residual_out(factors.loam_edge(*pair_of(s, d), POSE, 1.1)),
-    "g9_loam_plane": lambda s, d: residual_out(factors.loam_plane(*pair_of(s, d), POSE, 1.1)),
-    "g10_color_consistency": lambda s, d: residual_out(_colored(s, d, factors.color_consistency)),
-    "g11_colored_gicp": lambda s, d: residual_out(_colored(s, d, factors.colored_gicp)),
-    "g12_ct_icp": lambda s, d: residual_out(factors.ct_icp(pair_of(s, d)[0].withColumn("t", F.col("t") / 2), pair_of(s, d)[1], _square(POSES[0]), _square(POSES[1]), 1.1)),
-    "g13_ct_gicp": lambda s, d: residual_out(factors.ct_gicp(pair_of(s, d)[0].withColumn("t", F.col("t") / 2), pair_of(s, d)[1], _square(POSES[0]), _square(POSES[1]), 1.1)),
-}.items():
-    query(_name)(_f)
+def several_sql(k: int) -> str:
+    """s(x, y, z, a0x..): moved source points with all of their k nearest targets."""
+    pivot = ", ".join(f"max(CASE WHEN rank = {i + 1} THEN t.{c} END) AS a{i}{c}" for i in range(k) for c in XYZ)
+    near = FACTOR_SQL[: FACTOR_SQL.index(", n AS")] + near_sql(f"{PAIR_D2} < {1.1 * 1.1!r}", k, q="src", p="tgt")
+    return near + f", h AS (SELECT qid, count(*) AS k, {pivot} FROM n JOIN tgt t ON n.point_id = t.point_id GROUP BY qid), s AS (SELECT h.*, src.x, src.y, src.z FROM h JOIN src ON h.qid = src.point_id WHERE k = {k})"
+
+
+_A = [[f"a{i}{c}" for c in XYZ] for i in range(3)]
+_OFF = E.minus(_A[0], XYZ)
+_LINE, _FLAT = E.minus(_A[1], _A[0]), E.cross(E.minus(_A[1], _A[0]), E.minus(_A[2], _A[0]))
+EDGE_SQL = several_sql(2) + f", r AS (SELECT {E.norm2(_OFF)} AS oo, {E.dot(_OFF, _LINE)} AS al, {E.norm2(_LINE)} AS ll FROM s) SELECT count(*) AS n_inliers, round(sum(oo - al * al / ll), 4) AS error FROM r WHERE ll > 0"
+PLANE_SQL = several_sql(3) + f", r AS (SELECT {', '.join(f'{x} AS o{i}' for i, x in enumerate(_OFF))}, {', '.join(f'{x} AS n{i}' for i, x in enumerate(_FLAT))} FROM s), q AS (SELECT *, n0 * n0 + n1 * n1 + n2 * n2 AS nn FROM r) SELECT count(*) AS n_inliers, round(sum((o0 * o0 * n0 * n0 + o1 * o1 * n1 * n1 + o2 * o2 * n2 * n2) / nn), 4) AS error FROM q WHERE nn > 0"
+_G, _N, _D = ["g.gx", "g.gy", "g.gz"], [f"t.{c}" for c in NORMAL], [f"(s.{c} - t.{c})" for c in XYZ]
+_PROJ = [f"({_D[i]} - {E.dot(_D, _N)} * {_N[i]})" for i in range(3)]
+_TANGENT = [f"({_G[i]} - {E.dot(_G, _N)} * {_N[i]})" for i in range(3)]
+COLOR_CTE = gradient_sql("tgt") + f", k AS (SELECT t.intensity + {E.dot(_G, _PROJ)} - s.intensity AS d, {E.norm2(_TANGENT)} AS hh FROM n JOIN src s ON n.qid = s.point_id JOIN tgt t ON n.point_id = t.point_id JOIN gr g ON n.point_id = g.point_id)"
+COLOR_SQL = FACTOR_SQL + COLOR_CTE + " SELECT count(*) AS n_inliers, round(sum(d * d), 4) AS error FROM k WHERE hh > 1e-12"
+COLORED_SQL = FACTOR_SQL + COLOR_CTE + f", x AS (SELECT 0.75 * ({MAHALANOBIS}) AS e FROM m UNION ALL SELECT 0.25 * d * d FROM k WHERE hh > 1e-12) SELECT count(*) AS n_inliers, round(sum(e), 4) AS error FROM x"
+_CT_T = "((least(greatest(floor(t / 2 * 64), 0), 63) + 0.5) / 64)"
+CT_SQL = (
+    f", tgt AS (SELECT * FROM e WHERE frame_id < 5), src AS (SELECT point_id, {', '.join(f'{c} + {POSES[1][i][3]!r} * {_CT_T} AS {c}' for i, c in enumerate(XYZ))}, {', '.join(COV)} FROM e WHERE frame_id >= 5)"
+    + near_sql(f"{PAIR_D2} < {1.1 * 1.1!r}", 1, q="src", p="tgt")
+    + f", m AS (SELECT {', '.join(f't.{c} - s.{c} AS r{i}' for i, c in enumerate(XYZ))}, {', '.join(f's.{c} + t.{c} AS {c}' for c in COV)}, t.nx, t.ny, t.nz FROM n JOIN src s ON n.qid = s.point_id JOIN tgt t ON n.point_id = t.point_id)"
+)
+for _name, _sql, _f in (
+    ("g9_loam_edge", EDGE_SQL, lambda s, d: residual_out(factors.loam_edge(*pair_of(s, d), POSE, 1.1))),
+    ("g9_loam_plane", PLANE_SQL, lambda s, d: residual_out(factors.loam_plane(*pair_of(s, d), POSE, 1.1))),
+    ("g10_color_consistency", COLOR_SQL, lambda s, d: residual_out(_colored(s, d, factors.color_consistency))),
+    ("g11_colored_gicp", COLORED_SQL, lambda s, d: residual_out(_colored(s, d, factors.colored_gicp))),
+    ("g12_ct_icp", CT_SQL + " SELECT count(*) AS n_inliers, round(sum((r0 * nx + r1 * ny + r2 * nz) * (r0 * nx + r1 * ny + r2 * nz)), 4) AS error FROM m", lambda s, d: residual_out(_continuous(s, d, factors.ct_icp))),
+    ("g13_ct_gicp", CT_SQL + f" SELECT count(*) AS n_inliers, round(sum({MAHALANOBIS}), 4) AS error FROM m", lambda s, d: residual_out(_continuous(s, d, factors.ct_gicp))),
+):
+    query(_name, _sql)(_f)
+
+
+def _continuous(spark: SparkSession, sf_dir: str, factor: Callable) -> DataFrame:
+    source, target = pair_of(spark, sf_dir)
+    return factor(source.withColumn("t", F.col("t") / 2), target, _square(POSES[0]), _square(POSES[1]), 1.1)
 
 
 def _square(m):
@@ -609,6 +742,106 @@ def _colored(spark: SparkSession, sf_dir: str, factor: Callable) -> DataFrame:
     return factor(source, target.join(features.intensity_gradients(target), "point_id"), POSE, 1.1)
 
 
+# --- files ----------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    import uuid
+
+    from .scratch import root
+
+    return f"{root(spark)}/pointloom/files-{uuid.uuid4().hex}"
+
+
+_POSE7 = [("tx", "x"), ("ty", "y"), ("tz", "z"), ("qx", "nx * sin(0.15)"), ("qy", "ny * sin(0.15)"), ("qz", "nz * sin(0.15)"), ("qw", "cos(0.15)")]
+
+
+def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud_e(spark, sf_dir).select((F.col("point_id") * 0.5).alias("ts"), *[F.expr(x).alias(c) for c, x in _POSE7])
+
+
+@query("io9_tum_round_trip", f"SELECT point_id * 0.5 AS ts, {q6(*_POSE7)} FROM e")
+def io9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trajectory written as text and read again, in the six digits of its format."""
+    from .sources import files
+
+    path = _folder(spark)
+    files.write_tum(_stamped(spark, sf_dir), path)
+    return files.read_tum(spark, path).select("ts", *r6(*[c for c, _ in _POSE7]))
+
+
+@query("io12_imu_round_trip", f"SELECT point_id * 0.5 AS ts, {q6(('ax', 'x'), ('ay', 'y'), ('az', 'z'), ('wx', 'nx'), ('wy', 'ny'), ('wz', 'nz'))} FROM e")
+def io12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import files
+
+    path, names = _folder(spark), ("ax", "ay", "az", "wx", "wy", "wz")
+    files.write_imu(cloud_e(spark, sf_dir).select((F.col("point_id") * 0.5).alias("ts"), *[F.col(c).alias(n) for n, c in zip(names, (*XYZ, *NORMAL), strict=True)]), path)
+    back = spark.read.csv(path, sep=" ", schema=", ".join(f"{c} double" for c in ("ts", *names)))
+    return back.select("ts", *r6(*names))
+
+
+@query("io10_timestamps", "SELECT point_id * 0.5 AS ts FROM e")
+def io10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import files
+
+    path = _folder(spark)
+    _stamped(spark, sf_dir).select(F.format_string("%.9f", "ts").alias("value")).write.text(path)
+    return files.read_timestamps(spark, path)
+
+
+@query("io8_read_graph", f"SELECT point_id AS frame_id, {q6(*_POSE7)} FROM e")
+def io8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import files
+
+    path = _folder(spark)
+    lines = cloud_e(spark, sf_dir).select("point_id", *[F.expr(x).alias(c) for c, x in _POSE7])
+    lines.select(F.format_string("v%d" + " %.6f" * 7, "point_id", *[c for c, _ in _POSE7]).alias("value")).write.text(path)
+    return files.read_graph(spark, path).select("frame_id", *r6(*[c for c, _ in _POSE7]))
+
+
+def _packed(spark: SparkSession, sf_dir: str, columns: tuple[str, ...], path: str) -> str:
+    """The cloud's columns as one file of float32 numbers, in the order of point_id."""
+    from .sources.files import created
+
+    found = cloud_e(spark, sf_dir, "point_id", *columns).orderBy("point_id").toPandas()  # one scan
+    with created(spark, f"{path}/cloud.bin") as write:
+        write(found[list(columns)].to_numpy().astype("<f4").tobytes())
+    return f"{path}/cloud.bin"
+
+
+for _name, _reader, _columns in (("io1_read_points", "read_points", XYZ), ("io2_read_points4", "read_points4", (*XYZ, "intensity")), ("io3_read_times", "read_times", ("t",))):
+
+    @query(_name, f"SELECT row_number() OVER (ORDER BY point_id) - 1 AS point_id, {', '.join(f'round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 5) AS {c}' for c in _columns)} FROM e")
+    def _read(spark: SparkSession, sf_dir: str, reader: str = _reader, columns: tuple[str, ...] = _columns) -> DataFrame:
+        from .sources import files
+
+        return getattr(files, reader)(spark, _packed(spark, sf_dir, columns, _folder(spark))).select("point_id", *r6(*columns, digits=5))
+
+
+_FRAME_COLUMNS = (*XYZ, "t", *NORMAL, *COV, "intensity")
+for _name, _compact in (("io5_frame_round_trip", False), ("io6_compact_frame_round_trip", True)):
+
+    @query(_name, f"SELECT row_number() OVER (ORDER BY point_id) - 1 AS point_id, {q6(*[(c, f'CAST(CAST({c} AS FLOAT) AS DOUBLE)' if _compact else c) for c in _FRAME_COLUMNS], digits=5)} FROM e")
+    def _frame(spark: SparkSession, sf_dir: str, compact: bool = _compact) -> DataFrame:
+        """A frame folder written and read again (also IO4)."""
+        from .sources import files
+
+        path = _folder(spark)
+        files.save_frame(cloud_e(spark, sf_dir), path, compact)
+        return files.load_frame(spark, path).select("point_id", *r6(*_FRAME_COLUMNS, digits=5))
+
+
+@query("io7_voxelmap_round_trip", f"SELECT {E.voxel_key(FINE)} AS vkey, count(*) AS n, {q6(*[(f'm{c}', f'CAST(CAST(avg({c}) AS FLOAT) AS DOUBLE)') for c in XYZ], *[(c, f'CAST(CAST(avg({c}) AS FLOAT) AS DOUBLE)') for c in COV], ('intensity', 'CAST(CAST(max(intensity) AS FLOAT) AS DOUBLE)'), digits=4)} FROM e GROUP BY 1")
+def io7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import files
+
+    path = _folder(spark) + "/map.bin"
+    files.save_voxelmap(voxels.gaussian_voxelmap(cloud_e(spark, sf_dir), FINE), path, FINE)
+    back, _ = files.load_voxelmap(spark, path)
+    return back.select("vkey", "n", *r6("mx", "my", "mz", *COV, "intensity", digits=4))
+
+
 # --- segmentation and trajectories ----------------------------------------------------------------------------------
 
 REGION_SQL = (
@@ -692,6 +925,26 @@ _register_splines()
 # --- incremental maps, bundles, trajectories as jobs ----------------------------------------------------------------
 
 
+@query("s1_voxel_points_all", f"SELECT {E.voxel_key(FINE)} AS vkey, point_id, {q6(*[(c, c) for c in XYZ])} FROM e")
+def s1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without limits on distance and number, three batches keep every point in its voxel."""
+    from .streaming.maps import VoxelPoints
+
+    df, target = cloud_e(spark, sf_dir, "point_id", *XYZ), VoxelPoints(spark, FINE, least_distance=0.0, most_points=1 << 40)
+    for k in range(3):
+        target.insert(df.where(F.col("point_id") % 3 == k))
+    return target.state.select("vkey", "point_id", *r6(*XYZ))
+
+
+@query("s2_covariance_map_all", near_sql(_cells(27), 20) + f", m AS (SELECT qid, count(*) AS k, {', '.join(f'{v} AS {c}' for c, v in MOMENT.items())} FROM n JOIN e USING (point_id) GROUP BY qid) SELECT qid AS point_id, CAST(1 AS BIGINT) AS birth, {q6(*[(c, c) for c in COV])} FROM m WHERE k >= 5")
+def s2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch without limits: the covariances of all points that have neighbours enough."""
+    from .streaming.maps import CovarianceMap, VoxelPoints
+
+    target = CovarianceMap(VoxelPoints(spark, FINE, least_distance=0.0, most_points=1 << 40)).insert(cloud_e(spark, sf_dir, "point_id", *XYZ))
+    return target.valid().select("point_id", "birth", *r6(*COV))
+
+
 @query("s1_voxel_points")
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.maps import VoxelPoints
@@ -749,9 +1002,15 @@ def g16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preintegrate_segments(imu)
 
 
-@query("w7_time_table")
+W7_SQL = ", d AS (SELECT DISTINCT frame_id, t FROM t), x AS (SELECT d.frame_id, d.t, min(n.t) AS next FROM d JOIN d n ON d.frame_id = n.frame_id AND n.t - d.t > 3600.0 GROUP BY 1, 2), a AS (SELECT frame_id, min(t) AS t, CAST(0 AS BIGINT) AS bucket FROM d GROUP BY frame_id UNION ALL SELECT x.frame_id, x.next, bucket + 1 FROM a JOIN x ON a.frame_id = x.frame_id AND a.t = x.t), la AS (SELECT frame_id, max(t) AS last FROM d GROUP BY frame_id) SELECT t.frame_id, t.point_id, max(a.bucket) AS bucket, round(CASE WHEN any_value(last) = 0 THEN 0 ELSE any_value(t.t) / any_value(last) END, 6) AS t FROM t JOIN a ON t.frame_id = a.frame_id AND t.t >= a.t JOIN la ON t.frame_id = la.frame_id GROUP BY 1, 2"
+
+
+@query("w7_time_table", W7_SQL)
 def w7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factors.time_table(cloud_t(spark, sf_dir).select("frame_id", "point_id", "t"), 3600.0)
+    return factors.time_table(cloud_t(spark, sf_dir).select("frame_id", "point_id", "t"), 3600.0).select("frame_id", "point_id", "bucket", *r6("t"))
+
+
+ORACLES["w7_time_table"] = ORACLES["w7_time_table"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("t5_pose_interpolator")
@@ -767,8 +1026,9 @@ def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traj.evaluate(arange_timestamps(spark, 0.5, 19.0, 0.1).withColumnRenamed("stamp", "ts"))
 
 
-@query("o1_vgicp_alignment")
+@query("o1_vgicp_alignment", "SELECT TRUE AS converged, TRUE AS better, TRUE AS near")
 def o1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cloud pushed off its own voxel map comes back: iterated until the error settles; its error is below the start's, and it lies less than half as far off."""
     import numpy as np
 
     from .plans.optimize import Graph, LMParams, ScanFactor, levenberg_marquardt
@@ -778,38 +1038,81 @@ def o1(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = np.eye(4)
     start[:3, 3] = 0.05, -0.05, 0.03
     graph = Graph([ScanFactor(lambda m, i: factors.vgicp(df, target, FINE, m, i), 0)])
-    values, status = levenberg_marquardt(graph, {0: start}, LMParams(max_iterations=5))
-    return spark.createDataFrame([(int(status.iterations), float(status.error), *map(float, values[0][:3, 3]))], "iterations int, error double, tx double, ty double, tz double")
+    params = LMParams(max_iterations=30)
+    values, status = levenberg_marquardt(graph, {0: start}, params)
+    near = bool(np.linalg.norm(values[0][:3, 3]) < 0.5 * np.linalg.norm(start[:3, 3]))
+    return spark.createDataFrame([(status.iterations < params.max_iterations, bool(status.error < status.history[0]), near)], "converged boolean, better boolean, near boolean")
 
 
 def _rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(float(x) if not isinstance(x, (int, str)) else x for x in v) for v in values], schema)
 
 
-def _poses(spark: SparkSession, sf_dir: str, n: int = 40) -> list:
-    """n poses from the cloud's first points."""
+def _trajectory_sql() -> str:
+    """b: the motion between each pose and the next: its rotation r00.. and translation t0.., with the first pose's own a00.. and x, y, z.
+
+    The pose of a point has the rotation of 0.3 times its normal (an angle of 0.3) and the point as its place.
+    """
+    sin, one = math.sin(0.3), 1 - math.cos(0.3)
+    n = list(NORMAL)
+    hat = [["0.0", f"-{n[2]}", n[1]], [n[2], "0.0", f"-{n[0]}"], [f"-{n[1]}", n[0], "0.0"]]
+    turn = [f"{1.0 if i == j else 0.0} + {sin!r} * ({hat[i][j]}) + {one!r} * ({n[i]} * {n[j]} - {1.0 if i == j else 0.0})" for i in range(3) for j in range(3)]
+    poses = f", s AS (SELECT point_id, {', '.join(XYZ)}, {', '.join(f'{x} AS a{i // 3}{i % 3}' for i, x in enumerate(turn))} FROM e)"
+    rel = ", ".join(" + ".join(f"p.a{k}{i} * q.a{k}{j}" for k in range(3)) + f" AS r{i}{j}" for i in range(3) for j in range(3))
+    place = ", ".join(" + ".join(f"p.a{k}{i} * (q.{c} - p.{c})" for k, c in enumerate(XYZ)) + f" AS t{i}" for i in range(3))
+    between = f", b AS (SELECT p.point_id, {', '.join(f'p.{c}' for c in XYZ)}, {', '.join(f'p.a{i}{j}' for i in range(3) for j in range(3))}, {rel}, {place} FROM s p JOIN s q ON q.point_id = p.point_id + 1)"
+    log = ", c AS (SELECT *, acos(least(1.0, greatest(-1.0, (r00 + r11 + r22 - 1) / 2))) AS g FROM b), w AS (SELECT *, CASE WHEN g < 1e-6 THEN 0.5 ELSE g / (2 * sin(g)) END AS f FROM c), v AS (SELECT *, f * (r21 - r12) AS w0, f * (r02 - r20) AS w1, f * (r10 - r01) AS w2 FROM w)"
+    w, t = ["w0", "w1", "w2"], ["t0", "t1", "t2"]
+    once = E.cross(w, t)
+    twice = E.cross(w, once)
+    k = "CASE WHEN g < 1e-6 THEN 0.0 ELSE 1 / (g * g) - (1 + cos(g)) / (2 * g * sin(g)) END"
+    return poses + between + log + f", lg AS (SELECT *, {', '.join(f't{i} - 0.5 * {once[i]} + ({k}) * {twice[i]} AS v{i}' for i in range(3))} FROM v)"
+
+
+def motions(spark: SparkSession, sf_dir: str, out: Callable, schema: str) -> DataFrame:
+    """out(pose, next pose) of each pose of the trajectory and the next, row by row in Arrow batches."""
     import numpy as np
+    import pandas as pd
 
     from .functions import lie
 
-    found = cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL).where(F.col("point_id") < n).orderBy("point_id").collect()
-    return [lie.pose(lie.so3_exp(0.3 * np.array([r.nx, r.ny, r.nz])), np.array([r.x, r.y, r.z])) for r in found]
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL)
+    names = (*XYZ, *NORMAL)
+    both = df.join(df.select((F.col("point_id") - 1).alias("point_id"), *[F.col(c).alias(f"b{c}") for c in names]), "point_id")
+
+    def run(batches):
+        for pdf in batches:
+            rows_ = pdf[[*names, *[f"b{c}" for c in names]]].to_numpy()
+            of = lambda r: lie.pose(lie.so3_exp(0.3 * r[3:6]), r[:3])
+            made = np.array([out(of(r[:6]), of(r[6:])) for r in rows_]).reshape(len(pdf), -1)
+            yield pd.DataFrame({"point_id": pdf.point_id} | {c.split()[0]: made[:, i] for i, c in enumerate(schema.split(", "))})
 
+    return both.mapInPandas(run, f"point_id long, {schema}")
 
-@query("p16_se3_log_exp")
+
+@query("p16_se3_log_exp", _trajectory_sql() + f" SELECT point_id, {q6(*[(f'w{i}', f'w{i}') for i in range(3)], *[(f'v{i}', f'v{i}') for i in range(3)], digits=5)} FROM lg")
 def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions import lie
 
-    poses = _poses(spark, sf_dir)
-    return _rows(spark, [(i, *lie.se3_log(lie.between(a, b))) for i, (a, b) in enumerate(zip(poses, poses[1:], strict=False))], "i int, rx double, ry double, rz double, tx double, ty double, tz double")
+    out = motions(spark, sf_dir, lambda a, b: lie.se3_log(lie.between(a, b)), "w0 double, w1 double, w2 double, v0 double, v1 double, v2 double")
+    return out.select("point_id", *r6("w0", "w1", "w2", "v0", "v1", "v2", digits=5))
+
 
+def _interpolated_sql(s: float) -> str:
+    w, v = [f"({s!r} * w{i})" for i in range(3)], [f"({s!r} * v{i})" for i in range(3)]
+    once = E.cross(w, v)
+    twice = E.cross(w, once)
+    g = f"({s!r} * g)"
+    step = [f"{v[i]} + (1 - cos({g})) / ({g} * {g}) * {once[i]} + ({g} - sin({g})) / ({g} * {g} * {g}) * {twice[i]}" for i in range(3)]
+    return f", u AS (SELECT *, {', '.join(f'{x} AS d{i}' for i, x in enumerate(step))} FROM lg) SELECT point_id, {q6(*[(f't{c}', f'{c} + ' + ' + '.join(f'a{i}{j} * d{j}' for j in range(3))) for i, c in enumerate(XYZ)], digits=5)} FROM u"
 
-@query("p17_interpolate_pose")
+
+@query("p17_interpolate_pose", _trajectory_sql() + _interpolated_sql(0.3))
 def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place three tenths of the way from each pose to the next."""
     from .functions import lie
 
-    a, b = _poses(spark, sf_dir, 2)
-    return _rows(spark, [(t / 10, *lie.interpolate(a, b, t / 10)[:3, 3]) for t in range(11)], "t double, tx double, ty double, tz double")
+    return motions(spark, sf_dir, lambda a, b: lie.interpolate(a, b, 0.3)[:3, 3], "tx double, ty double, tz double").select("point_id", *r6("tx", "ty", "tz", digits=5))
 
 
 @query("p21_voxel_points", f"SELECT {E.voxel_key(FINE)} AS vkey, point_id, {q6(*[(c, c) for c in XYZ])} FROM e")
@@ -822,31 +1125,44 @@ def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud_e(spark, sf_dir, "point_id", "intensity").orderBy(F.desc("intensity"), "point_id").select("point_id", *r6("intensity"))
 
 
-@query("w11_dilation", f"SELECT DISTINCT p.point_id FROM e q, e p WHERE q.point_id < 20 AND {PAIR_D2} < 0.81")
+@query("w11_dilation", f"SELECT DISTINCT p.point_id FROM e q, e p WHERE q.frame_id = 0 AND {PAIR_D2} < 0.81")
 def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region (frame 0) grows by its surroundings in the whole cloud."""
     from .plans.segmentation import RegionParams, region_dilation
 
-    df = cloud_e(spark, sf_dir, "point_id", *XYZ)
-    return region_dilation(df, df.where("point_id < 20").select("point_id"), RegionParams(dilation=0.9))
+    df = cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ)
+    return region_dilation(df, df.where("frame_id = 0").select("point_id"), RegionParams(dilation=0.9))
+
 
+_POOLED_MEAN = POOLED_SQL.replace(" FROM e)", f", {', '.join(f'avg({c}) AS m{c}' for c in XYZ)}, count(*) AS k FROM e)")
+A22_SQL = _POOLED_MEAN + f", v AS (SELECT *, {', '.join(f'{x} AS l{i}' for i, x in enumerate(E.eigenvalues(COV)))} FROM p), u AS (SELECT *, {', '.join(f'{x} AS u{c[1:]}' for c, x in zip(COV, least_projection('l0', 'l1', 'l2'), strict=True))} FROM v)"
+_U = E.symmetric([f"u{c[1:]}" for c in COV])
 
-@query("a22_eigen_derivatives")
+
+@query("a22_eigen_derivatives", A22_SQL + f" SELECT point_id, {q6(('value', 'l0'), *[(f'd{c}', '2.0 / k * (' + ' + '.join(f'{_U[i][j]} * ({b} - m{b})' for j, b in enumerate(XYZ)) + ')') for i, c in enumerate(XYZ)])} FROM e, u")
 def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
+    """How the least eigenvalue of the whole cloud's covariance changes with each point."""
+    from .plans.bundle import eigen_gradients
+
+    return eigen_gradients(cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ), 0).select("point_id", *r6("value", "dx", "dy", "dz"))
 
-    from .plans.bundle import eigen_derivatives
 
-    points = np.array(cloud_e(spark, sf_dir, "point_id", *XYZ).where("point_id < 16").orderBy("point_id").select(*XYZ).collect())
-    value, grad, _ = eigen_derivatives(points, 0)
-    return _rows(spark, [(i, value, g) for i, g in enumerate(grad)], "i int, value double, gradient double")
+#: Factors on the motion from pose a (null: fixed) to pose b.
+LINKS = [(5, None, 0), (6, 0, 1), (7, 1, 2), (8, 2, 3), (9, 0, 3)]
+BLOCKS_SQL = (
+    BATCH_SQL + f", s AS (SELECT factor_id, {', '.join(f'{normal_sql(i, j)} AS h{i}{j}' for i in range(6) for j in range(6))} FROM m GROUP BY factor_id)"
+    + f", h AS ({' UNION ALL '.join(f'SELECT factor_id, {i} AS row, {j} AS col, h{i}{j} AS value FROM s' for i in range(6) for j in range(6))})"
+    + f", lk AS (SELECT * FROM (VALUES {', '.join(f'({f}, {chr(78) + chr(85) + chr(76) + chr(76) if a is None else a}, {b})' for f, a, b in LINKS)}) t(factor_id, a, b))"
+    + ", x AS (SELECT b AS i, b AS j, row, col, value FROM h JOIN lk USING (factor_id) UNION ALL SELECT a, a, row, col, value FROM h JOIN lk USING (factor_id) WHERE a IS NOT NULL"
+    + " UNION ALL SELECT a, b, row, col, -value FROM h JOIN lk USING (factor_id) WHERE a IS NOT NULL UNION ALL SELECT b, a, row, col, -value FROM h JOIN lk USING (factor_id) WHERE a IS NOT NULL)"
+    + " SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, row, col, round(sum(value), 3) AS value FROM x GROUP BY 1, 2, 3, 4"
+)
 
 
-@query("a26_system_blocks")
+@query("a26_system_blocks", BLOCKS_SQL)
 def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, target = cloud_e(spark, sf_dir), target_map(spark, sf_dir)
-    linear = linearize.linearized(factors.vgicp_batch([(k, df.where(f"frame_id = {k}"), target, POSE) for k in (5, 6, 7)], FINE))
-    keys = spark.createDataFrame([(5, None, 0), (6, 0, 1), (7, 1, 2)], "factor_id long, a long, b long")
-    return linearize.system_blocks(linear, keys).select("i", "j", "row", "col", *r6("value", digits=3))
+    keys = spark.createDataFrame(LINKS, "factor_id long, a long, b long")
+    return linearize.system_blocks(linearize.linearized(_batch(spark, sf_dir)), keys).select("i", "j", "row", "col", *r6("value", digits=3))
 
 
 def _registration(spark: SparkSession, sf_dir: str):
@@ -856,69 +1172,97 @@ def _registration(spark: SparkSession, sf_dir: str):
     return rows.transform(df, POSE), df, f, f
 
 
-@query("g1_ransac")
+def _found(spark: SparkSession, found) -> DataFrame:
+    import numpy as np
+
+    m = [(*[float(x) for x in np.asarray(found.motion)[:3].ravel()], bool(found.inlier_rate > 0.99))]
+    names = [f"m{i}{j}" for i in range(3) for j in range(4)]
+    return spark.createDataFrame(m, ", ".join(f"{c} double" for c in names) + ", inliers boolean").select(*r6(*names, digits=4), "inliers")
+
+
+MOTION_SQL = "SELECT " + ", ".join(f"round({POSE[i][j]!r}, 4) AS m{i}{j}" for i in range(3) for j in range(4)) + ", TRUE AS inliers"
+
+
+@query("g1_ransac", MOTION_SQL)
 def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The motion between a cloud and the same one moved."""
     from .plans.registration import RansacParams, ransac
 
-    found = ransac(*_registration(spark, sf_dir), RansacParams(iterations=64, chunk=64, resolution=RES))
-    return _rows(spark, [(found.inlier_rate, *found.motion[:3].ravel())], "inlier_rate double, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(4)))
+    return _found(spark, ransac(*_registration(spark, sf_dir), RansacParams(resolution=RES)))
 
 
-@query("g2_gnc")
+@query("g2_gnc", MOTION_SQL)
 def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.registration import gnc
 
-    found = gnc(*_registration(spark, sf_dir))
-    return _rows(spark, [(found.inlier_rate, *found.motion[:3].ravel())], "inlier_rate double, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(4)))
+    return _found(spark, gnc(*_registration(spark, sf_dir)))
 
 
-@query("g15_lsq_bundle")
+@query("g15_lsq_bundle", POOLED_SQL + f" SELECT round({_EV[0]} * (SELECT count(*) FROM e), 4) AS error FROM p")
 def g15(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
 
-    from .plans.bundle import lsq_error
+    from .plans.bundle import PlaneFactor, frame_parts
 
-    parts = stats.distribution(cloud_e(spark, sf_dir), "frame_id").orderBy("frame_id").collect()
-    cov = [np.array([[r.c00, r.c01, r.c02], [r.c01, r.c11, r.c12], [r.c02, r.c12, r.c22]]) for r in parts]
-    return _rows(spark, [(lsq_error([(r.n, np.array([r.mx, r.my, r.mz]), c) for r, c in zip(parts, cov, strict=True)], [np.eye(4)] * len(parts)),)], "error double")
+    parts = frame_parts(cloud_e(spark, sf_dir))
+    error, _, _ = PlaneFactor(tuple(parts), list(parts.values())).linearize(dict.fromkeys(parts, np.eye(4)))
+    return _rows(spark, [(round(error, 4),)], "error double")
 
 
-@query("g17_small_factors")
+@query("g17_small_factors", "SELECT p.point_id, 0.0 AS interpolation, 0.0 AS calibration, 0.0 AS similarity FROM e p JOIN e q ON q.point_id = p.point_id + 1")
 def g17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-
+    """The largest residual where it must vanish, at each pose and the next: the pose half way, a motion seen from a sensor on the body, and a similarity of scale one."""
+    from .functions import lie
     from .plans import bundle
 
-    a, b, c, d = _poses(spark, sf_dir, 4)
-    values = {
-        "interpolation": bundle.interpolation_residual(a, b, c, 0.5), "calibration": bundle.calibration_residual(a, b, c, d),
-        "rotate_vector": bundle.rotate_vector_residual(a[:3, :3], np.array([0, 0, 1.0]), b[:3, 2]), "similarity": bundle.similarity_residual(1.1, a, b, c),
-    }
-    return _rows(spark, [(k, i, x) for k, v in values.items() for i, x in enumerate(v)], "factor string, i int, residual double")
+    def out(a, b):
+        parts = (
+            bundle.interpolation_residual(a, b, lie.interpolate(a, b, 0.5), 0.5), bundle.calibration_residual(a, b, b, lie.inverse(b) @ lie.between(a, b) @ b),
+            bundle.similarity_residual(1.0, a, b, lie.between(a, b)),
+        )
+        return [abs(p).max() for p in parts]
 
+    names = ("interpolation", "calibration", "similarity")
+    return motions(spark, sf_dir, out, ", ".join(f"{c} double" for c in names)).select("point_id", *r6(*names))
 
-def _chain(spark: SparkSession, sf_dir: str, n: int = 12):
+
+def _chain(spark: SparkSession, sf_dir: str):
+    """The cloud's points as a trajectory: a prior on the first pose and the motion from each to the next. A graph's poses are the driver's."""
     from .functions import lie
     from .plans.optimize import BetweenFactor, PriorFactor
 
-    poses = _poses(spark, sf_dir, n)
+    found = cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL).orderBy("point_id").collect()  # one row a pose of the graph
+    poses = [lie.pose(lie.so3_exp(0.3 * np_array([r.nx, r.ny, r.nz])), np_array([r.x, r.y, r.z])) for r in found]
     return poses, [PriorFactor(0, poses[0]), *[BetweenFactor(k, k + 1, lie.between(a, b)) for k, (a, b) in enumerate(zip(poses, poses[1:], strict=False))]]
 
 
+def np_array(values: list[float]):
+    import numpy as np
+
+    return np.array(values)
+
+
 def _values(spark: SparkSession, values: dict) -> DataFrame:
-    return _rows(spark, [(int(k), *m[:3, 3]) for k, m in sorted(values.items())], "key long, tx double, ty double, tz double")
+    return _rows(spark, [(int(k), *m[:3, 3]) for k, m in sorted(values.items())], "key long, tx double, ty double, tz double").select("key", *r6("tx", "ty", "tz", digits=3))
 
 
-for _name in ("o2_incremental_smoother", "o3_dogleg", "o4_fixed_lag_smoother", "o5_fixed_lag_with_fallback"):
+CHAIN_SQL = f"SELECT point_id AS key, {q6(*[(f't{c}', c) for c in XYZ], digits=3)} FROM e"
+for _name, _where in (("o2_incremental_smoother", ""), ("o3_dogleg", ""), ("o4_fixed_lag_smoother", " WHERE point_id >= (SELECT max(point_id) - 4 FROM e)"), ("o5_fixed_lag_with_fallback", " WHERE point_id >= (SELECT max(point_id) - 4 FROM e)")):
 
-    @query(_name)
+    @query(_name, CHAIN_SQL + _where)
     def _smooth(spark: SparkSession, sf_dir: str, name: str = _name) -> DataFrame:
-        from .plans.optimize import FixedLagSmoother, Graph, IncrementalSmoother, dogleg
+        """The poses that a consistent chain of motions has, each started at the one before it."""
+        from .plans.optimize import FixedLagSmoother, Graph, IncrementalSmoother, LMParams, dogleg
 
         poses, chain = _chain(spark, sf_dir)
         if name == "o3_dogleg":
-            return _values(spark, dogleg(Graph(chain), dict.fromkeys(range(len(poses)), poses[0]))[0])
-        smoother = IncrementalSmoother() if name.startswith("o2") else FixedLagSmoother(4.5, fallback=name.startswith("o5"))
+            return _values(spark, dogleg(Graph(chain), {k: poses[max(k - 1, 0)] for k in range(len(poses))}, radius=10.0)[0])
+        if name.startswith("o2"):
+            smoother = IncrementalSmoother()
+            for k, factor in enumerate(chain):
+                out = smoother.update([factor], {k: poses[max(k - 1, 0)]})
+            return _values(spark, out)
+        smoother = FixedLagSmoother(4.5, fallback=name.startswith("o5"))
         for k, factor in enumerate(chain):
-            out = smoother.update([factor], {k: poses[max(k - 1, 0)]}, *([] if name.startswith("o2") else [{k: float(k)}]))
+            out = smoother.update([factor], {k: poses[max(k - 1, 0)]}, {k: float(k)}, LMParams(absolute_error=1e-12, relative_error=1e-12))
         return _values(spark, out)

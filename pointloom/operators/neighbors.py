@@ -12,6 +12,8 @@ from ..functions import expr as E
 from ..schema import XYZ, require_columns
 from ..scratch import cut
 
+#: A cell of the first round of kNN holds no more points than this.
+CROWD = 256
 D2 = "(qx - x) * (qx - x) + (qy - y) * (qy - y) + (qz - z) * (qz - z)"
 # The neighbourhoods of a voxel by size.
 NEIGHBOURHOODS = {
@@ -33,13 +35,18 @@ def as_queries(df: DataFrame, key: str = "point_id") -> DataFrame:
 
 
 def cell_pairs(queries: DataFrame, points: DataFrame, cell: float, neighbourhood: int = 27) -> DataFrame:
-    """(queries.*, points.*) of points in the voxels round each query's. The queries are replicated, so pass the smaller side as queries."""
+    """(queries.*, points.*) of points in the voxels round each query's. The queries are replicated, so pass the smaller side as queries.
+
+    Cells are joined on their three coordinates, so that clouds may lie anywhere (a packed key would end at 2**20 cells).
+    """
     require_columns(points, *XYZ)
+    cells = ["_vx", "_vy", "_vz"]
     at = [F.expr(E.voxel(f"q{c}", cell)).alias(f"_{c}") for c in XYZ]
     offsets = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(XYZ, o, strict=True)]) for o in NEIGHBOURHOODS[neighbourhood]])
     spread = queries.where(F.expr(E.finite("qx", "qy", "qz"))).select("*", *at).withColumn("_o", F.explode(offsets))
-    spread = spread.withColumn("_cell", F.expr(E.pack("(_x + _o.x)", "(_y + _o.y)", "(_z + _o.z)"))).drop("_x", "_y", "_z", "_o").where("_cell is not null")
-    return spread.join(points.withColumn("_cell", F.expr(E.voxel_key(cell))), "_cell").drop("_cell")
+    spread = spread.select("*", *[(F.col(f"_{c}") + F.col(f"_o.{c}")).alias(v) for c, v in zip(XYZ, cells, strict=True)]).drop("_x", "_y", "_z", "_o")
+    placed = points.where(F.expr(E.finite(*XYZ))).select("*", *[F.expr(E.voxel(c, cell)).alias(v) for c, v in zip(XYZ, cells, strict=True)])
+    return spread.join(placed, cells).drop(*cells)
 
 
 def radius_search(queries: DataFrame, points: DataFrame, radius: float, max_neighbors: int | None = None) -> DataFrame:
@@ -73,23 +80,50 @@ def typical_cell(points: DataFrame, k: int) -> tuple[float, float]:
     return max(cell, max(sides, default=0.0) / 500_000, 1e-9), sum(s * s for s in sides) ** 0.5
 
 
+def dense_cell(points: DataFrame, side: float, crowd: int = CROWD) -> tuple[float, bool]:
+    """(cell size, crowded): side, halved until no cell holds more than `crowd` points; crowded if copies of one place keep a cell full."""
+    placed = points.where(F.expr(E.finite(*XYZ)))
+    for _ in range(16):
+        most = placed.groupBy(*[F.expr(E.voxel(c, side)).alias(f"_{c}") for c in XYZ]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
+        if most <= crowd:
+            return side, False
+        side /= 2
+    return side, True
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, max_sq_dist: float | None = None, cell: float | None = None) -> DataFrame:
     """(qid, point_id, d2, rank): the exact k nearest, d2 below max_sq_dist, ties by point_id.
 
     Cells of side s hold everything within s of a query in the 27 round it: a query is done when it has k
     points within s. The others are asked again with s doubled, until s exceeds max_sq_dist or all
-    distances there are. The rounds are as many as doublings; most queries end in the first two.
+    distances there are. The first s is small enough for the densest cell, so dense regions are done before sparse ones make
+    cells large. If very many points share one place, only the k of least point_id there can be neighbours, and queries of one place are asked once.
     """
     require_columns(points, "point_id", *XYZ)
-    side, diagonal = typical_cell(points, k)
-    side = cell or side
-    reach = max_sq_dist**0.5 if max_sq_dist is not None else None
     q = _queries(queries)
+    if cell is None:
+        cell, crowded = dense_cell(points, typical_cell(points, k)[0], max(CROWD, 8 * k))
+        if crowded:
+            first = W.partitionBy(*XYZ).orderBy("point_id")
+            few = points.select("point_id", *XYZ).withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= k).drop("_at")
+            places = cut(q.groupBy("qx", "qy", "qz").agg(F.min("qid").alias("_first")), "places")
+            found = _knn(places.withColumnRenamed("_first", "qid"), few, k, max_sq_dist, cell)
+            whole = q.join(places, [q.qx.eqNullSafe(places.qx), q.qy.eqNullSafe(places.qy), q.qz.eqNullSafe(places.qz)]).select("qid", "_first")
+            return whole.join(found.withColumnRenamed("qid", "_first"), "_first").select("qid", "point_id", "d2", "rank")
+    return _knn(q, points, k, max_sq_dist, cell)
+
+
+def _knn(q: DataFrame, points: DataFrame, k: int, max_sq_dist: float | None, side: float) -> DataFrame:
+    reach = max_sq_dist**0.5 if max_sq_dist is not None else None
+    end = reach
     if reach is None:
-        far = q.agg(*[F.max(F.abs(F.col(f"q{c}"))) for c in XYZ]).head()
-        low = points.agg(*[F.max(F.abs(F.col(c))) for c in XYZ]).head()
-        diagonal = max(diagonal, 2 * sum((max(a or 0, b or 0)) ** 2 for a, b in zip(far, low, strict=True)) ** 0.5)
-    end = reach if reach is not None else diagonal * 1.01 + 1e-9
+        ends = [f(F.col(p + c)).alias(f"{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max)) for p in ("",)]
+        low = points.where(F.expr(E.finite(*XYZ))).agg(*ends).head()
+        asked = q.where(F.expr(E.finite("qx", "qy", "qz"))).agg(*[f(f"q{c}").alias(f"{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]).head()
+        if low.lox is None or asked.lox is None:
+            end = side
+        else:  # the diagonal of the box round queries and points
+            end = sum((max(low[f"hi{c}"], asked[f"hi{c}"]) - min(low[f"lo{c}"], asked[f"lo{c}"])) ** 2 for c in XYZ) ** 0.5 * 1.01 + 1e-9
     done: list[DataFrame] = []
     while True:
         last = side >= end
@@ -122,8 +156,9 @@ def knn_voxel(queries: DataFrame, points: DataFrame, k: int, cell: float, neighb
 def knn_feature(queries: DataFrame, points: DataFrame, k: int, max_sq_dist: float | None = None) -> DataFrame:
     """(qid, point_id, d2, rank) in feature space: queries(qid, f), points(point_id, f), arrays of one length.
 
-    High dimensions have no useful cells: blocks of both sides meet in one matrix product each and keep k a
-    query, so what is shuffled is k rows for each query and block, not all pairs.
+    Brute force in blocks: high dimensions have no useful cells, so blocks of 4,096 of both sides meet in one matrix product each
+    and keep k a query. Each vector is shipped once per block of the other side; it is meant for one large side and a
+    bounded one (key points of a scan, a stated set of queries), or a bounded number of both.
     """
     import numpy as np
     import pandas as pd
@@ -175,8 +210,26 @@ def reciprocal(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def nearest_stamp(queries: DataFrame, stamps: DataFrame, bucket: float) -> DataFrame:
-    """(qid, stamp): of stamps(stamp), the one closest in time to each query(qid, t), the earlier of two; looks one bucket to either side."""
-    keyed = stamps.select("stamp", F.floor(F.col("stamp") / bucket).alias("_b"))
-    around = queries.select("qid", "t", F.explode(F.array(*[F.floor(F.col("t") / bucket) + o for o in (-1, 0, 1)])).alias("_b"))
-    near = around.join(keyed, "_b").groupBy("qid").agg(F.min_by("stamp", F.struct(F.abs(F.col("stamp") - F.col("t")), "stamp")).alias("stamp"))
-    return queries.select("qid").join(near, "qid", "left")
+    """(qid, stamp): of stamps(stamp), the one closest in time to each query(qid, t), the earlier of two; null only for a null t or without stamps.
+
+    Stamps and queries are ordered together within buckets of time, one task each; what a bucket has before and after it comes from the
+    buckets' least and greatest stamps, ordered likewise within groups of buckets. Choose the bucket so that it fits one task.
+    """
+    t, group = F.col("t"), 12
+    both = queries.select("qid", t, F.lit(None).cast("double").alias("stamp")).unionByName(stamps.select(F.lit(None).cast(dict(queries.dtypes)["qid"]).alias("qid"), F.col("stamp").alias("t"), "stamp").where("stamp IS NOT NULL").distinct())
+    both = both.where(t.isNotNull()).withColumn("_b", F.floor(t / bucket)).withColumn("_ask", F.col("stamp").isNull())
+    ends = cut(both.groupBy("_b").agg(F.min("stamp").alias("lo"), F.max("stamp").alias("hi")).withColumn("_g", F.shiftright("_b", group)), "buckets")
+    groups = ends.groupBy("_g").agg(F.min("lo").alias("glo"), F.max("hi").alias("ghi"))
+    over = lambda order, *by: W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    # groups hold 4,096 buckets each, so their own order is one small task
+    groups = groups.select("_g", F.max("ghi").over(over("_g")).alias("gbefore"), F.min("glo").over(over(F.desc("_g"))).alias("gafter"))
+    ends = ends.join(groups, "_g").select(
+        "_b", F.coalesce(F.max("hi").over(over("_b", "_g")), "gbefore").alias("before"), F.coalesce(F.min("lo").over(over(F.desc("_b"), "_g")), "gafter").alias("after")
+    )
+    upto = W.partitionBy("_b").orderBy("t", "_ask").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("_b").orderBy(F.desc("t"), "_ask").rowsBetween(W.unboundedPreceding, 0)
+    placed = both.select("*", F.max("stamp").over(upto).alias("prev"), F.min("stamp").over(down).alias("next")).where("_ask").join(cut(ends, "ends"), "_b")
+    prev, next_ = F.coalesce("prev", "before"), F.coalesce("next", "after")
+    best = F.when(prev.isNull(), next_).when(next_.isNull(), prev).when(t - prev <= next_ - t, prev).otherwise(next_)
+    found = placed.select("qid", best.alias("stamp"))
+    return found.unionByName(queries.where(t.isNull()).select("qid", F.lit(None).cast("double").alias("stamp")))

@@ -83,8 +83,23 @@ def imu_means(imu: DataFrame) -> DataFrame:
 
 def stamp_gaps(df: DataFrame, stamp: str = "ts", key: str | None = None) -> DataFrame:
     """df with dt to the stamp before (null first) and anomaly: dt below half or above twice the upper median of all."""
-    order = W.partitionBy(key).orderBy(stamp) if key else W.orderBy(stamp)
+    if key is None:  # ranges of time, each with the last stamp of the ranges before it
+        return _stamp_gaps_in_ranges(df, stamp)
+    order = W.partitionBy(key).orderBy(stamp)
     gaps = cut(df.withColumn("dt", F.col(stamp) - F.lag(stamp).over(order)), "gaps")
+    return _judge_gaps(gaps)
+
+
+def _stamp_gaps_in_ranges(df: DataFrame, stamp: str) -> DataFrame:
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut(df.repartitionByRange(parts, stamp).withColumn("_r", F.spark_partition_id()), "ranges")
+    # one row a range: as many as there are partitions
+    last = placed.groupBy("_r").agg(F.max(stamp).alias("_hi")).select("_r", F.max("_hi").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    before = F.coalesce(F.lag(stamp).over(W.partitionBy("_r").orderBy(stamp)), "_before")
+    return _judge_gaps(cut(placed.join(F.broadcast(last), "_r").withColumn("dt", F.col(stamp) - before).drop("_r", "_before"), "gaps"))
+
+
+def _judge_gaps(gaps: DataFrame) -> DataFrame:
     m = upper_median(gaps, "dt")
     odd = F.lit(False) if m is None else F.coalesce((F.col("dt") < 0.5 * m) | (F.col("dt") > 2 * m), F.lit(False))
     return gaps.withColumn("anomaly", odd)

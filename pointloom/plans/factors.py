@@ -81,13 +81,34 @@ def vgicp(source: DataFrame, voxels: DataFrame, resolution: float, m: Matrix, fa
     return _rows(placed.join(goal, "vkey"), DIFFERENCE, E.inverse(both), factor_id, ("src_id", "vkey"))
 
 
-def vgicp_batch(pairs: list[tuple[int, DataFrame, DataFrame, Matrix]], resolution: float) -> DataFrame:
-    """All factors (factor_id, source, voxels, motion) as one table, so that one job linearises them."""
-    out = None
-    for factor_id, source, voxels, m in pairs:
-        rows = vgicp(source, voxels, resolution, m, factor_id)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def motions_table(spark, motions: dict[int, Matrix]) -> DataFrame:
+    """factor_id, m00..m23 of each factor's motion: one row a factor."""
+    rows = [(int(k), *[float(m[i][j]) for i in range(3) for j in range(4)]) for k, m in motions.items()]
+    return spark.createDataFrame(rows, "factor_id long, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(4)))
+
+
+#: So many motions (104 bytes each) are sent to every task; beyond it they are joined by factor.
+BROADCAST_MOTIONS = 100_000
+
+
+def vgicp_batch(source: DataFrame, voxels: DataFrame, motions: dict[int, Matrix], resolution: float) -> DataFrame:
+    """All factors in one table and one plan, however many they are: source(factor_id, point_id, x.., c00..) and voxels with a
+    factor_id, or without one if all factors share their target. Each source point is moved by its factor's motion, a column of a join;
+    which points are inliers is decided anew for the motions of each call."""
+    require_columns(source, "factor_id", "point_id", *XYZ, *COV)
+    require_columns(voxels, "vkey", "mx", "my", "mz", *COV)
+    table = motions_table(source.sparkSession, motions)
+    joined = source.join(F.broadcast(table) if len(motions) <= BROADCAST_MOTIONS else table, "factor_id")
+    place = [F.expr(" + ".join([f"m{i}{j} * {XYZ[j]}" for j in range(3)] + [f"m{i}3"])).alias(P[i]) for i in range(3)]
+    c = E.symmetric(COV)
+    at = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
+    turned = [F.expr(" + ".join(f"m{i}{k} * m{j}{n} * {c[k][n]}" for k in range(3) for n in range(3))).alias(SOURCE_COV[x]) for x, (i, j) in enumerate(at)]
+    placed = joined.select("factor_id", F.col("point_id").alias("src_id"), *place, *turned).withColumn("vkey", F.expr(E.voxel_key(resolution, *P)))
+    keys = ["factor_id", "vkey"] if "factor_id" in voxels.columns else ["vkey"]
+    goal = voxels.select(*keys, *[F.col(f"m{x}").alias(f"q{i}") for i, x in enumerate(XYZ)], *[F.col(x).alias(f"t{x}") for x in COV])
+    both = [f"({s} + {t})" for s, t in zip(SOURCE_COV, TARGET_COV, strict=True)]
+    made = placed.join(goal, keys)
+    return made.select("factor_id", "src_id", "vkey", *P, *[F.expr(e).alias(n) for n, e in zip(R, DIFFERENCE, strict=True)], *[F.expr(e).alias(n) for n, e in zip(WEIGHT, E.inverse(both), strict=True)])
 
 
 def _several(source: DataFrame, target: DataFrame, m: Matrix, max_distance: float, k: int) -> DataFrame:
@@ -177,30 +198,44 @@ def time_table(df: DataFrame, gap: float = 1e-3) -> DataFrame:
     return df.select("frame_id", "point_id", "t").groupBy("frame_id").applyInPandas(run, "frame_id long, point_id long, bucket long, t double")
 
 
-def deskew(source: DataFrame, m0: np.ndarray, m1: np.ndarray, buckets: int = 64) -> DataFrame:
-    """source(point_id, x, y, z, t in 0..1) placed by the pose of its time between m0 and m1; a pose for each of so many buckets is broadcast."""
-    poses = [lie.interpolate(np.asarray(m0, float), np.asarray(m1, float), (b + 0.5) / buckets) for b in range(buckets)]
+def stamps_of(buckets: int) -> list[float]:
+    return [(b + 0.5) / buckets for b in range(buckets)]
+
+
+def deskew(source: DataFrame, m0: np.ndarray, m1: np.ndarray, stamps: list[float] | None = None) -> DataFrame:
+    """source(point_id, x, y, z, t in 0..1) placed by the pose of its time between m0 and m1, with a column `bucket`: the number of the
+    stamp nearest to t. Poses are made for each of the stamps (64 by default; a scan's distinct times for a pose each) and joined."""
+    stamps = stamps or stamps_of(64)
+    poses = [lie.interpolate(np.asarray(m0, float), np.asarray(m1, float), t) for t in stamps]
     table = source.sparkSession.createDataFrame([(b, *[float(p[i][j]) for i in range(3) for j in range(4)]) for b, p in enumerate(poses)], "bucket int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(4)))
-    keyed = source.withColumn("bucket", F.least(F.floor(F.col("t") * buckets), F.lit(buckets - 1)).cast("int")).join(F.broadcast(table), "bucket")
+    # the walls between neighbouring stamps, in order
+    walls = F.array(*[F.lit((a + b) / 2) for a, b in zip(stamps, stamps[1:], strict=False)]).cast("array<double>")
+    bucket = F.size(F.filter(walls, lambda w: w <= F.col("t"))) if len(stamps) <= 256 else F.call_function("width_bucket", F.col("t"), F.lit(float(stamps[0])), F.lit(float(stamps[-1])), F.lit(len(stamps))).cast("int") - 1
+    keyed = source.withColumn("bucket", F.greatest(F.lit(0), F.least(bucket, F.lit(len(stamps) - 1))).cast("int")).join(F.broadcast(table), "bucket")
     new = {c: F.expr(" + ".join([f"m{i}{j} * {XYZ[j]}" for j in range(3)] + [f"m{i}3"])) for i, c in enumerate(XYZ)}
-    return keyed.select(*[new[c].alias(c) if c in new else F.col(c) for c in source.columns])
+    turn = {}
+    if all(c in source.columns for c in COV):
+        s, at = E.symmetric(COV), ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
+        turn = {COV[x]: F.expr(" + ".join(f"m{i}{k} * m{j}{n} * {s[k][n]}" for k in range(3) for n in range(3))) for x, (i, j) in enumerate(at)}
+    new |= turn
+    return keyed.select(*[new[c].alias(c) if c in new else F.col(c) for c in source.columns], "bucket")
 
 
-def ct_icp(source: DataFrame, target: DataFrame, m0: np.ndarray, m1: np.ndarray, max_distance: float = 1.0, factor_id: int = 0) -> DataFrame:
-    """Continuous-time ICP: the distance along the target's normal of each point placed by its time; src_t is that time, to share the Jacobian between both poses."""
+def ct_icp(source: DataFrame, target: DataFrame, m0: np.ndarray, m1: np.ndarray, max_distance: float = 1.0, factor_id: int = 0, stamps: list[float] | None = None) -> DataFrame:
+    """Continuous-time ICP: the distance along the target's normal of each point placed by its time; src_t is that time, bucket the
+    number of its stamp. optimize.ContinuousFactor carries the buckets' systems to both poses."""
     require_columns(source, "t")
     require_columns(target, *NORMAL)
-    placed = deskew(source, m0, m1)
-    found = _matched(placed, target, np.eye(4), max_distance, NORMAL, ("t",)).withColumnRenamed("t", "src_t")
+    placed = deskew(source, m0, m1, stamps)
+    found = _matched(placed, target, np.eye(4), max_distance, NORMAL, ("t", "bucket")).withColumnRenamed("t", "src_t")
     w = [f"(tn{a} * tn{b})" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
-    return _rows(found, DIFFERENCE, w, factor_id, ("src_id", "tgt_id", "src_t"))
+    return _rows(found, DIFFERENCE, w, factor_id, ("src_id", "tgt_id", "src_t", "bucket"))
 
 
-def ct_gicp(source: DataFrame, target: DataFrame, m0: np.ndarray, m1: np.ndarray, max_distance: float = 1.0, factor_id: int = 0) -> DataFrame:
+def ct_gicp(source: DataFrame, target: DataFrame, m0: np.ndarray, m1: np.ndarray, max_distance: float = 1.0, factor_id: int = 0, stamps: list[float] | None = None) -> DataFrame:
+    """The same with distributions: the source's covariances turn with the pose of their time."""
     require_columns(source, "t", *COV)
-    placed = deskew(source, m0, m1)
+    placed = deskew(source, m0, m1, stamps)
     both = [f"({s} + {t})" for s, t in zip(SOURCE_COV, TARGET_COV, strict=True)]
-    found = _matched(placed, target, np.eye(4), max_distance, COV, ("t",)).withColumnRenamed("t", "src_t")
-    return _rows(found, DIFFERENCE, E.inverse(both), factor_id, ("src_id", "tgt_id", "src_t"))
-
-
+    found = _matched(placed, target, np.eye(4), max_distance, COV, ("t", "bucket")).withColumnRenamed("t", "src_t")
+    return _rows(found, DIFFERENCE, E.inverse(both), factor_id, ("src_id", "tgt_id", "src_t", "bucket"))

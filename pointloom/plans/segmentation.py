@@ -37,34 +37,47 @@ def region_edges(df: DataFrame, p: RegionParams) -> DataFrame:
 
 @dataclass
 class RegionContext:
-    """A resumable search: what was reached, and what was reached last."""
+    """A resumable search: the points reached, level by level, each level a table of its own."""
 
     edges: DataFrame
-    reached: DataFrame
-    frontier: DataFrame
+    levels: list[DataFrame]
+    size: int = 1
     steps: int = 0
     done: bool = False
 
+    @property
+    def reached(self) -> DataFrame:
+        """All levels, as one scan."""
+        first = self.levels[0]
+        return first.sparkSession.read.schema(first.schema).parquet(*[x._scratch for x in self.levels])
+
 
 def region_init(df: DataFrame, seed: tuple[float, float, float], p: RegionParams) -> RegionContext:
     """Starts at the point nearest to the seed."""
     d2 = " + ".join(f"({c} - {v!r}) * ({c} - {v!r})" for c, v in zip(XYZ, map(float, seed), strict=True))
     first = cut(df.orderBy(F.expr(d2), "point_id").limit(1).select("point_id"), "seed")
-    return RegionContext(cut(region_edges(df, p), "edges"), first, first)
+    return RegionContext(cut(region_edges(df, p), "edges"), [first])
 
 
 def region_update(context: RegionContext, p: RegionParams, steps: int = 1) -> RegionContext:
-    """So many rounds: neighbours of the frontier that were not reached yet. Each round is written, so its plan does not grow."""
+    """So many rounds: neighbours of the last level that were not reached yet. As links go both ways, they can only be new or in the last
+    two levels, so a round reads and writes levels and never all that was reached. A round ends within p.max_cluster points."""
     for _ in range(steps):
         if context.done or context.steps >= p.max_steps:
             break
-        out = context.frontier.withColumnRenamed("point_id", "qid").join(context.edges, "qid").select("point_id").distinct()
-        new = cut(out.join(context.reached, "point_id", "left_anti"), "frontier")
+        out = context.levels[-1].withColumnRenamed("point_id", "qid").join(context.edges, "qid").select("point_id").distinct()
+        for level in context.levels[-2:]:
+            out = out.join(level, "point_id", "left_anti")
+        room = p.max_cluster - context.size
+        found = cut(out, "level")
+        n = found.count()
+        if n > room:  # those of the least ids fill the cluster
+            found, n = cut(found.orderBy("point_id").limit(room), "level"), room
         context.steps += 1
-        context.done = not new.head(1)
-        if not context.done:
-            context.reached, context.frontier = cut(context.reached.union(new), "reached"), new
-            context.done = context.reached.count() >= p.max_cluster
+        context.size += n
+        if n:
+            context.levels.append(found)
+        context.done = not n or context.size >= p.max_cluster
     return context
 
 

@@ -20,7 +20,11 @@ BETA2 = ("(u - 1)", "(1 - 2 * u)", "u")
 
 
 def arange_timestamps(spark: SparkSession, start: float, end: float, step: float) -> DataFrame:
-    """stamp from start by step, and end itself if the last differs from it by more than 1e-6."""
+    """stamp from start by step, and end itself if the last differs from it by more than 1e-6. No stamps if end lies before start."""
+    if step <= 0:
+        raise ValueError("step must be positive")
+    if end < start:
+        return spark.range(0).select(F.lit(start).alias("stamp"))
     n = int(np.floor((end - start) / step + 1e-9)) + 1
     out = spark.range(n).select((F.lit(start) + F.col("id") * F.lit(step)).alias("stamp"))
     last = start + (n - 1) * step
@@ -40,15 +44,13 @@ def knot_max_id(end: float, start: float, interval: float) -> int:
 
 
 def with_knots(queries: DataFrame, knots: DataFrame, start: float, interval: float) -> DataFrame:
-    """queries(t) with u and the translations of the four knots round each: k{0..3}{x,y,z}, from knots(knot, tx, ty, tz). The four are a lead over the knots, so one equi-join."""
-    from pyspark.sql import Window as W
-
-    order = W.orderBy("knot")  # knots are few: one for each interval of the trajectory
-    names = {c: f"t{c}" for c in "xyz"}
-    four = knots.select((F.col("knot") + 1).alias("_i"), *[F.lead(names[c], k).over(order).alias(f"k{k}{c}") for k in range(4) for c in "xyz"])
+    """queries(t) with u and the translations of the four knots round each: k{0..3}{x,y,z}, from knots(knot, tx, ty, tz). Each knot goes to the
+    four intervals it shapes, so the four of an interval meet by a grouping, and queries by an equi-join that Spark broadcasts if the knots are few."""
+    spread = knots.select("*", F.explode(F.array(*[F.lit(j) for j in range(4)])).alias("_j")).withColumn("_i", F.col("knot") + 1 - F.col("_j"))
+    four = spread.groupBy("_i").agg(*[F.max(F.when(F.col("_j") == j, F.col(f"t{c}"))).alias(f"k{j}{c}") for j in range(4) for c in "xyz"])
     at = queries.withColumn("_i", F.expr(knot_id("t", start, interval)))
     at = at.withColumn("u", F.expr(f"(t - {start!r}) / {interval!r} - floor((t - {start!r}) / {interval!r})"))
-    return at.join(F.broadcast(four), "_i").drop("_i")
+    return at.join(four, "_i").drop("_i")
 
 
 def _blend(basis: tuple[str, str, str], c: str, scale: float = 1.0, base: bool = False) -> str:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import struct
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..schema import COV, NORMAL, XYZ
 
@@ -19,6 +22,29 @@ FULL = {"points": ("<f8", 4, XYZ, (0, 1, 2)), "times": ("<f8", 1, ("t",), (0,)),
 COMPACT = {"points": ("<f4", 3, XYZ, (0, 1, 2)), "times": ("<f4", 1, ("t",), (0,)), "normals": ("<f4", 3, NORMAL, (0, 1, 2)), "covs": ("<f4", 6, COV, (0, 1, 2, 3, 4, 5)), "intensities": ("<f4", 1, ("intensity",), (0,))}
 
 
+#: A file of records is written by one process; larger maps and frames are refused here and belong in Parquet.
+MOST_ROWS = 50_000_000
+
+
+@contextlib.contextmanager
+def created(spark: SparkSession, path: str) -> Iterator[Callable[[bytes], None]]:
+    """A new file of any store that Spark knows: yields its write()."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    try:
+        yield out.write
+    finally:
+        out.close()
+
+
+def bounded(df: DataFrame, most: int = MOST_ROWS) -> Iterator:
+    """The rows of df one by one, a partition at a time, after a check of their number."""
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} rows are too many for one file; write Parquet")
+    return df.toLocalIterator()
+
+
 def _raw(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
     width = len(columns)
 
@@ -83,9 +109,9 @@ def load_frame(spark: SparkSession, path: str, frame_id: int = 0) -> DataFrame:
 
 def save_frame(df: DataFrame, path: str, compact: bool = False) -> None:
     """One frame as a folder on a shared file system: a frame is one scan, so its columns pass through the driver. Clouds of any size are written as Parquet instead."""
-    import os
-
-    os.makedirs(path, exist_ok=True)
+    spark = df.sparkSession
+    if df.count() > MOST_ROWS:
+        raise ValueError("a frame of so many points belongs in Parquet")
     rows = df.orderBy("point_id").toPandas()
     for name, (kind, width, columns, places) in (COMPACT if compact else FULL).items():
         if not all(c in rows for c in columns):
@@ -97,23 +123,29 @@ def save_frame(df: DataFrame, path: str, compact: bool = False) -> None:
         if not compact and name == "covs":
             for (i, j), c in zip(((0, 1), (0, 2), (1, 2)), ("c01", "c02", "c12"), strict=True):
                 a[:, 4 * j + i] = rows[c]
-        a.tofile(f"{path}/{name}{'_compact' if compact else ''}.bin")
+        with created(spark, f"{path}/{name}{'_compact' if compact else ''}.bin") as write:
+            write(a.tobytes())
     for name, kind in df.dtypes:
         if kind == "binary":
-            with open(f"{path}/aux_{name}.bin", "wb") as f:
-                f.write(b"".join(map(bytes, rows[name])))
+            with created(spark, f"{path}/aux_{name}.bin") as write:
+                write(b"".join(map(bytes, rows[name])))
 
 
 VOXEL = "<3i i 3f 6f f"
 
 
-def save_voxelmap(voxels: DataFrame, path: str, resolution: float) -> None:
-    """A text header and a packed record for each voxel, for exchange; the native form is the Parquet table."""
-    rows = voxels.collect()
-    with open(path, "wb") as f:
-        f.write(f"compact 1\nresolution {resolution!r}\nlru_count 0\nlru_cycle 10\nlru_thresh 10\nvoxel_bytes {struct.calcsize(VOXEL)}\nnum_voxels {len(rows)}\n".encode())
-        for r in rows:
-            f.write(struct.pack(VOXEL, r.vx, r.vy, r.vz, r.n, r.mx, r.my, r.mz, *[r[c] for c in COV], r.intensity))
+def save_voxelmap(voxels: DataFrame, path: str, resolution: float, lru: tuple[int, int, int] = (0, 10, 10)) -> None:
+    """A text header and a packed record for each voxel, for exchange; the native form is the Parquet table. lru: count, cycle and threshold of an incremental map."""
+    size = voxels.count()
+    with created(voxels.sparkSession, path) as write:
+        write(f"compact 1\nresolution {resolution!r}\nlru_count {lru[0]}\nlru_cycle {lru[1]}\nlru_thresh {lru[2]}\nvoxel_bytes {struct.calcsize(VOXEL)}\nnum_voxels {size}\n".encode())
+        held: list[bytes] = []
+        for r in bounded(voxels):
+            held.append(struct.pack(VOXEL, r.vx, r.vy, r.vz, r.n, r.mx, r.my, r.mz, *[r[c] for c in COV], r.intensity))
+            if len(held) == 65_536:
+                write(b"".join(held))
+                held.clear()
+        write(b"".join(held))
 
 
 def load_voxelmap(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
@@ -142,8 +174,14 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tum(spark: SparkSession, path: str) -> DataFrame:
-    """traj(ts, tx..qw) of lines of eight numbers; comment lines are ignored."""
-    return spark.read.csv(path, sep=" ", schema=", ".join(f"{c} double" for c in ("ts", *POSE_COLUMNS)), comment="#")
+    """traj(ts, tx..qw) of lines of eight numbers; comment lines are ignored. Warns where a file's stamps are not in order."""
+    out = spark.read.csv(path, sep=" ", schema=", ".join(f"{c} double" for c in ("ts", *POSE_COLUMNS)), comment="#")
+    placed = out.select("ts", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
+    # within a partition; lines of one file come in order
+    before = F.lag("ts").over(W.partitionBy("file", F.shiftright("line", 33)).orderBy("line"))
+    if placed.withColumn("before", before).where("ts < before").head(1):
+        warnings.warn(f"stamps of {path} are not in order", stacklevel=2)
+    return out
 
 
 def read_timestamps(spark: SparkSession, path: str) -> DataFrame:

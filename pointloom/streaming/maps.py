@@ -1,7 +1,12 @@
-"""Incremental maps: batches of points change a table of state; each state is written to the shared folder, so any executor may be lost."""
+"""Incremental maps: batches of points change a table of state; each state is written to the shared folder, so any executor may be lost.
+
+State is kept in PARTS parts by voxel key. A batch rewrites only the parts that its voxels fall into; the others stay as they are.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +18,15 @@ from ..operators import features
 from ..operators.neighbors import as_queries, knn_voxel
 from ..operators.voxels import gaussian_voxelmap, merge_voxelmaps, with_voxel
 from ..schema import COV, XYZ
-from ..scratch import cut
+from ..scratch import cut, drop, root
+
+
+#: Parts of a map's state by voxel key.
+PARTS = 64
+
+
+def part_of(vkey: str = "vkey") -> F.Column:
+    return F.pmod(F.xxhash64(vkey), F.lit(PARTS)).cast("int")
 
 
 @dataclass
@@ -27,20 +40,32 @@ class VoxelPoints:
     horizon: int = 10
     clear_cycle: int = 10
     inserts: int = 0
-    state: DataFrame | None = None
+    tables: dict[int, str] = field(default_factory=dict)
 
     COLUMNS = "vkey long, point_id long, x double, y double, z double, seq long, lru long"
 
+    @property
+    def state(self) -> DataFrame | None:
+        return self._read(self.tables.values()) if self.tables else None
+
+    def _read(self, paths) -> DataFrame:
+        paths = sorted(set(paths))
+        return self.spark.read.schema(self.COLUMNS).parquet(*paths) if paths else self.spark.createDataFrame([], self.COLUMNS)
+
     def insert(self, points: DataFrame) -> VoxelPoints:
         """One batch. Within a voxel points come in the order of point_id; a voxel holds at most most_points, and what a voxel's group receives is folded into them one by one."""
         self.inserts += 1
         now, d2, most = self.inserts, self.least_distance**2, self.most_points
-        new = with_voxel(points, self.resolution).select("vkey", "point_id", *XYZ, F.lit(now).cast("long").alias("seq"), F.lit(now).cast("long").alias("lru"))
-        both = new if self.state is None else self.state.unionByName(new)
+        new = cut(with_voxel(points, self.resolution).select("vkey", "point_id", *XYZ, F.lit(now).cast("long").alias("seq"), F.lit(now).cast("long").alias("lru")), "batch")
+        clear = now % self.clear_cycle == 0
+        touched = range(PARTS) if clear else [r.part for r in new.select(part_of().alias("part")).distinct().collect()]  # PARTS rows at most
+        both = self._read(self.tables[k] for k in touched if k in self.tables).unionByName(new)
 
         def fold(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["seq", "point_id"])
             old = pdf.seq.to_numpy() < now
+            if old.all():
+                return pdf
             kept = list(np.flatnonzero(old))
             xyz = pdf[list(XYZ)].to_numpy()
             for i in np.flatnonzero(~old):
@@ -48,22 +73,53 @@ class VoxelPoints:
                     break
                 if not kept or ((xyz[kept] - xyz[i]) ** 2).sum(1).min() >= d2:
                     kept.append(i)
-            out = pdf.iloc[kept]
-            return out.assign(lru=now) if (~old).any() else out
+            return pdf.iloc[kept].assign(lru=now)
 
         state = both.groupBy("vkey").applyInPandas(fold, self.COLUMNS)
-        if now % self.clear_cycle == 0:
+        if clear:
             state = state.where(F.col("lru") + self.horizon >= now)
-        self.state = cut(state, "voxel-points")
+        path = f"{root(self.spark)}/pointloom/voxel-points-{uuid.uuid4().hex}"
+        state.withColumn("part", part_of()).write.partitionBy("part").parquet(path)
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part=*")
+        made = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(folder) or []
+        written = [int(str(x.getPath().getName()).split("=")[1]) for x in made]
+        self.tables = {k: v for k, v in self.tables.items() if k not in touched} | {k: f"{path}/part={k}" for k in written}
+        drop(new)
         return self
 
     def knn(self, queries: DataFrame, k: int, neighbourhood: int = 7) -> DataFrame:
         return knn_voxel(queries, self.state, k, self.resolution, neighbourhood)
 
+    def save(self, batch: int, folder: str) -> None:
+        """Which batch was applied and where its state lies, in one small file written under a new name: both or neither."""
+        log = self.spark.createDataFrame([(batch, self.inserts, json.dumps(self.tables))], "batch long, inserts long, tables string")
+        log.coalesce(1).write.mode("overwrite").json(f"{folder}/applied-{batch:012d}")
+
+    def restore(self, folder: str) -> int:
+        """The state of the last batch that was saved; its number, or -1."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/applied-*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        names = sorted(str(x.getPath().getParent()) for x in found)
+        if not names:
+            return -1
+        last = self.spark.read.schema("batch long, inserts long, tables string").json(names[-1]).head()
+        self.inserts, self.tables = last.inserts, {int(k): v for k, v in json.loads(last.tables).items()}
+        return last.batch
+
+
+def apply_batch(target: VoxelPoints, df: DataFrame, batch: int, folder: str) -> bool:
+    """Insert a micro-batch unless it was applied before a restart or retry; whether it was inserted now."""
+    if batch <= target.restore(folder):
+        return False
+    target.insert(df)
+    target.save(batch, folder)
+    return True
+
 
 def voxel_points_stream(stream: DataFrame, target: VoxelPoints, checkpoint: str):
-    """A streaming query that inserts each micro-batch of a stream of points."""
-    return stream.writeStream.foreachBatch(lambda df, _: target.insert(df) and None).option("checkpointLocation", checkpoint)
+    """A streaming query that inserts each micro-batch of a stream of points, once: state and batch number are kept together below the
+    checkpoint folder, which driver and executors share, so a retried batch changes nothing and a restarted query goes on from the state."""
+    return stream.writeStream.foreachBatch(lambda df, batch: apply_batch(target, df, batch, f"{checkpoint}/map") and None).option("checkpointLocation", f"{checkpoint}/query")
 
 
 @dataclass
@@ -75,7 +131,9 @@ class StreamedVoxelMap:
 
     def insert(self, points: DataFrame) -> StreamedVoxelMap:
         new = gaussian_voxelmap(points, self.resolution)
-        self.state = cut(new if self.state is None else merge_voxelmaps(self.state, new), "voxelmap")
+        old = self.state
+        self.state = cut(new if old is None else merge_voxelmaps(old, new), "voxelmap")
+        drop(old)
         return self
 
 

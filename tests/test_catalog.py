@@ -45,17 +45,3 @@ def test_entry_has_rows(spark):
 
 def test_oracles_are_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-
-
-def test_stamp_gaps_of_all_frames(spark):
-    got = catalog.QUERIES["w8_stamp_gaps_all"](spark, SF).toPandas()
-    t = catalog.cloud_t(spark, SF).select("point_id", "frame_id", "t").toPandas().sort_values(["frame_id", "t"])
-    assert sorted(got.point_id) == sorted(t.point_id) and got.frame_id.nunique() == t.frame_id.nunique() > 1
-    t["dt"] = t.groupby("frame_id").t.diff()
-    gaps = t.dt.dropna().sort_values().to_list()
-    m = gaps[len(gaps) // 2]
-    t["anomaly"] = (t.dt < 0.5 * m) | (t.dt > 2 * m)
-    want = t.assign(dt=t.dt.round(5))
-    key = ["frame_id", "dt", "anomaly"]
-    a, b = (x[key].sort_values(key).reset_index(drop=True) for x in (got, want))
-    assert (a.frame_id == b.frame_id).all() and ((a.dt - b.dt).abs().fillna(0) < 2e-5).all() and (a.anomaly == b.anomaly).all()

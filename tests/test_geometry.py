@@ -8,7 +8,9 @@ from pointloom.functions import expr as E
 from pointloom.functions import lie
 from pointloom.operators import features, neighbors, rows, sampling, stats, voxels
 from pointloom.plans import bundle, factors, linearize
-from pointloom.plans.optimize import BetweenFactor, FixedLagSmoother, Graph, IncrementalSmoother, LMParams, PriorFactor, ScanFactor, dogleg, levenberg_marquardt, solve_cg
+from pointloom.plans.optimize import (
+    HOOKS, BetweenFactor, ContinuousFactor, FixedLagSmoother, Graph, IncrementalSmoother, LMParams, PriorFactor, ResidualFactor, ScanFactor, dogleg, levenberg_marquardt, numerical_hessian, retract,
+)
 from pointloom.plans.registration import GncParams, RansacParams, align_points, gnc, ransac
 from pointloom.plans.segmentation import CutParams, RegionParams, min_cut, region_growing
 from pointloom.plans.trajectory import ContinuousTrajectory, fit_knots
@@ -54,6 +56,33 @@ def test_knn_is_exact(spark):
     assert np.allclose(got.d2.to_numpy().reshape(30, 5), np.sort(d2, 1)[:, :5])
 
 
+def test_searches_far_from_the_origin(spark):
+    """Points along a line where map coordinates put them, and a crowd of copies of one place."""
+    line = np.array([[500_000 + 0.2 * i, 4_000_000 + 0.1 * i, 5.0] for i in range(20)])
+    p, d2 = cloud(spark, line), ((line[:, None] - line[None]) ** 2).sum(2)
+    got = neighbors.radius_search(neighbors.as_queries(p), p, 0.35).toPandas()
+    assert len(got) == (d2 < 0.35**2).sum() and len(neighbors.knn(neighbors.as_queries(p), p, 3, max_sq_dist=0.35**2).toPandas()) > 20
+    got = neighbors.knn(neighbors.as_queries(p), p, 3).toPandas().sort_values(["qid", "rank"])
+    assert np.allclose(got.d2.to_numpy().reshape(20, 3), np.sort(d2, 1)[:, :3], atol=1e-6)
+    crowd = np.concatenate([np.tile([[1.0, 2.0, 3.0]], (400, 1)), np.random.default_rng(2).uniform(0, 9, (40, 3))])
+    c = cloud(spark, crowd)
+    got = neighbors.knn(neighbors.as_queries(c), c, 4).toPandas().sort_values(["qid", "rank"])
+    d2 = ((crowd[:, None] - crowd[None]) ** 2).sum(2)
+    assert np.allclose(got.d2.to_numpy().reshape(440, 4), np.sort(d2, 1)[:, :4])
+    assert got[got.qid < 400].groupby("qid").point_id.apply(list).map(tuple).unique().tolist() == [(0, 1, 2, 3)]
+
+
+def test_nearest_stamp_is_complete(spark):
+    """Over gaps of many buckets, before the first and after the last stamp, with ties and a null time."""
+    stamps = [0.0, 1.0, 1.0, 5000.0, 5001.0]
+    asked = [-900.0, 0.5, 0.6, 2000.0, 2500.5, 2501.0, 9e6, None]
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "qid long, t double")
+    s = spark.createDataFrame([(x,) for x in stamps], "stamp double")
+    got = {r.qid: r.stamp for r in neighbors.nearest_stamp(q, s, 1.0).collect()}
+    assert got == {i: None if t is None else min(stamps, key=lambda x: (abs(x - t), x)) for i, t in enumerate(asked)}
+    assert [r.stamp for r in neighbors.nearest_stamp(q, s.limit(0), 1.0).collect()] == [None] * len(asked)
+
+
 def test_search_edge_cases(spark):
     p = cloud(spark, [[0, 0, 0], [0, 0, 0], [1, 0, 0], [np.nan, 0, 0], [np.inf, 0, 0]])
     q = neighbors.as_queries(p.where("point_id = 0"))
@@ -190,10 +219,155 @@ def test_pose_graph(method):
     assert graph.error(values) < 0.05 * graph.error(noisy)
 
 
-def test_conjugate_gradients():
-    a = np.random.default_rng(8).normal(size=(12, 12))
-    h, b = a @ a.T + np.eye(12), np.arange(12.0)
-    assert np.allclose(solve_cg(h, b), np.linalg.solve(h, b), atol=1e-6)
+def chain(n, loops=0, seed=8):
+    """A trajectory of n poses as a graph with some loops, its truth and a noisy start."""
+    rng = np.random.default_rng(seed)
+    truth = {0: np.eye(4)}
+    for k in range(1, n):
+        truth[k] = truth[k - 1] @ lie.se3_exp(np.array([*rng.normal(0, 0.05, 3), 1, 0, 0]))
+    links = [(k, k + 1) for k in range(n - 1)] + [tuple(sorted(rng.choice(n, 2, replace=False))) for _ in range(loops)]
+    factors_ = [PriorFactor(0, truth[0]), *[BetweenFactor(int(a), int(b), lie.between(truth[a], truth[b])) for a, b in links]]
+    return truth, Graph(factors_), {k: lie.se3_exp(rng.normal(0, 0.02, 6)) @ v for k, v in truth.items()}
+
+
+def test_solvers_agree():
+    _, graph, noisy = chain(12, 5)
+    system = graph.linearize(noisy)
+    h, b = system.dense(), system.vector(system.b)
+    want = -np.linalg.solve(h + 0.1 * np.diag(np.diag(h)), b)
+    for solve in (system.solve, system.solve_cg, system.solve_dense):
+        assert np.allclose(system.vector(solve(0.1)), want, atol=1e-6)
+    assert np.allclose(system.times(want), h @ want) and np.allclose(system.inverse_block(5), np.linalg.inv(h)[30:36, 30:36])
+
+
+def test_a_graph_of_a_thousand_poses_stays_sparse():
+    truth, graph, noisy = chain(1000, 20)
+    system = graph.linearize(noisy)
+    assert sum(len(row) for row in system.blocks.values()) <= 1000 + 999 + 20
+    values, status = levenberg_marquardt(graph, noisy, LMParams(max_iterations=10, absolute_error=1e-12, relative_error=1e-12))
+    assert status.error < 1e-6 and max(np.abs(values[k] - truth[k]).max() for k in truth) < 0.02
+
+
+@pytest.mark.parametrize("adapt", ["search_each", "search_reduce", "one_step"])
+def test_dogleg_modes(adapt):
+    truth, graph, noisy = chain(10, 2)
+    values, _ = dogleg(graph, noisy, radius=0.5, adapt=adapt)
+    assert max(np.abs(values[k] - truth[k]).max() for k in truth) < 1e-3
+
+
+def test_incremental_smoothing_works_on_what_changes():
+    truth, graph, _ = chain(40)
+    smoother = IncrementalSmoother()
+    for k in range(40):
+        out = smoother.update([graph.factors[k]], {k: truth[k] if k == 0 else out[k - 1] @ lie.between(truth[k - 1], truth[k])})
+        assert smoother.relinearized <= 3 and smoother.recalculated <= 4
+    assert max(np.abs(out[k] - truth[k]).max() for k in truth) < 1e-6
+    closing = BetweenFactor(20, 39, lie.between(truth[20], truth[39]) @ lie.se3_exp(np.array([0, 0, 0, 0.3, 0, 0])))
+    out = smoother.update([closing], {})
+    assert 1 < smoother.relinearized < len(smoother.factors) * 5 and smoother.recalculated % 20 < 40
+    batch, _ = levenberg_marquardt(Graph(smoother.factors), truth, LMParams(absolute_error=1e-14, relative_error=1e-14))
+    assert max(np.abs(out[k] - batch[k]).max() for k in truth) < 1e-3
+    # the poses before the loop did not have to be eliminated again
+    smoother.update([BetweenFactor(38, 39, lie.between(out[38], out[39]))], {})
+    assert smoother.recalculated <= 4
+
+
+def test_jacobian_of_the_relative_motion():
+    rng = np.random.default_rng(4)
+    for scale in (0.1, 0.4, 2.0):
+        x, y = lie.se3_exp(rng.normal(0, 1, 6)), lie.se3_exp(rng.normal(0, scale, 6))
+        f = BetweenFactor(0, 1, lie.between(x, y) @ lie.se3_exp(rng.normal(0, scale / 4, 6)))
+        want = ResidualFactor((0, 1), f.residual).linearize({0: x, 1: y})
+        assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(f.linearize({0: x, 1: y}), want))
+
+
+def test_linearisation_hook():
+    _, graph, noisy = chain(5)
+    calls = []
+
+    def hook(found, values):
+        calls.append(len(found))
+        return [f.linearize(values) for f in found]
+
+    plain = graph.linearize(noisy).dense()
+    HOOKS.register(BetweenFactor, hook)
+    try:
+        assert np.allclose(graph.linearize(noisy).dense(), plain) and calls == [4]
+    finally:
+        HOOKS.remove(BetweenFactor)
+
+
+@pytest.mark.parametrize("kind", ["plane", "edge", "least squares"])
+def test_bundle_factors_follow_their_error(kind):
+    """Gradient and curvature of the spread over poses against differences; and poses pushed apart come back."""
+    rng = np.random.default_rng(3)
+    parts = []
+    for _ in range(3):
+        p = rng.normal(0, (1, 0.05 if kind == "edge" else 1, 0.02), (50, 3))
+        parts.append((len(p), p.mean(0), np.cov(p.T, bias=True)))
+    keys = (0, 1, 2)
+    poses = {k: lie.se3_exp(rng.normal(0, 0.02, 6)) for k in keys}
+    factor = bundle.PlaneFactor(keys, parts) if kind == "least squares" else bundle.SpreadFactor(keys, parts, kind)
+
+    def error(d):
+        at = [lie.se3_exp(d[6 * k : 6 * k + 6]) @ poses[k] for k in keys]
+        if kind == "least squares":
+            return bundle.lsq_error(parts, at)
+        return factor.error(at)
+
+    e, h, b = factor.linearize(poses)
+    assert np.isclose(e, error(np.zeros(18)))
+    gradient = np.array([(error(1e-6 * v) - error(-1e-6 * v)) / 2e-6 for v in np.eye(18)])
+    assert np.allclose(2 * b, gradient, atol=1e-5 * max(1, np.abs(gradient).max()))
+    if kind != "least squares":
+        assert np.allclose(2 * h, numerical_hessian(error, 18), atol=0.1 * np.abs(h).max())
+    values, status = levenberg_marquardt(Graph([PriorFactor(0, poses[0]), factor]), poses, LMParams(max_iterations=30, absolute_error=1e-9))
+    assert status.error < 0.8 * status.history[0] if kind != "edge" else status.error <= status.history[0]
+
+
+def test_inertial_factor_in_a_graph():
+    """Two states from samples at rest but for a turn: the second is found from the first."""
+    samples = np.array([[0, 0, 9.80665, 0, 0, 0.2, 0.01]] * 100)
+    values = {0: np.eye(4), 1: np.zeros(3), 2: lie.se3_exp(np.array([0.05, 0, 0.1, 0.2, 0, 0])), 3: np.array([0.1, 0, 0]), 4: np.zeros(6)}
+    hold = lambda k, at: ResidualFactor((k,), lambda v: v - at, 1e6)
+    graph = Graph([PriorFactor(0, np.eye(4)), hold(1, np.zeros(3)), hold(4, np.zeros(6)), bundle.InertialFactor((0, 1, 2, 3, 4), samples)])
+    out, status = levenberg_marquardt(graph, values, LMParams(absolute_error=1e-14))
+    assert status.error < 1e-10 and np.allclose(out[2], lie.pose(lie.so3_exp(np.array([0, 0, 0.2])), np.zeros(3)), atol=1e-5)
+    j = bundle.bias_jacobian(samples, np.zeros(3), np.zeros(3))
+    assert np.allclose(j[3:6, :3], -np.array([[np.sin(0.2) / 0.2, -(1 - np.cos(0.2)) / 0.2, 0], [(1 - np.cos(0.2)) / 0.2, np.sin(0.2) / 0.2, 0], [0, 0, 1]]), atol=2e-3)
+
+
+def test_small_factors_in_a_graph():
+    a, b = np.eye(4), lie.se3_exp(np.array([0.1, 0.2, 0.3, 1, 2, 3]))
+    half = lie.interpolate(a, b, 0.5)
+    start = {0: a, 1: b, 2: half @ lie.se3_exp(np.full(6, 0.05)), 3: np.array([0.2]), 4: b @ lie.se3_exp(np.full(6, 0.02))}
+    graph = Graph([PriorFactor(0, a), PriorFactor(1, b), bundle.interpolation_factor(0, 1, 2, 0.5), bundle.similarity_factor(3, 0, 4, lie.between(a, b)), bundle.expression_factor((4,), lambda x: x, b), bundle.rotate_vector_factor(4, np.array([0, 0, 1.0]), b[:3, 2])])
+    out, status = levenberg_marquardt(graph, start, LMParams(absolute_error=1e-16, relative_error=1e-16))
+    assert status.error < 1e-10 and np.allclose(out[2], half, atol=1e-4) and abs(out[3][0]) < 1e-3
+    assert retract({0: np.zeros(2)}, {0: np.ones(2)})[0].tolist() == [1, 1]
+
+
+@pytest.mark.parametrize("kind", ["icp", "gicp"])
+def test_continuous_time_alignment(spark, kind):
+    """A scan taken while the sensor moved: both end poses are found, to the reference's tolerance of a few centimetres."""
+    xyz, normals = corner(150)
+    target = with_cov(spark, xyz, normals).cache()
+    truth = lie.se3_exp(np.array([0.0, 0.0, 0.03, 0.05, -0.02, 0.03]))
+    t = np.random.default_rng(5).uniform(0, 1, len(xyz))
+    back = [lie.inverse(lie.interpolate(np.eye(4), truth, s)) for s in t]
+    moved = np.array([m[:3, :3] @ p + m[:3, 3] for m, p in zip(back, xyz)])
+    turned = np.array([m[:3, :3] @ n for m, n in zip(back, normals)])
+    covs = np.array([np.eye(3) - (1 - 1e-3) * np.outer(n, n) for n in turned])
+    at = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+    source = cloud(spark, moved, t=t, **{c: covs[:, i, j] for c, (i, j) in zip(COV, at)}).cache()
+    stamps = factors.stamps_of(16)
+    make = {"icp": factors.ct_icp, "gicp": factors.ct_gicp}[kind]
+    graph = Graph([ContinuousFactor(lambda a, b, i: make(source, target, a, b, 1.0, i, stamps), 0, 1, stamps)])
+    values, status = levenberg_marquardt(graph, {0: np.eye(4), 1: np.eye(4)}, LMParams(max_iterations=6))
+    assert status.error < 0.2 * status.history[0]
+    for key, want in ((0, np.eye(4)), (1, truth)):
+        off = lie.se3_log(lie.between(want, values[key]))
+        assert np.abs(off[:3]).max() < 0.01 and np.abs(off[3:]).max() < 0.05
 
 
 def test_fixed_lag_equals_batch():
@@ -329,6 +503,30 @@ def test_incremental_maps(spark, tmp_path):
     assert spark.sql("SELECT sum(n) FROM voxels_out").head()[0] == 300
 
 
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    """A stream of two files: the batches are applied once, also when one is given again or by an object that was just made."""
+    from pointloom.streaming.maps import apply_batch, voxel_points_stream
+
+    rng = np.random.default_rng(13)
+    a, b = cloud(spark, rng.uniform(0, 3, (100, 3))), cloud(spark, rng.uniform(0, 3, (100, 3)))
+    folder = f"file://{tmp_path}/map"
+    make = lambda: VoxelPoints(spark, 1.0, least_distance=0.0)
+    first = make()
+    assert apply_batch(first, a, 0, folder) and apply_batch(first, b, 1, folder)
+    want = sorted(map(str, first.state.collect()))
+    again = make()
+    assert not apply_batch(again, b, 1, folder) and sorted(map(str, again.state.collect())) == want and again.inserts == 2
+    before = dict(again.tables)
+    again.insert(cloud(spark, [[0.5, 0.5, 0.5]]))
+    assert len([k for k in again.tables if again.tables[k] != before.get(k)]) == 1  # one part is rewritten
+    a.write.parquet(str(tmp_path / "in"))
+    target = make()
+    q = voxel_points_stream(spark.readStream.schema(a.schema).parquet(str(tmp_path / "in")), target, f"file://{tmp_path}/stream").start()
+    q.processAllAvailable()
+    q.stop()
+    assert target.state.count() > 50 and make().restore(f"file://{tmp_path}/stream/map") == 0
+
+
 def test_sliding_window():
     w = SlidingWindow()
     for x in "abc":
