@@ -132,40 +132,50 @@ def shingle_set(text: str, words: int = 5) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(item long, keep_id, size) for each text that is in a group with others: item is xxhash64 of the text, keep_id the group's smallest id.
+    """(item, alt, keep_id, size) for each text that is in a group with others: item and alt are two 64-bit hashes of the text, keep_id the group's smallest id.
 
     Two texts are linked when their sets of word shingles have a Jaccard similarity of at least `threshold`. Candidates
     share one of 32 bands of 4 MinHash minima over those same shingles, so that whether a pair is looked up depends on its similarity
     alone and not on where the texts differ: at 0.8 it is missed with probability 5e-8. Exact Jaccard
-    decides. Equal texts are one item; null and empty texts are left out.
+    decides. Equal texts are one item (128 bits tell texts apart; of texts that share only the first 64, one is grouped and the others stay); null and empty
+    texts are left out.
     """
     bands = [f"b{i}" for i in range(BANDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([near_bands(t.as_py(), words) for t in batch.column(2)], np.int64).reshape(-1, BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(made[:, i]) for i in range(BANDS)]], ["id", "item", *bands])
-
-    rows = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("item"), F.col(text_col).alias("t"))
-    made = rows.mapInArrow(run, "id long, item long, " + ", ".join(f"{b} long" for b in bands))
-    items = materialize(made.groupBy("item").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(b).alias(b) for b in bands]), "items")
+            made = np.array([near_bands(t.as_py(), words) for t in batch.column(3)], np.int64).reshape(-1, BANDS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(made[:, i]) for i in range(BANDS)]], ["id", "item", "alt", *bands])
+
+    item, alt = text_names(text_col)
+    rows = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).cast("long").alias("id"), item.alias("item"), alt.alias("alt"), F.col(text_col).alias("t"))
+    made = rows.mapInArrow(run, "id long, item long, alt long, " + ", ".join(f"{b} long" for b in bands))
+    first = F.min(F.struct("alt", "id")).alias("first")
+    items = materialize(made.groupBy("item").agg(first, F.count(F.lit(1)).alias("n"), *[F.min(b).alias(b) for b in bands]), "items")
+    items = items.withColumns({"alt": F.col("first.alt"), "first": F.col("first.id")})
     members = crowded(items.select(F.explode(F.array(*bands)).alias("bucket"), "item"))
-    wanted = materialize(members.select("item").distinct(), "wanted")
-    texts = thin(rows.select("item", F.col("t").alias("text")), wanted, "item").join(wanted, "item", "left_semi")
+    wanted = materialize(members.select("item").distinct().join(items.select("item", "alt"), "item"), "wanted")
+    texts = thin(rows.select("item", "alt", F.col("t").alias("text")), wanted, "item").join(wanted, ["item", "alt"], "left_semi")
     texts = materialize(texts.groupBy("item", "text").agg(F.count(F.lit(1)).alias("n")).drop("n"), "texts")
     roots = materialize(components(similar_links(members, texts, lambda t: shingle_set(t, words), threshold)), "groups")
     groups = roots.join(items.select("item", "first", "n"), roots.node == items.item).groupBy("root").agg(F.min("first").alias("keep_id"), F.sum("n").alias("size"))
     linked = roots.join(materialize(groups, "named"), "root").select(F.col("node").alias("item"), "keep_id", "size")
     linked = materialize(linked, "linked")
-    alone = items.where("n > 1").select("item", F.col("first").alias("keep_id"), F.col("n").alias("size")).join(linked, "item", "left_anti")
-    return linked.union(alone)
+    alone = items.where("n > 1").select("item", "alt", F.col("first").alias("keep_id"), F.col("n").alias("size")).join(linked, "item", "left_anti")
+    return linked.join(items.select("item", "alt"), "item").select("item", "alt", "keep_id", "size").union(alone)
+
+
+def text_names(text_col: str) -> tuple[F.Column, F.Column]:
+    """128 bits that name a text."""
+    return F.xxhash64(text_col), F.xxhash64(F.lit(1), F.col(text_col))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without the rows of each near-duplicate group but the one of the smallest id. Equal rows that repeat that id all stay; null and empty texts stay."""
-    known = materialize(near_duplicates(docs, id_col, text_col, words, threshold), "near-duplicates").toDF("__item", "__keep", "__size")
-    rows = docs.withColumn("__text", F.xxhash64(text_col)).join(known, F.col("__text") == F.col("__item"), "left")
-    return rows.where(F.col("__item").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col("__keep"))).drop("__text", "__item", "__keep", "__size")
+    known = materialize(near_duplicates(docs, id_col, text_col, words, threshold), "near-duplicates").toDF("__item", "__other", "__keep", "__size")
+    item, alt = text_names(text_col)
+    rows = docs.withColumns({"__text": item, "__alt": alt}).join(known, (F.col("__text") == F.col("__item")) & (F.col("__alt") == F.col("__other")), "left")
+    return rows.where(F.col("__item").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col("__keep"))).drop("__text", "__alt", "__item", "__other", "__keep", "__size")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

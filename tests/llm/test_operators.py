@@ -143,6 +143,31 @@ def test_bucket_blocks_lose_no_link(spark):
     assert roots == want
 
 
+def test_big_buckets_are_divided_by_other_buckets(spark):
+    """Three families of like lines in one bucket of boilerplate, with their own bands beside it: the links are the same when the bucket is divided."""
+    families = [prose(200 + f, 14) for f in range(3)]
+    texts = [f"{families[i % 3]} {i}" for i in range(30)] + [prose(300 + i, 12) for i in range(20)]
+    bands = linededup.band_hashes(texts)
+    rows = [(int(b), i) for i in range(len(texts)) for b in bands[i]] + [(77, i) for i in range(len(texts))]
+    members = verify.crowded(spark.createDataFrame(rows, "bucket long, item long"))
+    table_ = spark.createDataFrame(list(enumerate(texts)), "item long, text string")
+    roots = []
+    for split in (verify.SPLIT, 5):
+        found = verify.similar_links(members, table_, linededup.shingle_set, 0.8, block=4, split=split)
+        roots.append({r.node: r.root for r in components.components(found).collect()})
+    assert roots[0] == roots[1] and set(roots[0].values()) == {0, 1, 2}
+    sizes = verify.finer(members, members.groupBy("bucket").agg(F.count("*").alias("n")), 5).groupBy("bucket").count().agg({"count": "max"}).head()[0]
+    assert sizes < 50
+
+
+def test_lines_that_share_the_first_part_of_their_name(docs_of):
+    """With one bit to group by, different lines share it: of those one is grouped, and no line goes that is not repeated."""
+    lines = [f"{w} {w}{i} is a line of its own" for i, w in enumerate(WORDS[:8])]
+    docs = docs_of([*lines, *lines[:4]])
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(docs, key_bits=1).collect()}
+    assert all(out[i] for i in range(8)) and 1 <= sum(not out[8 + i] for i in range(4)) <= 2
+
+
 @pytest.mark.parametrize("last", [0, 10**6])
 def test_components(spark, last):
     rng = random.Random(11)
