@@ -319,7 +319,7 @@ def _by_windows(classes: DataFrame) -> DataFrame:
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept binary].
+    """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256, n_kept, kept_chars[, kept binary].
 
     Every byte goes that is covered by a 400-byte string which starts at another place of any text too.
     Texts are UTF-8 bytes, null is empty; strings never cross texts and are judged on the input. Rows that
@@ -335,7 +335,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for text, spans_ in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = text.as_py()
                 kept, at, removed, n = [], 0, 0, 0
@@ -350,15 +350,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         at = end
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                for column, value in zip(out, (len(raw), removed, n, hashlib.sha256(left).hexdigest(), left), strict=True):
+                # characters left: bytes that begin one
+                chars = int(((np.frombuffer(left, np.uint8) & 0xC0) != 0x80).sum())
+                for column, value in zip(out, (len(raw), removed, n, hashlib.sha256(left).hexdigest(), len(left), chars, left), strict=True):
                     column.append(value)
-            arrays = [batch.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())]
-            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            arrays = [batch.column(0), *[pa.array(c, pa.string() if i == 3 else pa.int64()) for i, c in enumerate(out[:6])]]
+            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "kept_chars"]
             if with_text:
-                arrays, names = [*arrays, pa.array(out[4], pa.binary())], [*names, "kept"]
+                arrays, names = [*arrays, pa.array(out[6], pa.binary())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, kept_chars long" + ", kept binary" * with_text
     return rows.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
 
 
@@ -377,7 +379,8 @@ s AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
 p AS (SELECT r, k, min(i) AS a, max(i) + {WIDTH} AS z FROM s GROUP BY r, k),
 q AS (SELECT p.r, k, a, z, coalesce(lag(z) OVER (PARTITION BY p.r ORDER BY k), 0) AS before FROM p),
 kept AS (SELECT q.r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS z, string_agg(substr(x, 2 * before::BIGINT + 1, 2 * (a - before)::BIGINT), '' ORDER BY k) AS y
-  FROM q JOIN d USING (r) GROUP BY q.r)
-SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-  sha256(unhex(coalesce(y, '') || substr(x, 2 * coalesce(z, 0)::BIGINT + 1))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+  FROM q JOIN d USING (r) GROUP BY q.r),
+o AS (SELECT doc_id, x, n_removed, n_spans, coalesce(y, '') || substr(x, 2 * coalesce(z, 0)::BIGINT + 1) AS left_ FROM d LEFT JOIN kept USING (r))
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(left_)) AS kept_sha256,
+  (length(left_) // 2)::BIGINT AS n_kept, len(list_filter(regexp_extract_all(left_, '..'), lambda b: b[1] NOT IN ('8', '9', 'A', 'B')))::BIGINT AS kept_chars FROM o
 """
