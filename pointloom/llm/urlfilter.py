@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, documents, materialize, require
 
 BITS_PER_KEY, HASHES = 12, 4
-#: A level of more bits (16 MB) is refused: levels are sent to every task.
+#: A level has no more bits (16 MB), as levels are sent to every task; lists of more keys than fill it are joined instead.
 MOST_BITS = 1 << 27
+MOST_KEYS = MOST_BITS // BITS_PER_KEY // 2
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -90,13 +91,22 @@ class Cascade:
         return out
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def by_join(rows: DataFrame, keys: Column, listed: DataFrame) -> DataFrame:
+    """rows with rule and blocked, by equality with the listed keys: the exact way for lists too large for filters."""
+    whole = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    verdicts = listed.groupBy("key").agg(F.max(F.col("verdict") == "block").alias("blocked"))
+    found = whole.select("row", F.posexplode(keys).alias("at", "key")).join(verdicts, "key")
+    best = found.groupBy("row").agg(F.min_by(F.struct("key", "blocked"), "at").alias("best"))
+    return whole.join(best, "row", "left").select("id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.blocked", F.lit(False)).alias("blocked"))
+
+
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", most_keys: int = MOST_KEYS) -> DataFrame:
     """One row per row of pages: id_col, host, path, rule, verdict.
 
     rules(host, path, verdict): verdict is allow or block. A rule fits its host and the host's subdomains where
     the path starts with the rule's; of those that fit, the longest (host and path together, then the longer
     host) wins; a key that is listed both ways is blocked. Where none fits, rule is null and the verdict
-    allow: the cascade finds no listed key. Null urls have no host. Rows with repeated or null ids are
+    allow: the cascade finds no listed key. Lists of more than most_keys rules are joined instead. Null urls have no host. Rows with repeated or null ids are
     judged each on its own; an empty table gives no rows, and an empty rule list allows all; other columns are ignored.
     """
     require(pages, id_col, url_col)
@@ -108,6 +118,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     if not lengths:
         return rows.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     keys = candidates(F.col("host"), F.col("path"), lengths)
+    if listed.count() > most_keys:
+        out = by_join(rows, keys, listed)
+        return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.when(F.col("blocked"), "block").otherwise("allow").alias("verdict"))
     universe = materialize(rows.select(F.explode(keys).alias("key")).distinct(), "universe")
     blocked, allowed = (Cascade(listed.where(F.col("verdict") == v), universe) for v in ("block", "allow"))
     found = F.filter("keys", lambda k: blocked.has(k) | allowed.has(k))

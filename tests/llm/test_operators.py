@@ -30,6 +30,28 @@ BASE = prose(1, 200)
 FIXTURE = [BASE, BASE, edited(BASE, 2, 2), None, "", "", "Ab ÄB", "aB ÄB", "ab äb", "   \n\t", prose(3, 3000), prose(3, 3000) + " tail", "x", "Émile\nÉmile\n\nx", prose(4, 150), edited(prose(4, 150), 5, 1)]
 
 
+def test_predictions_average_the_windows(docs_of):
+    """Whole texts: each window's probabilities, weighted by its bytes, by the plain definition of the network."""
+    model = langid.train(["some words here " * 9, "andere Worte hier " * 9, "otras palabras " * 9], ["en", "de", "es"], epochs=2)
+    texts = ["some words", prose(5, 200), "é" * 700, "x" * langid.WINDOW, "y" * (langid.WINDOW + 1)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs_of(texts), model).collect()}
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        total = np.zeros(3)
+        for at in range(0, len(raw), langid.WINDOW):
+            part = raw[at : at + langid.WINDOW]
+            window = np.frombuffer(part.ljust(langid.WINDOW, b"\0"), np.uint8)
+            emb = model.embed[window]
+            tops = []
+            for k, f, b in zip(langid.WIDTHS, model.filters, model.bias):
+                conv = [sum(emb[t + j] @ f[j] for j in range(k)) + b for t in range(langid.WINDOW - k + 1)]
+                tops.append(np.max(conv, axis=0))
+            z = np.maximum(np.concatenate(tops), 0) @ model.dense + model.dense_bias
+            total += len(part) * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        mean = total / len(raw)
+        assert got[i][0] == model.langs[int(mean.argmax())] and abs(got[i][1] - mean.max()) < 1e-4
+
+
 def test_only_letters_have_a_language(docs_of):
     """Numerals that are not letters, though Python calls them alphanumeric; a stand-in model would name a language for any text."""
     model = langid.train(["some words here", "andere Worte hier"], ["en", "de"], epochs=1)
@@ -201,6 +223,13 @@ def test_url_cascade(spark):
 
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages, urlfilter.rule_table(spark, rules)).collect()}
     assert got == {i: judge(u) for i, u in enumerate(urls)}
+    joined = urlfilter.judge(pages, urlfilter.rule_table(spark, rules), most_keys=0)
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in joined.collect()} == got
+    more = pages.union(spark.createDataFrame([(3, urls[0]), (None, urls[1]), (None, None)], pages.schema)).withColumns({c: F.lit("clash") for c in ("id", "host", "path", "rule", "keys", "key", "row", "verdict")})
+    for most in (0, urlfilter.MOST_KEYS):
+        out = urlfilter.judge(more, urlfilter.rule_table(spark, rules), most_keys=most).collect()
+        assert len(out) == len(urls) + 3 and sum(r.page_id == 3 for r in out) == 2
+        assert sorted((str(r.host), str(r.verdict)) for r in out if r.page_id is None) == sorted((judge(u)[0], judge(u)[3]) for u in (urls[1], None))
     assert urlfilter.judge(pages, urlfilter.rule_table(spark, rules).limit(0)).where("verdict = 'allow' and rule is null").count() == len(urls)
     assert urlfilter.judge(pages.limit(0), urlfilter.rule_table(spark)).count() == 0
 
@@ -468,6 +497,37 @@ def test_spotsigs(docs_of):
     empty_and_clashing(docs, spotsigs.spot_fingerprints)
 
 
+def plain_spots(text):
+    """The spots of a text by their definition: (anchor, its chain) for each anchor."""
+    import regex
+
+    anchors = set(spotsigs.ANCHORS)
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    third = lambda w: THIRD[w]
+    spots = []
+    for i, w in enumerate(words):
+        bare = not any(x in anchors for x in words[max(i - spotsigs.GAP, 0) : i])
+        if w in anchors or i == 0 or (bare and third(w)):
+            spots.append((w, tuple([x for x in words[i + 1 : i + 1 + spotsigs.LOOKAHEAD] if x not in anchors][: spotsigs.CHAIN])))
+    return spots
+
+
+THIRD = {}
+
+
+def test_signatures_are_the_spots_by_definition(spark, docs_of):
+    """Of each text the number of signatures is that of its different spots, and two texts share as many as they share spots."""
+    texts = ["the cat sat on the mat and the dog ran in the park", "a dog ran on the mat and the cat sat in a park", prose(9, 60), prose(9, 60) + " the end of it", "one", "it is the of", "Über das Haus und der Hund im Garten", "x, y; z " * 20]
+    words = {w for t in texts for w in spark.createDataFrame([(t,)], "t string").select(F.split(F.lower("t"), r"[^\p{L}\p{N}]+")).head()[0] if w}
+    marks = spark.createDataFrame([(w,) for w in words], "w string").select("w", (F.pmod(F.hash("w"), F.lit(3)) == 0).alias("third")).collect()
+    THIRD.update({r.w: r.third for r in marks})
+    got = {r.doc_id: set(r.sigs) for r in docs_of(texts).select("doc_id", spotsigs.signatures(F.col("text")).alias("sigs")).collect()}
+    want = {i: set(plain_spots(t)) for i, t in enumerate(texts)}
+    for i in got:
+        for j in got:
+            assert len(got[i] & got[j]) == len(want[i] & want[j]), (i, j)
+
+
 def test_next_row_over_sparse_keys(spark):
     keys = sorted({random.Random(14).randrange(-(1 << 40), 1 << 40) for _ in range(50)} | set(range(1000)))
     rows = spark.createDataFrame([(k, 0, str(k)) for k in keys], "key long, tie long, v string")
