@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import expr as E
 from ..schema import XYZ, require_columns
+from ..scratch import cut
 
 #: Rates from here on return the cloud itself.
 FULL_RATE = 0.99
@@ -38,26 +39,32 @@ def randomgrid_sampling(df: DataFrame, resolution: float, rate: float, seed: int
         return df.limit(0)
     quota, cap = -int(-rate * n // voxels), int(1.2 * rate * n)
     place = F.row_number().over(W.partitionBy("vkey").orderBy(draw(F.col("point_id"), seed), "point_id"))
-    return keyed.withColumn("_place", place).where(F.col("_place") <= quota).orderBy(draw(F.col("point_id"), seed), "point_id").limit(cap).drop("_place", "vkey")
+    kept = cut(keyed.withColumn("_place", place).where(F.col("_place") <= quota).drop("_place", "vkey"), "quota")
+    return first_drawn(kept, cap, seed)
 
 
-def random_sampling(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
-    """Exactly floor(N * rate) rows without replacement, the first in seeded order. From FULL_RATE on, the cloud.
+def first_drawn(df: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """The first so many rows in seeded order, or all if they are fewer.
 
     The hash below which that many rows lie is found from a histogram of 4096 ranges, so only the range at
     the boundary is ordered.
     """
-    require_columns(df, "point_id")
-    if rate >= FULL_RATE:
-        return df
     keyed = df.withColumn("_draw", draw(F.col("point_id"), seed)).withColumn("_range", F.shiftright("_draw", 20))
     counts = sorted((r[0], r[1]) for r in keyed.groupBy("_range").count().collect())  # 4096 rows at most
-    left, edge = int(sum(c for _, c in counts) * rate), -1
+    left, edge = most, -1
     for edge, c in counts:
         if c > left:
             break
         left -= c
     else:
-        return keyed.drop("_draw", "_range")
+        return df
     tail = keyed.where(F.col("_range") == edge).orderBy("_draw", "point_id").limit(left)
     return keyed.where(F.col("_range") < edge).unionByName(tail).drop("_draw", "_range")
+
+
+def random_sampling(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
+    """Exactly floor(N * rate) rows without replacement, the first in seeded order. From FULL_RATE on, the cloud."""
+    require_columns(df, "point_id")
+    if rate >= FULL_RATE:
+        return df
+    return first_drawn(df, int(df.count() * rate), seed)

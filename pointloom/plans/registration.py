@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions import lie
 from ..operators.neighbors import knn_feature, reciprocal
+from ..operators.sampling import first_drawn
 from ..operators.stats import bbox_diagonal
 from ..operators.voxels import occupancy
 from ..schema import XYZ
@@ -72,6 +73,9 @@ class RansacParams:
     taboo_distance: float = 0.5
     taboo_angle: float = 0.1
     taboo: tuple = ()
+    #: Hypotheses are scored on so many source points, in seeded order; the best `finalists` of a chunk then on all.
+    score_points: int = 20_000
+    finalists: int = 16
 
 
 def hypotheses(table: np.ndarray, p: RansacParams, first: int, count: int) -> tuple[list[int], list[np.ndarray]]:
@@ -112,13 +116,20 @@ def ransac(target: DataFrame, source: DataFrame, target_features: DataFrame, sou
     cells = occupancy(target, p.resolution).cache()
     n_source, n_target = source.count(), target.count()
     best, best_motion = 0, np.eye(4)
+    few = None
+    if n_source > p.score_points:
+        few = first_drawn(source.select("point_id", *XYZ), p.score_points, p.seed).cache()
     if len(table) < 3:
         return Registration(0.0, best_motion)
     for first in range(0, p.iterations, p.chunk):
         ids, motions = hypotheses(table, p, first, min(p.chunk, p.iterations - first))
         if not ids:
             continue
-        top = score(source, cells, list(zip(ids, motions, strict=True)), p.resolution).orderBy(F.desc("hits"), "id").head(1)
+        chosen = list(zip(ids, motions, strict=True))
+        if few is not None:
+            known = dict(chosen)
+            chosen = [(r.id, known[r.id]) for r in score(few, cells, chosen, p.resolution).orderBy(F.desc("hits"), "id").head(p.finalists)]
+        top = score(source, cells, chosen, p.resolution).orderBy(F.desc("hits"), "id").head(1)
         if top and top[0].hits > best:
             best, best_motion = top[0].hits, motions[ids.index(top[0].id)]
         if best > p.early_stop * n_source:
