@@ -62,6 +62,15 @@ def io11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arange_timestamps(spark, 0.0, 10.1, 0.25).select(*r6("stamp"))
 
 
+@query("io11_arange_of_a_trajectory", "SELECT round(f + i * 3600.0, 6) AS stamp FROM (SELECT 0.0 AS f, max(t) AS l FROM t), range(0, 100000) g(i) WHERE f + i * 3600.0 <= l UNION ALL SELECT round(max(t), 6) FROM t")
+def io11_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negative ends are the first and last stamps given."""
+    from .plans.trajectory import arange_timestamps
+
+    lo, hi = cloud_t(spark, sf_dir).agg(F.min("t"), F.max("t")).head()
+    return arange_timestamps(spark, -1.0, -1.0, 3600.0, (lo, hi)).select(*r6("stamp"))
+
+
 @query("io13_memory_usage", "SELECT c AS \"column\", count(*) * 8 AS bytes FROM e, (VALUES ('point_id'), ('x'), ('y'), ('z')) v(c) GROUP BY c")
 def io13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.memory_usage(cloud_e(spark, sf_dir, "point_id", *XYZ))
@@ -123,6 +132,16 @@ def p12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud_e(spark, sf_dir).select("point_id", F.expr(E.voxel_key(RES)).alias("vkey"))
 
 
+def _wrapped_sql(v: str, p: int) -> str:
+    d = f"((({v})::HUGEINT * {p}) % {1 << 64} + {1 << 64}) % {1 << 64}"
+    return f"CAST(CASE WHEN {d} >= {1 << 63} THEN {d} - {1 << 64} ELSE {d} END AS BIGINT)"
+
+
+@query("p13_spatial_hash", f"SELECT point_id, xor(xor({_wrapped_sql(E.voxel('x', RES), rows.XOR_FACTORS[0])}, {_wrapped_sql(E.voxel('y', RES), rows.XOR_FACTORS[1])}), {_wrapped_sql(E.voxel('z', RES), rows.XOR_FACTORS[2])}) AS hash FROM e")
+def p13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud_e(spark, sf_dir).select("point_id", F.expr(rows.xor_hash(*[E.voxel(c, RES) for c in XYZ])).alias("hash"))
+
+
 @query("p14_distances", f", s AS (SELECT CASE WHEN count(*) < 100 THEN 1 ELSE count(*) // 100 END AS step FROM e) SELECT point_id, {q6(('dist', 'sqrt(x * x + y * y + z * z)'))} FROM e, s WHERE point_id % step = 0")
 def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.distances(cloud_e(spark, sf_dir, "point_id", *XYZ), 100).select("point_id", *r6("dist"))
@@ -726,6 +745,42 @@ for _name, _sql, _f in (
     query(_name, _sql)(_f)
 
 
+_APART = "abs(atan2(a0z, sqrt(a0x * a0x + a0y * a0y)) - atan2(a1z, sqrt(a1x * a1x + a1y * a1y)))"
+
+
+@query("p19_scan_line_validation", EDGE_SQL.replace(" FROM s) SELECT", f" FROM s WHERE {_APART} >= {0.1 * math.pi / 180!r}) SELECT"))
+def p19_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose two points may not lie on one scan line."""
+    return residual_out(factors.loam_edge(*pair_of(spark, sf_dir), POSE, 1.1, validate=True))
+
+
+@query("g6_gicp_compact", FACTOR_SQL + f" SELECT count(*) AS n_inliers, round(sum({MAHALANOBIS}), 1) AS error FROM m")
+def g6_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights in single precision agree with full ones."""
+    return linearize.errors(factors.gicp(*pair_of(spark, sf_dir), POSE, 1.1, cache="compact")).select("n_inliers", *r6("error", digits=1))
+
+
+@query("u_voxel_contents", f"SELECT {E.voxel_key(FINE)} AS vkey, max(intensity) - min(intensity) AS spread, count(DISTINCT frame_id) AS frames FROM e GROUP BY 1")
+def u_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels with contents of the user's own."""
+    return voxels.voxel_contents(cloud_e(spark, sf_dir), FINE, {"spread": F.max("intensity") - F.min("intensity"), "frames": F.count_distinct("frame_id")})
+
+
+@query("u_custom_search", FACTOR_SQL.replace(f"{PAIR_D2} < 1.21", f"{PAIR_D2} < 1.21 AND {_cells(7)}") + " SELECT count(*) AS n_inliers, round(sum(r0 * r0 + r1 * r1 + r2 * r2), 4) AS error FROM m")
+def u_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correspondences by a search of the user's own: seven voxels instead of the whole ball."""
+    search = lambda q, p, d, k: neighbors.knn_voxel(q, p, k, FINE, 7, max_sq_dist=1.21)
+    return residual_out(factors.icp(*pair_of(spark, sf_dir), POSE, 1.1, search=search))
+
+
+@query("u_index_transform", near_sql(f"{PAIR_D2} < 1.0", 3) + "SELECT qid, (f.frame_id << 32) + n.point_id AS idx, CAST(rank AS INT) AS rank FROM n JOIN e f ON n.point_id = f.point_id")
+def u_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by a composite index of frame and point."""
+    df = cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ)
+    near = neighbors.radius_search(neighbors.as_queries(df), df, 1.0, 3).join(df.select("point_id", "frame_id"), "point_id")
+    return neighbors.with_index(near, rows.composite_index(F.col("frame_id"), F.col("point_id"))).select("qid", F.col("point_id").alias("idx"), F.col("rank").cast("int").alias("rank"))
+
+
 def _continuous(spark: SparkSession, sf_dir: str, factor: Callable) -> DataFrame:
     source, target = pair_of(spark, sf_dir)
     return factor(source.withColumn("t", F.col("t") / 2), target, _square(POSES[0]), _square(POSES[1]), 1.1)
@@ -881,9 +936,10 @@ def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    knots = cloud_e(spark, sf_dir).where("point_id < 40").select(F.col("point_id").alias("knot"), *[F.col(c).alias(f"t{c}") for c in XYZ])
-    queries = spark.range(150).select(F.col("id").alias("qid"), (F.col("id") * 0.11).alias("t"))
-    return queries, knots
+    """The cloud's points as knots, half a second apart, and a query in each interval."""
+    df = cloud_e(spark, sf_dir)
+    knots = df.select(F.col("point_id").alias("knot"), *[F.col(c).alias(f"t{c}") for c in XYZ])
+    return df.select(F.col("point_id").alias("qid"), (F.col("point_id") * 0.5 + 0.11).alias("t")), knots
 
 
 def _spline_sql(basis: tuple[str, str, str], out: str, scale: float, base: bool) -> str:
@@ -892,8 +948,8 @@ def _spline_sql(basis: tuple[str, str, str], out: str, scale: float, base: bool)
     k = ", ".join(f"k{j}.{c} AS k{j}{c}" for j in range(4) for c in XYZ)
     joins = " ".join(f"JOIN e k{j} ON k{j}.point_id = a.i - 1 + {j}" for j in range(4))
     return (
-        ", a AS (SELECT i AS qid, i * 0.11 AS t FROM range(0, 150) g(i)), b AS (SELECT qid, CAST(floor((t - 0.0) / 0.5) AS BIGINT) + 1 AS i, (t - 0.0) / 0.5 - floor((t - 0.0) / 0.5) AS u FROM a)"
-        + f", c AS (SELECT qid, u, {k} FROM b a {joins} WHERE a.i + 2 < 40) SELECT qid, {q6(*[(f'{out}{c}', _blend(basis, c, scale, base)) for c in XYZ], digits=5)} FROM c"
+        ", a AS (SELECT point_id AS qid, point_id * 0.5 + 0.11 AS t FROM e), b AS (SELECT qid, CAST(floor((t - 0.0) / 0.5) AS BIGINT) + 1 AS i, (t - 0.0) / 0.5 - floor((t - 0.0) / 0.5) AS u FROM a)"
+        + f", c AS (SELECT qid, u, {k} FROM b a {joins}) SELECT qid, {q6(*[(f'{out}{c}', _blend(basis, c, scale, base)) for c in XYZ], digits=5)} FROM c"
     )
 
 

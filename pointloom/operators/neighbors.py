@@ -146,6 +146,11 @@ def _knn(q: DataFrame, points: DataFrame, k: int, max_sq_dist: float | None, sid
     return out
 
 
+def with_index(near: DataFrame, index: Column) -> DataFrame:
+    """A neighbour table whose point_id is replaced by an expression of it: an offset of a frame, a composite index, a column of a joined table."""
+    return near.withColumn("point_id", index)
+
+
 def knn_voxel(queries: DataFrame, points: DataFrame, k: int, cell: float, neighbourhood: int = 7, valid: Column | None = None, max_sq_dist: float | None = None) -> DataFrame:
     """As knn, but among the points of so many voxels round the query's only (and those on which `valid` holds): approximate, one join."""
     chosen = points if valid is None else points.where(valid)

@@ -124,6 +124,21 @@ def raycast(rays: DataFrame, size: float) -> DataFrame:
     return rows.select("ray_id", F.col("step").cast("long").alias("step"), *[F.expr(at(k, a)).alias(f"v{a}") for k, a in enumerate(axes)])
 
 
+# The factors of a voxel's three coordinates in the xor hash.
+XOR_FACTORS = (9132043225175502913, 7277549399757405689, 6673468629021231217)
+
+
+def xor_hash(vx: str = "vx", vy: str = "vy", vz: str = "vz") -> str:
+    """The products of coordinates and large factors, modulo 2**64, combined by exclusive or; as a signed 64-bit integer."""
+    whole = 1 << 64
+
+    def product(v: str, p: int) -> str:
+        d = f"pmod(CAST({v} AS DECIMAL(18, 0)) * CAST({p} AS DECIMAL(20, 0)), CAST({whole} AS DECIMAL(38, 0)))"
+        return f"CAST(CASE WHEN {d} >= {whole // 2} THEN {d} - {whole} ELSE {d} END AS BIGINT)"
+
+    return "(" + " ^ ".join(product(v, p) for v, p in zip((vx, vy, vz), XOR_FACTORS, strict=True)) + ")"
+
+
 def spatial_hash(vx: str = "vx", vy: str = "vy", vz: str = "vz") -> Column:
     """A hash of voxel coordinates; joins hash their keys themselves, this is for seeds."""
     return F.xxhash64(vx, vy, vz)

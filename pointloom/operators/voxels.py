@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -52,6 +52,11 @@ def _placed(df: DataFrame, poses: DataFrame, out: Sequence[str] = XYZ) -> DataFr
     return joined.select("*", *moved)
 
 
+def voxel_contents(df: DataFrame, resolution: float, contents: dict[str, Column]) -> DataFrame:
+    """(vkey, one column for each of contents): what a voxel holds is any aggregate of its points."""
+    return with_voxel(df, resolution).groupBy("vkey").agg(*[c.alias(n) for n, c in contents.items()])
+
+
 def merge_frames(df: DataFrame, poses: dict[int, Matrix], resolution: float) -> DataFrame:
     """All frames as one cloud: points are placed by their frames' poses, grouped by the voxels of the first pose's own frame, and averaged in the world.
 

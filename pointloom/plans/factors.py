@@ -6,6 +6,8 @@ factor_id, r0..r2, p0..p2, w00..w22 and the ids that matched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +31,20 @@ def moved(source: DataFrame, m: Matrix, extra: tuple[str, ...] = ()) -> DataFram
     return out.select(*columns, *extra)
 
 
-def nearest(source: DataFrame, target: DataFrame, m: Matrix, max_distance: float, k: int = 1) -> DataFrame:
+#: A search takes queries(qid, qx, qy, qz), points(point_id, x, y, z), a distance and k, and returns (qid, point_id, d2, rank).
+Search = Callable[[DataFrame, DataFrame, float, int], DataFrame]
+
+
+def nearest(source: DataFrame, target: DataFrame, m: Matrix, max_distance: float, k: int = 1, search: Search = radius_search) -> DataFrame:
     """(src_id, tgt_id, rank) after the motion; the target keeps its own cells over all motions, so it can be cached."""
     placed = as_queries(transform(source.select("point_id", *XYZ), m))
-    near = radius_search(placed, target.select("point_id", *XYZ), max_distance, k)
+    near = search(placed, target.select("point_id", *XYZ), max_distance, k)
     return near.select(F.col("qid").alias("src_id"), F.col("point_id").alias("tgt_id"), "rank")
 
 
-def _matched(source: DataFrame, target: DataFrame, m: Matrix, max_distance: float, columns: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
+def _matched(source: DataFrame, target: DataFrame, m: Matrix, max_distance: float, columns: tuple[str, ...], extra: tuple[str, ...] = (), search: Search = radius_search) -> DataFrame:
     goal = target.select(F.col("point_id").alias("tgt_id"), *[F.col(c).alias(f"q{i}") for i, c in enumerate(XYZ)], *[F.col(c).alias(f"t{c}") for c in columns])
-    return nearest(source, target, m, max_distance).join(goal, "tgt_id").join(moved(source, m, extra), "src_id")
+    return nearest(source, target, m, max_distance, search=search).join(goal, "tgt_id").join(moved(source, m, extra), "src_id")
 
 
 def _rows(df: DataFrame, residual: list[str], weight: tuple[str, ...] | list[str], factor_id: int, keep: tuple[str, ...] = ("src_id",)) -> DataFrame:
@@ -49,8 +55,8 @@ def _rows(df: DataFrame, residual: list[str], weight: tuple[str, ...] | list[str
 DIFFERENCE = [f"(q{i} - p{i})" for i in range(3)]
 
 
-def icp(source: DataFrame, target: DataFrame, m: Matrix, max_distance: float = 1.0, factor_id: int = 0) -> DataFrame:
-    return _rows(_matched(source, target, m, max_distance, ()), DIFFERENCE, IDENTITY_WEIGHT, factor_id, ("src_id", "tgt_id"))
+def icp(source: DataFrame, target: DataFrame, m: Matrix, max_distance: float = 1.0, factor_id: int = 0, search: Search = radius_search) -> DataFrame:
+    return _rows(_matched(source, target, m, max_distance, (), search=search), DIFFERENCE, IDENTITY_WEIGHT, factor_id, ("src_id", "tgt_id"))
 
 
 def icp_plane(source: DataFrame, target: DataFrame, m: Matrix, max_distance: float = 1.0, factor_id: int = 0) -> DataFrame:
@@ -60,12 +66,20 @@ def icp_plane(source: DataFrame, target: DataFrame, m: Matrix, max_distance: flo
     return _rows(_matched(source, target, m, max_distance, NORMAL), DIFFERENCE, w, factor_id, ("src_id", "tgt_id"))
 
 
-def gicp(source: DataFrame, target: DataFrame, m: Matrix, max_distance: float = 1.0, factor_id: int = 0) -> DataFrame:
-    """Distribution to distribution: the weight is the inverse of both covariances' sum."""
+#: How a GICP weight is kept between linearisations: as it is, in single precision, or not at all (made anew, which is what a plan does).
+WEIGHT_CACHES = ("full", "compact", "none")
+
+
+def gicp(source: DataFrame, target: DataFrame, m: Matrix, max_distance: float = 1.0, factor_id: int = 0, cache: str = "full", search: Search = radius_search) -> DataFrame:
+    """Distribution to distribution: the weight is the inverse of both covariances' sum. All WEIGHT_CACHES give the same but for rounding."""
+    if cache not in WEIGHT_CACHES:
+        raise ValueError(f"cache must be one of {WEIGHT_CACHES}")
     require_columns(source, *COV)
     require_columns(target, *COV)
-    both = [f"({s} + {t})" for s, t in zip(SOURCE_COV, TARGET_COV, strict=True)]
-    return _rows(_matched(source, target, m, max_distance, COV), DIFFERENCE, E.inverse(both), factor_id, ("src_id", "tgt_id"))
+    weight = E.inverse([f"({s} + {t})" for s, t in zip(SOURCE_COV, TARGET_COV, strict=True)])
+    if cache == "compact":
+        weight = [f"CAST({w} AS FLOAT)" for w in weight]
+    return _rows(_matched(source, target, m, max_distance, COV, search=search), DIFFERENCE, weight, factor_id, ("src_id", "tgt_id"))
 
 
 def vgicp(source: DataFrame, voxels: DataFrame, resolution: float, m: Matrix, factor_id: int = 0, surface_validation: bool = False) -> DataFrame:

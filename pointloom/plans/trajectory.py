@@ -19,8 +19,13 @@ BETA1 = ("(3 - 6 * u + 3 * u * u) / 6", "(3 + 6 * u - 6 * u * u) / 6", "u * u /
 BETA2 = ("(u - 1)", "(1 - 2 * u)", "u")
 
 
-def arange_timestamps(spark: SparkSession, start: float, end: float, step: float) -> DataFrame:
-    """stamp from start by step, and end itself if the last differs from it by more than 1e-6. No stamps if end lies before start."""
+def arange_timestamps(spark: SparkSession, start: float, end: float, step: float, given: tuple[float, float] | None = None) -> DataFrame:
+    """stamp from start by step, and end itself if the last differs from it by more than 1e-6. No stamps if end lies before start.
+
+    given: the first and last stamps of a trajectory, which a negative start or end means.
+    """
+    if given is not None:
+        start, end = given[0] if start < 0 else start, given[1] if end < 0 else end
     if step <= 0:
         raise ValueError("step must be positive")
     if end < start:
@@ -145,28 +150,57 @@ class ContinuousTrajectory:
         return queries.select("ts").mapInPandas(run, ", ".join(f"{c} double" for c in ("ts", "tx", "ty", "tz", "qx", "qy", "qz", "qw", "ax", "ay", "az", "wx", "wy", "wz")))
 
 
+def _band_factor(first: np.ndarray, weights: np.ndarray, n: int, smoothness: float) -> np.ndarray:
+    """The Cholesky factor, four diagonals of it, of the normal equations of rows with `weights` from column `first` on and of neighbours' differences."""
+    band = np.zeros((4, n))
+    for a in range(4):
+        for c in range(a, 4):
+            np.add.at(band[c - a], first + a, weights[:, a] * weights[:, c])
+    band[0, :-1] += smoothness**2
+    band[0, 1:] += smoothness**2
+    band[1, :-1] -= smoothness**2
+    for j in range(n):
+        for d in range(4):
+            for k in range(1, 4 - d):
+                if j - k >= 0:
+                    band[d, j] -= band[k, j - k] * band[k + d, j - k]
+        band[0, j] = np.sqrt(max(band[0, j], 1e-300))
+        band[1:, j] /= band[0, j]
+    return band
+
+
+def _band_solve(band: np.ndarray, first: np.ndarray, weights: np.ndarray, right: np.ndarray, differences: np.ndarray, smoothness: float) -> np.ndarray:
+    n = band.shape[1]
+    x = np.zeros((n, right.shape[1]))
+    for a in range(4):
+        np.add.at(x, first + a, weights[:, a, None] * right)
+    x[:-1] -= smoothness * differences
+    x[1:] += smoothness * differences
+    for j in range(n):
+        x[j] = (x[j] - sum(band[k, j - k] * x[j - k] for k in range(1, min(3, j) + 1))) / band[0, j]
+    for j in range(n - 1, -1, -1):
+        x[j] = (x[j] - sum(band[k, j] * x[j + k] for k in range(1, min(3, n - 1 - j) + 1))) / band[0, j]
+    return x
+
+
 def fit_knots(stamps: np.ndarray, poses: list[np.ndarray], interval: float, smoothness: float = 1e-3, iterations: int = 10) -> ContinuousTrajectory:
-    """Knots start at the pose nearest in time; translations are one banded least-squares problem, rotations Gauss-Newton steps on right perturbations."""
+    """Knots start at the pose nearest in time; translations are one banded least-squares problem (in time linear in the knots), rotations Gauss-Newton steps on right perturbations."""
     start, n = float(stamps[0]), knot_max_id(float(stamps[-1]), float(stamps[0]), interval) + 1
     times = start - interval / 2 + interval * np.arange(n)
     near = np.abs(stamps[None, :] - times[:, None]).argmin(1)
     rot = np.array([poses[i][:3, :3] for i in near])
     trans = np.array([poses[i][:3, 3] for i in near])
     traj = ContinuousTrajectory(start, interval, rot, trans)
-    rows = np.zeros((len(stamps) + n - 1, n))
     places = [traj._at(t) for t in stamps]
-    for k, (i, u) in enumerate(places):
-        b, _, _ = _basis(u)
-        rows[k, i : i + 4] = [1 - b[0], b[0] - b[1], b[1] - b[2], b[2]]
-    for k in range(n - 1):
-        rows[len(stamps) + k, [k, k + 1]] = -smoothness, smoothness
-    right = np.vstack([np.array([p[:3, 3] for p in poses]), np.zeros((n - 1, 3))])
-    traj.translations = np.linalg.lstsq(rows, right, rcond=None)[0]
+    first = np.array([i for i, _ in places])
+    weights = np.array([[1 - b[0], b[0] - b[1], b[1] - b[2], b[2]] for b in (_basis(u)[0] for _, u in places)])
+    factor = _band_factor(first, weights, n, smoothness)
+    traj.translations = _band_solve(factor, first, weights, np.array([p[:3, 3] for p in poses]), np.zeros((n - 1, 3)), smoothness)
     for _ in range(iterations):
         res = np.array([lie.so3_log(rotation(list(traj.rotations[i : i + 4]), u).T @ p[:3, :3]) for (i, u), p in zip(places, poses, strict=True)])
         smooth = np.array([smoothness * lie.so3_log(traj.rotations[k].T @ traj.rotations[k + 1]) for k in range(n - 1)])
         # to first order a knot's right perturbation reaches the value with its weight of the basis
-        step = np.linalg.lstsq(rows, np.vstack([res, -smooth]), rcond=None)[0]
+        step = _band_solve(factor, first, weights, res, -smooth, smoothness)
         traj.rotations = np.array([r @ lie.so3_exp(d) for r, d in zip(traj.rotations, step, strict=True)])
         if np.abs(step).max() < 1e-9:
             break

@@ -527,6 +527,22 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert target.state.count() > 50 and make().restore(f"file://{tmp_path}/stream/map") == 0
 
 
+def test_interpolation_command(spark, tmp_path):
+    """A smooth trajectory sampled at 10 Hz comes back at 20 Hz, with the inertial values of its motion."""
+    from pointloom.interpolate import main
+
+    t = np.arange(0, 5.05, 0.1)
+    lines = [f"{x:.9f} {np.sin(x):.9f} {np.cos(x):.9f} 0 0 0 {np.sin(x / 4):.9f} {np.cos(x / 4):.9f}" for x in t]
+    (tmp_path / "in.txt").write_text("# t x y z qx qy qz qw\n" + "\n".join(lines) + "\n")
+    main([str(tmp_path / "in.txt"), str(tmp_path / "poses"), str(tmp_path / "imu"), "--step", "0.05", "--smoothness", "1e-5"])
+    got = files.read_tum(spark, str(tmp_path / "poses")).orderBy("ts").toPandas()
+    inner = got[(got.ts > 0.5) & (got.ts < 4.5)]
+    assert abs(got.ts.iloc[0] - t[0]) < 1e-6 and abs(got.ts.iloc[-1] - t[-1]) < 1e-6 and len(got) == 101
+    assert np.abs(inner.tx - np.sin(inner.ts)).max() < 1e-3 and np.abs(inner.qz - np.sin(inner.ts / 4)).max() < 1e-3
+    imu = spark.read.csv(str(tmp_path / "imu"), sep=" ", schema="ts double, ax double, ay double, az double, wx double, wy double, wz double").where("ts > 0.5 and ts < 4.5").toPandas()
+    assert np.abs(imu.wz - 0.5).max() < 0.01 and np.abs(imu.az - 9.80665).max() < 0.01
+
+
 def test_sliding_window():
     w = SlidingWindow()
     for x in "abc":
