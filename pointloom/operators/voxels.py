@@ -68,10 +68,12 @@ def merge_frames(df: DataFrame, poses: dict[int, Matrix], resolution: float) ->
     first = np.linalg.inv(np.vstack([np.asarray(next(iter(poses.values())), float)[:3], [0, 0, 0, 1]]))
     world = _placed(df, poses_table(df, poses), ("wx", "wy", "wz"))
     local = E.moved(first, ("wx", "wy", "wz"))
-    world = world.withColumn("vkey", F.expr(f"CASE WHEN {E.finite('wx', 'wy', 'wz')} THEN {E.pack(*[E.voxel(c, resolution) for c in local])} END")).where("vkey is not null")
+    world = world.withColumn("vkey", F.expr(f"CASE WHEN {E.finite('wx', 'wy', 'wz')} THEN {E.pack(*[E.voxel(c, resolution) for c in local])} END"))
     means = [F.avg(f"w{c}").alias(c) for c in XYZ] + ([F.avg(f"w{c}").alias(c) for c in COV] if has(df, *COV) else [])
     extra = [F.max("intensity").alias("intensity")] if has(df, "intensity") else []
-    return world.groupBy("vkey").agg(F.count(F.lit(1)).alias("n"), *means, *extra)
+    # points without a voxel go after the grouping: a filter before it would be pushed into the join, all arithmetic with it, beyond what compiles
+    out = world.groupBy("vkey").agg(F.count(F.lit(1)).alias("n"), *means, *extra, F.max("vkey").alias("_key"))
+    return out.where("_key is not null").drop("_key")
 
 
 def occupancy(df: DataFrame, resolution: float) -> DataFrame:
