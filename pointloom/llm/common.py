@@ -44,6 +44,18 @@ def cleanup(spark: SparkSession | None = None) -> None:
 atexit.register(cleanup)
 
 
+def made() -> set[str]:
+    """The paths of the scratch tables that are there now."""
+    return {path for _, path in _made}
+
+
+def discard(paths: set[str]) -> None:
+    """Delete these scratch tables: those of a stage whose result has been written elsewhere."""
+    for item in [x for x in _made if x[1] in paths]:
+        _delete(*item)
+        _made.remove(item)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -42,3 +42,23 @@ def test_stages(spark, tmp_path):
             assert out.agg({"length": "sum"}).head()[0] == sum(out.where("start = 0").select("doc_tokens").toPandas().doc_tokens)
         seen = out
     assert np.array_equal(np.sort(pipeline.run(spark, str(tmp_path)).toPandas().ids_crc32), np.sort(seen.toPandas().ids_crc32))
+
+
+def test_stages_on_awkward_tables(spark):
+    """Nulls in every column, repeated rows, empty and long texts, clashing columns; and no rows at all."""
+    text = prose(1, 60)
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (None, text, None, None, None), (2, None, "en", None, 0), (3, "", "de", "b", 0), (None, None, None, None, None), (4, prose(2, 4000), "de", "b", 9), (5, "x", "en", "a", 1)]
+    rows += [(10 + i, prose(50 + i, 30), ("en", "de")[i % 2], "a", 9) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.select("*", *[docs.text.alias(c) for c in ("id", "item", "bucket", "key", "th", "t", "size", "copies", "rank", "score", "__keep_", "ids")])
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, clash, "").toPandas()
+        if name == "packing":
+            assert len(out[out.start == 0]) == len(rows)
+        else:
+            assert tuple(out.columns) == pipeline.COLUMNS
+            texts = out.text.dropna().tolist()
+            assert len(texts) == 0 or set(t for t in texts if t) <= {t for _, t, *_ in rows if t}
+        if name == "SimHash near-dedup":
+            assert sum(t == text for t in texts) == 1 and len(out) == len(rows) - 2
+        assert stage(spark, clash.limit(0), "").count() == 0
