@@ -51,7 +51,8 @@ def components(edges: DataFrame, last_edges: int = LAST_EDGES) -> DataFrame:
     Batches are thinned to forests first. While more than last_edges edges stay, each node is merged
     into its neighbour of lowest random rank (drawn anew each round), which leaves a constant share
     of the nodes; the maps are then composed backwards. Self-links, repeats and nulls are allowed:
-    links with a null end are ignored, a self-link alone gives a node of its own.
+    links with a null end are ignored, a self-link alone gives a node of its own. No table that grows with
+    the edges is broadcast.
     """
     edges = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null"), "links")
     own = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
@@ -66,16 +67,16 @@ def components(edges: DataFrame, last_edges: int = LAST_EDGES) -> DataFrame:
             "map",
         )
         maps.append(low)
-        at = lambda side, new: low.select(F.col("node").alias(side), F.col("up").alias(new))  # noqa: E731, B023
+        at = lambda side, new: low.select(F.col("node").alias(side), F.col("up").alias(new)).hint("merge")  # noqa: E731, B023
         moved = now.join(at("a", "ua"), "a").select("b", "ua").join(at("b", "ub"), "b").where("ua <> ub")
         now = materialize(moved.select(F.col("ua").alias("a"), F.col("ub").alias("b")).mapInPandas(_forest, "a long, b long"), "edges")
     roots = now.repartition(1).mapInPandas(_finish, "node long, root long")
     for low in reversed(maps):
         known = materialize(roots, "roots")
         top = known.select(F.col("node").alias("up"), "root")
-        roots = low.join(top, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
+        roots = low.join(top.hint("merge"), "up", "left").select("node", F.coalesce("root", "up").alias("root"))
     if maps:  # the random ranks chose the roots; the smallest node is the name
         roots = materialize(roots, "roots")
         name = materialize(roots.groupBy("root").agg(F.min(F.least("node", "root")).alias("name")), "names")
-        roots = roots.join(name, "root").select("node", F.col("name").alias("root"))
-    return roots.union(own.distinct().join(roots.select("node"), "node", "left_anti"))
+        roots = roots.join(name.hint("merge"), "root").select("node", F.col("name").alias("root"))
+    return roots.union(own.distinct().join(roots.select("node").hint("merge"), "node", "left_anti"))

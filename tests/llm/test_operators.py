@@ -422,6 +422,18 @@ def test_links_of_random_fingerprints(spark):
         assert got == want
 
 
+def test_fingerprint_tables_are_not_broadcast(docs_of, monkeypatch):
+    """Tables that grow with the documents stay out of the driver, however small their files seem."""
+    plans, write = [], simhash.materialize
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "materialize", lambda df, name: seen(df) or write(df, name))
+    union = components.components
+    monkeypatch.setattr(simhash, "components", lambda edges: union(edges, 0))
+    seen(simhash.near_groups(docs_of([*FIXTURE, *[edited(BASE, 100 + s, 1) for s in range(10)]])))
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_near_duplicates(docs_of):
     rows = [(i, t) for i, t in enumerate([BASE, edited(BASE, 2, 1), edited(BASE, 3, 1), prose(20, 90), prose(21, 90), BASE, None, "", "short", "short", prose(22, 2000), edited(prose(22, 2000), 4, 3)])]
     left = {r.doc_id for r in simhash.drop_near_duplicates(docs_of(rows)).collect()}
