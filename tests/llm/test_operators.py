@@ -182,6 +182,19 @@ def test_big_buckets_are_divided_by_other_buckets(spark):
     assert sizes < 50
 
 
+def test_big_buckets_keep_pairs_that_share_no_other(spark):
+    """Like lines whose only bucket is a big one are linked, beside a group of near copies and lines unlike all."""
+    bases = [prose(400 + f, 14) for f in range(20)]
+    texts = [edited(prose(399, 40), s, 1) for s in range(24)] + [f"{bases[i % 20]} {i}" for i in range(40)] + [prose(500 + i, 12) for i in range(10)] + ["", "short"]
+    members = spark.createDataFrame([(77, i) for i in range(len(texts))] + [(78, i) for i in range(10, 50)], "bucket long, item long")
+    table_ = spark.createDataFrame(list(enumerate(texts)), "item long, text string")
+    found = verify.similar_links(members, table_, linededup.shingle_set, 0.8, block=4, split=5)
+    sets = [linededup.shingle_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if verify.jaccard(sets[i], sets[j], 0.8)]
+    want = dict(zip(*components.union_find(*map(np.array, zip(*pairs)))))
+    assert {r.node: r.root for r in components.components(found).collect()} == want and len(set(want.values())) > 15
+
+
 def test_lines_that_share_the_first_part_of_their_name(docs_of):
     """With one bit to group by, different lines share it: of those one is grouped, and no line goes that is not repeated."""
     lines = [f"{w} {w}{i} is a line of its own" for i, w in enumerate(WORDS[:8])]
@@ -441,6 +454,14 @@ def test_near_duplicates(docs_of):
     assert simhash.drop_near_duplicates(docs_of(rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_in_a_big_bucket(docs_of, monkeypatch):
+    """Near copies that share no bucket but a big one go."""
+    texts = [prose(700 + i % 15, 60) + f" {i}" for i in range(30)] + [prose(800 + i, 60) for i in range(5)]
+    monkeypatch.setattr(simhash, "crowded", lambda rows: rows.select(F.lit(77).cast("long").alias("bucket"), "item").distinct())
+    monkeypatch.setattr(simhash, "similar_links", lambda *given: verify.similar_links(*given, block=4, split=5))
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs_of(texts)).collect()} == {*range(15), *range(30, 35)}
+
+
 def test_near_duplicates_with_a_passage_more_or_less(docs_of):
     texts = [prose(900 + i, 120) for i in range(40)]
     more = [t + " " + prose(2000 + i, 20 + i % 8) for i, t in enumerate(texts[:20])]
