@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from string import punctuation
 from unicodedata import normalize
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,12 @@ from .common import documents, require
 
 MAX_TOKENS, END_ID = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a Python worker remembers, of so many characters at most (300 bytes a word then); beyond it the memory starts afresh.
+#: Words of at most so many characters are remembered with their ids by a Python worker.
 MOST_CHARS = 40
-REMEMBERED = 1_400_000
-#: So many parts that end in punctuation are remembered too, besides what they are made of.
-REMEMBERED_TAILS = 500_000
+#: When so many are, they become the older half of its memory, and what was the older half goes: at any time twice as many words at most, of some 230 bytes.
+REMEMBERED = 600_000
+#: So many new words are encoded in one call.
+AT_ONCE = 64
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -41,41 +43,84 @@ class WordIds(dict):
     those of its parts, one after another.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tails = 0
+        self.most, self.old = most, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that only end a piece of the splitter
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED + REMEMBERED_TAILS:
-            self.clear()
-            self.tails = 0
-        if "<|" in part:  # may hold a special token
+        if (got := self.old.get(part)) is not None:
+            pass
+        elif "<|" in part:  # may hold a special token
             got = self.encode(part)
         elif (base := part.rstrip(punctuation)) != part and base and _stays(base[-1]):
             # ASCII punctuation after what the normaliser leaves a letter or digit: the splitter always cuts there
             got = self[base] + self[part[len(base) :]]
-            if self.tails >= REMEMBERED_TAILS:
-                return got
-            self.tails += 1
         elif part.isascii() and part != (low := part.lower()):  # the normaliser lower-cases
             return self[low]
         else:
             got = self.encode(part)
         if len(part) <= MOST_CHARS:
+            self.age()
             self[part] = got
         return got
 
+    def age(self) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+
     def encode(self, part: str) -> bytes:
         return struct.pack(f"<{len(ids := self.tokenizer.encode(part, add_special_tokens=False).ids)}I", *ids)
 
+    def learn(self, parts: set[str]) -> None:
+        """Encodes what are letters only, many at once: the splitter leaves such a word whole, and each piece of it ends in an id that ends nothing else."""
+        words = [w for w in {p.rstrip(punctuation) for p in parts} if w.isalpha() and len(w) <= MOST_CHARS and w not in self and w not in self.old]
+        for at in range(0, len(words), AT_ONCE):
+            some = words[at : at + AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(some):  # else a word was more than one piece
+                raw = ids.tobytes()
+                self.update(zip(some, [raw[start:end] for start, end in zip([0, *ends], ends, strict=False)], strict=True))
+            self.age()
+
     def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        parts = _spaced(text).split(" ")
+        found = list(map(self.get, parts))
+        new = [i for i, got in enumerate(found) if got is None]
+        self.learn({parts[i] for i in new})
+        for i in new:
+            found[i] = self[parts[i]]
+        return b"".join(found)
+
+
+def _spaced(text: str) -> str:
+    """A text whose ids are those of its parts between spaces, one after another. Latin-1 texts, which the normaliser only lower-cases, are in lower case,
+    and commas and full stops between a letter or digit and a space are parts of their own."""
+    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    if "<|" not in text and _is_latin(text):
+        text = text.lower()
+        for mark in ",.":
+            pieces = text.split(f"{mark} ")
+            last = pieces.pop()
+            text = "".join([*[f"{p} {mark} " if p[-1:].isalnum() else f"{p}{mark} " for p in pieces], last])
+    return text
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[tuple[str, int], WordIds] = {}
 
 
 def pieces(n: int, most: int = MAX_TOKENS) -> Iterator[tuple[int, int]]:
@@ -90,13 +135,13 @@ def pieces(n: int, most: int = MAX_TOKENS) -> Iterator[tuple[int, int]]:
             start += 1 << bit
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, most: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, most: int = MAX_TOKENS, with_ids: bool = False, remember: int = REMEMBERED) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, bucket (log2 of the length), [ids,] sequence_id, offset.
 
     A document's ids, with END_ID after them, are cut into pieces of a power of two of at most `most` ids. Each
     piece is a sequence of its own in the bucket of its length, so nothing is padded. A null text is an
     empty one and gives one piece (END_ID alone). Rows with repeated or null ids are packed each on its own.
-    An empty table gives no rows; columns not named are ignored. There is no shuffle.
+    An empty table gives no rows; columns not named are ignored. There is no shuffle. A Python worker remembers the ids of at most twice `remember` words.
     """
     require(docs, id_col, text_col)
     if most < 1 or most & (most - 1):
@@ -105,9 +150,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = name or tokenizer_path()
-        if file not in _loaded:
-            _loaded[file] = WordIds(file)
-        words, end = _loaded[file], END_ID.to_bytes(4, "little")
+        if (file, remember) not in _loaded:
+            _loaded[file, remember] = WordIds(file, remember)
+        words, end = _loaded[file, remember], END_ID.to_bytes(4, "little")
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             blobs: list[bytes] = []

@@ -672,6 +672,17 @@ def test_ids_equal_the_tokenizers_on_any_text():
         assert tok.encode(text, add_special_tokens=False).ids == np.frombuffer(words.text(text), "<u4").tolist(), text
 
 
+def test_remembered_words_are_bounded():
+    """Many different words, with punctuation, capitals and letters beyond ASCII, leave twice the given number of words at most, and the ids are the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    tok, words, rng = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path(), 300), random.Random(4)
+    for _ in range(200):
+        text = " ".join(rng.choice(["", "", "É", "ß", "N"]) + "".join(rng.choices("abcdefgß", k=rng.randint(1, 9))) + rng.choice(["", "", ",", ".", "###", "'s.", "9,", '").']) for _ in range(60))
+        assert tok.encode(text, add_special_tokens=False).ids == np.frombuffer(words.text(text), "<u4").tolist(), text
+        assert len(words) + len(words.old) <= 2 * 300 + packing.AT_ONCE * 4
+
+
 def test_packing(docs_of):
     from tokenizers import Tokenizer
 

@@ -62,3 +62,21 @@ def test_stages_on_awkward_tables(spark):
         if name == "SimHash near-dedup":
             assert sum(t == text for t in texts) == 1 and len(out) == len(rows) - 2
         assert stage(spark, clash.limit(0), "").count() == 0
+
+
+def test_workers_get_few_texts_at_once(spark):
+    """Each stage that runs Python code bounds the rows that a worker and its executor hold, and keeps a smaller bound that the session has."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(1, "some words here", "en", "a", 15)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = spark.conf.get(conf)
+    try:
+        for name, stage in pipeline.STAGES:
+            if name != "mixing":
+                spark.conf.set(conf, 10_000)
+                stage(spark, docs, "")
+                assert int(spark.conf.get(conf)) == pipeline.BATCH_ROWS, name
+        spark.conf.set(conf, 7)
+        pipeline.packed(spark, docs, "")
+        assert spark.conf.get(conf) == "7"
+    finally:
+        spark.conf.set(conf, before)
