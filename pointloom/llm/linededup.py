@@ -25,7 +25,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def normal(line: str) -> str:
     """What two equal lines have in common: lower case, white space as one space."""
-    return " ".join(line.lower().split())
+    low = line.lower()
+    # white space but the space is not printable
+    return low.strip(" ") if "  " not in low and low.isprintable() else " ".join(low.split())
 
 
 def key(line: str, bits: int = 64) -> tuple[int, int]:
@@ -58,6 +60,21 @@ def shingle_set(line: str) -> np.ndarray:
     return np.unique(shingle_hashes([line])[0])
 
 
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """shingle_set of each line."""
+    out: list[np.ndarray] = []
+    while len(out) < len(lines):
+        some, size = [], 0
+        while len(out) + len(some) < len(lines) and size < 100_000:
+            some.append(lines[len(out) + len(some)])
+            size += len(some[-1])
+        hashes, counts = shingle_hashes(some)
+        for end, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+            mine = np.sort(hashes[end - n : end])
+            out.append(mine[np.concatenate([[True], mine[1:] != mine[:-1]])])
+    return out
+
+
 def band_hashes(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) signed 64-bit hashes of bands of MinHash minima."""
     out = np.empty((len(lines), BANDS), np.int64)
@@ -140,7 +157,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # folded before the shuffle: a common line has very many occurrences
     texts = materialize(found.groupBy("key").agg(F.min(F.struct("alt", "line"))["line"].alias("text")).join(items, "key", "left_semi"), "texts")
     texts = texts.withColumnRenamed("key", "item")
-    roots = materialize(components(similar_links(members, texts, shingle_set, threshold)), "groups")
+    roots = materialize(components(similar_links(members, texts, shingle_set, threshold, sets_of=shingle_sets)), "groups")
     firsts, place = distinct.select("key", "first", "n"), F.struct("first.id", "first.th", "first.pos")
     kept = roots.join(firsts, roots.node == firsts.key).groupBy("root").agg(F.min(place).alias("keep"))
     linked = roots.join(materialize(kept, "kept"), "root").select(F.col("node").alias("key"), "keep")

@@ -16,6 +16,8 @@ from .common import materialize
 BLOCK = 400
 #: A bucket of more items (boilerplate's) is divided by prefixes of the items' sets before texts are shipped.
 SPLIT = 10_000
+#: The sets of so many texts are made in one call.
+TOGETHER = 500
 
 
 def crowded(rows: DataFrame, need: str | None = None) -> DataFrame:
@@ -104,8 +106,11 @@ def finer(members: DataFrame, sizes: DataFrame, split: int, parts: DataFrame | N
     return materialize(members.join(big, "bucket", "left_anti").select("bucket", "item").unionByName(parts.select("bucket", "item")), "finer")
 
 
-def _grouped(handle: Callable[[tuple, list], Iterator[tuple[int, int]]], keys: int) -> Callable:
-    """A function of batches that hands rows, sorted by their first `keys` columns, to `handle` group by group: (keys, rows of the other columns) to links."""
+def _grouped(handle: Callable[[tuple, list], Iterator[tuple[int, int]]], keys: int, sets_of: Callable[[list[str]], list[np.ndarray]]) -> Callable:
+    """A function of batches that hands rows, sorted by their first `keys` columns, to `handle` group by group: (keys, rows of the other columns) to links.
+
+    The last column, a text, is handed on as its set. Sets are made for some rows together, which costs less than one by one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -118,12 +123,14 @@ def _grouped(handle: Callable[[tuple, list], Iterator[tuple[int, int]]], keys: i
             return out
 
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[:keys] != now:
-                    if group:
-                        found.extend(handle(now, group))
-                    group, now = [], row[:keys]
-                group.append(row[keys:])
+            for at in range(0, len(batch), TOGETHER):
+                *columns, texts = [c.to_pylist() for c in batch.slice(at, TOGETHER).columns]
+                for row in zip(*columns, sets_of(texts), strict=True):
+                    if row[:keys] != now:
+                        if group:
+                            found.extend(handle(now, group))
+                        group, now = [], row[:keys]
+                    group.append(row[keys:])
             yield batch_of()
         if group:
             found.extend(handle(now, group))
@@ -160,7 +167,7 @@ def _prefixes(texts: DataFrame, set_of: Callable[[str], np.ndarray], threshold:
     return texts.select("item", "text").mapInArrow(prefix, "bucket long, item long")
 
 
-def _leaders(inside: DataFrame, texts: DataFrame, set_of: Callable[[str], np.ndarray], threshold: float, block: int) -> DataFrame:
+def _leaders(inside: DataFrame, texts: DataFrame, sets_of: Callable[[list[str]], list[np.ndarray]], threshold: float, block: int) -> DataFrame:
     """(a, b): the links of the items of inside(bucket, item) with the first item of their bucket; one comparison an item."""
     first = inside.groupBy("bucket").agg(F.min("item").alias("leader"))
     asked = inside.join(first, "bucket").where("item <> leader").select("leader", "item").distinct()
@@ -171,33 +178,34 @@ def _leaders(inside: DataFrame, texts: DataFrame, set_of: Callable[[str], np.nda
     full = rows.union(heads).join(texts, "item").select("leader", "part", "asks", "item", "text")
 
     def compare(key: tuple, group: list) -> Iterator[tuple[int, int]]:
-        head = set_of(group[0][2])  # the leader comes first
-        return ((key[0], item) for _, item, text in group[1:] if jaccard(head, set_of(text), threshold))
+        head = group[0][2]  # the leader comes first
+        return ((key[0], item) for _, item, mine in group[1:] if jaccard(head, mine, threshold))
 
-    return full.repartition("leader", "part").sortWithinPartitions("leader", "part", "asks").mapInArrow(_grouped(compare, 2), "a long, b long")
+    return full.repartition("leader", "part").sortWithinPartitions("leader", "part", "asks").mapInArrow(_grouped(compare, 2, sets_of), "a long, b long")
 
 
-def similar_links(members: DataFrame, texts: DataFrame, set_of: Callable[[str], np.ndarray], threshold: float, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
+def similar_links(members: DataFrame, texts: DataFrame, set_of: Callable[[str], np.ndarray], threshold: float, block: int = BLOCK, split: int = SPLIT, sets_of: Callable[[list[str]], list[np.ndarray]] | None = None) -> DataFrame:
     """(a, b): links between items of members(bucket, item) that share a bucket and whose sets are similar.
 
-    texts(item, text) has a row for each item. Of the similar pairs of a bucket, as many are returned as keep all of
+    texts(item, text) has a row for each item; sets_of(texts) gives the sets of several, where that is cheaper than set_of of each. Of the similar pairs of a bucket, as many are returned as keep all of
     them connected. Buckets with the same items are compared once. A bucket of more than `split` items is divided exactly:
     items are linked with its first item where they are like it, then all meet again by prefixes of their sets, one element of which
     any two similar sets share; only items known to be connected are not compared with each other.
     """
+    sets_of = sets_of or (lambda some: [set_of(t) for t in some])
     sizes = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split), "sizes")
     stars = label = None
     if sizes.head(1):
         inside = materialize(members.join(sizes, "bucket", "left_semi").select("bucket", "item"), "inside")
         theirs = materialize(texts.join(inside.select("item").distinct(), "item", "left_semi").select("item", "text"), "theirs")
         parts = materialize(_prefixes(theirs, set_of, threshold), "prefixes")
-        stars = materialize(_leaders(inside, theirs, set_of, threshold, block), "stars")
+        stars = materialize(_leaders(inside, theirs, sets_of, threshold, block), "stars")
         label = materialize(stars.select(F.col("b").alias("item"), "a").union(stars.select("a", "a")).groupBy("item").agg(F.min("a").alias("label")), "labels")
         members = finer(members, sizes, split, parts)
-    return _links(members, texts, set_of, threshold, block, stars, label)
+    return _links(members, texts, sets_of, threshold, block, stars, label)
 
 
-def _links(members: DataFrame, texts: DataFrame, set_of: Callable, threshold: float, block: int, stars: DataFrame | None, label: DataFrame | None) -> DataFrame:
+def _links(members: DataFrame, texts: DataFrame, sets_of: Callable, threshold: float, block: int, stars: DataFrame | None, label: DataFrame | None) -> DataFrame:
     """The links of all buckets by blocks, with those of stars(a, b). Of a bucket, the items of its most frequent label(item, label) are connected already."""
     named = members.join(label, "item", "left") if label is not None else members.withColumn("label", F.lit(None).cast("long"))
     marks = [F.expr(f"bit_xor(xxhash64(item, {i}))").alias(f"x{i}") for i in (0, 1)]
@@ -221,10 +229,10 @@ def _links(members: DataFrame, texts: DataFrame, set_of: Callable, threshold: fl
     alike = lambda a, b: jaccard(a, b, threshold)
 
     def compare(cell: tuple, group: list) -> Iterator[tuple[int, int]]:
-        sets = [(second, (item, set_of(text))) for second, item, text in group]
+        sets = [(second, (item, mine)) for second, item, mine in group]
         if cell[1] == cell[2]:
             return _inside([s[1] for s in sets], alike)
         return _across([s[1] for s in sets if not s[0]], [s[1] for s in sets if s[0]], alike)
 
-    found = full.mapInArrow(_grouped(compare, 3), "a long, b long")
+    found = full.mapInArrow(_grouped(compare, 3, sets_of), "a long, b long")
     return found if stars is None else found.union(stars)

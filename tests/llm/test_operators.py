@@ -152,6 +152,14 @@ def test_line_dedup(docs_of):
     empty_and_clashing(docs, linededup.dedup_lines)
 
 
+def test_sets_of_lines_together_and_white_space():
+    """Sets made together are those made one by one; a line's normal form is its lower-cased words, whatever the white space."""
+    rng = random.Random(5)
+    lines = ["", "a", "12345678", "aaaaaaaaaaaaaaaa", prose(1, 30_000), *["".join(rng.choices("abAB \t\u00a0\u2003\u3000\x1c\x85\u00c9\u0130\u200b", k=rng.randint(0, 30))) for _ in range(2_000)]]
+    assert all(np.array_equal(a, linededup.shingle_set(x)) for a, x in zip(linededup.shingle_sets(lines), lines, strict=True))
+    assert [linededup.normal(x) for x in lines] == [" ".join(x.lower().split()) for x in lines]
+
+
 def test_bucket_blocks_lose_no_link(spark):
     """A large bucket is compared in blocks of two and gives the same components."""
     base = prose(10, 40)
