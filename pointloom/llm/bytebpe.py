@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +16,13 @@ from .common import documents, require
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Stretches of at most so many bytes are merged directly: the leaves of the tree.
-LEAF = 64
-#: A worker remembers the ids of so many pieces of at most MOST_CHARS characters; then it forgets them all.
-REMEMBERED, MOST_CHARS = 200_000, 40
-#: Ids in an Arrow batch that a task sends on, about.
-IDS_IN_BATCH = 500_000
+LEAF = 4
+#: Encodings of stretches of at most SHORT bytes, and whether two tokens stay beside each other, are remembered: syllables repeat where words don't.
+SHORT, MOST_SHORT = 12, 200_000
+#: A worker remembers the ids of pieces of at most MOST_CHARS characters. When it has so many, they become the older half of its memory, and what was that goes.
+REMEMBERED, MOST_CHARS = 250_000, 40
+#: Bytes of an Arrow batch that a task sends on, about.
+BATCH_BYTES = 4_000_000
 
 
 def ranks_path(name: str = RANKS) -> str:
@@ -51,6 +55,8 @@ class Encodings:
     def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF) -> None:
         self.ranks, self.leaf = ranks, leaf
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.short: dict[bytes, list[int]] = {}
+        self.beside: dict[tuple[int, int], bool] = {}
 
     def _merge(self, raw: bytes) -> list[int]:
         """The encoding by its definition; short strings only."""
@@ -92,16 +98,32 @@ class Encodings:
         return out
 
     def _window(self, raw: bytes) -> list[int]:
-        return self._merge(raw) if len(raw) <= self.leaf else self._merge_queue(raw)
+        if (got := self.short.get(raw)) is None:
+            got = self._merge(raw) if len(raw) <= 64 else self._merge_queue(raw)
+            self._remember(raw, got)
+        return got
+
+    def _remember(self, raw: bytes, ids: list[int]) -> None:
+        if len(raw) <= SHORT:
+            if len(self.short) >= MOST_SHORT:
+                self.short.clear()
+            self.short[raw] = ids
 
     def _stable(self, left: int, right: int) -> bool:
         """Whether two neighbouring tokens are the encoding of their bytes."""
-        return self._window(self.tokens[left] + self.tokens[right]) == [left, right]
+        if (got := self.beside.get((left, right))) is None:
+            if len(self.beside) >= MOST_SHORT:
+                self.beside.clear()
+            got = self.beside[left, right] = self._window(self.tokens[left] + self.tokens[right]) == [left, right]
+        return got
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of two strings' concatenation from their encodings. Windows grow twofold, each side by itself, until the tokens outside provably stay."""
+        """The encoding of two strings' concatenation from their encodings. If the tokens at the border stay, all do; else windows grow twofold, each side
+        by itself, until the tokens outside provably stay."""
         if not left or not right:
             return left or right
+        if self._stable(left[-1], right[0]):
+            return left + right
         i, j = len(left) - 1, 1  # the window is left[i:] + right[:j]
         while True:
             window = self._window(b"".join([self.tokens[t] for t in [*left[i:], *right[:j]]]))
@@ -121,10 +143,15 @@ class Encodings:
         return self._tree(raw)
 
     def _tree(self, raw: bytes) -> list[int]:
-        if len(raw) <= self.leaf:
-            return self._merge(raw)
-        half = len(raw) // 2
-        return self.join(self._tree(raw[:half]), self._tree(raw[half:]))
+        if (got := self.short.get(raw)) is None:
+            n = len(raw)
+            if n <= self.leaf:
+                got = self._merge(raw)
+            else:  # beginnings of words repeat more than their middles
+                half = 1 << ((n - 1).bit_length() - 1) if n <= SHORT else n // 2
+                got = self.join(self._tree(raw[:half]), self._tree(raw[half:]))
+            self._remember(raw, got)
+        return got
 
 
 def concatenate(tokens: list[bytes]) -> bytes:
@@ -136,15 +163,17 @@ def concatenate(tokens: list[bytes]) -> bytes:
 
 
 class _Pieces(dict):
-    """Ids of a text's pieces; most texts repeat theirs."""
+    """Ids of a text's pieces, as 32-bit integers; most texts repeat theirs."""
 
     def __init__(self, encodings: Encodings) -> None:
-        self.encodings = encodings
+        self.encodings, self.older = encodings, {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.encodings.encode(piece.encode())
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.older.get(piece)) is None:
+            ids = array("i", self.encodings.encode(piece.encode())).tobytes()
         if len(piece) <= MOST_CHARS:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -159,20 +188,25 @@ def _encodings(path: str) -> Encodings:
     return _loaded[path]
 
 
-def _batched(batches: Iterator[pa.RecordBatch], column: str, kind: pa.DataType, value: Callable, weight: Callable) -> Iterator[pa.RecordBatch]:
-    """Batches with their last column replaced by value(cell) under the name column; a batch goes on when its cells weigh IDS_IN_BATCH."""
+def _batched(batches: Iterator[pa.RecordBatch], column: str, make: Callable[[pa.Array], Iterator], pack: Callable[[list], pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is replaced by pack() of what make() gives for its cells, byte strings; a batch goes on when these reach BATCH_BYTES."""
     for batch in batches:
         start, cells, held = 0, [], 0
-        source = batch.column(batch.num_columns - 1)
-        for row in range(batch.num_rows):
-            cells.append(value(source[row]))
-            held += weight(cells[-1])
-            if held >= IDS_IN_BATCH or row == batch.num_rows - 1:
+        for row, cell in enumerate(make(batch.column(batch.num_columns - 1))):
+            cells.append(cell)
+            held += len(cell)
+            if held >= BATCH_BYTES or row == batch.num_rows - 1:
                 kept = [c.slice(start, len(cells)) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(cells, kind)], [*batch.schema.names[:-1], column])
+                yield pa.RecordBatch.from_arrays([*kept, pack(cells)], [*batch.schema.names[:-1], column])
                 start, cells, held = row + 1, [], 0
 
 
+def _id_lists(cells: list[bytes]) -> pa.Array:
+    """Lists of 32-bit integers from their bytes."""
+    ends = np.cumsum([0, *[len(c) // 4 for c in cells]], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(cells), np.int32)))
+
+
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None, ids_col: str = "ids") -> DataFrame:
     """docs without text_col and with ids_col array<int>: each match of the pattern is encoded by the file's ranks, by itself.
 
@@ -189,13 +223,11 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
         pieces = _Pieces(_encodings(path or ranks_path()))
         split = regex.compile(pattern or split_pattern()).findall
 
-        def ids(text: pa.Scalar) -> list[int]:
-            out: list[int] = []
-            for piece in split(text.as_py()):
-                out += pieces[piece]
-            return out
+        def make(texts: pa.Array) -> Iterator[bytes]:
+            for text in texts:
+                yield b"".join(map(pieces.__getitem__, split(text.as_py())))
 
-        yield from _batched(batches, ids_col, pa.list_(pa.int32()), ids, len)
+        yield from _batched(batches, ids_col, make, _id_lists)
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     return rows.mapInArrow(run, _schema(rows, kept, f"`{ids_col}` array<int>"))
@@ -207,8 +239,14 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, by
     kept = [c for c in encoded.columns if c not in (ids_col, bytes_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _encodings(path or ranks_path()).tokens
-        yield from _batched(batches, bytes_col, pa.binary(), lambda ids: concatenate([tokens[i] for i in ids.as_py() or ()]), lambda raw: len(raw) // 4)
+        token = _encodings(path or ranks_path()).tokens.__getitem__
+
+        def make(lists: pa.Array) -> Iterator[bytes]:
+            ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+            for start, end in zip(ends, ends[1:], strict=False):
+                yield concatenate(list(map(token, ids[start:end].tolist())))
+
+        yield from _batched(batches, bytes_col, make, lambda cells: pa.array(cells, pa.binary()))
 
     rows = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(ids_col))
     return rows.mapInArrow(run, _schema(rows, kept, f"`{bytes_col}` binary"))
