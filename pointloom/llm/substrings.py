@@ -365,7 +365,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(documents(spark, sf_dir))
+    """n_kept counts the code points left, the unit in which documents state their lengths; bytes left are n_bytes - n_removed."""
+    out = dedup_substrings(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_chars").alias("n_kept"))
 
 
 #: Windows of the hexadecimal text by their position, cut from blocks of 512 bytes so that none is sought from a text's start.
@@ -382,5 +384,5 @@ kept AS (SELECT q.r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z
   FROM q JOIN d USING (r) GROUP BY q.r),
 o AS (SELECT doc_id, x, n_removed, n_spans, coalesce(y, '') || substr(x, 2 * coalesce(z, 0)::BIGINT + 1) AS left_ FROM d LEFT JOIN kept USING (r))
 SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(left_)) AS kept_sha256,
-  (length(left_) // 2)::BIGINT AS n_kept, len(list_filter(regexp_extract_all(left_, '..'), lambda b: b[1] NOT IN ('8', '9', 'A', 'B')))::BIGINT AS kept_chars FROM o
+  len(list_filter(regexp_extract_all(left_, '..'), lambda b: b[1] NOT IN ('8', '9', 'A', 'B')))::BIGINT AS n_kept FROM o
 """
