@@ -16,8 +16,6 @@ ANCHORS = (
     "el los las y del que en un una por con no para es su se lo como más al pero sus"
 ).split()
 CHAIN, LOOKAHEAD, GAP = 2, 12, 4
-#: The query takes two sets of which one is more than ten times the other for unlike (likeness 0) without comparing them.
-LEAST = 0.1
 #: Consecutive ids that one group of the next-document window holds.
 GROUP_BITS, SUPER_BITS = 8, 12
 
@@ -96,8 +94,8 @@ def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text is the text with its last quarter replaced by as many characters from the start of the
     next document by id (after the last: the first; a lone one follows itself). Rows that repeat an id
     follow each other by the hash of their texts; null ids come first. Null texts are empty ones: no
-    signatures, fingerprint ''. Likenesses are Jaccard similarities of signature sets; lengths prune (see LEAST). An
-    empty table gives no rows; columns not named are ignored.
+    signatures, fingerprint ''. Likenesses are the Jaccard similarities of signature sets, whatever their
+    lengths; only near_pairs prunes. An empty table gives no rows; columns not named are ignored.
     """
     require(docs, id_col, text_col)
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -111,8 +109,8 @@ def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wide = wide.withColumn("edited_sigs", signatures(F.col("edited")))
     return wide.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sigs")).alias("fingerprint"),
-        as_text(F.col("edited_sigs")).alias("edited_fingerprint"), jaccard(F.col("sigs"), F.col("edited_sigs"), LEAST).alias("near_edited"),
-        jaccard(F.col("sigs"), F.col("next_sigs"), LEAST).alias("near_next"),
+        as_text(F.col("edited_sigs")).alias("edited_fingerprint"), jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
 
 

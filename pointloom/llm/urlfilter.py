@@ -39,6 +39,10 @@ def positions(key: Column, level: int, bits: int) -> list[Column]:
     return [(low + step * i).bitwiseAND(bits - 1) for i in range(HASHES)]
 
 
+class LevelTooLarge(ValueError):
+    """A level of a cascade would have more than MOST_BITS bits."""
+
+
 @dataclass
 class Level:
     """One Bloom filter. Its 64-bit words are a constant of the plan, at most MOST_BITS of them."""
@@ -60,7 +64,7 @@ def build_level(keys: DataFrame, number: int, n: int) -> Level:
     while bits < n * BITS_PER_KEY:
         bits *= 2
     if bits > MOST_BITS:
-        raise ValueError(f"a level of {bits} bits is too large to send to every task; split the list")
+        raise LevelTooLarge(f"a level of {bits} bits is too large to send to every task")
     at = keys.select(F.explode(F.array(*positions(F.col("key"), number, bits))).alias("p"))
     set_ = at.select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 AS int))").alias("bit"))
     zeros = keys.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bit"))
@@ -106,7 +110,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     rules(host, path, verdict): verdict is allow or block. A rule fits its host and the host's subdomains where
     the path starts with the rule's; of those that fit, the longest (host and path together, then the longer
     host) wins; a key that is listed both ways is blocked. Where none fits, rule is null and the verdict
-    allow: the cascade finds no listed key. Lists of more than most_keys rules are joined instead. Null urls have no host. Rows with repeated or null ids are
+    allow: the cascade finds no listed key. Lists of more than most_keys rules are joined instead, and so are lists for which a level of the cascade
+    would have more than MOST_BITS bits: a level grows with the keys of the corpus that pass the one before. Null urls have no host. Rows with repeated or null ids are
     judged each on its own; an empty table gives no rows, and an empty rule list allows all; other columns are ignored.
     """
     require(pages, id_col, url_col)
@@ -118,11 +123,18 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     if not lengths:
         return rows.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     keys = candidates(F.col("host"), F.col("path"), lengths)
-    if listed.count() > most_keys:
+
+    def joined() -> DataFrame:
         out = by_join(rows, keys, listed)
         return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.when(F.col("blocked"), "block").otherwise("allow").alias("verdict"))
+
+    if listed.count() > most_keys:
+        return joined()
     universe = materialize(rows.select(F.explode(keys).alias("key")).distinct(), "universe")
-    blocked, allowed = (Cascade(listed.where(F.col("verdict") == v), universe) for v in ("block", "allow"))
+    try:
+        blocked, allowed = (Cascade(listed.where(F.col("verdict") == v), universe) for v in ("block", "allow"))
+    except LevelTooLarge:  # so many of the universe's keys pass the first level wrongly
+        return joined()
     found = F.filter("keys", lambda k: blocked.has(k) | allowed.has(k))
     out = rows.withColumn("keys", keys).withColumn("rule", F.get(found, F.lit(0)))
     verdict = F.when(F.col("rule").isNotNull() & blocked.has(F.col("rule")), "block").otherwise("allow")
