@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr as E
-from .operators import features, neighbors, rows, sampling, stats, voxels
+from .operators import features, metric, neighbors, occupancy, rows, sampling, stats, voxels
 from .plans import factors, linearize
 from .schema import COV, NORMAL, XYZ
 from .sources.tables import CLOUD_L_SQL, CLOUD_T_SQL, cloud_e, cloud_e_sql, cloud_l, cloud_t, features_e
@@ -235,7 +235,15 @@ FEATURE_D2 = "list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda
 @query("j4_knn_feature", f", d AS (SELECT q.vec_id AS qid, p.vec_id AS point_id, {FEATURE_D2} AS d2 FROM embeddings q, embeddings p), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, point_id) AS rank FROM d QUALIFY rank <= 3) " + NEAR_OUT)
 def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features_e(spark, sf_dir)
-    return near_out(neighbors.knn_feature(f.select(F.col("point_id").alias("qid"), "f"), f, 3))
+    return near_out(metric.knn_feature(f.select(F.col("point_id").alias("qid"), "f"), f, 3))
+
+
+@query("j4_knn_feature_index", f", d AS (SELECT q.vec_id AS qid, p.vec_id AS point_id, {FEATURE_D2} AS d2 FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, point_id) AS rank FROM d QUALIFY rank <= 10) " + NEAR_OUT)
+def j4_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all, through an index of many small partitions."""
+    f = features_e(spark, sf_dir)
+    index = metric.build_index(f, rows_a_pivot=64)
+    return near_out(metric.search(index, f.where("point_id % 100 = 0").select(F.col("point_id").alias("qid"), "f"), 10))
 
 
 XYZI = PAIR_D2 + " + (q.intensity - p.intensity * 2.0) * (q.intensity - p.intensity * 2.0)"
@@ -288,21 +296,21 @@ def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels.overlap(source, target_map(spark, sf_dir), FINE, POSE).select("n", "hits", *r6("rate"))
 
 
-MULTI_SQL = f", m AS (SELECT DISTINCT frame_id AS map_id, {E.voxel_key(FINE)} AS vkey FROM e WHERE frame_id < 3), p AS ({' UNION ALL '.join(f'SELECT {k} AS map_id, {0.3 * k!r} AS dx, {-0.2 * k!r} AS dy, {0.1 * k!r} AS dz' for k in range(3))}), s AS (SELECT map_id, point_id, x + dx AS x, y + dy AS y, z + dz AS z FROM e, p WHERE frame_id >= 5), k AS (SELECT map_id, point_id, {E.voxel_key(FINE)} AS vkey FROM s), h AS (SELECT count(DISTINCT point_id) AS hits FROM k JOIN m USING (map_id, vkey))"
+MULTI_SQL = f", m AS (SELECT DISTINCT frame_id AS map_id, {E.voxel_key(FINE)} AS vkey FROM e WHERE frame_id < 5), p AS ({' UNION ALL '.join(f'SELECT {k} AS map_id, {0.3 * k!r} AS dx, {-0.2 * k!r} AS dy, {0.1 * k!r} AS dz' for k in range(5))}), s AS (SELECT map_id, point_id, x + dx AS x, y + dy AS y, z + dz AS z FROM e, p WHERE frame_id >= 5), k AS (SELECT map_id, point_id, {E.voxel_key(FINE)} AS vkey FROM s), h AS (SELECT count(DISTINCT point_id) AS hits FROM k JOIN m USING (map_id, vkey))"
 
 
 @query("j10_overlap_multi", MULTI_SQL + " SELECT count(*) AS n, any_value(hits) AS hits, round(any_value(hits) / count(*), 6) AS rate FROM e, h WHERE frame_id >= 5")
 def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = cloud_e(spark, sf_dir)
-    maps = voxels.with_voxel(df.where("frame_id < 3"), FINE).select(F.col("frame_id").alias("map_id"), "vkey")
-    return voxels.overlap_multi(df.where("frame_id >= 5"), maps, {k: POSES[k] for k in range(3)}, FINE).select("n", "hits", *r6("rate"))
+    maps = voxels.with_voxel(df.where("frame_id < 5"), FINE).select(F.col("frame_id").alias("map_id"), "vkey")
+    return voxels.overlap_multi(df.where("frame_id >= 5"), maps, {k: POSES[k] for k in range(5)}, FINE).select("n", "hits", *r6("rate"))
 
 
-@query("j11_overlap_pairs", f", m AS (SELECT DISTINCT frame_id AS map_id, {E.voxel_key(FINE)} AS vkey FROM e WHERE frame_id < 3), s AS (SELECT frame_id AS source_id, {E.voxel_key(FINE)} AS vkey FROM e WHERE frame_id >= 3), c AS (SELECT source_id, count(*) AS n FROM s GROUP BY 1) SELECT source_id, map_id, count(*) AS hits, any_value(n) AS n, round(count(*) / any_value(n), 6) AS rate FROM s JOIN m USING (vkey) JOIN c USING (source_id) GROUP BY 1, 2")
+@query("j11_overlap_pairs", f", m AS (SELECT DISTINCT frame_id AS map_id, {E.voxel_key(FINE)} AS vkey FROM e), s AS (SELECT frame_id AS source_id, {E.voxel_key(FINE)} AS vkey FROM e), c AS (SELECT source_id, count(*) AS n FROM s GROUP BY 1) SELECT source_id, map_id, count(*) AS hits, any_value(n) AS n, round(count(*) / any_value(n), 6) AS rate FROM s JOIN m USING (vkey) JOIN c USING (source_id) GROUP BY 1, 2")
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ)
-    maps = voxels.with_voxel(df.where("frame_id < 3"), FINE).select(F.col("frame_id").alias("map_id"), "vkey")
-    return voxels.overlap_pairs(df.where("frame_id >= 3"), maps, FINE).select("source_id", "map_id", "hits", "n", *r6("rate"))
+    maps = voxels.with_voxel(df, FINE).select(F.col("frame_id").alias("map_id"), "vkey")
+    return voxels.overlap_pairs(df, maps, FINE).select("source_id", "map_id", "hits", "n", *r6("rate"))
 
 
 @query("j12_occupancy_overlap", f", o AS (SELECT DISTINCT {E.voxel_key(FINE)} AS vkey FROM e WHERE frame_id < 5), s AS (SELECT point_id, {E.voxel_key(FINE)} AS vkey FROM e WHERE frame_id >= 5) SELECT point_id, CAST(o.vkey IS NOT NULL AS INT) AS hit FROM s LEFT JOIN o USING (vkey)")
@@ -331,7 +339,7 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j15_corr_reciprocal", f", d AS (SELECT q.vec_id AS a_id, p.vec_id AS b_id, {FEATURE_D2} AS d2 FROM embeddings q, embeddings p WHERE q.label < 5 AND p.label >= 5), f AS (SELECT a_id, b_id FROM d QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) = 1), b AS (SELECT a_id, b_id FROM d QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY d2, a_id) = 1) SELECT a_id, b_id FROM f JOIN b USING (a_id, b_id)")
 def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("f"), "label")
-    return neighbors.reciprocal(emb.where("label < 5").select("point_id", "f"), emb.where("label >= 5").select("point_id", "f"))
+    return metric.reciprocal(emb.where("label < 5").select("point_id", "f"), emb.where("label >= 5").select("point_id", "f"))
 
 
 @query("j17_nearest_stamp", ", k AS (SELECT DISTINCT t AS stamp FROM t WHERE z < 5), a AS (SELECT point_id AS qid, t.t AS qt, k.stamp AS prev FROM t ASOF LEFT JOIN k ON t.t >= k.stamp), b AS (SELECT a.*, k.stamp AS next FROM a ASOF LEFT JOIN k ON a.qt <= k.stamp) SELECT qid, round(CASE WHEN prev IS NULL THEN next WHEN next IS NULL OR qt - prev <= next - qt THEN prev ELSE next END, 6) AS stamp FROM b")
@@ -413,6 +421,23 @@ def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels.num_occupied(cloud_e(spark, sf_dir, *XYZ), FINE)
 
 
+@query("a7_occupancy_blocks", f", c AS (SELECT DISTINCT {', '.join(f'{E.voxel(c, FINE)} AS v{c}' for c in XYZ)} FROM l) SELECT count(*) AS cells, count(DISTINCT (vx >> 3, vy >> 3, vz >> 3)) AS blocks FROM c")
+def a7_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a large cloud as bits: two grids merged into one."""
+    df = cloud_l(spark, sf_dir)
+    parts = [occupancy.occupancy_blocks(df.where(c), FINE) for c in ("frame_id < 2", "frame_id >= 2")]
+    return occupancy.count_cells(occupancy.merge_blocks(*parts))
+
+
+@query("j12_occupancy_blocks", f", o AS (SELECT DISTINCT {', '.join(f'{E.voxel(c, FINE)} AS v{c}' for c in XYZ)} FROM e WHERE frame_id < 5), s AS (SELECT point_id, {', '.join(f'{E.voxel(c, FINE)} AS v{c}' for c in XYZ)} FROM e WHERE frame_id >= 5) SELECT point_id, o.vx IS NOT NULL AS hit, (SELECT count(*) FROM (SELECT DISTINCT vx, vy, vz FROM s) JOIN o USING (vx, vy, vz)) AS common FROM s LEFT JOIN o USING (vx, vy, vz)")
+def j12_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which points of a source lie in a target's cells, and how many cells both have."""
+    df = cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ)
+    source, target = df.where("frame_id >= 5"), occupancy.occupancy_blocks(df.where("frame_id < 5"), FINE)
+    common = occupancy.common_cells(occupancy.occupancy_blocks(source, FINE), target).withColumnRenamed("cells", "common")
+    return occupancy.lies_in(source, target, FINE).select("point_id", "hit").join(F.broadcast(common))
+
+
 DIST = "sqrt(x * x + y * y + z * z)"
 
 
@@ -913,6 +938,14 @@ def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_growing(df, (0.0, 0.0, 0.0), RegionParams(distance=1.5, angle=math.radians(60)), dilate=False)
 
 
+@query("g3_all_regions", REGION_SQL + ", g AS (SELECT point_id AS region, point_id FROM e UNION SELECT g.region, n.point_id FROM g JOIN n ON n.qid = g.point_id), r AS (SELECT point_id, min(region) AS region FROM g GROUP BY point_id) SELECT point_id, region, count(*) OVER (PARTITION BY region) AS size FROM r")
+def g3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.segmentation import RegionParams, all_regions
+
+    return all_regions(cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL), RegionParams(distance=1.5, angle=math.radians(60)))
+
+
+ORACLES["g3_all_regions"] = ORACLES["g3_all_regions"].replace("WITH ", "WITH RECURSIVE ", 1)
 ORACLES["g3_region_growing"] = ORACLES["g3_region_growing"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 CUT_ANGLE = "acos(least(1.0, abs(q.nx * p.nx + q.ny * p.ny + q.nz * p.nz)))"
@@ -1082,22 +1115,22 @@ def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traj.evaluate(arange_timestamps(spark, 0.5, 19.0, 0.1).withColumnRenamed("stamp", "ts"))
 
 
-@query("o1_vgicp_alignment", "SELECT TRUE AS converged, TRUE AS better, TRUE AS near")
+@query("o1_vgicp_alignment", "SELECT TRUE AS converged, 0.0 AS metres_off, 0.0 AS radians_off")
 def o1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cloud pushed off its own voxel map comes back: iterated until the error settles; its error is below the start's, and it lies less than half as far off."""
+    """A cloud pushed off itself comes back: how far from its true pose, in hundredths, the alignment by ever smaller voxels ends."""
     import numpy as np
 
-    from .plans.optimize import Graph, LMParams, ScanFactor, levenberg_marquardt
+    from .functions import lie
+    from .plans.optimize import LMParams, coarse_to_fine
 
     df = cloud_e(spark, sf_dir).cache()
-    target = voxels.gaussian_voxelmap(df, FINE).cache()
     start = np.eye(4)
     start[:3, 3] = 0.05, -0.05, 0.03
-    graph = Graph([ScanFactor(lambda m, i: factors.vgicp(df, target, FINE, m, i), 0)])
-    params = LMParams(max_iterations=30)
-    values, status = levenberg_marquardt(graph, {0: start}, params)
-    near = bool(np.linalg.norm(values[0][:3, 3]) < 0.5 * np.linalg.norm(start[:3, 3]))
-    return spark.createDataFrame([(status.iterations < params.max_iterations, bool(status.error < status.history[0]), near)], "converged boolean, better boolean, near boolean")
+    params = LMParams(max_iterations=12, relative_error=1e-3)
+    pose, status = coarse_to_fine(df, df, (0.5, 0.25), start, params)
+    off = float(np.linalg.norm(pose[:3, 3])), float(np.linalg.norm(lie.so3_log(pose[:3, :3])))
+    df.unpersist()
+    return spark.createDataFrame([(status.iterations < params.max_iterations, round(off[0], 2), round(off[1], 2))], "converged boolean, metres_off double, radians_off double")
 
 
 def _rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
@@ -1221,6 +1254,31 @@ def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linearize.system_blocks(linearize.linearized(_batch(spark, sf_dir)), keys).select("i", "j", "row", "col", *r6("value", digits=3))
 
 
+#: The solution that the system is made for: of each point, its coordinates and its normal.
+SOLUTION = (*XYZ, *NORMAL)
+
+
+@query("a26_solved_system", f"SELECT point_id AS i, {q6(*[(f'x{k}', c) for k, c in enumerate(SOLUTION)], digits=4)}, TRUE AS exact FROM e")
+def a26_solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of all points with loops of ten, weighted by their covariances: the system is made to have the points' own values for its solution."""
+    from .plans import elimination
+
+    df = cloud_e(spark, sf_dir, "point_id", *XYZ, *NORMAL, *COV)
+    part = E.symmetric(COV)
+    h = [F.col(part[r % 3][c % 3]) if r // 3 == c // 3 else F.lit(0.0) for r in range(6) for c in range(6)]
+    linear = df.select(F.col("point_id").alias("factor_id"), *[h[6 * r + c].alias(f"h{r}{c}") for r in range(6) for c in range(r, 6)])
+    n = df.count()
+    step = lambda k: df.where(F.col("point_id") + k < n).select(F.col("point_id").alias("factor_id"), F.col("point_id").alias("a"), (F.col("point_id") + k).alias("b"))
+    held = df.where("point_id = 0").select(F.col("point_id").alias("factor_id"), F.lit(None).cast("long").alias("a"), F.col("point_id").alias("b"))
+    entries = linearize.system_blocks(linear, step(1).unionByName(step(10).where("factor_id % 10 = 0")).unionByName(held))
+    blocks = elimination.block_table(entries, 6)
+    truth = df.select(F.col("point_id").alias("i"), F.array(*SOLUTION).alias("x"))
+    side = elimination.product(blocks, truth, 6)
+    x = elimination.solve(blocks, side, 6)
+    exact = elimination.residual(blocks, side, x, 6) < 1e-8
+    return x.select("i", *[F.round(F.col("x")[k], 4).alias(f"x{k}") for k in range(6)], F.lit(exact).alias("exact"))
+
+
 def _registration(spark: SparkSession, sf_dir: str):
     """A cloud and the same one moved; features are the embeddings."""
     df = cloud_e(spark, sf_dir, "point_id", *XYZ)

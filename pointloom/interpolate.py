@@ -19,11 +19,17 @@ from .plans.trajectory import arange_timestamps, fit_knots
 from .sources.files import POSE_COLUMNS, read_timestamps, read_tum, write_imu, write_tum
 
 
+#: Poses of one trajectory (some 300 bytes each with its knots) that the driver fits at once.
+MOST_POSES = 1_000_000
+
+
 def interpolate(spark: SparkSession, source: str, poses: str, imu: str, start: float = -1.0, end: float = -1.0, step: float = 0.1, stamps: str | None = None, interval: float = -1.0, smoothness: float = 1e-3) -> int:
-    """The number of stamps with an unusual gap before them. A trajectory's poses are the driver's, who fits the knots; the stamps asked are a table."""
+    """The number of stamps with an unusual gap before them. A trajectory's poses are the driver's, who fits the knots, at most MOST_POSES; the stamps asked are a table."""
     given = read_tum(spark, source)
     gaps = stamp_gaps(given.select("ts"), "ts")
-    rows = given.orderBy("ts").collect()
+    rows = given.orderBy("ts").limit(MOST_POSES + 1).collect()
+    if len(rows) > MOST_POSES:
+        raise ValueError(f"{source} has more than {MOST_POSES} poses; interpolate it in parts")
     if len(rows) < 2:
         raise ValueError(f"too few poses in {source}")
     times = np.array([r.ts for r in rows])

@@ -158,36 +158,6 @@ def knn_voxel(queries: DataFrame, points: DataFrame, k: int, cell: float, neighb
     return top_k(near if max_sq_dist is None else near.where(F.col("d2") < max_sq_dist), k)
 
 
-def knn_feature(queries: DataFrame, points: DataFrame, k: int, max_sq_dist: float | None = None) -> DataFrame:
-    """(qid, point_id, d2, rank) in feature space: queries(qid, f), points(point_id, f), arrays of one length.
-
-    Brute force in blocks: high dimensions have no useful cells, so blocks of 4,096 of both sides meet in one matrix product each
-    and keep k a query. Each vector is shipped once per block of the other side; it is meant for one large side and a
-    bounded one (key points of a scan, a stated set of queries), or a bounded number of both.
-    """
-    import numpy as np
-    import pandas as pd
-
-    blocks = lambda n: max(1, -(-n // 4096))
-    nq, np_ = blocks(queries.count()), blocks(points.count())
-    left = queries.select("qid", "f", F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(np_ - 1)).cast("array<bigint>")).alias("b"))
-    right = points.select("point_id", "f", F.pmod(F.xxhash64("point_id"), F.lit(np_)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")).alias("a"))
-
-    def block(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or p.empty:
-            return pd.DataFrame({"qid": [], "point_id": [], "d2": []})
-        x, y = np.stack(q.f.to_list()).astype(float), np.stack(p.f.to_list()).astype(float)
-        d2 = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
-        n = min(k + 8, d2.shape[1])
-        best = np.argpartition(d2, n - 1, axis=1)[:, :n]
-        exact = ((x[:, None, :] - y[best]) ** 2).sum(2)
-        ids = p.point_id.to_numpy()[best]
-        return pd.DataFrame({"qid": np.repeat(q.qid.to_numpy(), n), "point_id": ids.ravel(), "d2": exact.ravel()})
-
-    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(block, "qid long, point_id long, d2 double")
-    return top_k(near if max_sq_dist is None else near.where(F.col("d2") < max_sq_dist), k)
-
-
 def knn_xyzi(queries: DataFrame, points: DataFrame, k: int, scale: float, cell: float, max_sq_dist: float) -> DataFrame:
     """kNN in (x, y, z, scaled intensity): queries(qid, qx, qy, qz, qi) with qi as it is, points' intensity times scale; cells on space alone bound the search."""
     if cell * cell < max_sq_dist:
@@ -207,13 +177,6 @@ def correspondences(source: DataFrame, target: DataFrame, max_distance: float, k
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def reciprocal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id): mutual nearest neighbours in feature space of (point_id, f) tables."""
-    forth = knn_feature(a.select(F.col("point_id").alias("qid"), "f"), b, 1).select(F.col("qid").alias("a_id"), F.col("point_id").alias("b_id"))
-    back = knn_feature(b.select(F.col("point_id").alias("qid"), "f"), a, 1).select(F.col("point_id").alias("a_id"), F.col("qid").alias("b_id"))
-    return forth.join(back, ["a_id", "b_id"])
-
-
 def nearest_stamp(queries: DataFrame, stamps: DataFrame, bucket: float) -> DataFrame:
     """(qid, stamp): of stamps(stamp), the one closest in time to each query(qid, t), the earlier of two; null only for a null t or without stamps.
 

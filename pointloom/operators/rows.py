@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import expr as E
 from ..schema import COV, NORMAL, XYZ, has, require_columns
@@ -108,7 +109,7 @@ def raycast(rays: DataFrame, size: float) -> DataFrame:
     """(ray_id, step, vx, vy, vz) of the voxels on rays(ray_id, sx, sy, sz, ex, ey, ez), from the start's to before the end's.
 
     Every crossing of a voxel wall is a time in [0, 1] on its axis; in the order of all three axes' times each crossing
-    moves one step. The rows of a ray are exploded, so no ray is a loop on one row's task.
+    moves one step, so a ray's voxels are running sums of its moves. Rays that share a ray_id are rays of their own.
     """
     require_columns(rays, "ray_id", "sx", "sy", "sz", "ex", "ey", "ez")
     axes = "xyz"
@@ -119,9 +120,10 @@ def raycast(rays: DataFrame, size: float) -> DataFrame:
         crossings.append(f"transform({wall}, i -> named_struct('t', (i * {size!r} - s{a}) / (e{a} - s{a}), 'axis', {k}, 'move', CAST(sign(w{a} - v{a}) AS BIGINT)))")
     order = F.expr(f"array_sort(concat({', '.join(crossings)}))")
     steps = cells.select("ray_id", "vx", "vy", "vz", order.alias("crossings"))
-    at = lambda k, a: f"v{a} + aggregate(slice(crossings, 1, step), 0L, (s, c) -> s + if(c.axis = {k}, c.move, 0L))"
-    rows = steps.where(F.size("crossings") > 0).select("*", F.explode(F.expr("sequence(0, size(crossings) - 1)")).alias("step"))
-    return rows.select("ray_id", F.col("step").cast("long").alias("step"), *[F.expr(at(k, a)).alias(f"v{a}") for k, a in enumerate(axes)])
+    rows = steps.withColumn("_ray", F.monotonically_increasing_id()).select("ray_id", "_ray", "vx", "vy", "vz", F.posexplode("crossings").alias("step", "c"))
+    before = W.partitionBy("ray_id", "_ray").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    moved = lambda k: F.coalesce(F.sum(F.when(F.col("c.axis") == k, F.col("c.move"))).over(before), F.lit(0))
+    return rows.select("ray_id", F.col("step").cast("long").alias("step"), *[(F.col(f"v{a}") + moved(k)).alias(f"v{a}") for k, a in enumerate(axes)])
 
 
 # The factors of a voxel's three coordinates in the xor hash.

@@ -41,10 +41,16 @@ def poses_table(df_like: DataFrame, poses: dict[int, Matrix]) -> DataFrame:
     return df_like.sparkSession.createDataFrame(rows, "frame_id long, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(4)))
 
 
+#: So many poses (104 bytes each) are sent to every task; more are joined by frame.
+BROADCAST_POSES = 100_000
+#: So many poses are applied to a cloud in one pass.
+POSES_A_PASS = 1_000
+
+
 def _placed(df: DataFrame, poses: DataFrame, out: Sequence[str] = XYZ) -> DataFrame:
-    """df joined with its frame's pose (few rows: one a frame), moved into columns `out`."""
+    """df joined with its frame's pose, moved into columns `out`."""
     moved = [F.expr(" + ".join([f"m{i}{j} * {XYZ[j]}" for j in range(3)] + [f"m{i}3"])).alias(out[i]) for i in range(3)]
-    joined = df.join(F.broadcast(poses), "frame_id")
+    joined = df.join(poses, "frame_id")
     if has(df, *COV):
         s = E.symmetric(COV)
         turned = [F.expr(" + ".join(f"m{i}{k} * m{j}{n} * {s[k][n]}" for k in range(3) for n in range(3))).alias(f"w{COV[a]}") for a, (i, j) in enumerate(((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)))]
@@ -60,13 +66,14 @@ def voxel_contents(df: DataFrame, resolution: float, contents: dict[str, Column]
 def merge_frames(df: DataFrame, poses: dict[int, Matrix], resolution: float) -> DataFrame:
     """All frames as one cloud: points are placed by their frames' poses, grouped by the voxels of the first pose's own frame, and averaged in the world.
 
-    Poses are few (one a frame), so they are broadcast. Points out of range are dropped, as are other attributes than covariances and the greatest intensity.
+    Poses are broadcast if there are no more than BROADCAST_POSES. Points out of range are dropped, as are other attributes than covariances and the greatest intensity.
     """
     import numpy as np
 
     require_columns(df, "frame_id", *XYZ)
     first = np.linalg.inv(np.vstack([np.asarray(next(iter(poses.values())), float)[:3], [0, 0, 0, 1]]))
-    world = _placed(df, poses_table(df, poses), ("wx", "wy", "wz"))
+    table = poses_table(df, poses)
+    world = _placed(df, F.broadcast(table) if len(poses) <= BROADCAST_POSES else table, ("wx", "wy", "wz"))
     local = E.moved(first, ("wx", "wy", "wz"))
     world = world.withColumn("vkey", F.expr(f"CASE WHEN {E.finite('wx', 'wy', 'wz')} THEN {E.pack(*[E.voxel(c, resolution) for c in local])} END"))
     means = [F.avg(f"w{c}").alias(c) for c in XYZ] + ([F.avg(f"w{c}").alias(c) for c in COV] if has(df, *COV) else [])
@@ -107,13 +114,20 @@ def overlap_flags(source: DataFrame, cells: DataFrame, resolution: float) -> Dat
 
 
 def overlap_multi(source: DataFrame, voxels: DataFrame, poses: dict[int, Matrix], resolution: float) -> DataFrame:
-    """(n, hits, rate): points that hit any of voxels(map_id, vkey) under that map's own pose count once."""
+    """(n, hits, rate): points that hit any of voxels(map_id, vkey) under that map's own pose count once.
+
+    A point has a place for each pose, as each map has a frame of its own; a pass sends POSES_A_PASS poses to the points' tasks, whatever their number.
+    """
     n = source.agg(F.count(F.lit(1)).alias("n"))
-    table = poses_table(source, poses).withColumnRenamed("frame_id", "map_id")
-    placed = source.select("point_id", *XYZ).crossJoin(F.broadcast(table))  # a row for each pose, of which there are few
+    cells, known = voxels.select("map_id", "vkey").distinct(), sorted(poses)
     moved = [F.expr(" + ".join([f"m{i}{j} * {XYZ[j]}" for j in range(3)] + [f"m{i}3"])).alias(c) for i, c in enumerate(XYZ)]
-    keyed = placed.select("map_id", "point_id", *moved).select("map_id", "point_id", F.expr(E.voxel_key(resolution)).alias("vkey"))
-    hits = keyed.join(voxels.select("map_id", "vkey").distinct(), ["map_id", "vkey"], "left_semi").agg(F.count_distinct("point_id").alias("hits"))
+    found = source.select("point_id").limit(0)
+    for at in range(0, len(known), POSES_A_PASS):
+        table = poses_table(source, {k: poses[k] for k in known[at : at + POSES_A_PASS]}).withColumnRenamed("frame_id", "map_id")
+        placed = source.select("point_id", *XYZ).crossJoin(F.broadcast(table))
+        keyed = placed.select("map_id", "point_id", *moved).select("map_id", "point_id", F.expr(E.voxel_key(resolution)).alias("vkey"))
+        found = found.unionByName(keyed.join(cells, ["map_id", "vkey"], "left_semi").select("point_id").distinct())
+    hits = found.agg(F.count_distinct("point_id").alias("hits"))
     return n.crossJoin(hits).select("n", "hits", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(F.lit(float("nan"))).alias("rate"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions import lie
-from ..operators.neighbors import knn_feature, reciprocal
+from ..operators.metric import knn_feature, reciprocal
 from ..operators.sampling import first_drawn
 from ..operators.stats import bbox_diagonal
 from ..operators.voxels import occupancy

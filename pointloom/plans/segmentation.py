@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators.neighbors import as_queries, knn, radius_search
 from ..schema import NORMAL, XYZ
-from ..scratch import cut
+from ..scratch import cut, drop
 
 
 @dataclass
@@ -96,6 +96,49 @@ def region_growing(df: DataFrame, seed: tuple[float, float, float], params: Regi
     return region_dilation(df, context.reached, p) if dilate else context.reached
 
 
+def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(point_id, region): the least point_id that links (qid, point_id), which go both ways, lead to; nodes(point_id) without links are regions of their own.
+
+    Labels are pointers to other points of the region. In each round they are followed four steps (two joins of the table with itself), and
+    each point, and the point that its label names, takes the least label of its neighbours: a chain of n points is done in about log4(n) rounds, in any
+    order of its ids. A round is a join of the links and one aggregation; it ends in a table, so a lost executor costs one round.
+    """
+    links = cut(edges.select(F.col("qid").alias("node"), F.col("point_id").alias("other")), "links")
+    labels = cut(nodes.select(F.col("point_id").alias("node"), F.col("point_id").alias("label")).distinct(), "labels")
+    for _ in range(most_rounds):
+        ahead = labels
+        for _ in range(2):
+            step = ahead.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            ahead = ahead.join(step, "label").select("node", F.col("next").alias("label"))
+        ahead = cut(ahead, "ahead")
+        around = links.join(ahead.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
+        offers = ahead.join(around, "node").where("seen < label")
+        offers = offers.select("node", "seen").unionByName(offers.select(F.col("label").alias("node"), "seen"))
+        lower = cut(offers.groupBy("node").agg(F.min("seen").alias("seen")), "lower")
+        drop(labels)
+        if lower.isEmpty():
+            drop(lower)
+            drop(links)
+            return ahead.select(F.col("node").alias("point_id"), F.col("label").alias("region"))
+        labels = cut(ahead.join(lower, "node", "left").select("node", F.least("label", "seen").alias("label")), "labels")
+        drop(ahead)
+        drop(lower)
+    raise RuntimeError(f"labels still change after {most_rounds} rounds")
+
+
+def all_regions(df: DataFrame, params: RegionParams | None = None) -> DataFrame:
+    """(point_id, region, size) of every point: what region_growing without dilation finds from any seed in it; a region is named by its least point_id."""
+    p = params or RegionParams()
+    found = components(df.select("point_id"), region_edges(df, p))
+    return found.join(found.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region").select("point_id", "region", "size")
+
+
+def seed_regions(df: DataFrame, regions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed_id, region) for each of seeds(seed_id, sx, sy, sz): the region of the point nearest to it. All regions are labelled once, however many seeds there are."""
+    near = knn(seeds.select(F.col("seed_id").alias("qid"), *[F.col(f"s{c}").alias(f"q{c}") for c in XYZ]), df.select("point_id", *XYZ), 1)
+    return near.select(F.col("qid").alias("seed_id"), "point_id").join(regions, "point_id").select("seed_id", "region")
+
+
 @dataclass
 class CutParams:
     k: int = 20

@@ -183,11 +183,21 @@ def _band_solve(band: np.ndarray, first: np.ndarray, weights: np.ndarray, right:
     return x
 
 
+def _nearest(stamps: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The place of the stamp nearest to each time; of equally near ones the earlier, of equal ones the first."""
+    order = np.argsort(stamps, kind="stable")
+    ordered = stamps[order]
+    after = np.searchsorted(ordered, times).clip(0, len(ordered) - 1)
+    before = (after - 1).clip(0)
+    best = np.where(np.abs(ordered[before] - times) <= np.abs(ordered[after] - times), before, after)
+    return order[np.searchsorted(ordered, ordered[best])]
+
+
 def fit_knots(stamps: np.ndarray, poses: list[np.ndarray], interval: float, smoothness: float = 1e-3, iterations: int = 10) -> ContinuousTrajectory:
     """Knots start at the pose nearest in time; translations are one banded least-squares problem (in time linear in the knots), rotations Gauss-Newton steps on right perturbations."""
     start, n = float(stamps[0]), knot_max_id(float(stamps[-1]), float(stamps[0]), interval) + 1
     times = start - interval / 2 + interval * np.arange(n)
-    near = np.abs(stamps[None, :] - times[:, None]).argmin(1)
+    near = _nearest(stamps, times)
     rot = np.array([poses[i][:3, :3] for i in near])
     trans = np.array([poses[i][:3, 3] for i in near])
     traj = ContinuousTrajectory(start, interval, rot, trans)

@@ -44,6 +44,27 @@ def _delete(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def register(path: str, spark: SparkSession) -> None:
+    """A table that goes with the session, unless keep() is called for it."""
+    _made[path] = spark
+
+
+def keep(path: str) -> None:
+    """The table outlives the session."""
+    _made.pop(path, None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _made.pop(path, None)
+    _delete(spark, path)
+
+
+def found(spark: SparkSession, pattern: str) -> list:
+    """The statuses of files that a pattern of the shared folder's file system finds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return list(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
+
+
 def cleanup() -> None:
     """Delete all tables made so far. Call it when no result that reads them is needed any more; it runs at exit."""
     while _made:

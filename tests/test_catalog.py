@@ -3,6 +3,8 @@
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -29,7 +31,9 @@ def _same(left, right):
     a, b = left[columns].sort_values(columns).reset_index(drop=True), right[columns].sort_values(columns).reset_index(drop=True)
     for c in columns:
         if a[c].dtype.kind == "f" or b[c].dtype.kind == "f":
-            assert (abs(a[c].astype(float) - b[c].astype(float)) < 1e-3).all() or (a[c].isna() == b[c].isna()).all(), c
+            there = a[c].notna()
+            assert (there == b[c].notna()).all(), c
+            assert (abs(a[c][there].astype(float) - b[c][there].astype(float)) < 1e-3).all(), c
         else:
             assert (key(left)[c] == key(right)[c]).all(), c
 
@@ -39,6 +43,15 @@ def test_equals_sql(spark, con, name):
     _same(catalog.QUERIES[name](spark, SF).toPandas(), con.sql(catalog.ORACLES[name]).df())
 
 
+def test_wrong_numbers_and_nulls_are_seen():
+    """What compares the results sees one wrong number, one null too many and one too few."""
+    good = pd.DataFrame({"a": [1, 2, 3], "x": [0.5, np.nan, 2.0]})
+    _same(good, good.assign(x=good.x + 1e-5))
+    for x in ([0.5, np.nan, 9.0], [0.5, 1.0, 2.0], [np.nan, np.nan, 2.0], [9.0, np.nan, 99.0]):
+        with pytest.raises(AssertionError):
+            _same(good, good.assign(x=x))
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
