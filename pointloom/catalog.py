@@ -1034,7 +1034,18 @@ def s2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.valid().select("point_id", "birth", *r6(*COV))
 
 
-@query("s1_voxel_points")
+def folded_sql(batches: int, least: float, most: int, name: str) -> str:
+    """name(vkey, point_id, x, y, z): the points that voxels keep, one by one: not too near to one kept before, and no more than fit."""
+    d2 = " + ".join(f"(o.{c} - q[1].{c}) * (o.{c} - q[1].{c})" for c in XYZ)
+    keep = f"list_reduce(list_transform(pts, lambda p: [p]), lambda kept, q: CASE WHEN len(kept) < {most} AND len(list_filter(kept, lambda o: {d2} < {least * least!r})) = 0 THEN kept || q ELSE kept END)"
+    members = ", ".join(f"'{c}': {c}" for c in ("point_id", *XYZ))
+    return (
+        f", {name}g AS (SELECT vkey, list({{{members}}} ORDER BY point_id % {batches}, point_id) AS pts FROM (SELECT *, {E.voxel_key(FINE)} AS vkey FROM e) WHERE vkey IS NOT NULL GROUP BY vkey)"
+        + f", {name} AS (SELECT vkey, p.* FROM (SELECT vkey, unnest({keep}) AS p FROM {name}g))"
+    )
+
+
+@query("s1_voxel_points", folded_sql(3, 0.1, 20, "k") + f" SELECT vkey, point_id, {q6(*[(c, c) for c in XYZ])} FROM k")
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.maps import VoxelPoints
 
@@ -1044,7 +1055,21 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.state.select("vkey", "point_id", *r6(*XYZ))
 
 
-@query("s2_covariance_map")
+def _grown_sql() -> str:
+    """Covariances of all points kept after two batches, of those with eigenvalues within a deviation of the mean of both batches' if they are many."""
+    judged = lambda k: f", m{k} AS (SELECT qid, count(*) AS k, {', '.join(f'{v} AS {c}' for c, v in MOMENT.items())} FROM n{k} JOIN k{k} USING (point_id) GROUP BY qid HAVING count(*) >= 5)"
+    values = ", ".join(f"{v} AS l{i}" for i, v in enumerate(E.eigenvalues(COV)))
+    spread = ", ".join(f"avg(l{i}) AS a{i}, sqrt(greatest(avg(l{i} * l{i}) - avg(l{i}) * avg(l{i}), 0)) AS d{i}" for i in range(3))
+    within = " AND ".join(f"l{i} BETWEEN a{i} - d{i} AND a{i} + d{i}" for i in range(3))
+    return (
+        folded_sql(2, 0.1, 20, "k2") + ", k1 AS (SELECT * FROM k2 WHERE point_id % 2 = 0)"
+        + "".join(near_sql(_cells(27), 20, q=f"k{k}", p=f"k{k}", name=f"n{k}") + judged(k) for k in (1, 2))
+        + f", lv AS (SELECT 1 AS b, *, {values} FROM m1 UNION ALL SELECT 2, *, {values} FROM m2), s AS (SELECT count(*) AS n, {spread} FROM lv)"
+        + f" SELECT qid AS point_id, CAST(1 + qid % 2 AS BIGINT) AS birth, {q6(*[(c, c) for c in COV])} FROM lv, s WHERE b = 2 AND (n <= 1024 OR ({within}))"
+    )
+
+
+@query("s2_covariance_map", _grown_sql())
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.maps import CovarianceMap, VoxelPoints
 
@@ -1115,6 +1140,16 @@ def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traj.evaluate(arange_timestamps(spark, 0.5, 19.0, 0.1).withColumnRenamed("stamp", "ts"))
 
 
+@query("g5_icp_batch", FRAMES_SQL + f", s AS (SELECT point_id, frame_id, {', '.join(f'{c} + d{c} AS {c}' for c in XYZ)} FROM e JOIN p USING (frame_id) WHERE frame_id >= 5), o AS (SELECT * FROM e WHERE frame_id < 5)" + near_sql(f"{PAIR_D2} < 1.0", 1, q="s", p="o") + " SELECT frame_id AS factor_id, count(*) AS n_inliers, round(sum(d2), 4) AS error FROM n JOIN s ON s.point_id = n.qid GROUP BY frame_id")
+def g5_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A factor for each frame, all in one job."""
+    from .plans.matching import MatchedGroup
+
+    df = cloud_e(spark, sf_dir, "point_id", "frame_id", *XYZ)
+    group = MatchedGroup("icp", df.where("frame_id >= 5").withColumnRenamed("frame_id", "factor_id"), df.where("frame_id < 5").drop("frame_id"))
+    return linearize.errors(group.rows({k: POSES[k] for k in range(5, 10)})).select("factor_id", "n_inliers", *r6("error", digits=4))
+
+
 @query("o1_vgicp_alignment", "SELECT TRUE AS converged, 0.0 AS metres_off, 0.0 AS radians_off")
 def o1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cloud pushed off itself comes back: how far from its true pose, in hundredths, the alignment by ever smaller voxels ends."""
@@ -1159,7 +1194,7 @@ def _trajectory_sql() -> str:
 
 
 def motions(spark: SparkSession, sf_dir: str, out: Callable, schema: str) -> DataFrame:
-    """out(pose, next pose) of each pose of the trajectory and the next, row by row in Arrow batches."""
+    """out(poses, next poses) of the poses of the trajectory and the next ones, as stacks of a batch's rows."""
     import numpy as np
     import pandas as pd
 
@@ -1172,8 +1207,8 @@ def motions(spark: SparkSession, sf_dir: str, out: Callable, schema: str) -> Dat
     def run(batches):
         for pdf in batches:
             rows_ = pdf[[*names, *[f"b{c}" for c in names]]].to_numpy()
-            of = lambda r: lie.pose(lie.so3_exp(0.3 * r[3:6]), r[:3])
-            made = np.array([out(of(r[:6]), of(r[6:])) for r in rows_]).reshape(len(pdf), -1)
+            of = lambda r: lie.pose(lie.so3_exp(0.3 * r[:, 3:6]), r[:, :3])
+            made = np.asarray(out(of(rows_[:, :6]), of(rows_[:, 6:]))).reshape(len(pdf), -1)
             yield pd.DataFrame({"point_id": pdf.point_id} | {c.split()[0]: made[:, i] for i, c in enumerate(schema.split(", "))})
 
     return both.mapInPandas(run, f"point_id long, {schema}")
@@ -1201,7 +1236,7 @@ def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place three tenths of the way from each pose to the next."""
     from .functions import lie
 
-    return motions(spark, sf_dir, lambda a, b: lie.interpolate(a, b, 0.3)[:3, 3], "tx double, ty double, tz double").select("point_id", *r6("tx", "ty", "tz", digits=5))
+    return motions(spark, sf_dir, lambda a, b: lie.interpolate(a, b, 0.3)[..., :3, 3], "tx double, ty double, tz double").select("point_id", *r6("tx", "ty", "tz", digits=5))
 
 
 @query("p21_voxel_points", f"SELECT {E.voxel_key(FINE)} AS vkey, point_id, {q6(*[(c, c) for c in XYZ])} FROM e")
@@ -1323,21 +1358,23 @@ def g15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(round(error, 4),)], "error double")
 
 
-@query("g17_small_factors", "SELECT p.point_id, 0.0 AS interpolation, 0.0 AS calibration, 0.0 AS similarity FROM e p JOIN e q ON q.point_id = p.point_id + 1")
+_TURN, _SHIFT = "(w0 * w0 + w1 * w1 + w2 * w2)", "(v0 * v0 + v1 * v1 + v2 * v2)"
+
+
+@query("g17_small_factors", _trajectory_sql() + f" SELECT point_id, {q6(('interpolation', f'0.25 * ({_TURN} + {_SHIFT})'), ('calibration', f'{_TURN} + {_SHIFT}'), ('similarity', f'{_TURN} + 0.25 * {_SHIFT}'), digits=4)} FROM lg")
 def g17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest residual where it must vanish, at each pose and the next: the pose half way, a motion seen from a sensor on the body, and a similarity of scale one."""
-    from .functions import lie
+    """Squared residuals at each pose and the next: of the next pose against that half way, of a motion of nothing seen from a sensor in the body's place, and of a similarity of scale two."""
+    import numpy as np
+
     from .plans import bundle
 
     def out(a, b):
-        parts = (
-            bundle.interpolation_residual(a, b, lie.interpolate(a, b, 0.5), 0.5), bundle.calibration_residual(a, b, b, lie.inverse(b) @ lie.between(a, b) @ b),
-            bundle.similarity_residual(1.0, a, b, lie.between(a, b)),
-        )
-        return [abs(p).max() for p in parts]
+        still = np.broadcast_to(np.eye(4), a.shape)
+        parts = bundle.interpolation_residual(a, b, b, 0.5), bundle.calibration_residual(a, b, still, still), bundle.similarity_residual(2.0, a, b, still)
+        return np.stack([(p * p).sum(-1) for p in parts], -1)
 
     names = ("interpolation", "calibration", "similarity")
-    return motions(spark, sf_dir, out, ", ".join(f"{c} double" for c in names)).select("point_id", *r6(*names))
+    return motions(spark, sf_dir, out, ", ".join(f"{c} double" for c in names)).select("point_id", *r6(*names, digits=4))
 
 
 def _chain(spark: SparkSession, sf_dir: str):

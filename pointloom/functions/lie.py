@@ -1,4 +1,4 @@
-"""Rotations and rigid motions as numpy arrays: SO(3) and SE(3) maps, quaternions, interpolation."""
+"""Rotations and rigid motions as numpy arrays: SO(3) and SE(3) maps, quaternions, interpolation. All but the quaternions take stacks of any shape."""
 
 from __future__ import annotations
 
@@ -6,57 +6,74 @@ import numpy as np
 
 
 def hat(w: np.ndarray) -> np.ndarray:
-    return np.array([[0, -w[2], w[1]], [w[2], 0, -w[0]], [-w[1], w[0], 0]], float)
+    w = np.asarray(w, float)
+    x, y, z = w[..., 0], w[..., 1], w[..., 2]
+    o = np.zeros_like(x)
+    return np.stack([np.stack(r, -1) for r in ((o, -z, y), (z, o, -x), (-y, x, o))], -2)
+
+
+def _turned(w: np.ndarray, small: float, first: tuple, second: tuple) -> np.ndarray:
+    """1 + f k + g k^2 for k = hat(w), with f and g as (value for small angles, function of the angle)."""
+    k = hat(w)
+    angle = np.linalg.norm(w, axis=-1)[..., None, None]
+    tiny = angle < small
+    safe = np.where(tiny, 1.0, angle)
+    f, g = (np.where(tiny, low, of(safe)) for low, of in (first, second))
+    return np.eye(3) + f * k + g * k @ k
 
 
 def so3_exp(w: np.ndarray) -> np.ndarray:
-    w = np.asarray(w, float)
-    angle, k = np.linalg.norm(w), hat(w)
-    if angle < 1e-8:
-        return np.eye(3) + k + k @ k / 2
-    return np.eye(3) + np.sin(angle) / angle * k + (1 - np.cos(angle)) / angle**2 * k @ k
+    return _turned(np.asarray(w, float), 1e-8, (1.0, lambda a: np.sin(a) / a), (0.5, lambda a: (1 - np.cos(a)) / a**2))
+
+
+def _half_turn(r: np.ndarray, angle: float, v: np.ndarray) -> np.ndarray:
+    """The logarithm of a rotation by nearly half a turn: the axis is in the symmetric part."""
+    s = (r + np.eye(3)) / 2
+    axis = s[:, np.argmax(np.diag(s))]
+    axis = axis / np.linalg.norm(axis)
+    return angle * (axis if axis @ v >= 0 else -axis)
 
 
 def so3_log(r: np.ndarray) -> np.ndarray:
-    cos = np.clip((np.trace(r) - 1) / 2, -1, 1)
-    angle = np.arccos(cos)
-    v = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
-    if angle < 1e-6:
-        return v / 2
-    if np.pi - angle < 1e-5:  # the axis is in the symmetric part
-        s = (r + np.eye(3)) / 2
-        axis = s[:, np.argmax(np.diag(s))]
-        axis = axis / np.linalg.norm(axis)
-        return angle * (axis if axis @ v >= 0 else -axis)
-    return angle / (2 * np.sin(angle)) * v
+    angle = np.arccos(np.clip((np.trace(r, axis1=-2, axis2=-1) - 1) / 2, -1, 1))
+    v = np.stack([r[..., 2, 1] - r[..., 1, 2], r[..., 0, 2] - r[..., 2, 0], r[..., 1, 0] - r[..., 0, 1]], -1)
+    half = np.pi - angle < 1e-5
+    plain = np.where((angle < 1e-6) | half, 1.0, angle)
+    out = np.where(angle < 1e-6, 0.5, plain / (2 * np.sin(plain)))[..., None] * v
+    for at in np.argwhere(half):
+        at = tuple(at)
+        out[at] = _half_turn(r[at], angle[at], v[at])
+    return out
 
 
 def left_jacobian(w: np.ndarray) -> np.ndarray:
-    angle, k = np.linalg.norm(w), hat(w)
-    if angle < 1e-6:
-        return np.eye(3) + k / 2 + k @ k / 6
-    return np.eye(3) + (1 - np.cos(angle)) / angle**2 * k + (angle - np.sin(angle)) / angle**3 * k @ k
+    return _turned(np.asarray(w, float), 1e-6, (0.5, lambda a: (1 - np.cos(a)) / a**2), (1 / 6, lambda a: (a - np.sin(a)) / a**3))
 
 
 def pose(r: np.ndarray, t: np.ndarray) -> np.ndarray:
-    out = np.eye(4)
-    out[:3, :3], out[:3, 3] = r, t
+    out = np.zeros((*np.shape(r)[:-2], 4, 4))
+    out[..., :3, :3], out[..., :3, 3], out[..., 3, 3] = r, t, 1.0
     return out
 
 
+def _times(r: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return (r @ np.asarray(t)[..., None])[..., 0]
+
+
 def se3_exp(xi: np.ndarray) -> np.ndarray:
     """xi: rotation vector, then translation part."""
     xi = np.asarray(xi, float)
-    return pose(so3_exp(xi[:3]), left_jacobian(xi[:3]) @ xi[3:])
+    return pose(so3_exp(xi[..., :3]), _times(left_jacobian(xi[..., :3]), xi[..., 3:]))
 
 
 def se3_log(m: np.ndarray) -> np.ndarray:
-    w = so3_log(m[:3, :3])
-    return np.concatenate([w, np.linalg.solve(left_jacobian(w), m[:3, 3])])
+    w = so3_log(m[..., :3, :3])
+    return np.concatenate([w, np.linalg.solve(left_jacobian(w), m[..., :3, 3, None])[..., 0]], -1)
 
 
 def inverse(m: np.ndarray) -> np.ndarray:
-    return pose(m[:3, :3].T, -m[:3, :3].T @ m[:3, 3])
+    back = np.swapaxes(m[..., :3, :3], -1, -2)
+    return pose(back, -_times(back, m[..., :3, 3]))
 
 
 def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:

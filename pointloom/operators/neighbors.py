@@ -34,8 +34,8 @@ def as_queries(df: DataFrame, key: str = "point_id") -> DataFrame:
     return df.select(F.col(key).alias("qid"), *[F.col(c).alias(f"q{c}") for c in XYZ])
 
 
-def cell_pairs(queries: DataFrame, points: DataFrame, cell: float, neighbourhood: int = 27) -> DataFrame:
-    """(queries.*, points.*) of points in the voxels round each query's. The queries are replicated, so pass the smaller side as queries.
+def cell_pairs(queries: DataFrame, points: DataFrame, cell: float, neighbourhood: int = 27, by: tuple[str, ...] = ()) -> DataFrame:
+    """(queries.*, points.*) of points in the voxels round each query's, and of the same values of `by`, columns of both. The queries are replicated, so pass the smaller side as queries.
 
     Cells are joined on their three coordinates, so that clouds may lie anywhere (a packed key would end at 2**20 cells).
     """
@@ -46,7 +46,7 @@ def cell_pairs(queries: DataFrame, points: DataFrame, cell: float, neighbourhood
     spread = queries.where(F.expr(E.finite("qx", "qy", "qz"))).select("*", *at).withColumn("_o", F.explode(offsets))
     spread = spread.select("*", *[(F.col(f"_{c}") + F.col(f"_o.{c}")).alias(v) for c, v in zip(XYZ, cells, strict=True)]).drop("_x", "_y", "_z", "_o")
     placed = points.where(F.expr(E.finite(*XYZ))).select("*", *[F.expr(E.voxel(c, cell)).alias(v) for c, v in zip(XYZ, cells, strict=True)])
-    return spread.join(placed, cells).drop(*cells)
+    return spread.join(placed, [*by, *cells]).drop(*cells)
 
 
 def radius_search(queries: DataFrame, points: DataFrame, radius: float, max_neighbors: int | None = None) -> DataFrame:

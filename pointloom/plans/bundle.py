@@ -250,7 +250,7 @@ def rotate_vector_residual(r: np.ndarray, local: np.ndarray, world: np.ndarray)
 def similarity_residual(scale: float, sim: np.ndarray, pose: np.ndarray, motion: np.ndarray) -> np.ndarray:
     """Between a similarity (scale, rigid part) and a rigid pose: the scale acts on the relative translation."""
     relative = lie.between(sim, pose)
-    relative = lie.pose(relative[:3, :3], relative[:3, 3] / scale)
+    relative = lie.pose(relative[..., :3, :3], relative[..., :3, 3] / scale)
     return lie.se3_log(lie.between(motion, relative))
 
 

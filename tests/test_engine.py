@@ -189,7 +189,6 @@ def folders(path):
 
 def test_replaced_parts_are_deleted(spark, tmp_path, monkeypatch):
     """Only parts in use lie on disk, whether states are saved or not; a batch near one place leaves the other parts' files alone."""
-    monkeypatch.setattr(scratch, "root", lambda _: f"file://{tmp_path}/scratch")
     rng = np.random.default_rng(10)
     batches = [[(k * 1000 + i, p) for i, p in enumerate(rng.uniform(0, 60, (300, 3)))] for k in range(3)] + [[(5000, (0.5, 0.5, 0.5))]]
     make = {"points": lambda: VoxelPoints(spark, 1.0), "means": lambda: StreamedVoxelMap(1.0), "cov": lambda: CovarianceMap(VoxelPoints(spark, 1.0))}
@@ -197,6 +196,8 @@ def test_replaced_parts_are_deleted(spark, tmp_path, monkeypatch):
     full = lambda batch: points(spark, batch).select("*", *[F.lit(0.0).alias(c) for c in cols])
     for name, new in make.items():
         for saved in (False, True):
+            here = tmp_path / f"{name}-{saved}"
+            monkeypatch.setattr(scratch, "root", lambda _, here=here: f"file://{here}")
             target = new()
             for k, batch in enumerate(batches):
                 kept = {k: v for p in target._parts() for k, v in p.tables.items()}
@@ -207,7 +208,7 @@ def test_replaced_parts_are_deleted(spark, tmp_path, monkeypatch):
                 else:
                     target.insert(df)
             used = {"/" + v.removeprefix("file:").lstrip("/") for p in target._parts() for v in p.tables.values()}
-            mine = {f for f in folders(tmp_path / "scratch") if any(f"/{p.name}-" in f for p in target._parts())}
+            mine = {f for f in folders(here) if any(f"/{p.name}-" in f for p in target._parts())}
             if name != "cov":
                 assert len([k for k, v in target._parts()[0].tables.items() if kept.get(k) != v]) == 1
             assert used <= mine and (saved or mine == used)
@@ -394,3 +395,93 @@ def test_nearest_stamps():
         times = np.concatenate([rng.uniform(-1, 11, 40), stamps, stamps + 0.05])
         near, want = _nearest(stamps, times), np.abs(stamps[None, :] - times[:, None]).argmin(1)
         assert np.allclose(np.abs(stamps[near] - times), np.abs(stamps[want] - times))
+
+
+# --- correspondences kept, all factors in one plan
+
+
+def two_frames(spark, n=150):
+    """Two factors' sources and targets, with covariances and normals."""
+    rng = np.random.default_rng(21)
+    cov = {c: np.full(2 * n, 0.02 if c in ("c00", "c11", "c22") else 0.001) for c in ("c00", "c01", "c02", "c11", "c12", "c22")}
+    normals = rng.normal(0, 1, (2 * n, 3))
+    normals /= np.linalg.norm(normals, axis=1)[:, None]
+    extra = cov | {c: normals[:, i] for i, c in enumerate(("nx", "ny", "nz"))}
+    return cloud(spark, rng.uniform(0, 4, (2 * n, 3)), **extra).withColumn("factor_id", (F.col("point_id") % 2).cast("long"))
+
+
+@pytest.mark.parametrize("kind", ["icp", "plane", "gicp"])
+def test_groups_equal_single_factors(spark, kind):
+    """Own targets or a shared one; a factor without matches has no rows."""
+    from pointloom.functions import lie
+    from pointloom.plans import factors
+    from pointloom.plans.linearize import collect
+    from pointloom.plans.matching import MatchedGroup
+
+    df = two_frames(spark)
+    motions = {0: lie.se3_exp(np.array([0.02, 0, 0.01, 0.1, 0.05, 0.0])), 1: lie.se3_exp(np.array([0, 0.03, 0, -0.1, 0.0, 0.1])), 2: np.eye(4)}
+    single = {"icp": factors.icp, "plane": factors.icp_plane, "gicp": factors.gicp}[kind]
+    for shared in (False, True):
+        target = df.drop("factor_id") if shared else df
+        got = collect(MatchedGroup(kind, df, target, 0.6).rows(motions))
+        assert set(got) == {0, 1}
+        for k in (0, 1):
+            want = collect(single(df.where(f"factor_id = {k}"), target if shared else df.where(f"factor_id = {k}"), motions[k], 0.6))[0]
+            assert got[k].n == want.n and np.allclose(got[k].h, want.h) and np.allclose(got[k].b, want.b) and abs(got[k].error - want.error) < 1e-8
+
+
+def test_alignments_reuse_correspondences(spark):
+    """Fewer searches than linearisations, the same pose as with a search each time; only factors that moved are sought again."""
+    from pointloom.functions import lie
+    from pointloom.plans.matching import MatchedFactor, MatchedGroup
+    from pointloom.plans.optimize import Graph, LMParams, levenberg_marquardt
+
+    df = two_frames(spark, 60)
+    start = {k: lie.se3_exp(np.array([0.01, -0.01, 0.02, 0.03, 0.02, -0.04]) * (k + 1)) for k in (0, 1)}
+    ends = []
+    for tolerance in (0.0, 0.03):
+        group = MatchedGroup("gicp", df, df, 0.8, rotation=tolerance, translation=tolerance)
+        rounds = []
+        rows = group.rows
+        group.rows = lambda motions, rows=rows, rounds=rounds: rounds.append(1) or rows(motions)
+        values, _ = levenberg_marquardt(Graph([MatchedFactor(group, k, k) for k in (0, 1)]), start, LMParams(max_iterations=8))
+        ends.append(values)
+        if tolerance:
+            assert group.joins <= len(rounds) // 2
+    for k in (0, 1):
+        assert np.abs(ends[0][k] - ends[1][k]).max() < 1e-3 and np.linalg.norm(ends[1][k][:3, 3]) < 1e-3
+    assert group.stale({0: group.made[0], 1: lie.se3_exp(np.array([0, 0, 0, 1.0, 0, 0])), 5: np.eye(4)}) == [1, 5]
+
+
+def test_plans_do_not_grow_with_the_factors(spark):
+    from pointloom.plans.matching import MatchedGroup
+
+    df = two_frames(spark, 40)
+    sizes = []
+    for n in (2, 1000):
+        many = df.drop("factor_id").join(F.broadcast(spark.range(n).selectExpr("id AS factor_id")), F.col("point_id") % 40 == F.col("factor_id") % 40)
+        group = MatchedGroup("icp", many, df.drop("factor_id"), 0.5)
+        rows = group.rows({k: np.eye(4) for k in range(n)})
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append((len(plan.splitlines()), plan.count("Join"), group.joins))
+    assert sizes[0] == sizes[1] and sizes[0][2] == 1
+
+
+def test_stacks_of_motions():
+    """Stacks give what single motions give, at no turn, at small ones and at half turns."""
+    from pointloom.functions import lie
+
+    rng = np.random.default_rng(31)
+    xi = rng.normal(0, 1, (40, 6))
+    xi[0], xi[1, :3] = 0, 0
+    xi[2, :3] *= 1e-9
+    xi[3, :3] = [np.pi, 0, 0]
+    xi[4, :3] *= (np.pi - 1e-7) / np.linalg.norm(xi[4, :3])
+    m = lie.se3_exp(xi)
+    assert m.shape == (40, 4, 4) and np.allclose(m, [lie.se3_exp(x) for x in xi], atol=1e-14)
+    logs = lie.se3_log(m)
+    assert np.allclose(logs, [lie.se3_log(x) for x in m], atol=1e-9) and np.allclose(lie.se3_exp(logs), m, atol=1e-6)
+    a, b = m[:20], m[20:]
+    assert np.allclose(lie.between(a, b), [lie.between(x, y) for x, y in zip(a, b, strict=True)])
+    assert np.allclose(lie.interpolate(a, b, 0.3), [lie.interpolate(x, y, 0.3) for x, y in zip(a, b, strict=True)], atol=1e-9)
+    assert np.allclose(lie.hat(xi[:, :3]).reshape(5, 8, 3, 3), lie.hat(xi[:, :3].reshape(5, 8, 3)))
