@@ -75,6 +75,13 @@ def empty_and_clashing(docs, run):
     assert order(run(clash).select(*columns)) == order(run(docs))
 
 
+def test_predictions_with_clashing_columns(docs_of):
+    """With a model that predicts; columns named like internal ones, repeated and null ids."""
+    model = langid.train(["some words here " * 9, "andere Worte hier " * 9], ["en", "de"], epochs=1)
+    docs = docs_of([(1, "some words"), (1, "some words"), (None, "andere Worte"), (2, None), (3, "")])
+    empty_and_clashing(docs, lambda d: langid.identify(d, model))
+
+
 # --- 1
 
 
@@ -545,6 +552,11 @@ def test_spotsigs(docs_of):
         union = len(sets[0] | sets[1])
         exact = len(sets[0] & sets[1]) / union if union else 1.0
         assert abs(g["near_edited"] - exact) < 1e-12
+    nulls = table(spotsigs.spot_fingerprints(docs_of([(None, "b"), (None, None), (4, BASE), (None, "b")])))
+    assert [g["n_chars"] for g in sorted(nulls, key=lambda g: g["n_chars"])] == [0, 1, 1, len(BASE)]
+    last = next(g for g in nulls if g["doc_id"] == 4)  # null ids come first: the last row is followed by one of them
+    quarter = BASE[: len(BASE) - len(BASE) // 4]
+    assert last["edited_sha256"] in {hashlib.sha256((quarter + t).encode()).hexdigest() for t in ("", "b")}
     by = {g["doc_id"]: g for g in got}
     for i in set(follow) - {3}:  # lengths do not matter: also sets of which one is a hundred times the other
         a, b = (set(zip(*[iter(by[j]["fingerprint"])] * 8)) for j in (i, ids[(ids.index(i) + 1) % len(ids)]))

@@ -1,14 +1,64 @@
 """The pipeline's stages on a small corpus, each against what it is to keep."""
 
+import hashlib
 import random
+import re
+import struct
+import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from pointloom.llm import simhash, verify
+from pointloom.llm import packing, simhash, verify
 from tests.llm.test_operators import edited, lines_by_brute_force, prose
 
 
+def mixed_by_brute_force(rows, epochs=3):
+    """How often each row is taken: sources' shares by weight, clamped one after another; whole repetitions, then rows in seeded order while half of one fits."""
+    size = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(sources)}
+    total = {s: sum(size(t) for _, t, x in rows if x == s) for s in sources}
+    target, free, left = {}, set(sources), sum(total.values())
+    while free:
+        share = {s: Fraction(left * weight[s], sum(weight[x] for x in free)) for s in free}
+        over = {s for s in free if share[s] > epochs * total[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: Fraction(epochs * total[s]) for s in over}
+        free, left = free - over, left - sum(epochs * total[s] for s in over)
+    out = Counter()
+    for s in sources:
+        whole = target[s] // total[s] if total[s] else 0
+        rest = target[s] - whole * total[s]
+        mine = sorted(((i, t) for i, t, x in rows if x == s), key=lambda r: (hashlib.md5(f"mix-1|{'' if r[0] is None else r[0]}".encode()).hexdigest(), size(r[1])))
+        before = 0
+        for i, t in mine:
+            n = min(epochs, int(whole) + (size(t) > 0 and 2 * (rest - before) >= size(t)))
+            before += size(t)
+            if n:
+                out[i, t, s] += n
+    return out
+
+
+def packed_by_brute_force(rows):
+    """The pieces of each text's ids, by the tokenizer and the binary digits of their number."""
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    out = Counter()
+    for i, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
+        start = 0
+        while start < len(ids):
+            length = min(4096, 1 << ((len(ids) - start).bit_length() - 1))
+            out[i, start, length, zlib.crc32(struct.pack(f"<{length}I", *ids[start : start + length])), len(ids)] += 1
+            start += length
+    return out
+
+
 def test_stages(spark, tmp_path):
     rng = random.Random(1)
     texts = ["\n".join(prose(100 + 10 * i + k, rng.randrange(8, 40)) for k in range(3)) for i in range(60)]
@@ -37,9 +87,12 @@ def test_stages(spark, tmp_path):
             near = {j for a, i in enumerate(ids) for j in ids[a + 1 :] if verify.jaccard(sets[i], sets[j], 0.8)}
             assert set(after) == set(ids) - near
         elif name == "mixing":
-            assert set(after) <= set(before) and out.groupBy("doc_id").count().agg({"count": "max"}).head()[0] <= 3
+            rows = [(r.doc_id, r.text, r.source) for r in seen.collect()]
+            got = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+            assert got == mixed_by_brute_force(rows) and max(got.values()) <= 3
         else:
-            assert out.agg({"length": "sum"}).head()[0] == sum(out.where("start = 0").select("doc_tokens").toPandas().doc_tokens)
+            got = Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out.collect())
+            assert got == packed_by_brute_force([(r.doc_id, r.text) for r in seen.collect()])
         seen = out
     assert np.array_equal(np.sort(pipeline.run(spark, str(tmp_path)).toPandas().ids_crc32), np.sort(seen.toPandas().ids_crc32))
 
