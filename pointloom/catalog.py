@@ -907,11 +907,23 @@ for _name, _compact in (("io5_frame_round_trip", False), ("io6_compact_frame_rou
         """A frame folder written and read again (also IO4)."""
         from .sources import files
 
-        path = _folder(spark)
+        path = _folder(spark) + "/frame"
         files.save_frame(cloud_e(spark, sf_dir), path, compact)
         return files.load_frame(spark, path).select("point_id", *r6(*_FRAME_COLUMNS, digits=5))
 
 
+for _name, _compact in (("io5_frame_folders", False), ("io6_compact_frame_folders", True)):
+
+    @query(_name, f"SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY point_id) - 1 AS point_id, {q6(*[(c, f'CAST(CAST({c} AS FLOAT) AS DOUBLE)' if _compact else c) for c in _FRAME_COLUMNS], digits=5)} FROM e")
+    def _frames(spark: SparkSession, sf_dir: str, compact: bool = _compact) -> DataFrame:
+        """A folder for each frame, written and read by ranges of points (also IO4)."""
+        from .sources import frames
+
+        path = _folder(spark)
+        frames.save_frames(cloud_e(spark, sf_dir), path, compact)
+        return frames.load_frames(spark, path, points=100).select("frame_id", "point_id", *r6(*_FRAME_COLUMNS, digits=5))
+
+
 @query("io7_voxelmap_round_trip", f"SELECT {E.voxel_key(FINE)} AS vkey, count(*) AS n, {q6(*[(f'm{c}', f'CAST(CAST(avg({c}) AS FLOAT) AS DOUBLE)') for c in XYZ], *[(c, f'CAST(CAST(avg({c}) AS FLOAT) AS DOUBLE)') for c in COV], ('intensity', 'CAST(CAST(max(intensity) AS FLOAT) AS DOUBLE)'), digits=4)} FROM e GROUP BY 1")
 def io7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources import files

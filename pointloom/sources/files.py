@@ -108,27 +108,11 @@ def load_frame(spark: SparkSession, path: str, frame_id: int = 0) -> DataFrame:
 
 
 def save_frame(df: DataFrame, path: str, compact: bool = False) -> None:
-    """One frame as a folder on a shared file system: a frame is one scan, so its columns pass through the driver. Clouds of any size are written as Parquet instead."""
-    spark = df.sparkSession
-    if df.count() > MOST_ROWS:
-        raise ValueError("a frame of so many points belongs in Parquet")
-    rows = df.orderBy("point_id").toPandas()
-    for name, (kind, width, columns, places) in (COMPACT if compact else FULL).items():
-        if not all(c in rows for c in columns):
-            continue
-        a = np.zeros((len(rows), width), kind)
-        a[:, list(places)] = rows[list(columns)].to_numpy()
-        if not compact and name == "points":
-            a[:, 3] = 1
-        if not compact and name == "covs":
-            for (i, j), c in zip(((0, 1), (0, 2), (1, 2)), ("c01", "c02", "c12"), strict=True):
-                a[:, 4 * j + i] = rows[c]
-        with created(spark, f"{path}/{name}{'_compact' if compact else ''}.bin") as write:
-            write(a.tobytes())
-    for name, kind in df.dtypes:
-        if kind == "binary":
-            with created(spark, f"{path}/aux_{name}.bin") as write:
-                write(b"".join(map(bytes, rows[name])))
+    """One frame as a folder, which must not be there yet: its rows stream through one task. frames.py writes many, and says which stores it knows."""
+    from .frames import save_frames
+
+    folder, _, name = path.rstrip("/").rpartition("/")
+    save_frames(df.withColumn("frame", F.lit(name)), folder, compact)
 
 
 VOXEL = "<3i i 3f 6f f"

@@ -485,3 +485,59 @@ def test_stacks_of_motions():
     assert np.allclose(lie.between(a, b), [lie.between(x, y) for x, y in zip(a, b, strict=True)])
     assert np.allclose(lie.interpolate(a, b, 0.3), [lie.interpolate(x, y, 0.3) for x, y in zip(a, b, strict=True)], atol=1e-9)
     assert np.allclose(lie.hat(xi[:, :3]).reshape(5, 8, 3, 3), lie.hat(xi[:, :3].reshape(5, 8, 3)))
+
+
+def frames_table(spark, frames: int, points: int):
+    rows = spark.range(frames * points).selectExpr(f"id % {frames} AS frame_id", f"id div {frames} AS point_id", "id * 0.5 AS x", "-id * 0.25 AS y", "id % 7 * 1.0 AS z", "id * 0.125 AS t")
+    return rows.withColumn("tag", F.encode(F.lpad(F.col("point_id").cast("string"), 5, "0"), "utf-8")).repartition(7)
+
+
+def test_frame_folders(spark, tmp_path):
+    """A hundred frames come back whole, by ranges of points; only asked attributes are read; frames that are there are not written over."""
+    from pointloom.sources.frames import load_frames, save_frames
+
+    df, path = frames_table(spark, 100, 250), f"file://{tmp_path}/frames"
+    save_frames(df, path)
+    back = load_frames(spark, path, points=64)
+    assert back.columns == ["frame", "frame_id", "point_id", "x", "y", "z", "t", "tag"] and back.rdd.getNumPartitions() == 400
+    columns = ["frame_id", "point_id", "x", "y", "z", "t", "tag"]
+    assert back.select(columns).exceptAll(df.select(columns)).count() == 0 == df.select(columns).exceptAll(back.select(columns)).count()
+    assert (tmp_path / "frames/000042/points.bin").stat().st_size == 250 * 32 and sorted(p.name for p in (tmp_path / "frames").iterdir())[0] == "000000"
+    assert load_frames(spark, path, ("times",)).columns == ["frame", "frame_id", "point_id", "x", "y", "z", "t"]
+    with pytest.raises(Exception, match="there already"):
+        save_frames(df, path)
+    assert not [p for p in (tmp_path / "frames").iterdir() if p.name.startswith("_")]
+    save_frames(df.where("frame_id < 3").drop("t"), path, mode="overwrite")
+    again = load_frames(spark, path)
+    assert "t" not in again.columns and again.count() == 750
+    save_frames(df.where("frame_id = 7").withColumn("frame", F.lit("later")), path)  # a frame of other attributes, no number
+    both = load_frames(spark, path)
+    assert both.where("t IS NULL").count() == 750 and both.where("frame = 'later' AND frame_id IS NULL AND t IS NOT NULL").count() == 250
+
+
+def test_frame_folders_on_awkward_tables(spark, tmp_path):
+    from pointloom.sources.files import load_frame
+    from pointloom.sources.frames import FrameWriter, Written, load_frames, save_frames
+
+    df, path = frames_table(spark, 3, 20), f"file://{tmp_path}/frames"
+    with pytest.raises(Exception, match="not the name of one frame"):
+        save_frames(df.withColumn("frame_id", F.expr("nullif(frame_id, 1)")), path)
+    with pytest.raises(Exception, match="different lengths"):
+        save_frames(df.withColumn("tag", F.expr("IF(point_id = 3, NULL, tag)")), path)
+    save_frames(df.limit(0), path)
+    with pytest.raises(Exception, match="no frames"):
+        load_frames(spark, path).count()
+    save_frames(df.withColumn("x", F.expr("IF(point_id = 3, NULL, x)")).withColumn("note", F.lit("kept out")), path, compact=True)
+    back = load_frames(spark, path)
+    assert back.where("isnan(x)").count() == 3 and back.count() == 60 and "note" not in back.columns
+    one = load_frame(spark, f"{path}/000002", 2)
+    assert {tuple(r) for r in one.select("point_id", "y", "t", "tag").collect()} == {tuple(r) for r in back.where("frame_id = 2").select("point_id", "y", "t", "tag").collect()}
+    # what a lost attempt left is not moved; two tasks with one frame are refused
+    writer = FrameWriter(f"{tmp_path}/other", False, False)
+    batches = df.where("frame_id = 1").withColumn("frame", F.lit("a")).coalesce(1).toArrow().combine_chunks().to_batches()
+    lost, kept = writer.write(iter(batches)), writer.write(iter(batches))
+    assert lost.folder != kept.folder
+    writer.commit([kept, None])
+    assert [p.name for p in (tmp_path / "other").iterdir()] == ["a"]
+    with pytest.raises(ValueError, match="two tasks"):
+        writer.commit([Written(kept.folder, ("b",)), Written(lost.folder, ("b",))])
