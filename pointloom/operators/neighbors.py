@@ -14,6 +14,8 @@ from ..scratch import cut
 
 #: A cell of the first round of kNN holds no more points than this.
 CROWD = 256
+#: A radius search by cells of the radius' size looks at so many points a cell, at most, for each neighbour that is wanted.
+DENSE = 32
 D2 = "(qx - x) * (qx - x) + (qy - y) * (qy - y) + (qz - z) * (qz - z)"
 # The neighbourhoods of a voxel by size.
 NEIGHBOURHOODS = {
@@ -50,10 +52,16 @@ def cell_pairs(queries: DataFrame, points: DataFrame, cell: float, neighbourhood
 
 
 def radius_search(queries: DataFrame, points: DataFrame, radius: float, max_neighbors: int | None = None) -> DataFrame:
-    """(qid, point_id, d2, rank) of points closer than radius; with max_neighbors the nearest so many, ties by point_id."""
+    """(qid, point_id, d2, rank) of points closer than radius; with max_neighbors the nearest so many, ties by point_id.
+
+    Cells of the radius' size that hold more than DENSE points for each wanted neighbour would make far more pairs than are asked for: then cells shrink
+    as in knn, and a dense place is many small ones. Without max_neighbors every pair is a result.
+    """
     require_columns(points, "point_id")
     if radius <= 0 or max_neighbors == 0:
         pairs = _queries(queries).limit(0).crossJoin(points.limit(0))
+    elif max_neighbors and is_crowded(points, radius, max(CROWD, DENSE * max_neighbors)):
+        return knn(_queries(queries), points, max_neighbors, radius * radius)
     else:
         pairs = cell_pairs(_queries(queries), points, radius)
     near = pairs.select("qid", "point_id", F.expr(D2).alias("d2")).where(F.col("d2") < radius * radius)
@@ -80,15 +88,24 @@ def typical_cell(points: DataFrame, k: int) -> tuple[float, float]:
     return max(cell, max(sides, default=0.0) / 500_000, 1e-9), sum(s * s for s in sides) ** 0.5
 
 
-def dense_cell(points: DataFrame, side: float, crowd: int = CROWD) -> tuple[float, bool]:
-    """(cell size, crowded): side, halved until no cell holds more than `crowd` points; crowded if copies of one place keep a cell full."""
+def is_crowded(points: DataFrame, side: float, crowd: int) -> bool:
+    """Whether a cell of that side holds more than `crowd` points."""
     placed = points.where(F.expr(E.finite(*XYZ)))
+    return not placed.groupBy(*[F.expr(E.voxel(c, side)).alias(f"_{c}") for c in XYZ]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).isEmpty()
+
+
+def has_copies(points: DataFrame, k: int) -> bool:
+    """Whether more than k points share one place."""
+    return not points.where(F.expr(E.finite(*XYZ))).groupBy(*XYZ).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).isEmpty()
+
+
+def dense_cell(points: DataFrame, side: float, crowd: int = CROWD) -> float:
+    """side, halved (16 times at most) until no cell holds more than `crowd` points."""
     for _ in range(16):
-        most = placed.groupBy(*[F.expr(E.voxel(c, side)).alias(f"_{c}") for c in XYZ]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
-        if most <= crowd:
-            return side, False
+        if not is_crowded(points, side, crowd):
+            break
         side /= 2
-    return side, True
+    return side
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, max_sq_dist: float | None = None, cell: float | None = None) -> DataFrame:
@@ -102,14 +119,15 @@ def knn(queries: DataFrame, points: DataFrame, k: int, max_sq_dist: float | None
     require_columns(points, "point_id", *XYZ)
     q = _queries(queries)
     if cell is None:
-        cell, crowded = dense_cell(points, typical_cell(points, k)[0], max(CROWD, 8 * k))
-        if crowded:
+        most, (cell, _) = max(CROWD, 8 * k), typical_cell(points, k)
+        if is_crowded(points, cell, most) and has_copies(points, k):
             first = W.partitionBy(*XYZ).orderBy("point_id")
-            few = points.select("point_id", *XYZ).withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= k).drop("_at")
+            few = cut(points.select("point_id", *XYZ).withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= k).drop("_at"), "few")
             places = cut(q.groupBy("qx", "qy", "qz").agg(F.min("qid").alias("_first")), "places")
-            found = _knn(places.withColumnRenamed("_first", "qid"), few, k, max_sq_dist, cell)
+            found = _knn(places.withColumnRenamed("_first", "qid"), few, k, max_sq_dist, dense_cell(few, cell, most))
             whole = q.join(places, [q.qx.eqNullSafe(places.qx), q.qy.eqNullSafe(places.qy), q.qz.eqNullSafe(places.qz)]).select("qid", "_first")
             return whole.join(found.withColumnRenamed("qid", "_first"), "_first").select("qid", "point_id", "d2", "rank")
+        cell = dense_cell(points, cell, most)
     return _knn(q, points, k, max_sq_dist, cell)
 
 

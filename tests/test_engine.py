@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -541,3 +542,27 @@ def test_frame_folders_on_awkward_tables(spark, tmp_path):
     assert [p.name for p in (tmp_path / "other").iterdir()] == ["a"]
     with pytest.raises(ValueError, match="two tasks"):
         writer.commit([Written(kept.folder, ("b",)), Written(lost.folder, ("b",))])
+
+
+def test_radius_search_in_a_dense_cell(spark, monkeypatch):
+    """All points share one cell of the radius' size, a third of them one place: the nearest ten as by brute force, from cells that are far smaller."""
+    from pointloom.operators import neighbors
+
+    rng = np.random.default_rng(5)
+    xyz = rng.uniform(0.05, 0.95, (30_000, 3)) ** 2
+    xyz[::3] = [0.2, 0.2, 0.2]
+    points = spark.createDataFrame(pd.DataFrame({"point_id": np.arange(len(xyz)), **dict(zip("xyz", xyz.T, strict=True))})).repartition(6).cache()
+    queries = neighbors.as_queries(points.where("point_id % 100 = 0"))
+    sides = []
+    monkeypatch.setattr(neighbors, "cell_pairs", lambda q, p, side, *more, real=neighbors.cell_pairs: (sides.append(side), real(q, p, side, *more))[1])
+    got = neighbors.radius_search(queries, points, 1.0, 10).toPandas()
+    assert sides[0] <= 1 / 8
+    d2 = ((xyz[::100, None] - xyz[None]) ** 2).sum(axis=2)
+    for i, (qid, mine) in enumerate(got.sort_values(["qid", "rank"]).groupby("qid")):
+        best = np.lexsort((np.arange(len(xyz)), d2[i].round(12)))[:10]
+        assert qid == 100 * i and list(mine.point_id) == list(best) and np.allclose(mine.d2, d2[i][best])
+    assert got.qid.nunique() == 300
+    sides.clear()
+    neighbors.radius_search(queries, points.where("point_id % 3 <> 0"), 0.01, 10).count()
+    assert sides == [0.01]  # cells that are not crowded are joined once
+    points.unpersist()
