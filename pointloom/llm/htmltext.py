@@ -28,6 +28,8 @@ SHARE = 0.67
 LEAST, MANY = 0.2, 10
 #: A node is judged if it is on so many pages, and on this share of the host's.
 MIN_PAGES, PART = 3, 0.1
+#: On hosts of so many different pages the tree decides; on others names and elements do, and the tree only among what they leave.
+TRUSTED = 20
 #: So many nodes (32 bytes each) are sent to every task; beyond it pages are joined with their host's.
 BROADCAST_NODES = 200_000
 
@@ -42,7 +44,8 @@ KEEPS_P = frozenset("html head body".split())
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary".split())
 # Elements and names that say what a branch is for.
 HIDDEN = frozenset("select svg template".split())
-NOISE_TAGS = frozenset("head nav footer aside form button menu dialog".split()) | HIDDEN
+UNSEEN = HIDDEN | {"head"}
+NOISE_TAGS = frozenset("nav footer aside form button menu dialog".split())
 MAIN_TAGS = frozenset(("article", "main"))
 NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|comments?|replies|respond|disqus|"
@@ -131,6 +134,7 @@ class Element:
     tag: str
     style: str
     parent: int
+    unseen: bool
     noise: bool
     main: bool
     container: bool
@@ -138,10 +142,10 @@ class Element:
 
 @dataclass
 class Page:
-    """containers: (index of the container around it or -1, node, layout, text below, inside a marked article); blocks: (container, marked, text)."""
+    """containers: (index of the container around it or -1, node, layout, text below, inside a marked article, named as noise); blocks: (container, marked, named as noise, text)."""
 
-    containers: list[tuple[int, int, int, int, bool]]
-    blocks: list[tuple[int, bool, str]]
+    containers: list[tuple[int, int, int, int, bool, bool]]
+    blocks: list[tuple[int, bool, bool, str]]
 
 
 def _hash(text: str) -> int:
@@ -157,18 +161,18 @@ def _together(*parts: int) -> int:
 
 
 def parse(page: str) -> Page:
-    """The containers and the blocks of text of a page outside branches marked as noise, in order.
+    """The containers and the blocks of text of a page, in order, each with what names and elements say of it.
 
     Elements nest as in browsers in the main: an open p ends before a block, li before li and so on; end
     tags without a start are ignored; what is open at the end is closed.
     """
-    elements, stack, is_open = [Element("", "", -1, False, False, True)], [0], {}
+    elements, stack, is_open = [Element("", "", -1, False, False, False, True)], [0], {}
     texts: list[tuple[int, list[str]]] = []
     now: list[str] | None = None
 
     def put(piece: str) -> None:
         nonlocal now
-        if elements[stack[-1]].noise:
+        if elements[stack[-1]].unseen:
             return
         if now is None:
             now = []
@@ -190,7 +194,7 @@ def parse(page: str) -> Page:
             continue
         if tag in RAW:
             continue
-        if tag not in HIDDEN and not elements[stack[-1]].noise:
+        if tag not in HIDDEN and not elements[stack[-1]].unseen:
             now = None
         if kind == "end":
             if is_open.get(tag):
@@ -209,7 +213,7 @@ def parse(page: str) -> Page:
         if names and tag not in ("html", "body", *MAIN_TAGS):
             noise = noise or bool(NOISE_NAMES.search(names)) or (not main and bool(HEAD_NAMES.search(names)))
         style = tag + "".join(f".{v}" for name, v in said if name != "id")
-        elements.append(Element(tag, style, stack[-1], noise, main, tag not in FLOW and tag not in INLINE))
+        elements.append(Element(tag, style, stack[-1], above.unseen or tag in UNSEEN, noise, main, tag not in FLOW and tag not in INLINE))
         stack.append(len(elements) - 1)
         is_open[tag] = is_open.get(tag, 0) + 1
     blocks = [(where, text) for where, parts in texts if (text := " ".join("".join(parts).split()))]
@@ -242,48 +246,80 @@ def _merge(elements: list[Element], blocks: list[tuple[int, str]]) -> Page:
         if e.container and below[i]:
             around = number[near[e.parent]] if i else -1
             number[i] = len(containers)
-            containers.append((around, node[i], layout[i], below[i], i > 0 and elements[e.parent].main))
-    return Page(containers, [(number[near[where]], elements[where].main, text) for where, text in blocks])
+            containers.append((around, node[i], layout[i], below[i], i > 0 and elements[e.parent].main, e.noise))
+    return Page(containers, [(number[near[where]], elements[where].main, elements[where].noise, text) for where, text in blocks])
 
 
 def main_text(page: Page, tree: dict[int, tuple[int, float]] | None = None, pages: int = 0) -> str:
-    """The article of a page by its host's tree: node to (pages, importance), for the nodes that are judged.
+    """The article of a page by its host's tree: node to (pages, importance), for the nodes that are judged; pages: the host's."""
+    return decided(page, tree or {}, pages)[0]
 
-    From the outermost container inwards, a container goes if it is much less important than the most important one
-    beside it, or repeats itself on most pages. What the page marks as its article (article, main) is
-    preferred to all beside it, and loses only what repeats itself. If nothing would stay, all stays.
-    """
-    tree = tree or {}
-    marked = any(main for _, main, _ in page.blocks)
+
+def decided(page: Page, tree: dict[int, tuple[int, float]], pages: int) -> tuple[str, str]:
+    """(the article, tree or names: which of them decided)"""
+    text = by_tree(page, tree, pages) if pages >= TRUSTED else ""
+    return (text, "tree") if text else (by_names(page, tree, pages), "names")
+
+
+def _repeats(known: tuple[int, float], pages: int) -> bool:
+    return known[0] >= max(MANY, pages / 2) and known[1] < LEAST
+
+
+def by_tree(page: Page, tree: dict[int, tuple[int, float]], pages: int) -> str:
+    """From the outermost container inwards, a container goes if it is much less important than the most important one beside it, or repeats
+    itself on most pages. Names and elements count only where the tree has no opinion: of containers that it does not judge, and below containers."""
     best: dict[int, float] = {}
-    for around, node, _, _, _ in page.containers:
+    for around, node, *_ in page.containers:
         if node in tree:
             best[around] = max(best.get(around, 0.0), tree[node][1])
-    gone = []
-    for around, node, _, _, inside in page.containers:
+    gone: list[bool] = []
+    for around, node, _, _, _, named in page.containers:
         known = tree.get(node)
-        low = known is not None and known[0] >= max(MANY, pages / 2) and known[1] < LEAST
+        low = named if known is None else _repeats(known, pages) or known[1] < SHARE * best[around]
+        gone.append((around >= 0 and gone[around]) or low)
+    return " ".join(text for where, _, named, text in page.blocks if not gone[where] and (not named or page.containers[where][5]))
+
+
+def by_names(page: Page, tree: dict[int, tuple[int, float]], pages: int) -> str:
+    """What names and elements call noise goes first. What the page marks as its article (article, main) is preferred to all beside it, and loses only what
+    repeats itself; without such a mark the tree decides among what is left. If nothing would stay, all that is not called noise stays."""
+    blocks = [b for b in page.blocks if not b[2]]
+    marked = any(main for _, main, _, _ in blocks)
+    holds = [False] * len(page.containers)
+    for where, *_ in blocks:
+        holds[where] = True
+    for i in range(len(holds) - 1, 0, -1):
+        if holds[i]:
+            holds[page.containers[i][0]] = True
+    best: dict[int, float] = {}
+    for (around, node, *_), some in zip(page.containers, holds, strict=True):
+        if some and node in tree:
+            best[around] = max(best.get(around, 0.0), tree[node][1])
+    gone: list[bool] = []
+    for (around, node, _, _, inside, _), some in zip(page.containers, holds, strict=True):
+        known = tree.get(node) if some else None
+        low = known is not None and _repeats(known, pages)
         if known is not None and not marked:
             low = low or known[1] < SHARE * best[around]
         gone.append((around >= 0 and gone[around]) or (low and (inside or not marked)))
-    found = [b for b in page.blocks if b[1]] if marked else page.blocks
+    found = [b for b in blocks if b[1]] if marked else blocks
     left = [b for b in found if not gone[b[0]]]
-    return " ".join(text for *_, text in left or found)
+    return " ".join(b[3] for b in left or found)
 
 
-_PARSED = "row long, host long, copy long, around array<int>, node array<long>, layout array<long>, below array<long>, inside array<boolean>, at array<int>, marked array<boolean>, text array<string>"
+_PARSED = "row long, host long, copy long, around array<int>, node array<long>, layout array<long>, below array<long>, inside array<boolean>, named array<boolean>, at array<int>, marked array<boolean>, noise array<boolean>, text array<string>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [*[pa.int64()] * 3, pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3, pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.string())]
+    kinds = [*[pa.int64()] * 3, pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3, *[pa.list_(pa.bool_())] * 2, pa.list_(pa.int32()), *[pa.list_(pa.bool_())] * 2, pa.list_(pa.string())]
     names = [x.split()[0] for x in _PARSED.split(", ")]
     for batch in batches:
         out: list[list] = []
         for row, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             raw = page.as_py() or ""
             p = parse(raw)
-            out.append([row, host, _hash(raw), *([c[i] for c in p.containers] for i in range(5)), *([b[i] for b in p.blocks] for i in range(3))])
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds[i]) for i in range(11)], names)
+            out.append([row, host, _hash(raw), *([c[i] for c in p.containers] for i in range(6)), *([b[i] for b in p.blocks] for i in range(4))])
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds[i]) for i in range(len(kinds))], names)
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
@@ -304,10 +340,11 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """One row per row of pages: id_col, url, text, n_chars.
+    """One row per row of pages: id_col, url, text, n_chars, decided_by (tree or names).
 
-    Branches that say they are menus, headers, footers, sidebars, notices, adverts, forms or comments go, and so do
-    scripts, styles and markup. Of the other branches the host's style tree decides (see main_text). Null html is empty; pages
+    Scripts, styles and markup go. On hosts of TRUSTED different pages or more the style tree decides which branches stay (see by_tree); on others, and where the
+    tree leaves nothing of a page, what branches say they are: menus, headers, footers, sidebars, notices, adverts, forms or comments (see by_names). A layout that
+    fewer than PART of a host's pages have is not judged, so a page's result depends on how many pages of other layouts its host has. Null html is empty; pages
     of a null url are one host, and on hosts of fewer than MIN_PAGES different pages only what branches say of themselves counts.
     Rows with repeated or null ids are extracted each on its own; for the tree, equal pages of a host count as one; an empty
     table gives no rows; other columns are ignored.
@@ -327,7 +364,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     parsed = materialize(rows.mapInArrow(beside, kinds), "parsed")
     tree = materialize(style_tree(parsed), "tree")
-    slim, known = parsed.select("id", "url", "host", "around", "node", "inside", "at", "marked", "text"), None
+    slim, known = parsed.select("id", "url", "host", "around", "node", "inside", "named", "at", "marked", "noise", "text"), None
     if tree.count() <= broadcast_nodes:
         known = {}
         for r in tree.collect():  # bounded just above
@@ -341,18 +378,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            texts = []
-            for host, around, node, inside, at, marked, text, own in zip(*[batch.column(i).to_pylist() for i in range(2, 10)], strict=True):
+            found = []
+            for host, around, node, inside, named, at, marked, noise, text, own in zip(*[batch.column(i).to_pylist() for i in range(2, 12)], strict=True):
                 if table is not None:
                     size, nodes = table.get(host, (0, {}))
                 else:
                     size, nodes = (own[0]["host_pages"] if own else 0), {x["node"]: (x["pages"], x["importance"]) for x in own or ()}
-                page = Page([(a, k, 0, 0, i) for a, k, i in zip(around, node, inside, strict=True)], list(zip(at, marked, text, strict=True)))
-                texts.append(main_text(page, nodes, size))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
+                page = Page([(a, k, 0, 0, i, n) for a, k, i, n in zip(around, node, inside, named, strict=True)], list(zip(at, marked, noise, text, strict=True)))
+                found.append(decided(page, nodes, size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([f[i] for f in found], pa.string()) for i in range(2)]], ["id", "url", "text", "decided_by"])
 
-    out = slim.mapInArrow(run, f"id {named}, url string, text string")
-    return out.select(F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))
+    out = slim.mapInArrow(run, f"id {named}, url string, text string, decided_by string")
+    return out.select(F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"), "decided_by")
 
 
 def op4_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,7 +335,7 @@ def site_tree(pages):
     for host, unique in hosts.items():
         seen = defaultdict(list)
         for p in unique.values():
-            for _, node, layout, below, _ in p.containers:
+            for _, node, layout, below, *_ in p.containers:
                 seen[node].append((layout, below))
         total = len(seen[0])
         judged = {k: v for k, v in seen.items() if len(v) >= max(htmltext.MIN_PAGES, htmltext.PART * total)}
@@ -366,6 +366,7 @@ def test_extraction_against_trees_by_their_definition(spark, marked):
     trees = site_tree([(host(u), h or "") for _, u, h in rows])
     want = sorted((str(i), str(u), htmltext.main_text(htmltext.parse(h or ""), *trees[host(u)][::-1])) for i, u, h in rows)
     assert sorted((str(r.page_id), str(r.url), r.text) for r in got) == want
+    assert {r.decided_by for r in got if r.url and ("a.org" in r.url or "b.org" in r.url)} == {"tree"} and {r.decided_by for r in got if r.url is None or "d.net" in r.url} == {"names"}
     right = {r.page_id: r.text for r in got}
     assert all(right[i] == " ".join(made[i][2].split()) for i in range(len(made)) if marked or "d.net" not in made[i][0])
     clash = df.withColumns({c: F.lit("x") for c in ("id", "host", "text", "node", "copy", "tree", "row")})
@@ -383,6 +384,15 @@ def test_style_tree_drops_what_a_site_repeats(spark, limit):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_the_tree_outvotes_names(spark):
+    """Where a site has pages enough, names mislead no longer: its articles are called ads, what it repeats is called its article; a lone host's are believed."""
+    page = lambda k: f"<body><div class='main'>Welcome to {k % 3}</div><div class='ad'>{''.join(f'<p>{prose(90 * k + j, 9)}' for j in range(1 + k % 5))}</div></body>"
+    rows = [(i, f"http://many.org/{i}", page(i)) for i in range(40)] + [(90, "http://few.org/", page(5))]
+    got = {r.page_id: (r.text, r.decided_by) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (" ".join(prose(90 * i + j, 9) for j in range(1 + i % 5)), "tree") for i in range(40))
+    assert got[90] == ("Welcome to 2", "names")
+
+
 def test_style_tree_keeps_copied_pages(spark):
     page = lambda k: f"<body><div class=text>{prose(k, 30)}</div></body>"
     rows = [(i, f"http://copies.org/?q={i}", page(0)) for i in range(4)] + [(10 + i, f"http://two.org/?q={i}", page(i % 2)) for i in range(20)]
