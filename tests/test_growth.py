@@ -27,3 +27,25 @@ def test_covariance_map_without_limits_keeps_all_points_of_a_larger_cloud(spark,
     around = np.array([(np.abs(cells - c).max(1) <= 1).sum() for c in cells])
     got = catalog.QUERIES["s2_covariance_map_all"](spark, crowd).toPandas()
     assert len(xyz) > 1_024 and set(got.point_id) == set(np.flatnonzero(around >= 5))
+
+
+class Short:
+    """(x - 3)^2 with a model ten times too steep: its steps are a tenth of what they should be."""
+
+    keys = (0,)
+
+    def linearize(self, values):
+        r = values[0] - 3.0
+        return float(r @ r), 10.0 * np.eye(1), r
+
+
+def test_alignment_lengthens_short_steps_and_says_how_it_ended():
+    from pointloom.plans.optimize import Graph, LMParams, levenberg_marquardt
+
+    start, p = {0: np.zeros(1)}, {"relative_error": 1e-9, "absolute_error": 1e-9}
+    values, status = levenberg_marquardt(Graph([Short()]), start, LMParams(max_iterations=12, **p))
+    assert not status.converged and abs(values[0][0] - 3) > 0.1
+    values, status = levenberg_marquardt(Graph([Short()]), start, LMParams(max_iterations=12, doublings=6, **p))
+    assert status.converged and abs(values[0][0] - 3) < 1e-3
+    done = levenberg_marquardt(Graph([Short()]), start, LMParams(max_iterations=status.iterations, doublings=6, **p))[1]
+    assert done.converged and done.iterations == status.iterations
