@@ -49,3 +49,47 @@ def test_alignment_lengthens_short_steps_and_says_how_it_ended():
     assert status.converged and abs(values[0][0] - 3) < 1e-3
     done = levenberg_marquardt(Graph([Short()]), start, LMParams(max_iterations=status.iterations, doublings=6, **p))[1]
     assert done.converged and done.iterations == status.iterations
+
+
+def loop(n):
+    """n poses in a chain of known motions with large steps, and the graph's factors in the order in which they come."""
+    from pointloom.functions import lie
+    from pointloom.plans.optimize import BetweenFactor, PriorFactor
+
+    rng = np.random.default_rng(7)
+    poses = [lie.pose(lie.so3_exp(rng.normal(0, 0.3, 3)), rng.normal(0, 1.2, 3)) for _ in range(n)]
+    return poses, [PriorFactor(0, poses[0]), *[BetweenFactor(k, k + 1, lie.between(a, b)) for k, (a, b) in enumerate(zip(poses, poses[1:], strict=False))]]
+
+
+def test_an_update_of_a_long_chain_solves_only_what_it_changes():
+    from pointloom.plans.optimize import IncrementalSmoother
+
+    poses, factors = loop(300)
+    smoother, solved = IncrementalSmoother(), 0
+    resolve = smoother.system.resolve
+
+    def counted():
+        nonlocal solved
+        out = resolve()
+        solved += len(out[2])
+        return out
+
+    smoother.system.resolve = counted
+    for k, factor in enumerate(factors):
+        out = smoother.update([factor], {k: poses[max(k - 1, 0)]})
+    assert solved < 300 * 20  # a solution of all poses at each update would be 45,000 at the least
+    assert max(np.abs(out[k] - p).max() for k, p in enumerate(poses)) < 1e-6
+
+
+def test_stacks_of_factors_are_linearised_as_one_by_one():
+    from pointloom.functions import lie
+    from pointloom.plans.optimize import BetweenFactor, Graph, between_stack
+
+    rng = np.random.default_rng(8)
+    pose = lambda: lie.pose(lie.so3_exp(rng.normal(0, 0.25, 3)), rng.normal(0, 1.2, 3))
+    values = {k: pose() for k in range(12)}
+    factors = [BetweenFactor(k, (k + 5) % 12, pose(), 1.0 + k) for k in range(12)]
+    for f, (error, h, b) in zip(factors, between_stack(factors, values), strict=True):
+        e0, h0, b0 = f.linearize(values)
+        assert np.isclose(error, e0) and np.allclose(h, h0, atol=1e-6) and np.allclose(b, b0, atol=1e-6)
+    assert np.isclose(Graph(factors).error(values), sum(f.linearize(values)[0] for f in factors))
