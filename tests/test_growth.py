@@ -93,3 +93,34 @@ def test_stacks_of_factors_are_linearised_as_one_by_one():
         e0, h0, b0 = f.linearize(values)
         assert np.isclose(error, e0) and np.allclose(h, h0, atol=1e-6) and np.allclose(b, b0, atol=1e-6)
     assert np.isclose(Graph(factors).error(values), sum(f.linearize(values)[0] for f in factors))
+
+
+def test_crowded_voxels_are_searched_by_smaller_cells(spark, crowd, monkeypatch):
+    """The nearest within voxels equal brute force where voxels are crowded, and no round looks at all pairs of those voxels."""
+    from pointloom.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "CROWD", 8)
+    monkeypatch.setattr(neighbors, "DENSE", 2)
+    seen, plain = [], neighbors.cell_pairs
+
+    def cell_pairs(queries, points, cell, *more):
+        seen.append((queries.count(), cell))
+        return plain(queries, points, cell, *more)
+
+    monkeypatch.setattr(neighbors, "cell_pairs", cell_pairs)
+    pdf = cloud(spark, crowd)
+    xyz, intensity = pdf[["x", "y", "z"]].to_numpy(), pdf.intensity.to_numpy()
+    cells = np.abs(np.floor(xyz)[:, None] - np.floor(xyz)[None])
+    square = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+    whole = square + (intensity[:, None] - 2 * intensity[None]) ** 2
+    cases = {
+        "j6_knn_voxel": (square, cells.sum(2) <= 1, 5),
+        "j7_knn_valid": (square, (cells.max(2) <= 1) & (intensity > 0)[None], 5),
+        "j5_knn_xyzi": (whole, whole < 1.0, 4),
+    }
+    for name, (d2, ok, k) in cases.items():
+        seen.clear()
+        got = catalog.QUERIES[name](spark, crowd).toPandas()
+        want = {(q, p, r + 1) for q in range(len(xyz)) for r, p in enumerate(sorted(np.flatnonzero(ok[q]), key=lambda p: (d2[q, p], p))[:k])}
+        assert set(zip(got.qid, got.point_id, got["rank"], strict=True)) == want, name
+        assert seen[0][1] < 1.0 and seen[-1][0] < len(xyz), name
