@@ -132,13 +132,20 @@ def shingle_set(text: str, words: int = 5) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(s) for s in shingles(text, words)], dtype=np.uint64))
 
 
+def print_buckets(items: DataFrame) -> DataFrame:
+    """(bucket, item) of items(item, fp): a bucket for each component of fingerprints linked by at most RADIUS bits."""
+    prints = materialize(items.select("fp").distinct(), "prints")
+    roots = materialize(components(links(prints)).select(F.col("node").alias("fp"), "root"), "linked")
+    return items.join(roots.hint("merge"), "fp", "left").select(F.xxhash64(F.lit("SimHash"), F.coalesce("root", "fp")).alias("bucket"), "item")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(item, alt, keep_id, size) for each text that is in a group with others: item and alt are two 64-bit hashes of the text, keep_id the group's smallest id.
 
     Two texts are linked when their sets of word shingles have a Jaccard similarity of at least `threshold`. Candidates
     share one of 32 bands of 4 MinHash minima over those same shingles, so that whether a pair is looked up depends on its similarity
     alone and not on where the texts differ: at 0.8 it is missed with probability 5e-8. Exact Jaccard
-    decides. Equal texts are one item (128 bits tell texts apart; of texts that share only the first 64, one is grouped and the others stay); null and empty
+    decides. Texts whose 64-bit SimHashes over those shingles are linked by at most RADIUS bits, found by multi-index hashing as in near_groups, are candidates too. Equal texts are one item (128 bits tell texts apart; of texts that share only the first 64, one is grouped and the others stay); null and empty
     texts are left out.
     """
     bands = [f"b{i}" for i in range(BANDS)]
@@ -146,15 +153,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([near_bands(t.as_py(), words) for t in batch.column(3)], np.int64).reshape(-1, BANDS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(made[:, i]) for i in range(BANDS)]], ["id", "item", "alt", *bands])
+            prints = pa.array([fingerprint(t.as_py(), words) for t in batch.column(3)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], prints, *[pa.array(made[:, i]) for i in range(BANDS)]], ["id", "item", "alt", "fp", *bands])
 
     item, alt = text_names(text_col)
     rows = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).cast("long").alias("id"), item.alias("item"), alt.alias("alt"), F.col(text_col).alias("t"))
-    made = rows.mapInArrow(run, "id long, item long, alt long, " + ", ".join(f"{b} long" for b in bands))
+    made = rows.mapInArrow(run, "id long, item long, alt long, fp long, " + ", ".join(f"{b} long" for b in bands))
     first = F.min(F.struct("alt", "id")).alias("first")
-    items = materialize(made.groupBy("item").agg(first, F.count(F.lit(1)).alias("n"), *[F.min(b).alias(b) for b in bands]), "items")
+    items = materialize(made.groupBy("item").agg(first, F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), *[F.min(b).alias(b) for b in bands]), "items")
     items = items.withColumns({"alt": F.col("first.alt"), "first": F.col("first.id")})
-    members = crowded(items.select(F.explode(F.array(*bands)).alias("bucket"), "item"))
+    members = crowded(items.select(F.explode(F.array(*bands)).alias("bucket"), "item").union(print_buckets(items)))
     wanted = materialize(members.select("item").distinct().join(items.select("item", "alt"), "item"), "wanted")
     texts = thin(rows.select("item", "alt", F.col("t").alias("text")), wanted, "item").join(wanted, ["item", "alt"], "left_semi")
     texts = materialize(texts.groupBy("item", "text").agg(F.count(F.lit(1)).alias("n")).drop("n"), "texts")

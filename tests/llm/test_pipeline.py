@@ -133,3 +133,20 @@ def test_workers_get_few_texts_at_once(spark):
         assert spark.conf.get(conf) == "7"
     finally:
         spark.conf.set(conf, before)
+
+
+def test_near_dedup_takes_candidates_by_simhash(spark, monkeypatch):
+    """Near copies are found by their SimHashes alone, with no MinHash bucket let through; exact similarity still decides."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"v{i}" for i in range(400)), "one text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = []
+
+    def only_prints(rows):
+        made.append(rows)
+        return rows
+
+    buckets, crowded = simhash.print_buckets, simhash.crowded
+    monkeypatch.setattr(simhash, "print_buckets", lambda items: only_prints(buckets(items)))
+    monkeypatch.setattr(simhash, "crowded", lambda rows: crowded(made[-1]))
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == {0, 2, 3}
