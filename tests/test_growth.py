@@ -124,3 +124,25 @@ def test_crowded_voxels_are_searched_by_smaller_cells(spark, crowd, monkeypatch)
         want = {(q, p, r + 1) for q in range(len(xyz)) for r, p in enumerate(sorted(np.flatnonzero(ok[q]), key=lambda p: (d2[q, p], p))[:k])}
         assert set(zip(got.qid, got.point_id, got["rank"], strict=True)) == want, name
         assert seen[0][1] < 1.0 and seen[-1][0] < len(xyz), name
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_all_pairs_within_a_radius_are_ranked_where_they_are_made(spark, crowd, monkeypatch):
+    """Rows and ranks equal brute force where blocks are divided, ties and copies included, and pairs are neither shuffled nor sorted for a window."""
+    from pointloom.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    df = catalog.cloud_e(spark, crowd, "point_id", "x", "y", "z")
+    df = df.unionByName(df.where("point_id < 20").withColumn("point_id", df.point_id + 5_000))
+    pdf = df.orderBy("point_id").toPandas()
+    out = neighbors.radius_search(neighbors.as_queries(df), df, 0.9)
+    assert "Window" not in plan(out)
+    xyz, ids = pdf[["x", "y", "z"]].to_numpy(), pdf.point_id.to_numpy()
+    d = xyz[:, None] - xyz[None]
+    d2 = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+    want = {(ids[q], ids[p], d2[q, p], r + 1) for q in range(len(ids)) for r, p in enumerate(sorted(np.flatnonzero(d2[q] < 0.9 * 0.9), key=lambda p: (d2[q, p], p)))}
+    got = out.toPandas()
+    assert len(got) == len(want) and set(zip(got.qid, got.point_id, got.d2, got["rank"], strict=True)) == want
