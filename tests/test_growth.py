@@ -146,3 +146,49 @@ def test_all_pairs_within_a_radius_are_ranked_where_they_are_made(spark, crowd,
     want = {(ids[q], ids[p], d2[q, p], r + 1) for q in range(len(ids)) for r, p in enumerate(sorted(np.flatnonzero(d2[q] < 0.9 * 0.9), key=lambda p: (d2[q, p], p)))}
     got = out.toPandas()
     assert len(got) == len(want) and set(zip(got.qid, got.point_id, got.d2, got["rank"], strict=True)) == want
+
+
+def written(monkeypatch, features):
+    """The names of the tables that features write."""
+    names, plain = [], features.cut
+
+    def cut(df, name="cut"):
+        names.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(features, "cut", cut)
+    return names
+
+
+def same_histograms(got, want):
+    a, b = (df.toPandas().sort_values(["point_id", "bin"]).reset_index(drop=True) for df in (got, want))
+    assert len(a) == len(b) and (a[["point_id", "bin"]] == b[["point_id", "bin"]]).all().all() and np.allclose(a.value, b.value, rtol=1e-9, atol=1e-9)
+
+
+def test_pfh_finds_each_pairs_bin_once_and_writes_no_pairs(spark, crowd, monkeypatch):
+    """Histograms equal those made from a table of all neighbours, where blocks and strips are divided."""
+    import pyarrow as pa
+
+    from pointloom.operators import features, neighbors
+
+    df = catalog.cloud_e(spark, crowd, "point_id", *features._POINT).where("point_id < 500").cache()
+    near = neighbors.radius_search(neighbors.as_queries(df), df, 0.8)
+    want = features.pfh(df, 0.8, near)
+    names = written(monkeypatch, features)
+    monkeypatch.setattr(features, "PAIR_BLOCK", 8)
+    same_histograms(features.pfh(df, 0.8), want)
+    assert "near" not in names
+    # the work of one task with all points, some strips of pairs at a time
+    monkeypatch.setattr(features, "STRIP", 10_000)
+    seen, plain = [], features._pair_bins
+    monkeypatch.setattr(features, "_pair_bins", lambda p, rows, reach: seen.append(len(rows)) or plain(p, rows, reach))
+    pdf = df.toPandas()
+    tables = pa.table({"qid": pdf.point_id, **{f"q{c}": pdf[c] for c in features._POINT}}), pa.table({"point_id": pdf.point_id, **{c: pdf[c] for c in features._POINT}})
+    parts = [x.to_pandas() for x in features._pfh(0.8, "point_id long, bin int, k long")(*tables)]
+    k = np.zeros((500, 125))
+    for x in parts:
+        np.add.at(k, (x.point_id, x.bin), x.k)
+    assert len(seen) > 10 and sum(seen) == 500
+    sums = {(r.point_id, r.bin): r.value for r in want.collect()}
+    got = {(int(i), int(b)): k[i, b] * 100 / k[i].sum() for i, b in np.argwhere(k)}
+    assert got.keys() == sums.keys() and all(np.isclose(v, sums[x]) for x, v in got.items())
