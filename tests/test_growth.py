@@ -192,3 +192,17 @@ def test_pfh_finds_each_pairs_bin_once_and_writes_no_pairs(spark, crowd, monkeyp
     sums = {(r.point_id, r.bin): r.value for r in want.collect()}
     got = {(int(i), int(b)): k[i, b] * 100 / k[i].sum() for i, b in np.argwhere(k)}
     assert got.keys() == sums.keys() and all(np.isclose(v, sums[x]) for x, v in got.items())
+
+
+def test_pair_features_are_made_where_points_meet(spark, crowd):
+    """The features equal those of the expressions, and no neighbour table is joined with the points again."""
+    from pointloom.operators import features, neighbors
+
+    df = catalog.cloud_e(spark, crowd, "point_id", *features._POINT)
+    out = catalog.QUERIES["a17_pair_features"](spark, crowd)
+    assert plan(out).count("mapInArrow") + plan(out).count("MapInArrow") > 0 and "a_nx" not in plan(out)
+    edges = neighbors.radius_search(neighbors.as_queries(df), df, 0.8).where("qid < point_id").select("qid", neighbors.F.col("point_id").alias("j"))
+    want = features.pair_features(features._oriented(edges, df, "qid", "j")).toPandas().sort_values(["qid", "j"])
+    got = out.toPandas().sort_values(["qid", "j"])
+    columns = ["qid", "j", "f_theta", "f_phi", "f_alpha", "f_dist"]
+    assert len(got) == len(want) and np.allclose(got[columns], want[columns], atol=2e-6)
