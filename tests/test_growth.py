@@ -206,3 +206,16 @@ def test_pair_features_are_made_where_points_meet(spark, crowd):
     got = out.toPandas().sort_values(["qid", "j"])
     columns = ["qid", "j", "f_theta", "f_phi", "f_alpha", "f_dist"]
     assert len(got) == len(want) and np.allclose(got[columns], want[columns], atol=2e-6)
+
+
+def test_fpfh_writes_no_pairs(spark, crowd, monkeypatch):
+    """Histograms equal those made from a table of all neighbours; copies of a place weigh nothing in each other's sums."""
+    from pointloom.operators import features, neighbors
+
+    df = catalog.cloud_e(spark, crowd, "point_id", *features._POINT)
+    df = df.unionByName(df.where("point_id < 20").withColumn("point_id", df.point_id + 5_000)).cache()
+    want = features.fpfh(df, 0.8, neighbors.radius_search(neighbors.as_queries(df), df, 0.8))
+    names = written(monkeypatch, features)
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    same_histograms(features.fpfh(df, 0.8), want)
+    assert names == ["spfh"]
