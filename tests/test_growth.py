@@ -1,6 +1,7 @@
 """Queries on clouds of more points than the small tables have."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pointloom import catalog
@@ -219,3 +220,25 @@ def test_fpfh_writes_no_pairs(spark, crowd, monkeypatch):
     monkeypatch.setattr(neighbors, "BLOCK", 16)
     same_histograms(features.fpfh(df, 0.8), want)
     assert names == ["spfh"]
+
+
+def test_colored_gicp_seeks_its_matches_once_and_broadcasts_no_cloud(spark, crowd, monkeypatch):
+    """Its rows are those of both parts; the matches are one search, and what rounds of a search found is read without joins."""
+    from pointloom.operators import neighbors
+    from pointloom.plans import factors
+
+    monkeypatch.setattr(neighbors, "CROWD", 8)
+    df = catalog.cloud_e(spark, crowd).withColumn("gx", neighbors.F.lit(0.5)).withColumn("gy", neighbors.F.lit(-0.25)).withColumn("gz", neighbors.F.lit(1.0))
+    source, target = df.where("frame_id >= 5"), df.where("frame_id < 5")
+    shape = factors.gicp(source, target, catalog.POSE, 1.1).drop("tgt_id").toPandas()
+    color = factors.color_consistency(source, target, catalog.POSE, 1.1, weight=0.25).drop("tgt_id").toPandas()
+    shape[list(factors.WEIGHT)] *= 0.75
+    searches, plain = [], factors.nearest
+    monkeypatch.setattr(factors, "nearest", lambda *a, **k: searches.append(1) or plain(*a, **k))
+    got = factors.colored_gicp(source, target, catalog.POSE, 1.1).toPandas()
+    assert len(searches) == 1
+    want = pd.concat([shape, color])[got.columns].to_numpy(float)
+    key = lambda x: x[np.lexsort(np.round(x, 6).T)]
+    assert len(got) == len(want) and np.allclose(key(got.to_numpy(float)), key(want), atol=1e-9)
+    assert "Join" not in plan(neighbors.knn(neighbors.as_queries(source), target, 3))
+    assert "SortMergeJoin [tgt_id" in (joined := plan(factors._matched(source, target, catalog.POSE, 1.1, ()))) and "SortMergeJoin [src_id" in joined
