@@ -7,11 +7,10 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import expr as E
 from ..functions import lie
-from ..operators.neighbors import D2, cell_pairs
+from ..operators.neighbors import radius_search
 from ..operators.rows import Matrix
 from ..schema import COV, NORMAL, XYZ, require_columns
 from ..scratch import cut, drop
@@ -77,13 +76,13 @@ class MatchedGroup:
         mine, theirs, _ = KINDS[self.kind]
         chosen = self._motions({k: motions[k] for k in stale})
         moved = [F.expr(" + ".join([f"m{i}{j} * {XYZ[j]}" for j in range(3)] + [f"m{i}3"])).alias(f"q{c}") for i, c in enumerate(XYZ)]
-        queries = self.source.join(chosen, "factor_id").select("factor_id", F.col("point_id").alias("qid"), *[F.col(c).alias(f"o{c}") for c in XYZ], *[F.col(c).alias(f"o{c}") for c in mine], *moved)
         by = ("factor_id",) if "factor_id" in self.target.columns else ()
-        goal = self.target.select(*by, "point_id", *XYZ, *[F.col(c).alias(f"t{c}") for c in theirs])
-        near = cell_pairs(queries, goal, self.max_distance, by=by).withColumn("d2", F.expr(D2)).where(F.col("d2") < self.max_distance**2)
-        first = F.row_number().over(W.partitionBy("factor_id", "qid").orderBy("d2", "point_id"))
-        kept = [F.col(f"o{c}") for c in (*XYZ, *mine)], [F.col(c).alias(f"q{i}") for i, c in enumerate(XYZ)], [F.col(f"t{c}") for c in theirs]
-        found = near.withColumn("_first", first).where("_first = 1").select("factor_id", F.col("qid").alias("src_id"), F.col("point_id").alias("tgt_id"), *kept[0], *kept[1], *kept[2])
+        # what a match needs of both points travels in their keys, so that it is joined with neither again
+        source = F.struct("factor_id", F.col("point_id").alias("src_id"), *[F.col(c).alias(f"o{c}") for c in (*XYZ, *mine)])
+        target = F.struct(F.col("point_id").alias("tgt_id"), *[F.col(c).alias(f"q{i}") for i, c in enumerate(XYZ)], *[F.col(c).alias(f"t{c}") for c in theirs])
+        queries = self.source.join(chosen, "factor_id").select(*by, source.alias("qid"), *moved)
+        near = radius_search(queries, self.target.select(*by, target.alias("point_id"), *XYZ), self.max_distance, 1, by)
+        found = near.select("qid.*", "point_id.*")
         before = self.table
         if before is not None:
             again = self.source.sparkSession.createDataFrame([(k,) for k in stale], "factor_id long")

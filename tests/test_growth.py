@@ -242,3 +242,35 @@ def test_colored_gicp_seeks_its_matches_once_and_broadcasts_no_cloud(spark, crow
     assert len(got) == len(want) and np.allclose(key(got.to_numpy(float)), key(want), atol=1e-9)
     assert "Join" not in plan(neighbors.knn(neighbors.as_queries(source), target, 3))
     assert "SortMergeJoin [tgt_id" in (joined := plan(factors._matched(source, target, catalog.POSE, 1.1, ()))) and "SortMergeJoin [src_id" in joined
+
+
+def test_batches_of_matches_are_sought_by_smaller_cells(spark, crowd, monkeypatch):
+    """Matches within each factor's own target equal brute force, copies of a place included; no round looks at all pairs of crowded cells."""
+    from pointloom.operators import neighbors
+    from pointloom.plans.matching import MatchedGroup
+
+    monkeypatch.setattr(neighbors, "CROWD", 8)
+    monkeypatch.setattr(neighbors, "DENSE", 2)
+    seen, plain = [], neighbors.cell_pairs
+
+    def cell_pairs(queries, points, cell, *more):
+        seen.append((queries.count(), cell))
+        return plain(queries, points, cell, *more)
+
+    monkeypatch.setattr(neighbors, "cell_pairs", cell_pairs)
+    df = catalog.cloud_e(spark, crowd, "point_id", "x", "y", "z").withColumn("factor_id", neighbors.F.col("point_id") % 3)
+    copies = df.where("point_id < 30").withColumn("point_id", df.point_id + 3_000)
+    target = df.where("point_id < 900").unionByName(copies).unionByName(copies.withColumn("point_id", neighbors.F.col("point_id") + 3_000))
+    group = MatchedGroup("icp", df.where("point_id >= 600"), target)
+    motions = {k: catalog.POSES[k] for k in range(3)}
+    got = group.rows(motions).toPandas()
+    q, p = df.where("point_id >= 600").toPandas(), target.toPandas().sort_values("point_id")
+    want = set()
+    for k in range(3):
+        a, b = q[q.factor_id == k], p[p.factor_id == k]
+        at = a[["x", "y", "z"]].to_numpy() + np.array(catalog.POSES[k])[:, 3]
+        d2 = ((at[:, None] - b[["x", "y", "z"]].to_numpy()[None]) ** 2).sum(2)
+        want |= {(k, i, b.point_id.iloc[row.argmin()]) for i, row in zip(a.point_id, d2, strict=True) if row.min() < 1.0}
+    assert len(got) == len(want) and set(zip(got.factor_id, got.src_id, got.tgt_id, strict=True)) == want
+    assert seen[0][1] < 1.0 and seen[-1][0] < len(q)
+    group.release()
