@@ -274,3 +274,24 @@ def test_batches_of_matches_are_sought_by_smaller_cells(spark, crowd, monkeypatc
     assert len(got) == len(want) and set(zip(got.factor_id, got.src_id, got.tgt_id, strict=True)) == want
     assert seen[0][1] < 1.0 and seen[-1][0] < len(q)
     group.release()
+
+
+@pytest.mark.parametrize("every", [1, 40])
+def test_feature_search_ships_a_query_once_for_each_block_however_many_partitions(spark, monkeypatch, every):
+    """Where nothing can be pruned a query visits all of 200 partitions, but these are few blocks; results equal brute force."""
+    from pointloom.operators import metric
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (4_000, 16)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, f array<float>")
+    shipped, plain = [], metric._answers
+    monkeypatch.setattr(metric, "_answers", lambda index, visits, k: shipped.append(visits.count()) or plain(index, visits, k))
+    monkeypatch.setattr(metric, "STRIP", 7)
+    index = metric.build_index(df, rows_a_pivot=20)
+    assert len(index.pivots) == 200 and dict(index.rows.dtypes)["f"] == "array<float>"
+    got = metric.search(index, df.where(f"point_id % {every} = 0").withColumnRenamed("point_id", "qid"), 4).toPandas()
+    d2 = ((x[::every, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+    want = {(every * q, p, r + 1) for q, row in enumerate(d2) for r, p in enumerate(np.lexsort((np.arange(len(x)), row))[:4])}
+    assert set(zip(got.qid, got.point_id, got["rank"], strict=True)) == want
+    assert sum(shipped) < len(d2) * (10 if every == 1 else 30)
+    index.release()
