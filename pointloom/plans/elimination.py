@@ -9,12 +9,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..schema import require_columns
 from ..scratch import cut, drop
 
 #: What is left is solved in one task when it has no more keys than this.
 LAST = 200
+#: Ranges of keys that are eliminated at once hold systems of about so many unknowns; ranges of more than four times as many are left to other rounds.
+RANGE = 600
 
 
 def _sums(column: str, n: int) -> Column:
@@ -77,6 +80,38 @@ def _eliminate(size: int):
     return run
 
 
+def _inside(blocks: DataFrame, width: int, most: int) -> DataFrame:
+    """(i, part) of keys all of whose neighbours are of their own range of keys, in ranges of no more than `most` of them."""
+    part = F.expr(f"i div {width}L")
+    own = blocks.groupBy("i").agg(F.max(F.expr(f"j div {width}L") != part).alias("out"))
+    own = own.where("NOT out").select("i", part.alias("part"))
+    return own.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("part"))).where(F.col("n") <= most).drop("n")
+
+
+def _eliminate_range(size: int):
+    """The keys inside a range to what they leave, as _eliminate has it: gains and own of each, by the border keys of the range; what is taken from those is with the first key."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, first = np.unique(pdf.i, return_index=True)
+        border = np.setdiff1d(pdf.j, keys)
+        n, m = len(keys), len(border)
+        inner, outer = np.zeros((n, size, n, size)), np.zeros((n, size, m, size))
+        at, h = np.searchsorted(keys, pdf.i), np.stack(pdf.h.to_list()).reshape(-1, size, size)
+        mine = np.isin(pdf.j, keys)
+        np.add.at(inner.transpose(0, 2, 1, 3), (at[mine], np.searchsorted(keys, pdf.j[mine])), h[mine])
+        np.add.at(outer.transpose(0, 2, 1, 3), (at[~mine], np.searchsorted(border, pdf.j[~mine])), h[~mine])
+        b = np.stack(pdf.b.to_list())[first].reshape(-1, 1)
+        outer = outer.reshape(n * size, m * size)
+        x = np.linalg.solve(inner.reshape(n * size, n * size), np.hstack([outer, b]))
+        gains, own = x[:, :-1].reshape(n, size, m, size).transpose(0, 2, 1, 3), x[:, -1].reshape(n, size)
+        pairs = (outer.T @ x[:, :-1]).reshape(m, size, m, size).transpose(0, 2, 1, 3)
+        none = np.zeros(0)
+        rest = {"pairs": [pairs.ravel(), *[none] * (n - 1)], "sides": [outer.T @ x[:, -1], *[none] * (n - 1)]}
+        return pd.DataFrame({"i": keys, "js": [border] * n, "gains": list(gains.reshape(n, -1)), "own": list(own)} | rest)
+
+    return run
+
+
 def _last(size: int):
     """The rest as one dense system; it has LAST keys at most."""
 
@@ -97,9 +132,11 @@ def _last(size: int):
 def solve(blocks: DataFrame, side: DataFrame, size: int = 6, last: int = LAST, most_rounds: int = 200) -> DataFrame:
     """(i, x array of size) with H x = b: blocks(i, j, h) of a symmetric positive definite matrix, both (i, j) and (j, i) given; side(i, b).
 
-    A round takes a set of keys of which no two are linked, those with few links first, and eliminates them at once: a task inverts their
-    diagonal blocks in batches, and what they take from their neighbours is added by key. A chain loses a third of its keys in a round, so
-    there are about log(keys) rounds; the work of a key is the square of its links then. When `last` keys or fewer are left, a task solves
+    As long as that takes a third of the keys, a round takes ranges of keys: a task eliminates all keys of its range that have no neighbour outside, so that
+    a trajectory with short loops is down to a few keys a range at once, and ranges grow as keys get fewer. Where keys that are near are not linked, a round takes
+    a set of keys of which no two are linked, those with few links first, and eliminates them at once: a task inverts their
+    diagonal blocks in batches. What keys take from their neighbours is added by key. A chain loses a third of its keys in such a round, so
+    there are about log(keys) rounds at most; the work of a key is the square of its links then. When `last` keys or fewer are left, a task solves
     them. Back substitution joins each round's keys with the values of their neighbours. No row of the system comes to the driver; each round is
     a table, so a lost executor costs one. Keys without a side have b = 0. A matrix that is not definite raises numpy's LinAlgError or gives no finite values.
     """
@@ -109,30 +146,37 @@ def solve(blocks: DataFrame, side: DataFrame, size: int = 6, last: int = LAST, m
     zero = F.array(*[F.lit(0.0)] * size)
     system, sides = cut(blocks.select("i", "j", "h"), "blocks"), cut(side.select("i", "b"), "side")
     done: list[DataFrame] = []
+    ranges, inside = True, None
     for turn in range(most_rounds):
-        keys = system.select("i").distinct().count()
+        keys, lo, hi = system.agg(F.count_distinct("i"), F.min("i"), F.max("i")).head()
         if keys <= last:
             break
-        chosen = cut(_chosen(system, turn), "chosen")
+        schema = "i long, js array<long>, gains array<double>, own array<double>, pairs array<double>, sides array<double>"
+        if ranges:
+            each = max(RANGE // size, 2)
+            inside = cut(_inside(system, max((hi - lo + 1) * each // keys, 1), 4 * each), "inside")
+            ranges = 3 * inside.count() >= keys
+        chosen = inside.select("i") if ranges else cut(_chosen(system, turn), "chosen")
         mine = system.join(chosen, "i").groupBy("i").agg(
             F.max(F.when(F.col("i") == F.col("j"), F.col("h"))).alias("d"), F.collect_list(F.when(F.col("i") != F.col("j"), F.struct("j", "h"))).alias("links")
         )
         mine = mine.join(sides, "i", "left").select("i", "d", F.coalesce("b", zero).alias("b"), F.col("links.j").alias("js"), F.col("links.h").alias("hs"))
-        schema = "i long, js array<long>, gains array<double>, own array<double>, pairs array<double>, sides array<double>"
-        gone = cut(mine.mapInPandas(_eliminate(size), schema), "eliminated")
+        rows = system.join(inside, "i").join(sides, "i", "left").select("part", "i", "j", "h", F.coalesce("b", zero).alias("b")) if ranges else None
+        gone = cut(rows.groupBy("part").applyInPandas(_eliminate_range(size), schema) if ranges else mine.mapInPandas(_eliminate(size), schema), "eliminated")
         done.append(gone)
         drop_to = chosen.select(F.col("i").alias("j"))
         kept = system.join(chosen, "i", "left_anti").join(drop_to, "j", "left_anti").select("i", "j", "h")
         degree = F.size("js")
-        each = gone.where(degree > 0).withColumn("p", F.explode(F.sequence(F.lit(0), degree * degree - 1)))
+        each = gone.where((degree > 0) & (F.size("pairs") > 0)).withColumn("p", F.explode(F.sequence(F.lit(0), degree * degree - 1)))
         taken = each.select(F.get("js", (F.col("p") / degree).cast("int")).alias("i"), F.get("js", F.col("p") % degree).alias("j"), F.transform(F.slice("pairs", F.col("p") * n2 + 1, n2), lambda v: -v).alias("h"))
-        one = gone.where(degree > 0).withColumn("p", F.explode(F.sequence(F.lit(0), degree - 1)))
+        one = gone.where((degree > 0) & (F.size("pairs") > 0)).withColumn("p", F.explode(F.sequence(F.lit(0), degree - 1)))
         less = one.select(F.get("js", F.col("p")).alias("i"), F.transform(F.slice("sides", F.col("p") * size + 1, size), lambda v: -v).alias("b"))
         before = (system, sides)
         system = cut(kept.unionByName(taken).groupBy("i", "j").agg(_sums("h", n2)), "blocks")
         sides = cut(sides.join(chosen, "i", "left_anti").unionByName(less).groupBy("i").agg(_sums("b", size)), "side")
-        for old in (*before, chosen):
+        for old in (*before, inside, chosen):
             drop(old)
+        inside = None
     else:
         raise RuntimeError(f"{keys} keys are left after {most_rounds} rounds")
     rest = system.join(sides, "i", "left").withColumn("all", F.lit(0))

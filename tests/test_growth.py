@@ -295,3 +295,27 @@ def test_feature_search_ships_a_query_once_for_each_block_however_many_partition
     assert set(zip(got.qid, got.point_id, got["rank"], strict=True)) == want
     assert sum(shipped) < len(d2) * (10 if every == 1 else 30)
     index.release()
+
+
+def test_a_chain_with_loops_is_eliminated_by_ranges_of_keys(spark, monkeypatch):
+    """Keys of either sign with gaps: the solution equals numpy's, and two rounds leave what many did before."""
+    from pointloom.plans import elimination
+
+    names = written(monkeypatch, elimination)
+    monkeypatch.setattr(elimination, "RANGE", 60)
+    rng, n = np.random.default_rng(6), 900
+    h = np.zeros((2 * n, 2 * n))
+    for a, b in [(0, 0), *[(k, k + 1) for k in range(n - 1)], *[(k, k + 10) for k in range(0, n - 10, 10)]]:
+        j = np.zeros((2, 2 * n))
+        j[:, 2 * a : 2 * a + 2] = rng.normal(0, 1, (2, 2))
+        j[:, 2 * b : 2 * b + 2] += np.eye(2) * 2
+        h += j.T @ j
+    h += np.eye(2 * n) * 0.1
+    x = rng.normal(0, 1, 2 * n)
+    key = lambda k: (k - 300) * 3
+    tiles = h.reshape(n, 2, n, 2).transpose(0, 2, 1, 3)
+    blocks = spark.createDataFrame([(key(int(i)), key(int(j)), tiles[i, j].ravel().tolist()) for i, j in np.argwhere(np.abs(tiles).sum((2, 3)) > 0)], "i long, j long, h array<double>")
+    side = spark.createDataFrame([(key(i), b.tolist()) for i, b in enumerate((h @ x).reshape(n, 2))], "i long, b array<double>")
+    got = elimination.solve(blocks, side, 2, last=60).toPandas().sort_values("i")
+    assert got.i.tolist() == [key(i) for i in range(n)] and np.allclose(np.stack(got.x.to_list()).ravel(), x, atol=1e-8)
+    assert 1 <= names.count("eliminated") <= 3
