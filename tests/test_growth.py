@@ -319,3 +319,16 @@ def test_a_chain_with_loops_is_eliminated_by_ranges_of_keys(spark, monkeypatch):
     got = elimination.solve(blocks, side, 2, last=60).toPandas().sort_values("i")
     assert got.i.tolist() == [key(i) for i in range(n)] and np.allclose(np.stack(got.x.to_list()).ravel(), x, atol=1e-8)
     assert 1 <= names.count("eliminated") <= 3
+
+
+def test_a_search_of_the_users_own_looks_at_smaller_cells_first(spark, crowd, monkeypatch):
+    """u_custom_search, where voxels are crowded, gives the same as with one join of all pairs of those voxels."""
+    from pointloom.operators import neighbors
+
+    want = catalog.QUERIES["u_custom_search"](spark, crowd).collect()
+    monkeypatch.setattr(neighbors, "CROWD", 8)
+    monkeypatch.setattr(neighbors, "DENSE", 2)
+    seen, plain = [], neighbors.cell_pairs
+    monkeypatch.setattr(neighbors, "cell_pairs", lambda queries, points, cell, *more: seen.append(cell) or plain(queries, points, cell, *more))
+    assert catalog.QUERIES["u_custom_search"](spark, crowd).collect() == want and want[0].n_inliers > 0
+    assert len(seen) > 1 and seen[0] < catalog.FINE
