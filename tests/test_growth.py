@@ -332,3 +332,44 @@ def test_a_search_of_the_users_own_looks_at_smaller_cells_first(spark, crowd, mo
     monkeypatch.setattr(neighbors, "cell_pairs", lambda queries, points, cell, *more: seen.append(cell) or plain(queries, points, cell, *more))
     assert catalog.QUERIES["u_custom_search"](spark, crowd).collect() == want and want[0].n_inliers > 0
     assert len(seen) > 1 and seen[0] < catalog.FINE
+
+
+def test_searches_within_voxels_ask_copies_of_a_place_once(spark, crowd, tmp_path, monkeypatch):
+    """30 copies of 100 points: results equal brute force, and no round asks, or looks at, more rows than there are places for the wanted neighbours."""
+    from pointloom.operators import neighbors
+
+    few = pd.read_parquet(f"{crowd}/embeddings.parquet").head(100)
+    copies = pd.concat([few.assign(vec_id=few.vec_id + 1_000 * i) for i in range(30)])
+    copies.to_parquet(tmp_path / "embeddings.parquet")
+    pdf = cloud(spark, tmp_path)
+    xyz, intensity, ids = pdf[["x", "y", "z"]].to_numpy(), pdf.intensity.to_numpy(), pdf.point_id.to_numpy()
+    want = catalog.QUERIES["u_custom_search"](spark, str(tmp_path)).collect()
+    monkeypatch.setattr(neighbors, "CROWD", 8)
+    monkeypatch.setattr(neighbors, "DENSE", 2)
+    seen, plain = [], neighbors.cell_pairs
+
+    def cell_pairs(queries, points, cell, *more):
+        seen.append((queries.count(), points.count()))
+        return plain(queries, points, cell, *more)
+
+    monkeypatch.setattr(neighbors, "cell_pairs", cell_pairs)
+    assert catalog.QUERIES["u_custom_search"](spark, str(tmp_path)).collect() == want and want[0].n_inliers > 0
+    assert seen and max(max(s) for s in seen) <= 100
+    d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+    cells = np.abs(np.floor(xyz)[:, None] - np.floor(xyz)[None])
+    whole = d2 + (intensity[:, None] - 2 * intensity[None]) ** 2
+    for name, (d, ok, k) in {"j6_knn_voxel": (d2, cells.sum(2) <= 1, 5), "j5_knn_xyzi": (whole, whole < 1.0, 4)}.items():
+        seen.clear()
+        got = catalog.QUERIES[name](spark, str(tmp_path)).toPandas()
+        order = [(q, np.flatnonzero(ok[q])) for q in range(len(ids))]
+        assert set(zip(got.qid, got.point_id, got["rank"], strict=True)) == {(ids[q], ids[p], r + 1) for q, near in order for r, p in enumerate(near[np.lexsort((ids[near], d[q, near]))][:k])}, name
+        assert seen and max(s[0] for s in seen) <= 100 and max(s[1] for s in seen) <= 100 * k, name
+
+
+def test_queries_that_are_replicated_to_cells_are_not_broadcast(spark):
+    from pointloom.operators.neighbors import cell_pairs
+
+    q = spark.range(3).selectExpr("id AS qid", "0.1D * id AS qx", "0.0D AS qy", "0.0D AS qz")
+    p = spark.range(40).selectExpr("id AS point_id", "0.1D * id AS x", "0.0D AS y", "0.0D AS z")
+    pairs = cell_pairs(q, p, 1.0)
+    assert pairs.count() == 60 and "Broadcast" not in plan(pairs)
