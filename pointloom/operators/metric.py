@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     """A row for each vector."""
     flat = np.asarray(column.flatten(), float)
     width = width if width is not None else len(flat) // max(len(column), 1)
-    if len(flat) != width * len(column) or pa.compute.list_value_length(column).value_counts().__len__() > 1:
+    if len(flat) != width * len(column) or pc.list_value_length(column).value_counts().__len__() > 1:
         raise ValueError("feature vectors must have one length")
     return flat.reshape(len(column), width)
 
@@ -180,7 +181,7 @@ def _meet(index: MetricIndex, q: pa.Table, p: pa.Table, k: int) -> Iterator[tupl
 
     The distance of the k-th found so far takes the bound's place, and only rows whose distance from the pivot allows it are compared.
     """
-    p = p.take(pa.compute.sort_indices(p, [("pivot", "ascending"), ("away", "ascending")]))
+    p = p.take(pc.sort_indices(p, [("pivot", "ascending"), ("away", "ascending")]))
     y, ids, rings, of = _matrix(p["f"].combine_chunks(), index.pivots.shape[1]), p["point_id"].to_numpy(), p["away"].to_numpy(), p["pivot"].to_numpy()
     chosen, begin = np.unique(of, return_index=True)
     ends, squared = np.append(begin[1:], len(of)), (y * y).sum(1)

@@ -1,6 +1,8 @@
 """Feature search, regions, occupancy blocks, map state and streams against brute force, on skewed and awkward inputs."""
 
 import os
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
@@ -82,6 +84,12 @@ def test_feature_search_on_awkward_tables(spark):
     assert sorted(map(tuple, pairs.collect())) == [(0, 0), (1, 1)] or (2, 0) not in map(tuple, pairs.collect())
 
 
+def test_searches_need_nothing_that_another_module_imports():
+    """A worker that has not loaded pandas, which brings pyarrow.compute with it, runs them too."""
+    code = "import sys; from pointloom.operators import metric, neighbors; assert 'pandas' not in sys.modules and 'pyarrow.compute' in sys.modules"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 @pytest.mark.parametrize("order", ["along", "random"])
 def test_regions_of_a_long_chain(spark, order, monkeypatch):
     """A chain of 100,000 points, another of two and a lone one, in fewer than 20 rounds."""
