@@ -373,3 +373,59 @@ def test_queries_that_are_replicated_to_cells_are_not_broadcast(spark):
     p = spark.range(40).selectExpr("id AS point_id", "0.1D * id AS x", "0.0D AS y", "0.0D AS z")
     pairs = cell_pairs(q, p, 1.0)
     assert pairs.count() == 60 and "Broadcast" not in plan(pairs)
+
+
+def test_windows_have_the_systems_of_their_factors(monkeypatch):
+    """Links both ways and twice, priors and quadratics of several keys, dense and as stacks of blocks: as factor by factor."""
+    from pointloom.functions import lie
+    from pointloom.plans import optimize, sparse
+    from pointloom.plans.optimize import BetweenFactor, Graph, MarginalFactor, PriorFactor, Window, each_linear
+    from pointloom.plans.sparse import System
+
+    rng = np.random.default_rng(11)
+    pose = lambda: lie.pose(lie.so3_exp(rng.normal(0, 0.3, 3)), rng.normal(0, 1.2, 3))
+    values = {3 * k: pose() for k in range(14)}
+    root = rng.normal(size=(18, 18))
+    factors = [BetweenFactor(3 * a, 3 * b, pose(), 1.0 + a) for a, b in [*((k, k + 1) for k in range(13)), (9, 2), (2, 9), (0, 5), (0, 7)]]
+    factors += [PriorFactor(0, pose(), 3.0), PriorFactor(6, pose()), MarginalFactor((12, 3, 30), {k: pose() for k in (12, 3, 30)}, root @ root.T, rng.normal(size=18))]
+    want = System(dict.fromkeys(values, 6))
+    for one in each_linear(factors, values):
+        want.add(*one)
+    step = want.solve(0.1)
+    for small, many in ((96, 2_048), (0, 8)):
+        monkeypatch.setattr(optimize, "SMALL", small)
+        monkeypatch.setattr(optimize, "MANY", many)
+        monkeypatch.setattr(sparse, "MANY", many)
+        monkeypatch.setattr(sparse, "LAST", 3)
+        window = Window.of(factors, values)
+        got = window.linearize(values)
+        assert np.allclose(got.dense(), want.dense(), rtol=1e-9) and np.allclose(got.vector(got.b), want.vector(want.b), rtol=1e-9)
+        assert np.isclose(got.error, want.error) and np.isclose(window.error(values), sum(f.linearize(values)[0] for f in factors))
+        assert all(np.allclose(got.solve(0.1)[k], step[k], rtol=1e-6, atol=1e-9) for k in values)
+        assert np.isclose(got.model(step), want.model(step)) and np.isclose(Graph(factors).linearize(values).error, want.error)
+        with pytest.raises(np.linalg.LinAlgError):
+            Window.of(factors[:13], values).linearize(values).solve()
+
+
+def test_a_long_chain_is_solved_in_few_calls(monkeypatch):
+    from pointloom.plans.optimize import Graph, dogleg
+
+    poses, factors = loop(3_000)
+    seen, root = [], np.linalg.cholesky
+    monkeypatch.setattr(np.linalg, "cholesky", lambda x: seen.append(len(x)) or root(x))
+    out, status = dogleg(Graph(factors), {k: poses[max(k - 1, 0)] for k in range(len(poses))}, radius=10.0)
+    assert max(np.abs(out[k] - p).max() for k, p in enumerate(poses)) < 1e-6
+    assert len(seen) < 40 * status.iterations  # one call a key would be 3,000
+
+
+def test_an_update_of_a_window_takes_few_calls(monkeypatch):
+    from pointloom.functions import lie
+    from pointloom.plans.optimize import FixedLagSmoother, LMParams
+
+    poses, factors = loop(60)
+    seen, log, lag = [], lie.se3_log, FixedLagSmoother(4.5)
+    monkeypatch.setattr(lie, "se3_log", lambda m: seen.append(1) or log(m))
+    for k, factor in enumerate(factors):
+        out = lag.update([factor], {k: poses[max(k - 1, 0)]}, {k: float(k)}, LMParams(absolute_error=1e-12, relative_error=1e-12))
+    assert max(np.abs(out[k] - poses[k]).max() for k in out) < 1e-6
+    assert len(seen) < 10 * len(factors)
