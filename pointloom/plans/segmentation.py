@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators.neighbors import as_queries, knn, radius_search
+from ..operators.neighbors import PAIRS, around, as_queries, knn, matrix, radius_search, squares
 from ..schema import NORMAL, XYZ
 from ..scratch import cut, drop
 
@@ -35,11 +38,136 @@ def region_edges(df: DataFrame, p: RegionParams) -> DataFrame:
     return both.where(F.expr(f"{E.dot([f'a{c}' for c in NORMAL], [f'b{c}' for c in NORMAL])} >= {math.cos(p.angle)!r}")).select("qid", "point_id")
 
 
+#: So many points of a cell are one block of a region search, where what is found is never sought again.
+REGION_BLOCK = 1 << 16
+_PLACED, _ASKED, _CELL = (*XYZ, *NORMAL), tuple(f"q{c}" for c in (*XYZ, *NORMAL)), ("cx", "cy", "cz")
+
+
+def _oriented(df: DataFrame) -> DataFrame:
+    return df.select("point_id", *_PLACED)
+
+
+def _as_asked(df: DataFrame) -> DataFrame:
+    return df.select(F.col("point_id").alias("qid"), *[F.col(c).alias(q) for c, q in zip(_PLACED, _ASKED, strict=True)])
+
+
+def _reached(asked: np.ndarray, among: np.ndarray, p: RegionParams) -> np.ndarray:
+    """Which of the places and normals among (6 x n) have a link of region_edges with one of the asked."""
+    near = squares(asked[:3], among[:3]) < p.distance * p.distance
+    a, b = asked[3:, :, None], among[3:, None]
+    return (near & (a[0] * b[0] + a[1] * b[1] + a[2] * b[2] >= math.cos(p.angle))).any(0)
+
+
+def _swept(asked: np.ndarray, places: np.ndarray, free: np.ndarray, p: RegionParams) -> tuple[np.ndarray, np.ndarray]:
+    """(those of the columns `free` of places that have a link with one of the asked, the others): by few of the asked near each other, whatever was reached is left out then."""
+    order, found = np.lexsort(np.floor(asked[:3] * (4 / p.distance))), []
+    margin = p.distance * (1 + 1e-9) + 1e-15 * max(np.abs(asked[:3]).max(initial=0.0), np.abs(places[:3]).max(initial=0.0))
+    for at in range(0, len(order), 64):
+        some = asked[:, order[at : at + 64]]
+        lo, hi = some[:3].min(1) - margin, some[:3].max(1) + margin
+        inside = np.flatnonzero((places[0, free] >= lo[0]) & (places[0, free] <= hi[0]))
+        for c in (1, 2):
+            x = places[c, free[inside]]
+            inside = inside[(x >= lo[c]) & (x <= hi[c])]
+        row, hits = 0, []
+        while row < some.shape[1] and len(inside):
+            step = max(1, PAIRS // len(inside))
+            hit = _reached(some[:, row : row + step], places[:, free[inside]], p)
+            hits.append(inside[hit])
+            inside, row = inside[~hit], row + step
+        if any(map(len, hits)):
+            hit = np.concatenate(hits)
+            found.append(free[hit])
+            free = np.delete(free, hit)
+    return np.concatenate(found) if found else free[:0], free
+
+
+def region_front(df: DataFrame, front: DataFrame, p: RegionParams) -> DataFrame:
+    """(point_id) of points of df that have a link with one of the front's (point_id, ...), once for each block of these: links are neither shuffled nor written."""
+
+    def work(queries: pa.Table, points: pa.Table) -> Iterator[pa.RecordBatch]:
+        q, places, ids = matrix(queries, _ASKED), matrix(points, _PLACED), points["point_id"].combine_chunks()
+        found, _ = _swept(q, places, np.arange(places.shape[1]), p)
+        for at in range(0, len(found), PAIRS):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(found[at : at + PAIRS]))], ["point_id"])
+
+    if p.distance <= 0:
+        return df.select("point_id").limit(0)
+    return around(_as_asked(front), _oriented(df), p.distance, work, f"point_id {dict(df.dtypes)['point_id']}", REGION_BLOCK)
+
+
+def region_links(df: DataFrame, p: RegionParams) -> DataFrame:
+    """(qid, point_id), both ways, that connect the same points as region_edges do: of each block fewer links than it has points.
+
+    A task searches its block from point to point, and what was reached is not looked at again for the same part; a point of another block joins the parts that
+    reach it. Links between two cells are looked for from one of them.
+    """
+    key = dict(df.dtypes)["point_id"]
+
+    def work(queries: pa.Table, points: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell, cells = matrix(queries.slice(0, 1), _CELL)[:, 0], matrix(points, [f"p{c}" for c in _CELL])
+        differs = [np.sign(c - v) for c, v in zip(cells, cell, strict=True)]
+        points = points.filter(pa.array(4 * differs[0] + 2 * differs[1] + differs[2] >= 0))
+        ids, places = points["point_id"].combine_chunks(), matrix(points, _PLACED)
+        own = pc.index_in(queries["qid"].combine_chunks(), value_set=ids).to_numpy()
+        mine = np.zeros(len(ids), bool)
+        mine[own] = True
+        others, free = np.flatnonzero(~mine), mine.copy()
+        part, roots, joined = np.full(len(ids), -1), [], []  # of others: the first part that reached each
+
+        def top(i: int) -> int:
+            while joined[i] != i:
+                joined[i] = joined[joined[i]]
+                i = joined[i]
+            return i
+
+        a, b = [], []
+        for root in own:
+            if not free[root]:
+                continue
+            number = len(roots)
+            roots.append(root)
+            joined.append(number)
+            free[root] = False
+            front, away, met = np.array([root]), others, []
+            while len(front):
+                found, rest = _swept(places[:, front], places, np.concatenate([np.flatnonzero(free), away]), p)
+                front = new = found[mine[found]]
+                reached, away = found[~mine[found]], rest[~mine[rest]]
+                free[new] = False
+                a.append(np.full(len(new), root))
+                b.append(new)
+                met.append(reached)
+            met = np.concatenate(met)
+            first = met[part[met] < 0]
+            for other in np.unique(part[met[part[met] >= 0]]).tolist():
+                x, y = top(other), top(number)
+                if x != y:
+                    joined[y] = x
+                    a.append(np.array([roots[other]]))
+                    b.append(np.array([root]))
+            part[first] = number
+            a.append(np.full(len(first), root))
+            b.append(first)
+        a, b = np.concatenate(a), np.concatenate(b)
+        for at in range(0, len(a), PAIRS):
+            x, y = (ids.take(pa.array(c[at : at + PAIRS])) for c in (a, b))
+            yield pa.RecordBatch.from_arrays([x, y], ["qid", "point_id"])
+            yield pa.RecordBatch.from_arrays([y, x], ["qid", "point_id"])
+
+    if p.distance <= 0:
+        return df.select(F.col("point_id").alias("qid"), "point_id").limit(0)
+    cells = lambda c: F.expr(E.voxel(c, p.distance))
+    queries = _as_asked(df).select("qid", "qx", "qy", "qz", *[cells(f"q{c}").alias(n) for c, n in zip(XYZ, _CELL, strict=True)])
+    points = _oriented(df).select("*", *[cells(c).alias(f"p{n}") for c, n in zip(XYZ, _CELL, strict=True)])
+    return around(queries, points, p.distance, work, f"qid {key}, point_id {key}", REGION_BLOCK)
+
+
 @dataclass
 class RegionContext:
     """A resumable search: the points reached, level by level, each level a table of its own."""
 
-    edges: DataFrame
+    cloud: DataFrame
     levels: list[DataFrame]
     size: int = 1
     steps: int = 0
@@ -56,7 +184,7 @@ def region_init(df: DataFrame, seed: tuple[float, float, float], p: RegionParams
     """Starts at the point nearest to the seed."""
     d2 = " + ".join(f"({c} - {v!r}) * ({c} - {v!r})" for c, v in zip(XYZ, map(float, seed), strict=True))
     first = cut(df.orderBy(F.expr(d2), "point_id").limit(1).select("point_id"), "seed")
-    return RegionContext(cut(region_edges(df, p), "edges"), [first])
+    return RegionContext(cut(_oriented(df), "cloud"), [first])
 
 
 def region_update(context: RegionContext, p: RegionParams, steps: int = 1) -> RegionContext:
@@ -65,7 +193,8 @@ def region_update(context: RegionContext, p: RegionParams, steps: int = 1) -> Re
     for _ in range(steps):
         if context.done or context.steps >= p.max_steps:
             break
-        out = context.levels[-1].withColumnRenamed("point_id", "qid").join(context.edges, "qid").select("point_id").distinct()
+        front = context.cloud.join(context.levels[-1], "point_id", "left_semi")
+        out = region_front(context.cloud, front, p).distinct()
         for level in context.levels[-2:]:
             out = out.join(level, "point_id", "left_anti")
         room = p.max_cluster - context.size
@@ -129,7 +258,7 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> Dat
 def all_regions(df: DataFrame, params: RegionParams | None = None) -> DataFrame:
     """(point_id, region, size) of every point: what region_growing without dilation finds from any seed in it; a region is named by its least point_id."""
     p = params or RegionParams()
-    found = components(df.select("point_id"), region_edges(df, p))
+    found = components(df.select("point_id"), region_links(df, p))
     return found.join(found.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region").select("point_id", "region", "size")
 
 

@@ -429,3 +429,26 @@ def test_an_update_of_a_window_takes_few_calls(monkeypatch):
         out = lag.update([factor], {k: poses[max(k - 1, 0)]}, {k: float(k)}, LMParams(absolute_error=1e-12, relative_error=1e-12))
     assert max(np.abs(out[k] - poses[k]).max() for k in out) < 1e-6
     assert len(seen) < 10 * len(factors)
+
+
+def test_regions_write_no_more_links_than_points_round_blocks(spark, crowd, monkeypatch):
+    """Crowded cells, divided among blocks: the regions of all links, and tables in proportion to the points and not to the pairs."""
+    from pointloom.plans import segmentation
+
+    df = catalog.cloud_e(spark, crowd, "point_id", "x", "y", "z", "nx", "ny", "nz")
+    pdf = df.orderBy("point_id").toPandas()
+    xyz, normal = pdf[["x", "y", "z"]].to_numpy(), pdf[["nx", "ny", "nz"]].to_numpy()
+    for block, params in ((1 << 16, segmentation.RegionParams(1.5, np.radians(60))), (7, segmentation.RegionParams(0.4, np.radians(25)))):
+        monkeypatch.setattr(segmentation, "REGION_BLOCK", block)
+        link = (((xyz[:, None] - xyz[None]) ** 2).sum(2) < params.distance**2) & (normal @ normal.T >= np.cos(params.angle))
+        label = np.arange(len(xyz))
+        while (lower := np.where(link, label[None], len(label)).min(1)).tolist() != label.tolist():
+            label = np.minimum(label, lower)
+        got = {r.point_id: (r.region, r.size) for r in segmentation.all_regions(df, params).collect()}
+        assert got == {i: (x, (label == x).sum()) for i, x in enumerate(label.tolist())}
+        grown = {r.point_id for r in segmentation.region_growing(df, (0.0, 0.0, 0.0), params, dilate=False).collect()}
+        seed = (xyz**2).sum(1).argmin()
+        assert grown == set(np.flatnonzero(label == label[seed]).tolist())
+        if block > 7:
+            links = segmentation.region_links(df, params).count()
+            assert links < 2 * 14 * len(xyz) < link.sum() / 2
